@@ -152,7 +152,11 @@ def find(docs: DataFrame, *, generalise_at: float = 0.6, remove_at: float = 0.9,
         )
     no_terms = F.array().cast("array<struct<start:bigint,end:bigint,action:string>>")
     out = scan.select("doc_id", "base", "row")
-    out = out.join(added, "row", "left") if added is not None else out.withColumn("added", no_terms)
+    if added is None:
+        out = out.withColumn("added", no_terms)
+    else:  # rows without personal data get keys of their own, so that they do not meet in one task
+        out = out.withColumn("key", F.coalesce("row", F.concat(F.lit("-"), F.col("doc_id").cast("string"))))
+        out = out.join(added.withColumnRenamed("row", "key"), "key", "left")
     return out.select("doc_id", "base", F.coalesce("added", no_terms).alias("added"), "row")
 
 
