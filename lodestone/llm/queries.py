@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing, pii
+from lodestone.llm import media, mixing, pieces, pii, quality, tokencount, toxicity, warc
 from lodestone.llm.common import table
 
 
@@ -17,5 +17,29 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_pii": op1_pii, "op6_mixing": op6_mixing}
-ORACLES: dict[str, str] = {}
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read(media.store(table(spark, sf_dir, "documents")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(warc.write(table(spark, sf_dir, "pages")))
+
+
+def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op3_sentencepiece, op4_quality, op5_media, op6_mixing, op8_toxicity, op9_warc, op10_tokencount)}
+ORACLES: dict[str, str] = {"op9_warc": warc.ORACLE}
