@@ -3,9 +3,9 @@
 Terms are whole words and word beginnings (``cat~``), so that compounds of one stem meet. Of the
 labelled examples' terms those that tell most about the label (chi-squared) are the vocabulary;
 their document frequencies come from all documents. The examples form an inverted index whose
-postings are cut into blocks of examples with the largest weight of each term in each block. A
-document is scored against blocks in the order of their upper bounds until no bound reaches its
-k-th best cosine. Its neighbours vote with their cosines as weights; isotonic calibration on the
+postings are cut into blocks of examples, with the largest weight of each term in each block. A
+document is scored against blocks in the order of their upper bounds, in waves of doubling length,
+until no bound reaches its k-th best cosine. Its neighbours vote with their cosines as weights; isotonic calibration on the
 examples (each voted on by the others) turns votes into scores. Documents without any vocabulary
 term have no neighbours and get the rate of such examples.
 
@@ -13,8 +13,8 @@ Bounds: at most ``max_examples`` labelled rows (by hash order) are examples, and
 are in the vocabulary; the index that tasks receive is bounded by these two parameters.
 
 Defined results: null and empty texts have no terms; a doc_id with several labels counts once with
-the largest; repeated rows are scored each; without examples every score is 0.5 ... see
-``calibration.isotonic``; an empty table gives an empty result; further columns are ignored.
+the largest; repeated rows are scored each; without examples every score is 0.5; an empty table
+gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def vocabulary(texts: DataFrame, n_terms: int, least: int = 5) -> list[str]:
     n = F.col("n0") + F.col("n1")
     miss0, miss1 = F.lit(a0) - F.col("n0"), F.lit(a1) - F.col("n1")
     chi2 = (a0 + a1) * F.pow(F.col("n1") * miss0 - F.col("n0") * miss1, 2) / (n * (miss0 + miss1) * a0 * a1)
-    told = c.where(n >= least).where(miss0 + miss1 > 0).withColumn("chi2", chi2).where(F.col("n1") * a0 > F.col("n0") * a1).where(F.col("chi2") > 10.83)  # p < 0.001
+    told = c.where(n >= least).where(miss0 + miss1 > 0).withColumn("chi2", chi2).where(F.col("n1") * a0 > F.col("n0") * a1).where(F.col("chi2") > 37.3)  # p < 1e-9, as about a million terms are tried
     return [r["term"] for r in told.orderBy(F.desc("chi2"), "term").select("term").limit(n_terms).collect()]
 
 
@@ -82,22 +82,18 @@ def counted(docs: DataFrame, terms: list[str]) -> DataFrame:
     ids = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, words = ids.value, {}
+        known = ids.value
+        starts = {t.rstrip("~")[: STEMS[0]] for t in known}  # no word that begins otherwise holds a term
         for batch in batches:
             out_ids, out_tf = [], []
             for text in batch.column(1):
-                seen: Counter = Counter()
                 found = WORD.findall((text.as_py() or "").lower())
-                for w in set(found):
-                    hit = words.get(w)
-                    if hit is None:
-                        hit = tuple(known[t] for t in terms_of(w) if t in known)
-                        if len(words) < 300_000 and len(w) <= 64:
-                            words[w] = hit
-                    if hit:
-                        n = found.count(w)
-                        for i in hit:
-                            seen[i] += n
+                maybe = [w for w in set(found) if w[: STEMS[0]] in starts]
+                times, seen = Counter(found) if maybe else {}, Counter()
+                for w in maybe:
+                    for t in terms_of(w):
+                        if t in known:
+                            seen[known[t]] += times[w]
                 keys = sorted(seen)
                 out_ids.append(keys)
                 out_tf.append([seen[k] for k in keys])
@@ -107,21 +103,23 @@ def counted(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 class Index:
-    """An inverted index of examples in blocks, with each term's largest weight in each block."""
+    """An inverted index of examples, its postings in blocks of examples, with each term's largest weight in each block."""
 
     def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[list[int], list[int]]], idf: np.ndarray):
         self.ids, self.y, self.idf = np.array(ids, np.int64), np.array(labels, np.float64), idf
-        self.n_blocks = -(-len(ids) // BLOCK)
-        by_term: dict[int, list[tuple[int, float]]] = {}
-        for row, (terms, tf) in enumerate(vectors):
-            for t, w in zip(terms, self.weights(terms, tf), strict=True):
-                by_term.setdefault(t, []).append((row, w))
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        for t, rows in by_term.items():
-            at, w = np.array([r for r, _ in rows], np.int64), np.array([x for _, x in rows])
-            blocks, first = np.unique(at // BLOCK, return_index=True)
-            self.postings[t] = at, w, np.append(first, len(at)), blocks
-        self.top = {t: np.maximum.reduceat(w, first[:-1]) for t, (_, w, first, _) in self.postings.items()}
+        self.n_terms, self.n_blocks = max(len(idf), 1), -(-len(ids) // BLOCK)
+        row = np.repeat(np.arange(len(ids)), [len(t) for t, _ in vectors])
+        term = np.concatenate([np.array(t, np.int64) for t, _ in vectors] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([self.weights(*v) for v in vectors] or [np.zeros(0)])
+        place = row // BLOCK * self.n_terms + term
+        order = np.lexsort((row, place))
+        self.row, self.weight, place = row[order], weight[order], place[order]
+        self.first = np.searchsorted(place, np.arange(self.n_blocks * self.n_terms + 1))
+        self.top = np.zeros(self.n_blocks * self.n_terms)
+        cells, at = np.unique(place, return_index=True)
+        if len(cells):
+            self.top[cells] = np.maximum.reduceat(self.weight, at)
+        self.top = self.top.reshape(self.n_blocks, self.n_terms)
 
     def weights(self, terms: list[int], tf: list[int]) -> np.ndarray:
         w = (1 + np.log(np.array(tf, np.float64))) * self.idf[terms]
@@ -129,25 +127,23 @@ class Index:
 
     def nearest(self, terms: list[int], tf: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples, exact; ties to the smaller row. Only examples that share a term are near."""
-        query = [(t, w) for t, w in zip(terms, self.weights(terms, tf), strict=True) if t in self.postings]
-        bound = np.zeros(self.n_blocks)
-        for t, w in query:
-            bound[self.postings[t][3]] += w * self.top[t]
+        if not terms or not self.n_blocks:
+            return np.zeros(0, np.int64), np.zeros(0)
+        t, w = np.array(terms, np.int64), self.weights(terms, tf)
+        bound = self.top[:, t] @ w
         order = np.argsort(-bound, kind="stable")
-        rows, values, kth, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 4
-        while at < len(order) and bound[order[at]] > 0 and (len(rows) < k or bound[order[at]] >= kth - 1e-12):
+        rows, values, kth, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 8
+        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= kth - 1e-9:
             wave = order[at : at + step]
-            wave = np.sort(wave[(bound[wave] > 0) & (bound[wave] >= kth - 1e-12)])
-            dot = np.zeros((len(wave), BLOCK))
-            for t, w in query:
-                ids, weights, first, blocks = self.postings[t]
-                place = np.searchsorted(blocks, wave)
-                for j in np.flatnonzero((place < len(blocks)) & (blocks[np.minimum(place, len(blocks) - 1)] == wave)):
-                    lo, hi = first[place[j]], first[place[j] + 1]
-                    dot[j, ids[lo:hi] % BLOCK] += w * weights[lo:hi]
-            j, i = np.nonzero(dot > max(kth - 1e-12, 0.0))
-            rows, values = np.append(rows, wave[j] * BLOCK + i), np.append(values, dot[j, i])
-            best = np.lexsort((rows, -np.round(values, 12)))[:k]
+            wave = wave[bound[wave] >= kth - 1e-9]
+            cell = (wave[:, None] * self.n_terms + t).ravel()
+            size = self.first[cell + 1] - self.first[cell]
+            posting = np.arange(size.sum()) + np.repeat(self.first[cell] - np.cumsum(size) + size, size)
+            found, back = np.unique(self.row[posting], return_inverse=True)
+            dot = np.round(np.bincount(back, self.weight[posting] * np.repeat(np.tile(w, len(wave)), size), len(found)), 9)
+            near = dot >= max(kth, 1e-9)
+            rows, values = np.append(rows, found[near]), np.append(values, dot[near])
+            best = np.lexsort((rows, -values))[:k]
             rows, values = rows[best], values[best]
             kth = values[-1] if len(rows) == k else 0.0
             at, step = at + step, step * 2
@@ -181,7 +177,7 @@ def votes(vectors: DataFrame, index, k: int) -> DataFrame:
     return vectors.mapInArrow(vote, "doc_id long, vote double, near array<long>")
 
 
-def score(docs: DataFrame, labels: DataFrame, *, k: int = 15, max_examples: int = 20_000, n_terms: int = 4096) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, k: int = 15, max_examples: int = 20_000, n_terms: int = 2048) -> DataFrame:
     """doc_id, score, near: a row per document row; ``near`` is the evidence, the ids of up to three nearest examples."""
     sc = docs.sparkSession.sparkContext
     chosen = F.broadcast(materialise(examples_of(labels, max_examples), "toxic-examples"))  # at most max_examples rows of two numbers
@@ -192,7 +188,7 @@ def score(docs: DataFrame, labels: DataFrame, *, k: int = 15, max_examples: int
     for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # n_terms rows at most
         df[r["t"]] = r["count"]
     idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1e-9
-    rows = vectors.join(chosen, "doc_id").dropDuplicates(["doc_id"]).where(F.size("terms") > 0).orderBy("doc_id").limit(max_examples).collect()  # examples with terms
+    rows = vectors.join(chosen, "doc_id").dropDuplicates(["doc_id"]).where(F.size("terms") > 0).orderBy("doc_id").limit(max_examples).collect()  # at most max_examples, those with terms
     index = sc.broadcast(Index([r["doc_id"] for r in rows], [int(r["y"] > 0) for r in rows], [(r["terms"], r["tf"]) for r in rows], idf))
     voted = materialise(votes(vectors, index, k), "toxic-votes")
     bins = (
