@@ -49,3 +49,12 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in have:
         name = "_" + name
     return name
+
+
+MOST_ROWS = 1_000_000  # rows of a narrow table that are broadcast at most; larger ones go by a shuffle
+
+
+def join_small(docs: DataFrame, small: DataFrame, on: str, how: str, most: int = MOST_ROWS) -> DataFrame:
+    """Join wide ``docs`` with a narrow table: broadcast after counting it, else by a shuffle that adaptive execution can split."""
+    small = materialise(small, "narrow")
+    return docs.join(F.broadcast(small) if small.count() <= most else small, on, how)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import media, mixing, pieces, pii, quality, tokencount, toxicity, warc
+from lodestone.llm import media, mixing, neardup, pieces, pii, quality, tokencount, topk, toxicity, warc
 from lodestone.llm.common import table
 
 
@@ -17,6 +18,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.read(media.store(table(spark, sf_dir, "documents")))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("s1")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,5 +50,5 @@ def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_sentencepiece, op4_quality, op5_media, op6_mixing, op8_toxicity, op9_warc, op10_tokencount)}
-ORACLES: dict[str, str] = {"op9_warc": warc.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_topk, op3_sentencepiece, op4_quality, op5_media, op6_mixing, op7_neardup, op8_toxicity, op9_warc, op10_tokencount)}
+ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op9_warc": warc.ORACLE}
