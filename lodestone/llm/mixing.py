@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh, materialise
+from lodestone.llm.common import fresh, join_small, materialise
 
 WEIGHTS = (5, 2, 1)
 GOLDEN_32 = 2654435769  # 2**32 / golden ratio, odd
@@ -107,9 +107,9 @@ def takes_by_block(spark, src: DataFrame, n_slots: int, n_sources: int, on: list
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document repeated as often as its words are taken, rounded; those taken less than half a time go."""
     h, copies = fresh("mix_h", docs.columns), fresh("mix_copies", docs.columns)
-    plan = schedule(docs, **options).where("size > 0").withColumn("id_text", F.col("doc_id").cast("string"))
+    plan = schedule(docs, **options).where("size > 0")
     share = F.sum("taken") / F.sum("size")
     plan = plan.groupBy("h").agg(F.floor(share + 0.5).cast("int").alias(copies)).where(F.col(copies) > 0).withColumnRenamed("h", h)
     keyed = docs.withColumn(h, F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    out = keyed.join(plan, h)
+    out = join_small(keyed, plan, h, "inner")
     return out.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*docs.columns)

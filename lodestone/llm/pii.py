@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh, materialise
+from lodestone.llm.common import fresh, join_small, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive forms of the contract's patterns: the same matches, no backtracking and no deep recursion on long runs.
@@ -187,9 +187,10 @@ def rewritten(text: Column, base: Column, added: Column) -> Column:
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every span taken out of ``text``; all other columns and rows stay (null text stays null)."""
     found = find(docs, **options)
-    row, base, added = (fresh(x, docs.columns) for x in ("pii_row", "pii_base", "pii_added"))
-    hits = found.where(F.col("row").isNotNull()).select(F.col("row").alias(row), F.col("base").alias(base), F.col("added").alias(added)).dropDuplicates([row])
+    row, added, base = (fresh(x, docs.columns) for x in ("pii_row", "pii_added", "pii_base"))
+    terms = found.where(F.size("added") > 0).select(F.col("row").alias(row), F.col("added").alias(added)).dropDuplicates([row])
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn(row, F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), text)))
-    new = F.when(F.col(base).isNotNull(), rewritten(F.col("text"), F.col(base), F.col(added))).otherwise(F.col("text"))
-    return keyed.join(hits, row, "left").select(*[new.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    keyed = keyed.withColumn(base, F.concat(*[base_spans(text, k) for k in KINDS]))
+    new = rewritten(F.col("text"), F.col(base), F.coalesce(F.col(added), F.array().cast("array<struct<start:bigint,end:bigint,action:string>>")))
+    return join_small(keyed, terms, row, "left", 200_000).select(*[new.alias(c) if c == "text" else F.col(c) for c in docs.columns])
