@@ -32,7 +32,7 @@ _CODECS: dict[str, Codec] = {}
 class Codec:
     """Encodes and decodes with the pieces and scores of a SentencePiece model that has byte pieces."""
 
-    def __init__(self, model: bytes, remembered: int = 300_000):
+    def __init__(self, model: bytes, remembered: int = 150_000):
         import ahocorasick
         import sentencepiece
 
@@ -124,20 +124,22 @@ def _mapped(docs: DataFrame, vocabulary: str, row, names: list[str], kinds: list
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
         for batch in batches:
-            cols = list(zip(*(row(codec, x.as_py()) for x in batch.column(1)), strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", *names])
+            for at in range(0, len(batch), 256):  # a few hundred rows of ids at a time
+                part = batch.slice(at, 256)
+                cols = zip(*(row(codec, x.as_py()) for x in part.column(1)), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", *names])
 
     return docs.mapInArrow(each, f"doc_id long, {schema}")
 
 
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, ids of each document row."""
-    return _mapped(docs.select("doc_id", "text"), vocabulary, lambda c, t: (c.encode(t or ""),), ["ids"], [pa.list_(pa.int32())], "ids array<int>")
+    return _mapped(docs.select("doc_id", "text"), vocabulary, lambda c, t: (np.array(c.encode(t or ""), np.int32),), ["ids"], [pa.list_(pa.int32())], "ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, text of each row of ``encode``."""
-    return _mapped(encoded.select("doc_id", "ids"), vocabulary, lambda c, ids: (c.decode(ids or []),), ["text"], [pa.string()], "text string")
+    return _mapped(encoded.select("doc_id", "ids"), vocabulary, lambda c, ids: (c.decode(ids),), ["text"], [pa.string()], "text string")
 
 
 def digest(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
