@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.vectors import l2_normalised
+from lodestone.operators.vectors import bound, l2_normalised
 
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 Embedder = Callable[[Column], Column]
@@ -21,8 +21,8 @@ def bag_of_words(text: Column, dim: int = 64) -> Column:
     """A hashed bag of words of unit length: word w counts in place md5(w) mod dim."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
     places = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    return l2_normalised(counts)
+    counts = lambda at: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda p: p == i)).cast("double"))
+    return l2_normalised(bound(places, counts))
 
 
 def embed_queries(queries: DataFrame, embed: Embedder = bag_of_words, prefix: str = "") -> DataFrame:

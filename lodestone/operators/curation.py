@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-N_BITS, N_BANDS = 64, 10
+BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and width
 
 
 def first_of_each(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -32,18 +32,19 @@ def _number(phash: Column) -> Column:
 def hamming_pairs(rows: DataFrame, key: str, phash: str, below: int = 10) -> DataFrame:
     """a, b, distance of all pairs a < b with fewer than ``below`` (at most 10) bits between their hashes.
 
-    64 bits lie in ten bands; nine differing bits leave one band equal, so an equi-join on
-    (band, bits) finds every pair, and the exact distance decides. The hash's equals are found by a join of
-    their own: only distinct hashes are banded, so that a hash of many rows is one row there.
+    64 bits lie in five bands; of nine differing bits some band has one at most. So one side keeps
+    its bands, the other tries each band and all of its one-bit errors, and an equi-join on
+    (band, bits) finds every pair; the exact distance decides. Only distinct hashes are banded, so
+    that a hash of many rows is one row there, and their rows are joined to them afterwards.
     """
-    if below > N_BANDS:
-        raise ValueError("ten bands find pairs of nine differing bits at most")
+    if below > 2 * len(BANDS):
+        raise ValueError("five bands with one error find pairs of nine differing bits at most")
     numbered = rows.select(F.col(key).alias("k"), _number(F.col(phash)).alias("h")).where("h is not null")
-    edges = [i * N_BITS // N_BANDS for i in range(N_BANDS + 1)]
-    band = lambda i: F.struct(F.lit(i).alias("band"), F.shiftright("h", edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1).alias("bits"))
     values = numbered.select("h").distinct()
-    banded = values.select("h", F.inline(F.array(*[band(i) for i in range(N_BANDS)])))
-    left, right = banded.select("band", "bits", F.col("h").alias("x")), banded.select("band", "bits", F.col("h").alias("y"))
+    bits = lambda at, width: F.shiftright("h", at).bitwiseAND((1 << width) - 1).cast("int")
+    own = F.array(*[F.struct(F.lit(i).alias("band"), bits(*b).alias("bits")) for i, b in enumerate(BANDS)])
+    tried = F.array(*[F.struct(F.lit(i).alias("band"), bits(*b).bitwiseXOR(F.lit(flip)).alias("bits")) for i, b in enumerate(BANDS) for flip in (0, *(1 << e for e in range(b[1])))])
+    left, right = values.select(F.col("h").alias("x"), F.inline(own)), values.select(F.col("h").alias("y"), F.inline(tried))
     distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
     close = left.join(right, ["band", "bits"]).where("x < y").where(distance < below).select("x", "y", distance.alias("distance")).distinct()
     both = close.unionByName(close.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance")).unionByName(values.select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(0).alias("distance")))

@@ -38,9 +38,9 @@ def mean_metrics(per_query: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def class_report(preds: DataFrame) -> DataFrame:
-    """label, precision, recall, f1, support of (true, pred) rows; divisions by zero are 0."""
-    pairs = preds.groupBy("true", "pred").agg(F.count("*").alias("n"))
-    truth = pairs.groupBy(F.col("true").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
+    """label, precision, recall, f1, support of (truth, pred) rows; divisions by zero are 0."""
+    pairs = preds.groupBy("truth", "pred").agg(F.count("*").alias("n"))
+    truth = pairs.groupBy(F.col("truth").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
     told = pairs.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("told"))
     rows = truth.join(told, "label", "full").fillna(0)
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -52,25 +52,25 @@ def class_report(preds: DataFrame) -> DataFrame:
 def accuracy(preds: DataFrame) -> DataFrame:
     """accuracy, macro_f1, n."""
     report = class_report(preds).agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
-    return preds.agg(F.round(F.avg((F.col("true") == F.col("pred")).cast("double")), 6).alias("accuracy"), F.count("*").alias("n")).join(report)
+    return preds.agg(F.round(F.avg((F.col("truth") == F.col("pred")).cast("double")), 6).alias("accuracy"), F.count("*").alias("n")).join(report)
 
 
 def confusion(preds: DataFrame) -> DataFrame:
-    """true, pred, share of the true class."""
-    pairs = preds.groupBy("true", "pred").agg(F.count("*").alias("n"))
-    return pairs.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("true")), 6))
+    """truth, pred, share of the true class."""
+    pairs = preds.groupBy("truth", "pred").agg(F.count("*").alias("n"))
+    return pairs.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("truth")), 6))
 
 
 def expected_calibration_error(preds: DataFrame, bins: int = 15) -> DataFrame:
     """ece, n over bins (lo, hi] of conf."""
-    right = (F.col("true") == F.col("pred")).cast("double")
+    right = (F.col("truth") == F.col("pred")).cast("double")
     per = preds.where("conf > 0").groupBy(F.ceil(F.col("conf") * bins).alias("bin")).agg(F.count("*").alias("n"), F.avg(right).alias("acc"), F.avg("conf").alias("conf"))
     return per.agg(F.round(F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))) / F.sum("n"), 6).alias("ece"), F.sum("n").cast("long").alias("n"))
 
 
 def reliability(preds: DataFrame, bins: int = 10) -> DataFrame:
     """centre, n, acc, conf over bins [lo, hi); empty bins stay, and conf = 1 falls out."""
-    right = (F.col("true") == F.col("pred")).cast("double")
+    right = (F.col("truth") == F.col("pred")).cast("double")
     per = preds.where("conf < 1").groupBy(F.floor(F.col("conf") * bins).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(right), 6).alias("acc"), F.round(F.avg("conf"), 6).alias("conf"))
     every = preds.sparkSession.range(bins).withColumnRenamed("id", "bin")
     return every.join(per, "bin", "left").select(F.round((F.col("bin") + 0.5) / bins, 6).alias("centre"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "acc", "conf")
@@ -79,19 +79,19 @@ def reliability(preds: DataFrame, bins: int = 10) -> DataFrame:
 def threshold_sweep(preds: DataFrame, steps: tuple[float, ...] = tuple(round(0.10 + 0.05 * i, 2) for i in range(18))) -> DataFrame:
     """threshold, coverage, accuracy, macro_f1 of the rows with conf >= threshold; zeros where none are left.
 
-    Rows are first counted by (true, pred, number of thresholds reached), which bounds what meets the grid.
+    Rows are first counted by (truth, pred, number of thresholds reached), which bounds what meets the grid.
     """
     reach = sum(((F.col("conf") >= t).cast("int") for t in steps), F.lit(0))
-    cells = preds.groupBy("true", "pred", reach.alias("reach")).agg(F.count("*").alias("n"))
+    cells = preds.groupBy("truth", "pred", reach.alias("reach")).agg(F.count("*").alias("n"))
     grid = preds.sparkSession.createDataFrame([(float(t), i + 1) for i, t in enumerate(steps)], "threshold double, need int")
-    kept = cells.join(F.broadcast(grid), F.col("reach") >= F.col("need")).groupBy("threshold", "true", "pred").agg(F.sum("n").alias("n"))
-    labels = F.explode(F.array_distinct(F.array("true", "pred")))
-    per = kept.select("threshold", "true", "pred", "n", labels.alias("label")).groupBy("threshold", "label").agg(
-        F.sum(F.when((F.col("true") == F.col("label")) & (F.col("pred") == F.col("label")), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum(F.when(F.col("true") == F.col("label"), F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("pred") == F.col("label"), F.col("n")).otherwise(0)).alias("p"),
+    kept = cells.join(F.broadcast(grid), F.col("reach") >= F.col("need")).groupBy("threshold", "truth", "pred").agg(F.sum("n").alias("n"))
+    labels = F.explode(F.array_distinct(F.array("truth", "pred")))
+    per = kept.select("threshold", "truth", "pred", "n", labels.alias("label")).groupBy("threshold", "label").agg(
+        F.sum(F.when((F.col("truth") == F.col("label")) & (F.col("pred") == F.col("label")), F.col("n")).otherwise(0)).alias("tp"),
+        F.sum(F.when(F.col("truth") == F.col("label"), F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("pred") == F.col("label"), F.col("n")).otherwise(0)).alias("p"),
     )
     f1 = per.groupBy("threshold").agg(F.avg(2.0 * F.col("tp") / (F.col("t") + F.col("p"))).alias("macro_f1"))
-    acc = kept.groupBy("threshold").agg(F.sum("n").alias("kept"), F.sum(F.when(F.col("true") == F.col("pred"), F.col("n")).otherwise(0)).alias("right"))
+    acc = kept.groupBy("threshold").agg(F.sum("n").alias("kept"), F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)).alias("right"))
     out = grid.select("threshold").join(acc, "threshold", "left").join(f1, "threshold", "left").join(preds.agg(F.count("*").alias("total")))
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return out.select("threshold", zero(F.try_divide("kept", "total")).alias("coverage"), zero(F.try_divide("right", "kept")).alias("accuracy"), zero(F.col("macro_f1")).alias("macro_f1"))
@@ -136,7 +136,7 @@ def margin_summary(margins: DataFrame) -> DataFrame:
 
 def prompt_consistency(scores: DataFrame) -> DataFrame:
     """id, mean, std, least, most of an item's similarities."""
-    r = lambda c, name: F.round(c, 6).alias(name)
+    r = lambda c, name: F.round(c, 8).alias(name)
     return scores.groupBy("id").agg(r(F.avg("cos"), "mean"), r(F.stddev_pop("cos"), "std"), r(F.min("cos"), "least"), r(F.max("cos"), "most"))
 
 
@@ -160,15 +160,15 @@ def scorecard(metrics: DataFrame) -> DataFrame:
 def fit_temperature(logits: DataFrame, lo: float = 0.05, hi: float = 10.0, points: int = 60) -> DataFrame:
     """temperature, nll: the T of a grid, then of a finer grid around it, that minimises the mean negative log likelihood.
 
-    (true, l0, l1) rows are first counted by value; each pass is one aggregation with a column a grid point.
+    (truth, l0, l1) rows are first counted by value; each pass is one aggregation with a column a grid point.
     """
-    cells = logits.groupBy("true", "l0", "l1").agg(F.count("*").alias("n"))
+    cells = logits.groupBy("truth", "l0", "l1").agg(F.count("*").alias("n"))
 
     def best(grid: list[float]) -> tuple[float, float]:
         def nll(t: float) -> Column:
             a, b = F.col("l0") / t, F.col("l1") / t
             m = F.greatest(a, b)
-            own = F.when(F.col("true") == 1, b).otherwise(a)
+            own = F.when(F.col("truth") == 1, b).otherwise(a)
             return F.sum(F.col("n") * (m + F.log(F.exp(a - m) + F.exp(b - m)) - own)) / F.sum("n")
 
         row = cells.agg(*[nll(t).alias(f"t{i}") for i, t in enumerate(grid)]).first()

@@ -73,10 +73,15 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def l2_normalised(v: Column, epsilon: float = 0.0) -> Column:
     """Unit length; a zero vector stays as it is (or is divided by ``epsilon``)."""
-    n = norm(v) + F.lit(epsilon)
-    return F.transform(v, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
+    divided = lambda x, n: F.transform(x, lambda c: F.when(n == 0, c.cast("double")).otherwise(c.cast("double") / n))
+    return bound(v, lambda x: bound(norm(x) + F.lit(epsilon), lambda n: divided(x, n)))
 
 
 def similar(ids: DataFrame, vectors: DataFrame, k: int = 6, floor: float | None = 0.70) -> DataFrame:

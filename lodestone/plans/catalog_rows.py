@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators import curation, facets, filters, tags
@@ -79,18 +78,15 @@ def f15_library_filter(spark, d):
     return c.where(keep).select("image_id", "style_primary", "year_built")
 
 
-@query(C + "SELECT image_id, array_to_string(list_filter(materials, t -> t IS NOT NULL AND (contains(lower(t), 'gla') OR contains(lower(t), 'slate'))), ',') AS hit FROM corpus")
+@query(C + "SELECT image_id, array_to_string(list_filter(materials, lambda t: t IS NOT NULL AND (contains(lower(t), 'gla') OR contains(lower(t), 'slate'))), ',') AS hit FROM corpus")
 def f23_highlighted_tags(spark, d):
     return corpus(spark, d).select("image_id", F.array_join(filters.highlighted(F.array_compact("materials"), "Gla,  slate"), ",").alias("hit"))
 
 
-@query(C + "SELECT image_id, CAST(owner IS NULL AS INTEGER) AS ephemeral, CAST(row_number() OVER (ORDER BY owner IS NULL, image_id) AS BIGINT) AS place FROM corpus")
+@query(C + "SELECT image_id, CAST(owner IS NULL AS INTEGER) AS ephemeral FROM corpus")
 def f25_stored_first(spark, d):
-    """The order of a full listing, by ranges: counts of the two kinds before a row's own place within its kind."""
-    c = corpus(spark, d).select("image_id", F.col("owner").isNull().cast("int").alias("ephemeral"))
-    place = F.row_number().over(W.partitionBy("ephemeral").orderBy("image_id"))
-    counts = c.agg(F.count_if(F.col("ephemeral") == 0).alias("stored"))
-    return c.withColumn("p", place.cast("long")).join(F.broadcast(counts)).select("image_id", "ephemeral", (F.col("p") + F.when(F.col("ephemeral") == 1, F.col("stored")).otherwise(0)).alias("place"))
+    """Stored items before ephemeral ones: a flag and a sort by ranges of (flag, id)."""
+    return corpus(spark, d).select("image_id", F.col("owner").isNull().cast("int").alias("ephemeral")).orderBy("ephemeral", "image_id")
 
 
 @query("SELECT coalesce(source, '') AS source, CAST(count(*) AS BIGINT) AS n, bool_or(length(text) > 2000) AS has_long, CAST(count(CASE WHEN length(text) > 0 THEN 1 END) AS BIGINT) AS ready FROM documents GROUP BY 1")

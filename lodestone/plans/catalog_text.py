@@ -45,7 +45,7 @@ def s13_replace_by_key(spark, d):
     return new.unionByName(kept.groupBy("doc").agg(F.count("*").alias("n")).withColumn("kind", F.lit("old")))
 
 
-@query(C + "SELECT image_id, replace(array_to_string(list_filter([name, building_type, style_primary, material_1, material_2, 'tag_' || class_id, 'tag_' || class_id], x -> x IS NOT NULL AND x <> ''), ' '), '_', ' ') AS search_text FROM corpus")
+@query(C + "SELECT image_id, replace(array_to_string(list_filter([name, building_type, style_primary, material_1, material_2, 'tag_' || class_id, 'tag_' || class_id], lambda x: x IS NOT NULL AND x <> ''), ' '), '_', ' ') AS search_text FROM corpus")
 def x01_search_text(spark, d):
     tag = F.concat(F.lit("tag_"), F.col("class_id").cast("string"))
     made = text.search_text(*[text.as_list(F.col(c)) for c in ("name", "building_type", "style_primary")], F.col("materials"), text.as_list(tag), text.as_list(tag))
@@ -250,7 +250,7 @@ def _hits(spark, d):
 HITS = "h AS (SELECT c.conv_id AS qid, k + 1 AS rank, 'T' || (doc_id % 7) AS title, doc_id % 3 + 1 AS page, coalesce(text, '') AS text FROM (SELECT DISTINCT conv_id FROM conversations) c CROSS JOIN range(5) r(k) JOIN documents ON doc_id = c.conv_id + k * k)"
 
 
-@query(f"WITH {HITS}, f AS (SELECT *, row_number() OVER (PARTITION BY qid, title, page ORDER BY rank) AS p FROM h), a AS (SELECT *, qid % 2 = 0 AND page = 1 AS named FROM f WHERE p = 1), b AS (SELECT *, max(CASE WHEN named THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS some, row_number() OVER (PARTITION BY qid, named ORDER BY rank) AS place FROM a) SELECT qid, title, page, CASE WHEN length(text) > 240 THEN substring(text, 1, 240) || '…' ELSE text END AS snippet, CAST(place AS INTEGER) AS place FROM b WHERE CASE WHEN some = 1 THEN named ELSE place <= 3 END")
+@query(f"WITH {HITS}, f AS (SELECT *, row_number() OVER (PARTITION BY qid, title, page ORDER BY rank) AS p FROM h), a AS (SELECT *, qid % 2 = 0 AND page = 1 AS named FROM f WHERE p = 1), b AS (SELECT *, max(CASE WHEN named THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS some_named, row_number() OVER (PARTITION BY qid, named ORDER BY rank) AS place FROM a) SELECT qid, title, page, CASE WHEN length(text) > 240 THEN substring(text, 1, 240) || '…' ELSE text END AS snippet, CAST(place AS INTEGER) AS place FROM b WHERE CASE WHEN some_named = 1 THEN named ELSE place <= 3 END")
 def x22_citations(spark, d):
     """Answers of even conversations name page 1 of every title, the others nothing."""
     named = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: rag.label(F.concat(F.lit("T"), i.cast("string")), F.lit(1))), " ")
@@ -329,7 +329,7 @@ def s07_api_items(spark, d):
     return out.select("event_id", "title", "image_url", F.array_join("creators", ",").alias("creators"), "date")
 
 
-@query("SELECT doc_id, CASE WHEN length(encode(head)) < 12 THEN NULL WHEN doc_id % 4 = 0 THEN 'png' WHEN doc_id % 4 = 1 THEN 'jpeg' WHEN doc_id % 4 = 2 THEN 'webp' END AS kind FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'short' ELSE repeat('x', 20) END AS head FROM documents)")
+@query("SELECT doc_id, CASE WHEN octet_length(encode(head)) < 12 THEN NULL WHEN doc_id % 4 = 0 THEN 'png' WHEN doc_id % 4 = 1 THEN 'jpeg' WHEN doc_id % 4 = 2 THEN 'webp' END AS kind FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN 'short' ELSE repeat('x', 20) END AS head FROM documents)")
 def s02_file_kind(spark, d):
     """Bytes with the magic numbers of pictures put before each text."""
     i = F.col("doc_id")
@@ -344,10 +344,10 @@ def s14_json_sidecars(spark, d):
     return sinks.json_sidecars(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey")
 
 
-BAG = "SELECT id, list_transform(range(64), i -> len(list_filter(w, x -> CAST('0x' || substring(md5(x), 1, 8) AS BIGINT) % 64 = i))::DOUBLE) AS c"
+BAG = "SELECT id, list_transform(range(64), lambda i: len(list_filter(w, lambda x: CAST('0x' || substring(md5(x), 1, 8) AS BIGINT) % 64 = i))::DOUBLE) AS c"
 
 
-@query(f"WITH {CORPUS}, w AS (SELECT image_id AS id, list_filter(string_split_regex(lower(coalesce(name, '')), '\\s+'), x -> x <> '') AS w FROM corpus), b AS ({BAG} FROM w), n AS (SELECT id, c, sqrt(list_sum(list_transform(c, x -> x * x))) AS n FROM b), v AS (SELECT id, list_transform(c, x -> CASE WHEN n = 0 THEN x ELSE x / n END) AS vec FROM n), " + nn(5) + " SELECT * FROM nn")
+@query(f"WITH {CORPUS}, w AS (SELECT image_id AS id, list_filter(string_split_regex(lower(coalesce(name, '')), '\\s+'), lambda x: x <> '') AS w FROM corpus), b AS ({BAG} FROM w), n AS (SELECT id, c, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS n FROM b), v AS (SELECT id, list_transform(c, lambda x: CASE WHEN n = 0 THEN x ELSE x / n END) AS vec FROM n), " + nn(5) + " SELECT * FROM nn")
 def p01_embed_and_search(spark, d):
     """Names embedded by the default embedder, as queries and as passages."""
     c = corpus(spark, d)

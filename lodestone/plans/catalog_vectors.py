@@ -12,7 +12,7 @@ from lodestone.operators import evaluation, filters, ranking, sampling, tags, ve
 from lodestone.plans.registry import query
 from lodestone.plans.views import BOXES, CORPUS, PREDS, boxes, corpus, predictions, table
 
-VECS = "v AS (SELECT vec_id AS id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS vec, label FROM embeddings)"
+VECS = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec, label FROM embeddings)"
 SCORE = "round(list_inner_product(q.vec, c.vec), 6)"
 
 
@@ -45,12 +45,12 @@ def v01_knn(spark, d):
     return vectors.knn(asked(spark, d), vecs(spark, d), 10)
 
 
-@query("SELECT vec_id AS id, round(embedding[1], 6) AS first, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings WHERE vec_id IN (7, 99, 123456789)")
+@query("SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings WHERE vec_id IN (7, 99, 123456789)")
 def v02_stored_vector(spark, d):
     return vecs(spark, d).where(F.col("id").isin(7, 99, 123456789)).select("id", F.round(F.element_at("vec", 1).cast("double"), 6).alias("first"), F.size("vec").alias("dim"))
 
 
-@query(V + "n AS (SELECT id, list_transform(vec, x -> 3 * x) AS w, sqrt(list_sum(list_transform(vec, x -> 9 * x * x))) AS n FROM v) SELECT id, round(w[1] / n, 6) AS first, round(w[64] / n, 6) AS last FROM n")
+@query(V + "n AS (SELECT id, list_transform(vec, lambda x: 3 * x) AS w, sqrt(list_sum(list_transform(vec, lambda x: 9 * x * x))) AS n FROM v) SELECT id, round(w[1] / n, 6) AS first, round(w[64] / n, 6) AS last FROM n")
 def v03_unit_length(spark, d):
     u = vectors.l2_normalised(F.transform("vec", lambda x: 3 * x.cast("double")))
     return vecs(spark, d).select("id", u.alias("u")).select("id", F.round(F.element_at("u", 1), 6).alias("first"), F.round(F.element_at("u", 64), 6).alias("last"))
@@ -111,8 +111,8 @@ def v09_mmr(spark, d):
     return ranking.mmr(hits.join(vecs(spark, d).select("id", "vec"), "id").select("qid", "id", "score", "vec"), k=5)
 
 
-@query(f"WITH {VECS}, {CORPUS}, " + nn(20) + """, t AS (SELECT nn.qid, nn.id, list_distinct(list_filter(regexp_split_to_array(lower(a.name), '\\s+'), w -> w <> '')) AS qw, regexp_split_to_array(lower(b.name), '\\s+') AS dw FROM nn JOIN corpus a ON nn.qid = a.image_id JOIN corpus b ON nn.id = b.image_id),
-s AS (SELECT qid, id, round(1 / (1 + exp(-(8.0::DOUBLE * len(list_filter(qw, w -> list_contains(dw, w))) / greatest(len(qw), 1) - 4.0::DOUBLE))), 6) AS score FROM t)
+@query(f"WITH {VECS}, {CORPUS}, " + nn(20) + """, t AS (SELECT nn.qid, nn.id, list_distinct(list_filter(regexp_split_to_array(lower(a.name), '\\s+'), lambda w: w <> '')) AS qw, regexp_split_to_array(lower(b.name), '\\s+') AS dw FROM nn JOIN corpus a ON nn.qid = a.image_id JOIN corpus b ON nn.id = b.image_id),
+s AS (SELECT qid, id, round(1 / (1 + exp(-(8.0::DOUBLE * len(list_filter(qw, lambda w: list_contains(dw, w))) / greatest(len(qw), 1) - 4.0::DOUBLE))), 6) AS score FROM t)
 SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM s""")
 def v10_rerank(spark, d):
     names = corpus(spark, d).select("image_id", "name")
@@ -159,7 +159,7 @@ def v13_image_search(spark, d):
     return out.select("qid", "id", "score", "rank", "style_primary")
 
 
-CENTRE = f"{V} m AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM v) GROUP BY 1, 2), g AS (SELECT label, list(m ORDER BY i) AS mv, sqrt(sum(m * m)) AS n FROM m GROUP BY 1), k AS (SELECT label, list_transform(mv, x -> x / n) AS lv FROM g), s AS (SELECT v.id, v.label AS own, k.label, round(list_inner_product(v.vec, k.lv), 6) AS cos FROM v CROSS JOIN k)"
+CENTRE = f"{V} m AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM v) GROUP BY 1, 2), g AS (SELECT label, list(m ORDER BY i) AS mv, sqrt(sum(m * m)) AS n FROM m GROUP BY 1), k AS (SELECT label, list_transform(mv, lambda x: x / n) AS lv FROM g), s AS (SELECT v.id, v.label AS own, k.label, round(list_inner_product(v.vec, k.lv), 6) AS cos FROM v CROSS JOIN k)"
 
 
 def _class_scores(spark, d):
@@ -279,7 +279,7 @@ def j09_label_scores(spark, d):
     return _class_scores(spark, d)
 
 
-@query(CENTRE.replace("WITH ", f"WITH {CORPUS}, ", 1) + ", n2 AS (SELECT c.image_id AS id, 'style:' || c.style_primary AS key, round(s.cos, 4) AS score FROM corpus c JOIN s ON s.id = c.image_id AND s.label = c.class_id) SELECT id, key, score FROM n2")
+@query(CENTRE.replace("WITH ", f"WITH {CORPUS}, ", 1) + ", n2 AS (SELECT c.image_id AS id, 'style:' || c.style_primary AS key, round(list_inner_product(v.vec, k.lv), 4) AS score FROM corpus c JOIN v ON v.id = c.image_id JOIN k ON k.label = c.class_id) SELECT id, key, score FROM n2")
 def t03_prompt_agreement(spark, d):
     v = vecs(spark, d)
     keys = vectors.centroids(v, "label").select(F.concat(F.lit("style:Style_"), F.col("label").cast("string")).alias("key"), F.col("vec").alias("key_vec"))
@@ -296,7 +296,7 @@ def t04_neighbour_votes(spark, d):
     return tags.neighbour_votes(rows, vecs(spark, d), rows.where(F.col("id") % 100 == 0), least_corpus=100)
 
 
-@query(VOTES.split(", w AS")[0] + " SELECT qid AS id, ns AS style, CAST(count(*) AS BIGINT) AS votes FROM y GROUP BY 1, 2")
+@query(VOTES.split(", y AS")[0] + " SELECT qid AS id, style_primary AS style, CAST(count(*) AS BIGINT) AS votes FROM h JOIN corpus ON h.id = image_id WHERE r <= 10 GROUP BY 1, 2")
 def j12_neighbour_attributes(spark, d):
     hits = vectors.ranked(vectors.knn(asked(spark, d), vecs(spark, d), 11).where("id <> qid").drop("rank")).where("rank <= 10")
     rows = hits.join(corpus(spark, d).select(F.col("image_id").alias("id"), F.col("style_primary").alias("style")), "id")
@@ -305,7 +305,7 @@ def j12_neighbour_attributes(spark, d):
 
 IR = f"{V}{nn(20)}, rel AS (SELECT q.id AS qid, c.id FROM v q JOIN v c ON q.label = c.label AND q.id % 100 = 0 AND q.id % 300 <> 0), nr AS (SELECT qid, count(*) AS n_rel FROM rel GROUP BY 1), m AS (SELECT nn.*, CASE WHEN rel.id IS NULL THEN 0 ELSE 1 END AS rel FROM nn LEFT JOIN rel ON rel.qid = nn.qid AND rel.id = nn.id), "
 IR += "pq AS (SELECT nr.qid, round(coalesce(1.0::DOUBLE / min(CASE WHEN rel = 1 THEN rank END), 0), 6) AS mrr, " + ", ".join(
-    f"round(sum(CASE WHEN rank <= {k} THEN rel ELSE 0 END) / nullif(count(CASE WHEN rank <= {k} THEN 1 END), 0)::DOUBLE, 6) AS p_{k}, round(sum(CASE WHEN rank <= {k} THEN rel ELSE 0 END) / any_value(n_rel)::DOUBLE, 6) AS r_{k}, CAST(max(CASE WHEN rank <= {k} THEN rel ELSE 0 END) AS INTEGER) AS hit_{k}, round(sum(CASE WHEN rank <= {k} THEN rel / log2(rank + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(any_value(n_rel), {k}) + 1), i -> 1.0::DOUBLE / log2(i + 1))), 6) AS ndcg_{k}" for k in (5, 10, 20)
+    f"round(sum(CASE WHEN rank <= {k} THEN rel ELSE 0 END) / nullif(count(CASE WHEN rank <= {k} THEN 1 END), 0)::DOUBLE, 6) AS p_{k}, round(sum(CASE WHEN rank <= {k} THEN rel ELSE 0 END) / any_value(n_rel)::DOUBLE, 6) AS r_{k}, CAST(max(CASE WHEN rank <= {k} THEN rel ELSE 0 END) AS INTEGER) AS hit_{k}, round(sum(CASE WHEN rank <= {k} THEN rel / log2(rank + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(any_value(n_rel), {k}) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))), 6) AS ndcg_{k}" for k in (5, 10, 20)
 ) + " FROM nr JOIN m ON nr.qid = m.qid GROUP BY 1)"
 
 
@@ -326,7 +326,7 @@ def a13_mean_metrics(spark, d):
 
 
 P = f"WITH {PREDS}, "
-REPORT = P + "t AS (SELECT true AS label, count(*) AS support, count(CASE WHEN true = pred THEN 1 END) AS tp FROM preds GROUP BY 1), o AS (SELECT pred AS label, count(*) AS told FROM preds GROUP BY 1), j AS (SELECT coalesce(t.label, o.label) AS label, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp, coalesce(told, 0) AS told FROM t FULL JOIN o ON t.label = o.label), r AS (SELECT label, coalesce(tp / nullif(told, 0)::DOUBLE, 0) AS p, coalesce(tp / nullif(support, 0)::DOUBLE, 0) AS r, support FROM j), rep AS (SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, support FROM r)"
+REPORT = P + "t AS (SELECT truth AS label, count(*) AS support, count(CASE WHEN truth = pred THEN 1 END) AS tp FROM preds GROUP BY 1), o AS (SELECT pred AS label, count(*) AS told FROM preds GROUP BY 1), j AS (SELECT coalesce(t.label, o.label) AS label, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp, coalesce(told, 0) AS told FROM t FULL JOIN o ON t.label = o.label), r AS (SELECT label, coalesce(tp / nullif(told, 0)::DOUBLE, 0) AS p, coalesce(tp / nullif(support, 0)::DOUBLE, 0) AS r, support FROM j), rep AS (SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1, support FROM r)"
 
 
 @query(REPORT + " SELECT * FROM rep")
@@ -334,27 +334,27 @@ def a14_class_report(spark, d):
     return evaluation.class_report(predictions(spark, d))
 
 
-@query(REPORT + " SELECT round(avg(CASE WHEN true = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n, (SELECT round(avg(f1), 6) FROM rep) AS macro_f1 FROM preds")
+@query(REPORT + " SELECT round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n, (SELECT round(avg(f1), 6) FROM rep) AS macro_f1 FROM preds")
 def a14_accuracy(spark, d):
     return evaluation.accuracy(predictions(spark, d))
 
 
-@query(P[:-2] + " SELECT true, pred, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY true), 6) AS share FROM preds GROUP BY 1, 2")
+@query(P[:-2] + " SELECT truth, pred, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY truth), 6) AS share FROM preds GROUP BY 1, 2")
 def a15_confusion(spark, d):
     return evaluation.confusion(predictions(spark, d))
 
 
-@query(P + "b AS (SELECT ceil(conf * 15) AS bin, count(*) AS n, avg(CASE WHEN true = pred THEN 1.0::DOUBLE ELSE 0 END) AS acc, avg(conf) AS c FROM preds WHERE conf > 0 GROUP BY 1) SELECT round(sum(n * abs(acc - c)) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b")
+@query(P + "b AS (SELECT ceil(conf * 15) AS bin, count(*) AS n, avg(CASE WHEN truth = pred THEN 1.0::DOUBLE ELSE 0 END) AS acc, avg(conf) AS c FROM preds WHERE conf > 0 GROUP BY 1) SELECT round(sum(n * abs(acc - c)) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b")
 def a16_calibration_error(spark, d):
     return evaluation.expected_calibration_error(predictions(spark, d))
 
 
-@query(P + "b AS (SELECT CAST(floor(conf * 10) AS BIGINT) AS bin, count(*) AS n, round(avg(CASE WHEN true = pred THEN 1.0::DOUBLE ELSE 0 END), 6) AS acc, round(avg(conf), 6) AS conf FROM preds WHERE conf < 1 GROUP BY 1) SELECT round((range + 0.5::DOUBLE) / 10, 6) AS centre, coalesce(n, 0) AS n, acc, conf FROM range(10) LEFT JOIN b ON bin = range")
+@query(P + "b AS (SELECT CAST(floor(conf * 10) AS BIGINT) AS bin, count(*) AS n, round(avg(CASE WHEN truth = pred THEN 1.0::DOUBLE ELSE 0 END), 6) AS acc, round(avg(conf), 6) AS conf FROM preds WHERE conf < 1 GROUP BY 1) SELECT round((range + 0.5::DOUBLE) / 10, 6) AS centre, coalesce(n, 0) AS n, acc, conf FROM range(10) LEFT JOIN b ON bin = range")
 def a17_reliability(spark, d):
     return evaluation.reliability(predictions(spark, d))
 
 
-SWEEP = P + "g AS (SELECT round(0.10::DOUBLE + 0.05::DOUBLE * range, 2) AS threshold FROM range(18)), k AS (SELECT threshold, true, pred FROM g JOIN preds ON conf >= threshold), f AS (SELECT threshold, avg(2.0::DOUBLE * tp / (t + p)) AS macro_f1 FROM (SELECT threshold, label, count(CASE WHEN true = label AND pred = label THEN 1 END) AS tp, count(CASE WHEN true = label THEN 1 END) AS t, count(CASE WHEN pred = label THEN 1 END) AS p FROM k CROSS JOIN (SELECT unnest([0, 1]) AS label) GROUP BY 1, 2) WHERE t + p > 0 GROUP BY 1), sweep AS (SELECT g.threshold, round(count(k.threshold) / (SELECT count(*) FROM preds)::DOUBLE, 6) AS coverage, round(coalesce(count(CASE WHEN true = pred THEN 1 END) / nullif(count(k.threshold), 0)::DOUBLE, 0), 6) AS accuracy, round(coalesce(any_value(macro_f1), 0), 6) AS macro_f1 FROM g LEFT JOIN k ON k.threshold = g.threshold LEFT JOIN f ON f.threshold = g.threshold GROUP BY 1)"
+SWEEP = P + "g AS (SELECT round(0.10::DOUBLE + 0.05::DOUBLE * range, 2) AS threshold FROM range(18)), k AS (SELECT threshold, truth, pred FROM g JOIN preds ON conf >= threshold), f AS (SELECT threshold, avg(2.0::DOUBLE * tp / (t + p)) AS macro_f1 FROM (SELECT threshold, label, count(CASE WHEN truth = label AND pred = label THEN 1 END) AS tp, count(CASE WHEN truth = label THEN 1 END) AS t, count(CASE WHEN pred = label THEN 1 END) AS p FROM k CROSS JOIN (SELECT unnest([0, 1]) AS label) GROUP BY 1, 2) WHERE t + p > 0 GROUP BY 1), sweep AS (SELECT g.threshold, round(count(k.threshold) / (SELECT count(*) FROM preds)::DOUBLE, 6) AS coverage, round(coalesce(count(CASE WHEN truth = pred THEN 1 END) / nullif(count(k.threshold), 0)::DOUBLE, 0), 6) AS accuracy, round(coalesce(any_value(macro_f1), 0), 6) AS macro_f1 FROM g LEFT JOIN k ON k.threshold = g.threshold LEFT JOIN f ON f.threshold = g.threshold GROUP BY 1)"
 
 
 @query(SWEEP + " SELECT * FROM sweep")
@@ -370,9 +370,9 @@ def a19_best_threshold(spark, d):
 STATS = "round(avg(conf), 6) AS mean, round(stddev_pop(conf), 6) AS std, round(min(conf), 6) AS least, round(max(conf), 6) AS most, round(quantile_cont(conf, {}), 6) AS percentile, count(*) AS n"
 
 
-@query(P[:-2] + f" SELECT true, {STATS.format(0.95)} FROM preds GROUP BY 1")
+@query(P[:-2] + f" SELECT truth, {STATS.format(0.95)} FROM preds GROUP BY 1")
 def a20_out_of_domain(spark, d):
-    return evaluation.confidence_stats(predictions(spark, d), "true")
+    return evaluation.confidence_stats(predictions(spark, d), "truth")
 
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY 1 ORDER BY n DESC, label")
@@ -386,7 +386,7 @@ def a23_best_positive(spark, d):
     return evaluation.best_positive_ranks(_class_scores(spark, d), truth)
 
 
-MARGIN = CENTRE + ", m AS (SELECT id, round(max(CASE WHEN label = own THEN cos END) - max(CASE WHEN label IN ((own + 1) % 10, (own + 3) % 10) THEN cos END), 6) AS margin FROM s GROUP BY 1)"
+MARGIN = CENTRE + ", mm AS (SELECT id, round(max(CASE WHEN label = own THEN cos END) - max(CASE WHEN label IN ((own + 1) % 10, (own + 3) % 10) THEN cos END), 6) AS margin FROM s GROUP BY 1)"
 
 
 def _margins(spark, d):
@@ -395,17 +395,17 @@ def _margins(spark, d):
     return evaluation.hard_negative_margins(_class_scores(spark, d), v.select("id", F.col("label").alias("own")), near)
 
 
-@query(MARGIN + " SELECT round(avg(CASE WHEN margin > 0 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, round(avg(margin), 6) AS mean, round(quantile_cont(margin, 0.1), 6) AS p10, count(*) AS n FROM m")
+@query(MARGIN + " SELECT round(avg(CASE WHEN margin > 0 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, round(avg(margin), 6) AS mean, round(quantile_cont(margin, 0.1), 6) AS p10, count(*) AS n FROM mm")
 def a24_hard_negatives(spark, d):
     return evaluation.margin_summary(_margins(spark, d))
 
 
-@query(MARGIN + " SELECT id, margin FROM m ORDER BY margin, id LIMIT 10")
+@query(MARGIN + " SELECT id, margin FROM mm ORDER BY margin, id LIMIT 10")
 def a24_worst_margins(spark, d):
     return _margins(spark, d).orderBy("margin", "id").limit(10)
 
 
-@query(CENTRE + " SELECT id, round(avg(cos), 6) AS mean, round(stddev_pop(cos), 6) AS std, min(cos) AS least, max(cos) AS most FROM s GROUP BY 1")
+@query(CENTRE + " SELECT id, round(avg(cos), 8) AS mean, round(stddev_pop(cos), 8) AS std, min(cos) AS least, max(cos) AS most FROM s GROUP BY 1")
 def a25_prompt_consistency(spark, d):
     return evaluation.prompt_consistency(_class_scores(spark, d))
 
@@ -423,10 +423,10 @@ def a27_confidence_stats(spark, d):
     return evaluation.confidence_stats(predictions(spark, d), share=0.9)
 
 
-@query(P + "m AS (SELECT 'accuracy' AS metric, round(avg(CASE WHEN true = pred THEN 1.0 ELSE 0.0 END), 6) AS value, 0.5::DOUBLE AS target, '>=' AS direction FROM preds UNION ALL SELECT 'mean_confidence', round(avg(conf), 6), 0.6, '<=' FROM preds UNION ALL SELECT 'rows', count(*), 100, '>=' FROM preds), p AS (SELECT *, CASE WHEN direction = '>=' THEN value >= target ELSE value <= target END AS passed FROM m) SELECT *, count(CASE WHEN passed THEN 1 END) OVER () AS n_pass FROM p")
+@query(P + "m AS (SELECT 'accuracy' AS metric, round(avg(CASE WHEN truth = pred THEN 1.0 ELSE 0.0 END), 6) AS value, 0.5::DOUBLE AS target, '>=' AS direction FROM preds UNION ALL SELECT 'mean_confidence', round(avg(conf), 6), 0.6, '<=' FROM preds UNION ALL SELECT 'rows', count(*), 100, '>=' FROM preds), p AS (SELECT *, CASE WHEN direction = '>=' THEN value >= target ELSE value <= target END AS passed FROM m) SELECT *, count(CASE WHEN passed THEN 1 END) OVER () AS n_pass FROM p")
 def a28_scorecard(spark, d):
     p = predictions(spark, d)
-    one = p.agg(F.round(F.avg((F.col("true") == F.col("pred")).cast("double")), 6).alias("a"), F.round(F.avg("conf"), 6).alias("b"), F.count("*").cast("double").alias("c"))
+    one = p.agg(F.round(F.avg((F.col("truth") == F.col("pred")).cast("double")), 6).alias("a"), F.round(F.avg("conf"), 6).alias("b"), F.count("*").cast("double").alias("c"))
     gate = lambda name, col, target, way: F.struct(F.lit(name).alias("metric"), F.col(col).alias("value"), F.lit(float(target)).alias("target"), F.lit(way).alias("direction"))
     return evaluation.scorecard(one.select(F.inline(F.array(gate("accuracy", "a", 0.5, ">="), gate("mean_confidence", "b", 0.6, "<="), gate("rows", "c", 100, ">=")))))
 

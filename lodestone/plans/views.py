@@ -50,15 +50,15 @@ HASHES = "hashes AS (SELECT doc_id, substring(md5(CAST(doc_id // 4 AS VARCHAR)),
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, true, l0, l1 (logits), pred, conf of each label row."""
+    """doc_id, truth, l0, l1 (logits), pred, conf of each label row."""
     logit = (F.col("doc_id") % 17) / F.lit(17.0)
-    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("true"), logit.alias("l1"), (1 - logit).alias("l0"))
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("truth"), logit.alias("l1"), (1 - logit).alias("l0"))
     top = F.greatest("l0", "l1")
     conf = 1 / (F.exp(F.col("l0") - top) + F.exp(F.col("l1") - top))
     return rows.withColumn("pred", F.when(F.col("l1") > F.col("l0"), 1).otherwise(0)).withColumn("conf", conf)
 
 
-PREDS = """preds AS (SELECT doc_id, quality AS true, (doc_id % 17) / 17.0::DOUBLE AS l1, 1 - (doc_id % 17) / 17.0::DOUBLE AS l0,
+PREDS = """preds AS (SELECT doc_id, quality AS truth, (doc_id % 17) / 17.0::DOUBLE AS l1, 1 - (doc_id % 17) / 17.0::DOUBLE AS l0,
  CASE WHEN (doc_id % 17) / 17.0::DOUBLE > 1 - (doc_id % 17) / 17.0::DOUBLE THEN 1 ELSE 0 END AS pred,
  1 / (exp((1 - (doc_id % 17) / 17.0::DOUBLE) - greatest((doc_id % 17) / 17.0::DOUBLE, 1 - (doc_id % 17) / 17.0::DOUBLE)) + exp((doc_id % 17) / 17.0::DOUBLE - greatest((doc_id % 17) / 17.0::DOUBLE, 1 - (doc_id % 17) / 17.0::DOUBLE))) AS conf
  FROM labels)"""

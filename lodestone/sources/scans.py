@@ -148,7 +148,7 @@ def articles(pages: DataFrame, html: str, most: int = 10) -> DataFrame:
     inline = F.regexp_extract_all(h, F.lit(r"""(?i)<img\b[^>]*\ssrc=["'](https?://[^"']+)["']"""), F.lit(1))
     images = F.slice(F.array_distinct(F.concat(F.array_compact(F.array(meta_content(h, "og:image"))), linked, inline)), 1, most)
     title = F.coalesce(meta_content(h, "og:title"), F.nullif(F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")))
-    authors = F.filter(F.transform(F.split(F.coalesce(meta_content(h, "author"), F.lit("")), "[,;]"), F.trim), lambda a: a != "")
+    authors = F.filter(F.transform(F.split(F.coalesce(meta_content(h, "author"), F.lit("")), "[,;]"), lambda a: F.trim(a)), lambda a: a != "")
     return pages.select("*", title.alias("title"), meta_content(h, "og:description").alias("description"), authors.alias("authors"), images.alias("images"))
 
 

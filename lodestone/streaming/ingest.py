@@ -45,11 +45,10 @@ def complete(stream: DataFrame, target: str, checkpoint: str, key: str, merge: C
         spark = batch.sparkSession
         if not exists(spark, target):
             return
-        stored = spark.read.parquet(target).drop("bucket").join(batch.select(key).distinct(), key, "left_semi")
-        rows = merge(stored, batch).withColumn("ingest_status", F.lit("ready"))
-        replace_by_key(rows, target, key)
+        changed = lambda: spark.read.parquet(target).drop("bucket").join(batch.select(key).distinct(), key, "left_semi")
+        replace_by_key(merge(changed(), batch).withColumn("ingest_status", F.lit("ready")), target, key)
         for step in then or []:
-            step(rows, number)
+            step(changed(), number)  # read anew: the old files are gone
 
     return run(stream, checkpoint, each)
 
