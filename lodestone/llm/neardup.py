@@ -81,7 +81,7 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def _in_pieces(texts: pa.Array, most: int = 4_000_000) -> Iterator[list[str | None]]:
+def _in_pieces(texts: pa.Array, most: int = 1_000_000) -> Iterator[list[str | None]]:
     """The texts of a batch in pieces of about ``most`` characters."""
     piece, held = [], 0
     for t in texts:

@@ -59,7 +59,7 @@ def vocabulary(texts: DataFrame, n_terms: int, least: int = 5) -> list[str]:
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 for term in {t for w in set(WORD.findall((text.as_py() or "").lower())) for t in terms_of(w)}:
                     counts.setdefault(term, [0, 0])[y] += 1
-            if len(counts) > 300_000:
+            if len(counts) > 150_000:
                 yield out()
                 counts.clear()
         if counts:
