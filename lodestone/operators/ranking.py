@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,23 +134,39 @@ def chunk_search(queries: DataFrame, chunks: DataFrame, sources: DataFrame, cond
     return knn(queries, seen.select("id", "vec"), k)
 
 
+def _overlap(a: dict, b: dict) -> float:
+    width, height = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]), min(a["y2"], b["y2"]) - max(a["y1"], b["y1"])
+    both = max(width, 0.0) * max(height, 0.0)
+    area = lambda r: max(r["x2"] - r["x1"], 0.0) * max(r["y2"] - r["y1"], 0.0)
+    return both / max(area(a) + area(b) - both, 1e-9)
+
+
 def non_max_suppression(boxes: DataFrame, iou: float = 0.45, least: float = 0.20, most: int = 20) -> DataFrame:
-    """image, region, score, place: per image greedily by score, without boxes that overlap a chosen one by ``iou`` or more."""
+    """image, region, score, place: per image greedily by score, without boxes that overlap a chosen one by ``iou`` or more.
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["score"] >= least].sort_values(["score", "region"], ascending=[False, True], ignore_index=True)
-        x1, y1, x2, y2 = (pdf[c].to_numpy(float) for c in ("x1", "y1", "x2", "y2"))
-        area, free, chosen = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0), np.ones(len(pdf), bool), []
-        for i in range(len(pdf)):
-            if not free[i] or len(chosen) == most:
-                continue
-            chosen.append(i)
-            both = np.maximum(np.minimum(x2, x2[i]) - np.maximum(x1, x1[i]), 0) * np.maximum(np.minimum(y2, y2[i]) - np.maximum(y1, y1[i]), 0)
-            free &= both / np.maximum(area + area[i] - both, 1e-9) < iou
-        return pdf.loc[chosen, ["image", "region", "score"]].assign(place=range(1, len(chosen) + 1))
+    An image's boxes are gathered into one sorted array (an image has some hundreds at most), so that
+    the sequential choice runs over batches of images.
+    """
+    order = F.struct((-F.col("score")).alias("s"), "region", "score", "x1", "y1", "x2", "y2")
+    images = boxes.where(F.col("score") >= least).groupBy("image").agg(F.array_sort(F.collect_list(order)).alias("boxes"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = []
+            for candidates in batch.column(1).to_pylist():
+                chosen: list[dict] = []
+                for c in candidates:
+                    if len(chosen) == most:
+                        break
+                    if all(_overlap(c, x) < iou for x in chosen):
+                        chosen.append(c)
+                out.append([{"region": c["region"], "score": c["score"]} for c in chosen])
+            kind = pa.list_(pa.struct([("region", batch.column(1).type.value_type.field("region").type), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["image", "chosen"])
 
     kinds = dict(boxes.dtypes)
-    return boxes.groupBy("image").applyInPandas(choose, f"image {kinds['image']}, region {kinds['region']}, score double, place int")
+    kept = images.mapInArrow(choose, f"image {kinds['image']}, chosen array<struct<region: {kinds['region']}, score: double>>")
+    return kept.select("image", F.posexplode("chosen").alias("i", "c")).select("image", "c.region", "c.score", (F.col("i") + 1).alias("place"))
 
 
 def box_shape(x1: Column, y1: Column, x2: Column, y2: Column, width: float, height: float) -> list[Column]:
