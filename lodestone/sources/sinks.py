@@ -47,7 +47,7 @@ def replace_by_key(rows: DataFrame, path: str, key: str, buckets: int = 64) -> N
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
         old = spark.read.parquet(path)
         kept = old.where(F.col("bucket").isin(touched)).join(rows.select(key).distinct(), key, "left_anti")
-        new = new.unionByName(kept.select(new.columns))
+        new = new.unionByName(kept, allowMissingColumns=True)
         new = spark.createDataFrame([], new.schema) if not touched else new
         staged = f"{path}.staged"
         new.write.mode("overwrite").parquet(staged)  # what is read is not what is overwritten
