@@ -36,11 +36,21 @@ _IP = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 _WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
 
 
+PAGE = 4096  # code points of a page; windows and rewriting work on pages, so that a long text is not walked for every span
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,value>> of the leftmost non-overlapping matches, in code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    """array<struct<start,end,value>> of the leftmost non-overlapping matches, in code points, end exclusive.
+
+    Many matches are placed in parts of about the square root of their number, as an array that grows by one costs its length.
+    """
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
+    zero = F.lit(0).cast("long")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -48,9 +58,28 @@ def matches(text: Column, pattern: str) -> Column:
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))
         return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(none)
+    def placed(pairs: Column, at: Column) -> Column:
+        return F.aggregate(pairs, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def starts(parts: Column) -> Column:
+        size = lambda part: F.aggregate(part, zero, lambda n, x: n + F.length(x["gap"]) + F.length(x["hit"]))
+        first = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(parts, first, lambda acc, part: F.struct((acc["at"] + size(part)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def place(pairs: Column) -> Column:
+        per = F.ceil(F.sqrt(F.size(pairs))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(pairs) / per).cast("int") - 1), lambda i: F.slice(pairs, i * per + 1, per))
+        return F.when(F.size(pairs) <= 64, placed(pairs, zero)).otherwise(_let(parts, lambda p: F.flatten(F.zip_with(p, starts(p), placed))))
+
+    def paired(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        return F.when(F.size(found) > 0, _let(F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), place)).otherwise(none)
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)
+
+
+def pages(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
 
 
 def _digits(value: Column) -> Column:
@@ -91,23 +120,35 @@ def joined(spans: Column) -> Column:
 
 
 def _contexts(text: Column, base: Column, reach: int) -> Column:
-    """For each base span, the words that lie wholly within ``reach`` code points of it and touch no base span."""
+    """For each base span, the words that lie wholly within ``reach`` code points (fewer than a page) of it and touch no base span."""
+
+    def windows(parts: Column) -> Column:
+        """Of each page, its text with the next page's, and the spans that touch either."""
+
+        def window(page: Column, p: Column) -> Column:
+            near = F.filter(base, lambda b: (b["end"] > p * PAGE) & (b["start"] < (p + 2) * PAGE))
+            return F.struct(F.concat(page, F.coalesce(F.get(parts, p + 1), F.lit(""))).alias("text"), F.transform(near, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("spans"))
+
+        return F.transform(parts, window)
+
+    def words_in(seen: Column, start: Column, size: Column, keep) -> Column:
+        at = F.floor(start / PAGE).cast("int")
+        held = F.coalesce(F.get(seen, at)["text"], F.lit(""))
+        found = matches(F.substring(held, (start - at * PAGE + 1).cast("int"), size.cast("int")), _WORD)
+        words = F.transform(found, lambda w: F.struct((w["start"] + start).alias("start"), (w["end"] + start).alias("end"), F.lower(w["value"]).alias("term")))
+        return F.filter(words, lambda w: keep(w) & ~F.exists(F.get(seen, at)["spans"], lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
 
-    def near(s: Column) -> Column:
+    def near(seen: Column, s: Column) -> Column:
         lo = F.greatest(s["start"] - reach, F.lit(0).cast("long"))
-        left = F.substring(text, (lo + 1).cast("int"), (s["start"] - lo).cast("int"))
-        right = F.substring(text, (s["end"] + 1).cast("int"), F.lit(reach))
-        shifted = lambda words, by: F.transform(words, lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("term")))
-        words = F.concat(shifted(matches(left, _WORD), lo), shifted(matches(right, _WORD), s["end"]))
-        cut = F.when(lo > 0, lo).otherwise(F.lit(-1).cast("long"))  # a word at the window's edge may be cut
-        words = F.filter(words, lambda w: (w["start"] != cut) & (w["end"] != s["end"] + reach) & ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-        return F.struct(
+        left = words_in(seen, lo, s["start"] - lo, lambda w: (w["start"] != lo) | (lo == 0))  # a word at the window's edge may be cut
+        right = words_in(seen, s["end"], F.lit(reach), lambda w: w["end"] != s["end"] + reach)
+        return _let(F.concat(left, right), lambda words: F.struct(
             F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"),
             F.xxhash64(F.array_join(F.transform(words, lambda w: w["term"]), " ")).alias("context"),
             words.alias("words"),
-        )
+        ))
 
-    return F.transform(base, near)
+    return _let(pages(text), lambda parts: _let(windows(parts), lambda seen: F.transform(base, lambda s: near(seen, s))))
 
 
 def find(docs: DataFrame, *, generalise_at: float = 0.6, remove_at: float = 0.9, min_contexts: int = 3, reach: int = 48, keep_text: bool = False) -> DataFrame:
@@ -174,14 +215,28 @@ def rewritten(text: Column, base: Column, added: Column) -> Column:
         F.transform(added, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "removed", "").otherwise("[TERM]").alias("mark"))),
     )
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0).cast("long")).cast("int"))
-        mark = F.when(s["start"] >= acc["at"], s["mark"]).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(kept, mark)).alias("out"))
+    def rewrite(x: Column, p: Column) -> Column:
+        """One page: ``x.at`` is where marks of earlier pages end."""
+        off = p.cast("long") * PAGE
+
+        def step(acc: Column, s: Column) -> Column:
+            kept = F.substring(x["page"], (acc["at"] - off + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0).cast("long")).cast("int"))
+            mark = F.when(s["start"] >= acc["at"], s["mark"]).otherwise("")
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(kept, mark)).alias("out"))
+
+        zero = F.struct(F.greatest(x["at"], off).alias("at"), F.array().cast("array<string>").alias("out"))
+        done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(x["page"], F.least(acc["at"] - off + 1, F.lit(PAGE + 1)).cast("int"), F.lit(PAGE)))
+        return F.aggregate(x["marks"], zero, step, done)
+
+    def by_page(found: Column) -> Column:
+        own = F.transform(pages(text), lambda page, p: F.struct(page.alias("page"), F.filter(found, lambda m: F.floor(m["start"] / PAGE) == p).alias("marks")))
+        last = lambda x: F.coalesce(F.array_max(F.transform(x["marks"], lambda m: m["end"])), F.lit(0).cast("long"))
+        first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+        ends = lambda o: F.aggregate(o, first, lambda acc, x: F.struct(F.greatest(acc["at"], last(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        whole = lambda o: F.zip_with(o, ends(o), lambda x, at: F.struct(at.alias("at"), x["page"].alias("page"), x["marks"].alias("marks")))
+        return F.array_join(F.transform(_let(own, whole), rewrite), "")
 
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(marks) > 0, F.aggregate(F.sort_array(marks), zero, step, done)).otherwise(text)
+    return F.when(F.size(marks) > 0, _let(F.sort_array(marks), by_page)).otherwise(text)
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:

@@ -15,6 +15,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
 # Fixed value: the split pattern that belongs to this vocabulary.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
 _ENCODERS: dict[int, object] = {}
 
 
@@ -43,6 +45,19 @@ def _encoder(ranks: bytes):
     return _ENCODERS[key]
 
 
+def tokens_of(encoder, text: str) -> list[int]:
+    """The tokens of ``text``. The pattern takes a long run of spaces as one piece, but for its last if text follows, and
+    the encoder's matcher cannot go through a million of them: such a run is cut out and encoded as that one piece."""
+    ids, at = [], 0
+    if len(text) > 100_000:
+        for run in SPACES.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += encoder.encode_ordinary(text[at : run.start()])
+            ids += encoder._encode_single_piece(text[run.start() : end])
+            at = end
+    return ids + encoder.encode_ordinary(text[at:])
+
+
 _FLAT = pa.schema([("file", pa.int32()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.binary())])
 
 
@@ -52,7 +67,7 @@ def write_flat(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = 1 <<
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, file = _encoder(ranks.value).encode_ordinary, TaskContext.get().partitionId()
+        encoder, file = _encoder(ranks.value), TaskContext.get().partitionId()
         end, open_, held, n_blocks, n_docs = np.array([END], "<u2"), [], 0, 0, 0
 
         def out(seqs: list, ids: list, blocks: list) -> pa.RecordBatch:
@@ -61,7 +76,7 @@ def write_flat(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = 1 <<
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for text in batch.column(1):
-                tokens = np.array(encode(text.as_py() or ""), "<u2")
+                tokens = np.array(tokens_of(encoder, text.as_py() or ""), "<u2")
                 open_ += [tokens, end]
                 held += len(tokens) + 1
                 if held >= block:
