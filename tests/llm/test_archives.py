@@ -69,3 +69,11 @@ def test_no_documents_and_repeated_rows(spark):
     assert tokencount.count_tokens(docs(spark, [])).collect() == []
     got = tokencount.count_tokens(docs(spark, ["one two"] * 3 + [None], ids=[1, 1, None, None])).collect()
     assert sorted(r["n_tokens"] for r in got) == [0, 2, 2, 2]
+
+
+def test_long_runs_of_spaces_are_one_piece():
+    with open(tokencount.VOCABULARY, "rb") as f:
+        encoder = tokencount._encoder(f.read())
+    for text in ("a" + " " * 100_001 + "b", " " * 150_000 + "\n" * 100_000 + "'s x", "\n" * 200_000 + "y", "q " + " " * 120_000 + " z"):
+        assert tokencount.tokens_of(encoder, text) == encoder.encode_ordinary(text)
+    assert tokencount.tokens_of(encoder, " " * 2_000_000 + "x")

@@ -74,3 +74,15 @@ def test_repeated_rows_and_empty_table(spark):
     assert [r["n_email"] for r in twice] == [1, 1, 1]
     assert pii.digest(pii.find(docs(spark, []))).collect() == []
     assert pii.sanitise(docs(spark, [])).collect() == []
+
+
+def test_spans_and_contexts_across_pages(spark):
+    many = " ".join(f"é{i} user{i}@host.example 10.0.{i % 256}.7 🙂" for i in range(900))  # far more spans than are placed in one go
+    edge = ["w " * ((pii.PAGE - at) // 2) + "zorblatt wrote from zed@corp.example that day " + prose(300 + at, 9) for at in (2, 10, 24, 30, 36, 60)]
+    common = [f"{prose(i, 12)} wrote from home that day {prose(200 + i, 5)}" for i in range(60)]
+    frame = docs(spark, [many, *edge, *common])
+    assert {r["doc_id"]: r["n_email"] for r in pii.digest(pii.find(frame)).collect()}[0] == 900
+    text = {r["doc_id"]: r["text"] for r in pii.sanitise(frame).collect()}
+    assert text[0] == re.sub(PLAIN["ip"], "[IP]", re.sub(PLAIN["email"], "[EMAIL]", many))
+    assert all("zorblatt" not in text[i] and "[EMAIL]" in text[i] and "zed@" not in text[i] for i in range(1, 7))
+    assert [text[7 + i] for i in range(60)] == common
