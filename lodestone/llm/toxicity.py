@@ -1,16 +1,17 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are whole words and word beginnings (``cat~``), so that compounds of one stem meet. Of the
-labelled examples' terms those that tell most about the label (chi-squared) are the vocabulary;
-their document frequencies come from all documents. The examples form an inverted index whose
+labelled examples' terms all that toxic examples hold significantly more often (chi-squared,
+p < 0.001, five examples at least) are the vocabulary, however many there are; their document
+frequencies come from all documents. The examples form an inverted index whose
 postings are cut into blocks of examples, with the largest weight of each term in each block. A
 document is scored against blocks in the order of their upper bounds, in waves of doubling length,
 until no bound reaches its k-th best cosine. Its neighbours vote with their cosines as weights; isotonic calibration on the
 examples (each voted on by the others) turns votes into scores. Documents without any vocabulary
 term have no neighbours and get the rate of such examples.
 
-Bounds: at most ``max_examples`` labelled rows (by hash order) are examples, and ``n_terms`` terms
-are in the vocabulary; the index that tasks receive is bounded by these two parameters.
+Bounds: at most ``max_examples`` labelled rows (by hash order) are examples; the vocabulary is part of
+their terms, so the index that tasks receive is bounded by them. ``n_terms`` may bound it further.
 
 Defined results: null and empty texts have no terms; a doc_id with several labels counts once with
 the largest; repeated rows are scored each; without examples every score is 0.5; an empty table
@@ -46,8 +47,8 @@ def examples_of(labels: DataFrame, max_examples: int) -> DataFrame:
     return y.where(fold() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
 
 
-def vocabulary(texts: DataFrame, n_terms: int, least: int = 5) -> list[str]:
-    """The terms of (text, y) rows with the largest chi-squared against y, over terms that at least ``least`` examples hold."""
+def vocabulary(texts: DataFrame, n_terms: int | None = None, least: int = 5) -> list[str]:
+    """The terms of (text, y) rows that go with y > 0 at p < 0.001, by falling chi-squared, over terms that at least ``least`` examples hold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
@@ -73,8 +74,9 @@ def vocabulary(texts: DataFrame, n_terms: int, least: int = 5) -> list[str]:
     n = F.col("n0") + F.col("n1")
     miss0, miss1 = F.lit(a0) - F.col("n0"), F.lit(a1) - F.col("n1")
     chi2 = (a0 + a1) * F.pow(F.col("n1") * miss0 - F.col("n0") * miss1, 2) / (n * (miss0 + miss1) * a0 * a1)
-    told = c.where(n >= least).where(miss0 + miss1 > 0).withColumn("chi2", chi2).where(F.col("n1") * a0 > F.col("n0") * a1).where(F.col("chi2") > 37.3)  # p < 1e-9, as about a million terms are tried
-    return [r["term"] for r in told.orderBy(F.desc("chi2"), "term").select("term").limit(n_terms).collect()]
+    told = c.where(n >= least).where(miss0 + miss1 > 0).withColumn("chi2", chi2).where(F.col("n1") * a0 > F.col("n0") * a1).where(F.col("chi2") > 10.83)  # p < 0.001
+    told = told.orderBy(F.desc("chi2"), "term").select("term")
+    return [r["term"] for r in (told if n_terms is None else told.limit(n_terms)).collect()]
 
 
 def counted(docs: DataFrame, terms: list[str]) -> DataFrame:
@@ -177,7 +179,7 @@ def votes(vectors: DataFrame, index, k: int) -> DataFrame:
     return vectors.mapInArrow(vote, "doc_id long, vote double, near array<long>")
 
 
-def score(docs: DataFrame, labels: DataFrame, *, k: int = 15, max_examples: int = 20_000, n_terms: int = 2048) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, k: int = 15, max_examples: int = 20_000, n_terms: int | None = None) -> DataFrame:
     """doc_id, score, near: a row per document row; ``near`` is the evidence, the ids of up to three nearest examples."""
     sc = docs.sparkSession.sparkContext
     chosen = F.broadcast(materialise(examples_of(labels, max_examples), "toxic-examples"))  # at most max_examples rows of two numbers
@@ -185,7 +187,7 @@ def score(docs: DataFrame, labels: DataFrame, *, k: int = 15, max_examples: int
     vectors = materialise(counted(docs, terms), "toxic-vectors")
     n_docs = vectors.count()
     df = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # n_terms rows at most
+    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row per term of the vocabulary at most
         df[r["t"]] = r["count"]
     idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1e-9
     rows = vectors.join(chosen, "doc_id").dropDuplicates(["doc_id"]).where(F.size("terms") > 0).orderBy("doc_id").limit(max_examples).collect()  # at most max_examples, those with terms

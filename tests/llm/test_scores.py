@@ -1,5 +1,6 @@
 """Quality and toxicity: held-out accuracy, exact neighbours, calibration, odd tables."""
 
+import inspect
 import random
 import zlib
 
@@ -51,6 +52,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert any(r["near"] for r in rows if r["predicted"]) and not any(r["predicted"] for r in rows if r["doc_id"] < 3)
 
 
+def test_vocabulary_holds_every_telling_term(spark):
+    """A word in 6 of 80 toxic and 2 of 320 clean examples (chi-squared 15.4) counts, and so does each of 2600 telling words."""
+    default = inspect.signature(toxicity.score).parameters["n_terms"].default
+    rare = [("grubwort" if i < 6 or i in (100, 101) else "plain", int(i < 80)) for i in range(400)]
+    assert "grubwort" in toxicity.vocabulary(spark.createDataFrame(rare, "text string, y int"), default)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f"{a}{b}q{c}" for a in letters for b in letters for c in "wxyz"][:2600]
+    many = [(" ".join(words) if i < 20 else "plain", int(i < 20)) for i in range(100)]
+    assert set(words) <= set(toxicity.vocabulary(spark.createDataFrame(many, "text string, y int"), default))
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(6)
     vectors = [(sorted(rng.choice(40, n, replace=False).tolist()), rng.integers(1, 4, n).tolist()) for n in rng.integers(1, 9, 1500)]
