@@ -141,8 +141,9 @@ class Index:
             cell = (wave[:, None] * self.n_terms + t).ravel()
             size = self.first[cell + 1] - self.first[cell]
             posting = np.arange(size.sum()) + np.repeat(self.first[cell] - np.cumsum(size) + size, size)
-            found, back = np.unique(self.row[posting], return_inverse=True)
-            dot = np.round(np.bincount(back, self.weight[posting] * np.repeat(np.tile(w, len(wave)), size), len(found)), 9)
+            dots = np.bincount(self.row[posting], self.weight[posting] * np.repeat(np.tile(w, len(wave)), size), len(self.ids))
+            found = np.flatnonzero(dots >= max(kth, 1e-9) - 1e-9)
+            dot = np.round(dots[found], 9)
             near = dot >= max(kth, 1e-9)
             rows, values = np.append(rows, found[near]), np.append(values, dot[near])
             best = np.lexsort((rows, -values))[:k]
