@@ -1,13 +1,13 @@
 """Information-theoretic sanitisation of personal data, in Spark SQL functions only.
 
-Base patterns find protected entities (e-mail, IP, card, phone). The words next to them are
-scored by corpus co-occurrence: a term t discloses entity c when
+Base patterns find protected entities (e-mail, IP, card, phone). The words of the documents that
+hold them are scored by corpus co-occurrence: a term t discloses entity c when
 
     PMI(c; t) = log2( n(c,t) * N / (n(c) * n(t)) )  >=  alpha * IC(c),   IC(c) = log2(N / n(c))
 
-with document counts over the whole corpus and at least ``min_contexts`` different contexts
-(so that copies of one passage are not evidence). Disclosing terms become further spans of
-the documents that hold the entity: removed above ``remove_at``, generalised above
+with document counts over the whole corpus, wherever in a document the two stand, and at least
+``min_contexts`` different whole texts (so that exact copies are not evidence). Every occurrence of
+a disclosing term becomes a further span of the documents that hold the entity: removed above ``remove_at``, generalised above
 ``generalise_at`` (both are shares of IC(c)).
 
 Defined results: null text counts as empty; empty texts have no spans; repeated rows each get
@@ -119,86 +119,53 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _contexts(text: Column, base: Column, reach: int) -> Column:
-    """For each base span, the words that lie wholly within ``reach`` code points (fewer than a page) of it and touch no base span."""
+def _words(text: Column) -> Column:
+    """array<struct<start,end,term>>: every word of the text with its place; ``term`` is a hash of the word in lower case."""
+    return F.transform(matches(text, _WORD), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.xxhash64(F.lower(w["value"])).alias("term")))
 
-    def windows(parts: Column) -> Column:
-        """Of each page, its text with the next page's, and the spans that touch either."""
 
-        def window(page: Column, p: Column) -> Column:
-            near = F.filter(base, lambda b: (b["end"] > p * PAGE) & (b["start"] < (p + 2) * PAGE))
-            return F.struct(F.concat(page, F.coalesce(F.get(parts, p + 1), F.lit(""))).alias("text"), F.transform(near, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("spans"))
-
-        return F.transform(parts, window)
-
-    def words_in(seen: Column, start: Column, size: Column, keep) -> Column:
-        at = F.floor(start / PAGE).cast("int")
-        held = F.coalesce(F.get(seen, at)["text"], F.lit(""))
-        found = matches(F.substring(held, (start - at * PAGE + 1).cast("int"), size.cast("int")), _WORD)
-        words = F.transform(found, lambda w: F.struct((w["start"] + start).alias("start"), (w["end"] + start).alias("end"), F.lower(w["value"]).alias("term")))
-        return F.filter(words, lambda w: keep(w) & ~F.exists(F.get(seen, at)["spans"], lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-
-    def near(seen: Column, s: Column) -> Column:
-        lo = F.greatest(s["start"] - reach, F.lit(0).cast("long"))
-        left = words_in(seen, lo, s["start"] - lo, lambda w: (w["start"] != lo) | (lo == 0))  # a word at the window's edge may be cut
-        right = words_in(seen, s["end"], F.lit(reach), lambda w: w["end"] != s["end"] + reach)
-        return _let(F.concat(left, right), lambda words: F.struct(
-            F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"),
-            F.xxhash64(F.array_join(F.transform(words, lambda w: w["term"]), " ")).alias("context"),
-            words.alias("words"),
-        ))
-
-    return _let(pages(text), lambda parts: _let(windows(parts), lambda seen: F.transform(base, lambda s: near(seen, s))))
-
-
-def find(docs: DataFrame, *, generalise_at: float = 0.6, remove_at: float = 0.9, min_contexts: int = 3, reach: int = 48, keep_text: bool = False) -> DataFrame:
+def find(docs: DataFrame, *, generalise_at: float = 0.6, remove_at: float = 0.9, min_contexts: int = 3) -> DataFrame:
     """One row per document row: doc_id, base spans per kind, ``added`` term spans with their action."""
     text = F.coalesce(F.col("text"), F.lit(""))
     src = docs.select("doc_id", text.alias("text"))
     scan = src.select("doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
     scan = scan.withColumn("base", F.concat(*KINDS))
+    private = F.size("base") > 0
     scan = scan.select(
-        "doc_id", "base", F.when(F.size("base") > 0, F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text")))).alias("row"),
-        F.when(F.size("base") > 0, _contexts(F.col("text"), F.col("base"), reach)).alias("near"),
+        "doc_id", "base", F.when(private, F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text")))).alias("row"), F.when(private, F.xxhash64("text")).alias("whole"),
+        F.when(private, F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))).alias("entities"), F.when(private, _words(F.col("text"))).alias("words"),
     )
     scan = materialise(scan, "pii-scan")
     n_docs = scan.count()
-    pairs = (
-        scan.where(F.col("near").isNotNull()).select("row", F.explode("near").alias("n")).select("row", "n.entity", "n.context", F.explode("n.words").alias("w"))
-        .select("row", "entity", "context", F.xxhash64("w.term").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
-    )
-    holders = (
-        scan.where(F.col("near").isNotNull()).select("row", F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity"))
-        .groupBy("entity").agg(F.count("*").alias("n_c"))
-    )
-    by_row = pairs.groupBy("entity", "term", "context", "row").agg(F.lit(1).alias("one"))
-    by_context = by_row.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-    both = by_context.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
-    both = materialise(both, "pii-cooccurrence")
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.col("text")), F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(w)))
-    df = src.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    if both.isEmpty():  # no pair has the support that any threshold needs, so no count of its terms is asked for
-        added = None
-    else:
-        ic = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_c"))
-        pmi = F.log2(F.col("n_ct") * F.lit(float(n_docs)) / (F.col("n_c") * F.col("n_t")))
-        told = (
-            both.join(df, "term").join(holders, "entity").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= generalise_at)
-            .select("entity", "term", F.when(F.col("share") >= remove_at, "removed").otherwise("generalised").alias("action"))
-        )
-        told = materialise(told, "pii-disclosing")
-        added = (
-            pairs.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("action").alias("action"))
-            .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("added"))
-        )
+    held = scan.where(F.col("row").isNotNull()).select("row", "whole", "words", F.explode("entities").alias("entity"))
+    by_text = held.groupBy("entity", "whole").agg(F.count("*").alias("n"))
+    holders = by_text.groupBy("entity").agg(F.sum("n").alias("n_c"), F.count("*").alias("texts")).where(F.col("texts") >= min_contexts).select("entity", "n_c")
+    holders = materialise(holders, "pii-holders")
+    known = join_small(held, holders.select("entity"), "entity", "left_semi")
+    terms = F.array_distinct(F.transform("words", lambda w: w["term"]))
+    texts = known.groupBy("entity", "whole").agg(F.count("*").alias("n"), F.any_value(terms).alias("terms"))
+    both = texts.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("texts"))
+    both = materialise(both.where(F.col("texts") >= min_contexts).drop("texts"), "pii-cooccurrence")
+    distinct = F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
+    df = src.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     no_terms = F.array().cast("array<struct<start:bigint,end:bigint,action:string>>")
-    out = scan.select("doc_id", "base", "row")
-    if added is None:
-        out = out.withColumn("added", no_terms)
-    else:  # rows without personal data get keys of their own, so that they do not meet in one task
-        out = out.withColumn("key", F.coalesce("row", F.concat(F.lit("-"), F.col("doc_id").cast("string"))))
-        out = out.join(added.withColumnRenamed("row", "key"), "key", "left")
-    return out.select("doc_id", "base", F.coalesce("added", no_terms).alias("added"), "row")
+    if both.isEmpty():  # no pair has the support that is asked for, so no count of its terms is needed
+        return scan.select("doc_id", "base", no_terms.alias("added"), "row")
+    ic = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_c"))
+    pmi = F.log2(F.col("n_ct") * F.lit(float(n_docs)) / (F.col("n_c") * F.col("n_t")))
+    told = (
+        both.join(df, "term").join(holders, "entity").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= generalise_at)
+        .select("entity", "term", F.when(F.col("share") >= remove_at, "removed").otherwise("generalised").alias("action"))
+    )
+    told = materialise(told, "pii-disclosing")
+    by_row = known.select("row", "entity").distinct().join(told, "entity").groupBy("row", "term").agg(F.max("action").alias("action"))
+    by_row = by_row.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("told"))
+    free = lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
+    disclosing = F.filter("words", lambda w: F.map_contains_key("told", w["term"]) & free(w))
+    added = F.transform(disclosing, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at("told", w["term"]).alias("action")))
+    # rows without personal data get keys of their own, so that they do not meet in one task
+    out = scan.withColumn("key", F.coalesce("row", F.concat(F.lit("-"), F.col("doc_id").cast("string")))).join(by_row.withColumnRenamed("row", "key"), "key", "left")
+    return out.select("doc_id", "base", F.coalesce(F.when(F.col("told").isNotNull(), added), no_terms).alias("added"), "row")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -86,3 +86,12 @@ def test_spans_and_contexts_across_pages(spark):
     assert text[0] == re.sub(PLAIN["ip"], "[IP]", re.sub(PLAIN["email"], "[EMAIL]", many))
     assert all("zorblatt" not in text[i] and "[EMAIL]" in text[i] and "zed@" not in text[i] for i in range(1, 7))
     assert [text[7 + i] for i in range(60)] == common
+
+
+def test_equal_surroundings_in_different_texts(spark):
+    """One signature, word for word the same over more than the old window, in four different documents."""
+    sign = "with kind regards and many warm thanks from your zorblatt at zed@corp.example who will always be glad to answer anything"
+    texts = [f"{prose(i, 30)} {sign} {prose(100 + i, 30)}" for i in range(4)] + [f"{prose(i, 40)} {sign.replace('zorblatt at zed@corp.example', 'team')}" for i in range(200, 260)]
+    text = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert all("zorblatt" not in text[i] and "[EMAIL]" in text[i] and "kind regards" in text[i] for i in range(4))
+    assert [text[i] for i in range(4, 64)] == texts[4:]
