@@ -95,3 +95,12 @@ def test_equal_surroundings_in_different_texts(spark):
     text = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, texts)).collect()}
     assert all("zorblatt" not in text[i] and "[EMAIL]" in text[i] and "kind regards" in text[i] for i in range(4))
     assert [text[i] for i in range(4, 64)] == texts[4:]
+
+
+def test_terms_far_from_the_entity(spark):
+    """A term beside the address and again far off, and one that only stands far off, in the documents that hold the address."""
+    texts = [f"{prose(i, 9)} zorblatt has zed@corp.example {prose(50 + i, 900)} then zorblatt met quuxley {prose(90 + i, 9)}" for i in range(5)]
+    texts += [f"{prose(i, 40)} has then met nobody" for i in range(200, 260)]
+    text = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert all(w not in text[i] for i in range(5) for w in ("zorblatt", "quuxley", "zed@"))
+    assert [text[i] for i in range(5, 65)] == texts[5:]
