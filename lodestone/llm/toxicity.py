@@ -1,27 +1,28 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are whole words and word beginnings (``cat~``), so that compounds of one stem meet. Of the
-labelled examples' terms all that toxic examples hold significantly more often (chi-squared,
-p < 0.001, five examples at least) are the vocabulary, however many there are; their document
-frequencies come from all documents. The examples form an inverted index whose
-postings are cut into blocks of examples, with the largest weight of each term in each block. A
-document is scored against blocks in the order of their upper bounds, in waves of doubling length,
-until no bound reaches its k-th best cosine. Its neighbours vote with their cosines as weights; isotonic calibration on the
-examples (each voted on by the others) turns votes into scores. Documents without any vocabulary
-term have no neighbours and get the rate of such examples.
-
-Bounds: at most ``max_examples`` labelled rows (by hash order) are examples; the vocabulary is part of
-their terms, so the index that tasks receive is bounded by them. ``n_terms`` may bound it further.
-
-Defined results: null and empty texts have no terms; a doc_id with several labels counts once with
-the largest; repeated rows are scored each; without examples every score is 0.5; an empty table
-gives an empty result; further columns are ignored.
+Every word of every example is a term. Its weight in a text is (1 + log tf) * idf * phi: idf comes from
+document frequencies over all documents, phi is the correlation of the word with the label over the
+examples (the square root of chi-squared over their number), so that words that tell nothing of
+toxicity weigh little, without any being left out. The examples form an inverted index whose postings
+are cut into blocks of examples that share their heaviest words, with the largest weight of each term
+in each block. A document is scored against blocks in the order of their upper bounds, in waves of
+doubling length, until no bound reaches its k-th best cosine. Its neighbours vote with their cosines as
+weights; isotonic calibration on the examples (each voted on by the others) turns votes into scores.
+Documents that share no word with an example have no neighbours and get the rate of such examples.
+
+Bounds: at most ``max_examples`` labelled rows are examples, by hash order, and at most the first of
+them whose distinct words add up to ``max_postings``. The index that tasks receive is bounded by them
+(16 bytes a posting and 5 bytes a word and block).
+
+Defined results: null and empty texts have no words; a doc_id with several labels counts once with
+the largest, one with several texts is an example with the smallest of them; repeated rows are scored
+each; without examples of both labels every score is 0.5; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +34,11 @@ from lodestone.llm.calibration import isotonic
 from lodestone.llm.common import fold, materialise
 
 WORD = re.compile(r"[^\W\d_]+")
-STEMS = (4, 5, 6)
 BLOCK = 128
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *[word[:n] + "~" for n in STEMS if len(word) >= n]]
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
 
 
 def examples_of(labels: DataFrame, max_examples: int) -> DataFrame:
@@ -47,156 +47,181 @@ def examples_of(labels: DataFrame, max_examples: int) -> DataFrame:
     return y.where(fold() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
 
 
-def vocabulary(texts: DataFrame, n_terms: int | None = None, least: int = 5) -> list[str]:
-    """The terms of (text, y) rows that go with y > 0 at p < 0.001, by falling chi-squared, over terms that at least ``least`` examples hold."""
+def counted_examples(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, y, place (hash order), words, tf, n of each example found in ``docs``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            words, tf = [], []
+            for text in batch.column(3):
+                found = words_of(text.as_py())
+                held = sorted(set(found))
+                at = {w: i for i, w in enumerate(held)}
+                words.append(held)
+                tf.append(np.bincount([at[w] for w in found], minlength=len(held)))
+            sizes = pa.array([len(w) for w in words], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(words, pa.list_(pa.string())), pa.array(tf, pa.list_(pa.int32())), sizes], names=["doc_id", "y", "place", "words", "tf", "n"])
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["term", "n0", "n1"])
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return texts.select("doc_id", "y", F.xxhash64("doc_id").alias("place"), "text").mapInArrow(count, "doc_id long, y int, place long, words array<string>, tf array<int>, n long")
+
+
+def collected(examples: DataFrame, max_postings: int) -> pa.Table:
+    """The examples, as many of them in hash order as hold ``max_postings`` distinct words at most, by doc_id."""
+    sizes = examples.select("place", "doc_id", "n").toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending")])  # max_examples rows of three numbers at most
+    fit = int(np.searchsorted(np.cumsum(sizes.column("n").to_numpy()), max_postings, side="right"))
+    if fit < len(sizes):
+        last = sizes.slice(fit, 1).to_pylist()[0]
+        examples = examples.where((F.col("place") < last["place"]) | ((F.col("place") == last["place"]) & (F.col("doc_id") < last["doc_id"])))
+    return examples.select("doc_id", "y", "words", "tf").toArrow().sort_by("doc_id")
 
-        for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                for term in {t for w in set(WORD.findall((text.as_py() or "").lower())) for t in terms_of(w)}:
-                    counts.setdefault(term, [0, 0])[y] += 1
-            if len(counts) > 150_000:
-                yield out()
-                counts.clear()
-        if counts:
-            yield out()
-
-    c = texts.select("text", F.when(F.col("y") > 0, 1).otherwise(0).alias("y")).mapInArrow(count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    all_ = texts.agg(F.count_if(F.col("y") <= 0).alias("a0"), F.count_if(F.col("y") > 0).alias("a1")).first()
-    a0, a1 = float(all_["a0"]), float(all_["a1"])
-    if not a0 or not a1:
-        return []
-    n = F.col("n0") + F.col("n1")
-    miss0, miss1 = F.lit(a0) - F.col("n0"), F.lit(a1) - F.col("n1")
-    chi2 = (a0 + a1) * F.pow(F.col("n1") * miss0 - F.col("n0") * miss1, 2) / (n * (miss0 + miss1) * a0 * a1)
-    told = c.where(n >= least).where(miss0 + miss1 > 0).withColumn("chi2", chi2).where(F.col("n1") * a0 > F.col("n0") * a1).where(F.col("chi2") > 10.83)  # p < 0.001
-    told = told.orderBy(F.desc("chi2"), "term").select("term")
-    return [r["term"] for r in (told if n_terms is None else told.limit(n_terms)).collect()]
-
-
-def counted(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, terms (sorted ids), tf: each document row's vocabulary terms over its whole text."""
-    ids = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+
+def document_frequencies(docs: DataFrame, known) -> tuple[int, np.ndarray]:
+    """The number of document rows, and for each known word the number of rows that hold it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ids.value
-        starts = {t.rstrip("~")[: STEMS[0]] for t in known}  # no word that begins otherwise holds a term
+        ids = known.value
+        total, seen = 0, np.zeros(len(ids), np.int64)
         for batch in batches:
-            out_ids, out_tf = [], []
-            for text in batch.column(1):
-                found = WORD.findall((text.as_py() or "").lower())
-                maybe = [w for w in set(found) if w[: STEMS[0]] in starts]
-                times, seen = Counter(found) if maybe else {}, Counter()
-                for w in maybe:
-                    for t in terms_of(w):
-                        if t in known:
-                            seen[known[t]] += times[w]
-                keys = sorted(seen)
-                out_ids.append(keys)
-                out_tf.append([seen[k] for k in keys])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out_ids, pa.list_(pa.int32())), pa.array(out_tf, pa.list_(pa.int32()))], names=["doc_id", "terms", "tf"])
-
-    return docs.select("doc_id", "text").mapInArrow(count, "doc_id long, terms array<int>, tf array<int>")
+            total += len(batch)
+            for text in batch.column(0):
+                seen[[i for i in map(ids.get, set(words_of(text.as_py()))) if i is not None]] += 1
+        held = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1), pa.int64()), pa.array(np.append(seen[held], total), pa.int64())], names=["term", "n"])
+
+    sums = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per known word at most
+    term, n = sums.column("term").to_numpy(), sums.column("n").to_numpy()
+    df = np.zeros(len(known.value), np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), df
 
 
 class Index:
-    """An inverted index of examples, its postings in blocks of examples, with each term's largest weight in each block."""
-
-    def __init__(self, ids: list[int], labels: list[int], vectors: list[tuple[list[int], list[int]]], idf: np.ndarray):
-        self.ids, self.y, self.idf = np.array(ids, np.int64), np.array(labels, np.float64), idf
-        self.n_terms, self.n_blocks = max(len(idf), 1), -(-len(ids) // BLOCK)
-        row = np.repeat(np.arange(len(ids)), [len(t) for t, _ in vectors])
-        term = np.concatenate([np.array(t, np.int64) for t, _ in vectors] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([self.weights(*v) for v in vectors] or [np.zeros(0)])
-        place = row // BLOCK * self.n_terms + term
-        order = np.lexsort((row, place))
-        self.row, self.weight, place = row[order], weight[order], place[order]
-        self.first = np.searchsorted(place, np.arange(self.n_blocks * self.n_terms + 1))
-        self.top = np.zeros(self.n_blocks * self.n_terms)
-        cells, at = np.unique(place, return_index=True)
-        if len(cells):
-            self.top[cells] = np.maximum.reduceat(self.weight, at)
-        self.top = self.top.reshape(self.n_blocks, self.n_terms)
-
-    def weights(self, terms: list[int], tf: list[int]) -> np.ndarray:
-        w = (1 + np.log(np.array(tf, np.float64))) * self.idf[terms]
-        return w / (np.sqrt((w * w).sum()) or 1.0)
-
-    def nearest(self, terms: list[int], tf: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples, exact; ties to the smaller row. Only examples that share a term are near."""
-        if not terms or not self.n_blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
-        t, w = np.array(terms, np.int64), self.weights(terms, tf)
-        bound = self.top[:, t] @ w
-        order = np.argsort(-bound, kind="stable")
-        rows, values, kth, at, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, 8
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= kth - 1e-9:
+    """An inverted index of examples, its postings in blocks of examples, with each term's largest weight in each block.
+
+    Examples are given by rising id, each as (terms, tf); ``gain`` is the weight of each term.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, tf: np.ndarray, sizes: np.ndarray, gain: np.ndarray):
+        n = len(ids)
+        self.gain, self.n_terms, self.n_blocks = gain, len(gain), -(-n // BLOCK)
+        row = np.repeat(np.arange(n), sizes)
+        weight = (1 + np.log(tf)) * gain[terms]
+        length = np.sqrt(np.bincount(row, weight * weight, n))
+        weight = weight / np.where(length > 0, length, 1.0)[row]
+        heavy = np.lexsort((terms, -weight, row))  # examples with the same heaviest words stand together
+        first = np.cumsum(sizes) - sizes
+        best = [np.where(sizes > i, terms[heavy][np.minimum(first + i, max(len(terms) - 1, 0))], -1) if len(terms) else np.full(n, -1) for i in (0, 1)]
+        self.member = np.lexsort((np.arange(n), best[1], best[0]))  # example at each place
+        place = np.empty(n, np.int64)
+        place[self.member] = np.arange(n)
+        self.ids, self.y = ids[self.member], labels[self.member].astype(np.float64)
+        row = place[row]
+        cell = terms * self.n_blocks + row // BLOCK
+        order = np.lexsort((row, cell))
+        self.row, self.weight, cell = row[order].astype(np.int32), weight[order], cell[order]
+        self.first = np.searchsorted(cell, np.arange(self.n_terms * self.n_blocks + 1)).astype(np.int32)
+        top = np.zeros(self.n_terms * self.n_blocks)
+        held, at = np.unique(cell, return_index=True)
+        if len(held):
+            top[held] = np.maximum.reduceat(self.weight, at)
+        top = top.reshape(self.n_terms, self.n_blocks)
+        self.peak = top.max(1, initial=0.0) + 1e-12
+        self.top = np.ceil(top / self.peak[:, None] * 255 - 1e-9).astype(np.uint8)  # in 255ths of the term's peak, rounded up
+
+    def nearest(self, terms: np.ndarray, tf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples, exact; ties to the smaller id. Only examples that share a term are near."""
+        places, values, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
+        query = (1 + np.log(tf)) * self.gain[terms]
+        query = query / (np.sqrt(query @ query) or 1.0)
+        bound = (query * self.peak[terms] / 255).astype(np.float32) @ self.top[terms].astype(np.float32) + 1e-5
+        order, at, step = np.argsort(-bound, kind="stable"), 0, 8
+        while at < len(order) and bound[order[at]] >= kth:
             wave = order[at : at + step]
-            wave = wave[bound[wave] >= kth - 1e-9]
-            cell = (wave[:, None] * self.n_terms + t).ravel()
-            size = self.first[cell + 1] - self.first[cell]
-            posting = np.arange(size.sum()) + np.repeat(self.first[cell] - np.cumsum(size) + size, size)
-            dots = np.bincount(self.row[posting], self.weight[posting] * np.repeat(np.tile(w, len(wave)), size), len(self.ids))
+            wave = wave[bound[wave] >= kth]
+            cell = ((terms * self.n_blocks)[:, None] + wave).ravel()
+            start = self.first[cell]
+            size = self.first[cell + 1] - start
+            full = np.flatnonzero(size)
+            start, size = start[full], size[full]
+            end = np.cumsum(size)
+            posting = np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + size, size)
+            dots = np.bincount(self.row[posting], self.weight[posting] * np.repeat(query[full // len(wave)], size), len(self.ids))
             found = np.flatnonzero(dots >= max(kth, 1e-9) - 1e-9)
             dot = np.round(dots[found], 9)
             near = dot >= max(kth, 1e-9)
-            rows, values = np.append(rows, found[near]), np.append(values, dot[near])
-            best = np.lexsort((rows, -values))[:k]
-            rows, values = rows[best], values[best]
-            kth = values[-1] if len(rows) == k else 0.0
+            places, values = np.append(places, found[near]), np.append(values, dot[near])
+            best = np.lexsort((self.ids[places], -values))[:k]
+            places, values = places[best], values[best]
+            kth = values[-1] if len(places) == k else 0.0
             at, step = at + step, step * 2
-        return rows, values
+        return places, values
 
 
-def votes(vectors: DataFrame, index, k: int) -> DataFrame:
+def index_of(docs: DataFrame, labels: DataFrame, max_examples: int, max_postings: int):
+    """The broadcast dictionary of known words, the broadcast index, and the examples (doc_id, y); None without examples of both labels."""
+    sc = docs.sparkSession.sparkContext
+    chosen = materialise(examples_of(labels, max_examples), "toxic-chosen")
+    told = collected(materialise(counted_examples(docs, chosen), "toxic-examples"), max_postings)
+    y = told.column("y").to_numpy() > 0
+    words = told.column("words").combine_chunks()
+    if not y.any() or y.all() or not len(words.flatten()):
+        return None
+    coded = words.flatten().dictionary_encode()
+    terms = coded.indices.to_numpy().astype(np.int64)
+    sizes = np.diff(words.offsets.to_numpy())
+    tf = told.column("tf").combine_chunks().flatten().to_numpy().astype(np.float64)
+    known = sc.broadcast({w: i for i, w in enumerate(coded.dictionary.to_pylist())})
+    n_docs, df = document_frequencies(docs, known)
+    n1 = np.bincount(terms, np.repeat(y, sizes), len(df))
+    n0, a1, a0 = np.bincount(terms, minlength=len(df)) - n1, float(y.sum()), float((~y).sum())
+    n = n0 + n1
+    phi = np.abs(n1 * (a0 - n0) - n0 * (a1 - n1)) / np.sqrt(n * np.maximum(a0 + a1 - n, 1) * a0 * a1)
+    gain = np.log((1.0 + n_docs) / (1.0 + df)) * phi + 1e-9
+    return known, sc.broadcast(Index(told.column("doc_id").to_numpy(), y, terms, tf, sizes, gain))
+
+
+def votes(docs: DataFrame, known, index, k: int) -> DataFrame:
     """doc_id, vote (null without neighbours), near (the nearest examples' ids). An example does not vote on itself."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = index.value, {}
-        rate = float(known.y.mean()) if len(known.y) else 0.5
+        ids, examples, seen = known.value, index.value, {}
+        rate = float(examples.y.mean())
         for batch in batches:
             out, near = [], []
-            for doc, terms, tf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if not terms:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = [i for i in map(ids.get, words_of(text.as_py())) if i is not None]
+                if not found:
                     out.append(None), near.append([])
                     continue
-                key = (tuple(terms), tuple(tf))
+                terms, tf = np.unique(np.array(found, np.int64), return_counts=True)
+                key = (terms.tobytes(), tf.tobytes()) if len(terms) <= 2000 else None  # copies are looked up once
                 if key not in seen:
-                    if len(seen) >= 50_000:
+                    if len(seen) >= 5000:
                         seen.clear()
-                    seen[key] = known.nearest(terms, tf, k + 1)
-                rows, cosine = seen[key]
-                own = known.ids[rows] != doc
-                rows, cosine = rows[own][:k], cosine[own][:k]
-                out.append(float((cosine @ known.y[rows] + 0.5 * rate) / (cosine.sum() + 0.5)) if len(rows) else None)
-                near.append(known.ids[rows[:3]].tolist())
+                    seen[key] = examples.nearest(terms, tf, k + 1)
+                places, cosine = seen[key]
+                if key is None:
+                    del seen[key]
+                own = examples.ids[places] != (-1 if doc is None else doc)
+                places, cosine = places[own][:k], cosine[own][:k]
+                out.append(float((cosine @ examples.y[places] + 0.5 * rate) / (cosine.sum() + 0.5)) if len(places) else None)
+                near.append(examples.ids[places[:3]].tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=["doc_id", "vote", "near"])
 
-    return vectors.mapInArrow(vote, "doc_id long, vote double, near array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(vote, "doc_id long, vote double, near array<long>")
 
 
-def score(docs: DataFrame, labels: DataFrame, *, k: int = 15, max_examples: int = 20_000, n_terms: int | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, k: int = 15, max_examples: int = 5_000, max_postings: int = 4_000_000) -> DataFrame:
     """doc_id, score, near: a row per document row; ``near`` is the evidence, the ids of up to three nearest examples."""
-    sc = docs.sparkSession.sparkContext
-    chosen = F.broadcast(materialise(examples_of(labels, max_examples), "toxic-examples"))  # at most max_examples rows of two numbers
-    terms = vocabulary(docs.select("doc_id", "text").join(chosen, "doc_id"), n_terms)
-    vectors = materialise(counted(docs, terms), "toxic-vectors")
-    n_docs = vectors.count()
-    df = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a row per term of the vocabulary at most
-        df[r["t"]] = r["count"]
-    idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1e-9
-    rows = vectors.join(chosen, "doc_id").dropDuplicates(["doc_id"]).where(F.size("terms") > 0).orderBy("doc_id").limit(max_examples).collect()  # at most max_examples, those with terms
-    index = sc.broadcast(Index([r["doc_id"] for r in rows], [int(r["y"] > 0) for r in rows], [(r["terms"], r["tf"]) for r in rows], idf))
-    voted = materialise(votes(vectors, index, k), "toxic-votes")
-    bins = (
-        voted.join(chosen, "doc_id").groupBy(F.round(F.col("vote"), 3).alias("x")).agg(F.count("*").cast("double").alias("w"), F.avg((F.col("y") > 0).cast("double")).alias("m")).collect()
-    )  # a row per thousandth of the vote at most
+    found = index_of(docs, labels, max_examples, max_postings)
+    if found is None:
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.5).alias("score"), F.array().cast("array<bigint>").alias("near"))
+    known, index = found
+    voted = materialise(votes(docs, known, index, k), "toxic-votes")
+    spark = docs.sparkSession
+    marks = spark.createDataFrame(pa.table({"doc_id": index.value.ids, "y": index.value.y}))
+    bins = voted.join(F.broadcast(marks), "doc_id").groupBy(F.round(F.col("vote"), 3).alias("x")).agg(F.count("*").cast("double").alias("w"), F.avg("y").alias("m")).collect()  # a row per thousandth of the vote at most
     held = sorted((b for b in bins if b["x"] is not None), key=lambda b: b["x"])
     x, y = isotonic(*(np.array([b[c] for b in held], np.float64) for c in ("x", "w", "m")))
     none = next((b for b in bins if b["x"] is None), None)

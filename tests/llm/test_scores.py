@@ -1,8 +1,10 @@
 """Quality and toxicity: held-out accuracy, exact neighbours, calibration, odd tables."""
 
-import inspect
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -52,40 +54,106 @@ def test_toxicity_on_held_out_rows(spark):
     assert any(r["near"] for r in rows if r["predicted"]) and not any(r["predicted"] for r in rows if r["doc_id"] < 3)
 
 
-def test_vocabulary_holds_every_telling_term(spark):
-    """A word in 6 of 80 toxic and 2 of 320 clean examples (chi-squared 15.4) counts, and so does each of 2600 telling words."""
-    default = inspect.signature(toxicity.score).parameters["n_terms"].default
-    rare = [("grubwort" if i < 6 or i in (100, 101) else "plain", int(i < 80)) for i in range(400)]
-    assert "grubwort" in toxicity.vocabulary(spark.createDataFrame(rare, "text string, y int"), default)
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    words = [f"{a}{b}q{c}" for a in letters for b in letters for c in "wxyz"][:2600]
-    many = [(" ".join(words) if i < 20 else "plain", int(i < 20)) for i in range(100)]
-    assert set(words) <= set(toxicity.vocabulary(spark.createDataFrame(many, "text string, y int"), default))
-
-
-def test_nearest_is_exact():
+def plain_scores(texts, marks, k=15):
+    """Brute force: every word of every example, every pair of document and example, by plain dictionaries."""
+    words = [re.findall(r"[^\W\d_]+", (t or "").lower()) for t in texts]
+    shown = [i for i, m in enumerate(marks) if m is not None and zlib.crc32(str(i).encode()) % 5]
+    known = {w for i in shown for w in words[i]}
+    df = Counter(w for ws in words for w in set(ws) if w in known)
+    a1 = sum(marks[i] for i in shown)
+    a0 = len(shown) - a1
+    n1, n = Counter(w for i in shown if marks[i] for w in set(words[i])), Counter(w for i in shown for w in set(words[i]))
+    phi = {w: abs(n1[w] * (a0 - n[w] + n1[w]) - (n[w] - n1[w]) * (a1 - n1[w])) / math.sqrt(n[w] * max(a0 + a1 - n[w], 1) * a0 * a1) for w in known}
+
+    def vector(ws):
+        v = {w: (1 + math.log(c)) * (math.log((1 + len(texts)) / (1 + df[w])) * phi[w] + 1e-9) for w, c in Counter(ws).items() if w in known}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / size for w, x in v.items()}
+
+    vectors, rate, out = [vector(ws) for ws in words], a1 / len(shown), []
+    for i, v in enumerate(vectors):
+        cosine = sorted(((-round(sum(x * vectors[j].get(w, 0) for w, x in v.items()), 9), j) for j in shown if j != i))
+        best = [(-c, j) for c, j in cosine if c < 0][:k]
+        total = sum(c for c, _ in best)
+        out.append(((sum(c * marks[j] for c, j in best) + 0.5 * rate) / (total + 0.5) if best else None, [j for _, j in best[:3]], best))
+    return out
+
+
+def test_votes_equal_brute_force(spark):
+    rng = random.Random(5)
+    texts, marks = [*ODD, "word", "word"], [None, 0, 1, 0, 1, None, None, 1, 0, 1, 0, None, 1, 0]
+    for i in range(320):
+        words = prose(i, rng.choice([3, 20, 90])).split() + rng.sample(["grumblefoul", "snarlwort", "grubwort"], rng.choice([0, 0, 0, 1, 2]))
+        texts.append(" ".join(words))
+        marks.append(int("wort" in texts[-1] or "foul" in texts[-1]) if rng.random() < 0.8 else None)
+    frame, labels = labelled(spark, texts, marks, "toxic")
+    known, index = toxicity.index_of(frame, labels, 5000, 4_000_000)
+    got = {r["doc_id"]: r for r in toxicity.votes(frame, known, index, 15).collect()}
+    shown = {i for i, m in enumerate(marks) if m is not None and zlib.crc32(str(i).encode()) % 5}
+    assert set(index.value.ids.tolist()) == shown and len(known.value) == len({w for i in shown for w in toxicity.words_of(texts[i])})
+    for i, (vote, _near, best) in enumerate(plain_scores(texts, marks)):
+        assert (vote is None) == (got[i]["vote"] is None) and (vote is None or abs(vote - got[i]["vote"]) < 1e-6), i
+        cosines = dict((j, c) for c, j in best)
+        assert len(got[i]["near"]) == min(3, len(best)) and all(abs(cosines[j] - best[n][0]) < 1e-6 for n, j in enumerate(got[i]["near"])), i
+
+
+def test_every_word_counts_and_bounds_are_on_rows(spark):
+    texts = [f"only{i} zz{'abc'[i % 3]} filler" for i in range(300)]
+    letters = {str(d): c for d, c in enumerate("klmnopqrst")}
+    texts = ["".join(letters.get(c, c) for c in t) for t in texts]
+    frame, labels = labelled(spark, texts, [i % 2 for i in range(300)], "toxic")
+    known, index = toxicity.index_of(frame, labels, 5000, 4_000_000)
+    assert len(index.value.ids) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(300)) and len(known.value) == len(index.value.ids) + 4
+    assert len(toxicity.index_of(frame, labels, 40, 4_000_000)[1].value.ids) == 40
+    assert len(toxicity.index_of(frame, labels, 5000, 100)[1].value.ids) == 33  # three words each
+
+
+def index_over(vectors, labels=None, ids=None):
+    n, gain = len(vectors), np.random.default_rng(7).uniform(0.5, 3, 40)
+    terms, tf = (np.concatenate([np.array(v[i]) for v in vectors]) for i in (0, 1))
+    return toxicity.Index(np.arange(n) if ids is None else ids, np.zeros(n) if labels is None else labels, terms, tf.astype(float), np.array([len(v[0]) for v in vectors]), gain)
+
+
+def test_nearest_is_exact_and_skips_blocks():
     rng = np.random.default_rng(6)
     vectors = [(sorted(rng.choice(40, n, replace=False).tolist()), rng.integers(1, 4, n).tolist()) for n in rng.integers(1, 9, 1500)]
-    idf = rng.uniform(0.5, 3, 40)
-    index = toxicity.Index(list(range(1500)), [0] * 1500, vectors, idf)
+    index = index_over(vectors)
 
     def dense(v):
         out = np.zeros(40)
-        out[v[0]] = index.weights(*v)
-        return out
+        out[v[0]] = (1 + np.log(v[1])) * index.gain[v[0]]
+        return out / np.sqrt(out @ out)
 
     all_ = np.stack([dense(v) for v in vectors])
-    for v in vectors[:60] + [([], [])]:
-        rows, cosine = index.nearest(*v, 7)
+    for v in vectors[:60]:
+        places, cosine = index.nearest(*map(np.array, v), 7)
         value = np.round(all_ @ dense(v), 9)
         want = [i for i in np.lexsort((np.arange(1500), -value)) if value[i] > 0][:7]
-        assert rows.tolist() == want and np.allclose(cosine, value[want])
+        assert index.ids[places].tolist() == want and np.allclose(cosine, value[want])
+    asked = [index.weight.copy(), index.weight]
+    index.weight = Counting(asked[0])
+    index.nearest(np.array(vectors[0][0]), np.array(vectors[0][1]), 7)
+    assert index.weight.read < sum((index.first[t * index.n_blocks + index.n_blocks] - index.first[t * index.n_blocks]) for t in vectors[0][0])  # some postings of its terms were never read
+
+
+class Counting(np.ndarray):
+    """An array that counts the elements read from it."""
+
+    def __new__(cls, of):
+        out = np.asarray(of).view(cls)
+        out.read = 0
+        return out
+
+    def __getitem__(self, at):
+        self.read += len(at)
+        return np.asarray(self)[at]
 
 
 def test_examples_do_not_vote_on_themselves(spark):
-    index = toxicity.Index([1, 2], [1, 0], [([0], [1]), ([0], [1])], np.ones(1))
-    frame = spark.createDataFrame([(1, [0], [1]), (2, [0], [1]), (3, [], [])], "doc_id long, terms array<int>, tf array<int>")
-    got = {r["doc_id"]: r for r in toxicity.votes(frame, spark.sparkContext.broadcast(index), 1).collect()}
+    sc = spark.sparkContext
+    index = toxicity.Index(np.array([1, 2]), np.array([1, 0]), np.array([0, 0]), np.ones(2), np.ones(2, int), np.ones(1))
+    frame = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.votes(frame, sc.broadcast({"a": 0}), sc.broadcast(index), 1).collect()}
     assert got[1]["near"] == [2] and got[2]["near"] == [1] and got[1]["vote"] < 0.5 < got[2]["vote"] and got[3]["vote"] is None
 
 
