@@ -34,7 +34,7 @@ from lodestone.llm.calibration import isotonic
 from lodestone.llm.common import fold, materialise
 
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 128
+BLOCK = 256
 
 
 def words_of(text: str | None) -> list[str]:
@@ -135,7 +135,7 @@ class Index:
         query = (1 + np.log(tf)) * self.gain[terms]
         query = query / (np.sqrt(query @ query) or 1.0)
         bound = (query * self.peak[terms] / 255).astype(np.float32) @ self.top[terms].astype(np.float32) + 1e-5
-        order, at, step = np.argsort(-bound, kind="stable"), 0, 8
+        order, at, step = np.argsort(-bound, kind="stable"), 0, 4
         while at < len(order) and bound[order[at]] >= kth:
             wave = order[at : at + step]
             wave = wave[bound[wave] >= kth]
