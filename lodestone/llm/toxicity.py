@@ -119,7 +119,7 @@ class Index:
         row = place[row]
         cell = terms * self.n_blocks + row // BLOCK
         order = np.lexsort((row, cell))
-        self.row, self.weight, cell = row[order].astype(np.int32), weight[order], cell[order]
+        self.row, self.weight, cell = row[order], weight[order], cell[order]
         self.first = np.searchsorted(cell, np.arange(self.n_terms * self.n_blocks + 1)).astype(np.int32)
         top = np.zeros(self.n_terms * self.n_blocks)
         held, at = np.unique(cell, return_index=True)
@@ -212,7 +212,7 @@ def votes(docs: DataFrame, known, index, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(vote, "doc_id long, vote double, near array<long>")
 
 
-def score(docs: DataFrame, labels: DataFrame, *, k: int = 15, max_examples: int = 5_000, max_postings: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, k: int = 15, max_examples: int = 4_000, max_postings: int = 4_000_000) -> DataFrame:
     """doc_id, score, near: a row per document row; ``near`` is the evidence, the ids of up to three nearest examples."""
     found = index_of(docs, labels, max_examples, max_postings)
     if found is None:
