@@ -1,14 +1,20 @@
 """Information-theoretic sanitisation of personal data, in Spark SQL functions only.
 
-Base patterns find protected entities (e-mail, IP, card, phone). The words of the documents that
-hold them are scored by corpus co-occurrence: a term t discloses entity c when
+Base patterns find protected values (e-mail, IP, card, phone). Protected entities are those values and
+their classes: the kind, an e-mail's domain, an IP's first three parts, a card's first six digits, a
+phone number without its last seven. Corpus co-occurrence tells how strongly a term t (a word of three
+letters or more outside of the base spans) reveals an entity c:
 
-    PMI(c; t) = log2( n(c,t) * N / (n(c) * n(t)) )  >=  alpha * IC(c),   IC(c) = log2(N / n(c))
+    share(c, t) = PMI(c; t) / IC(c),   PMI = log2( n(c,t) * N / (n(c) * n(t)) ),   IC = log2(N / n(c))
 
-with document counts over the whole corpus, wherever in a document the two stand, and at least
-``min_contexts`` different whole texts (so that exact copies are not evidence). Every occurrence of
-a disclosing term becomes a further span of the documents that hold the entity: removed above ``remove_at``, generalised above
-``generalise_at`` (both are shares of IC(c)).
+All counts are numbers of different whole texts, wherever in a text the two stand, so that exact copies
+are no evidence. A pair counts where its log-likelihood ratio G2 is significant (10.83: p < 0.001); there
+is no floor on the number of texts. A term with a share of ``remove_at`` for some entity of a text is
+removed from that text, one of ``generalise_at`` is generalised to the class of words of its shape
+(``[NAME]``, ``[ACRONYM]``, ``[WORD]``); every occurrence becomes a further span.
+
+Entities that the same texts hold tell the same, so they are one set of holders. An entity of a single
+text needs no pairs at all (n(c) = n(c,t) = 1). Thus a text with very many values is no square.
 
 Defined results: null text counts as empty; empty texts have no spans; repeated rows each get
 their spans; an empty table gives an empty result; other columns of the input are kept by
@@ -20,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh, join_small, materialise
+from lodestone.llm.common import join_small, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive forms of the contract's patterns: the same matches, no backtracking and no deep recursion on long runs.
@@ -36,7 +42,9 @@ _IP = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 _WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
 
 
-PAGE = 4096  # code points of a page; windows and rewriting work on pages, so that a long text is not walked for every span
+PAGE = 4096  # code points of a page; rewriting works on pages, so that a long text is not walked for every span
+COPIES = 1000  # rows of one text that meet in a task; texts of more rows are dealt over several
+SIGNIFICANT = 10.83  # chi-squared of one degree of freedom at p = 0.001
 
 
 def _let(value: Column, use) -> Column:
@@ -119,53 +127,88 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def entities(base: Column) -> Column:
+    """Hashes of the protected values of ``base`` and of their classes."""
+
+    def told(s: Column) -> Column:
+        digits = _digits(s["value"])
+        group = (
+            F.when(s["kind"] == "email", F.substring_index(F.lower(s["value"]), "@", -1)).when(s["kind"] == "ip", F.substring_index(s["value"], ".", 3))
+            .when(s["kind"] == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, F.lit(1), F.length(digits) - 7))
+        )
+        return F.array(F.xxhash64(s["kind"]), F.xxhash64(s["kind"], F.lit("class"), group), F.xxhash64(s["kind"], F.lit("value"), F.lower(s["value"])))
+
+    return F.array_distinct(F.flatten(F.transform(base, told)))
+
+
 def _words(text: Column) -> Column:
-    """array<struct<start,end,term>>: every word of the text with its place; ``term`` is a hash of the word in lower case."""
-    return F.transform(matches(text, _WORD), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.xxhash64(F.lower(w["value"])).alias("term")))
+    """array<struct<start,end,term,shape>>: every word of the text with its place; ``term`` is a hash of the word in lower case."""
+    shape = lambda w: F.when(w.rlike(r"^\p{Lu}{2}"), "[ACRONYM]").when(w.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+    return F.transform(matches(text, _WORD), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.xxhash64(F.lower(w["value"])).alias("term"), shape(w["value"]).alias("shape")))
+
 
+def _terms(words: Column) -> Column:
+    return F.array_distinct(F.transform(words, lambda w: w["term"]))
 
-def find(docs: DataFrame, *, generalise_at: float = 0.6, remove_at: float = 0.9, min_contexts: int = 3) -> DataFrame:
-    """One row per document row: doc_id, base spans per kind, ``added`` term spans with their action."""
+
+def g2(n_ct: Column, n_c: Column, n_t: Column, n: Column) -> Column:
+    """The log-likelihood ratio of the 2 x 2 table of texts with and without entity and term."""
+    cell = lambda x, row, col: F.when(x > 0, x * F.log(x * n / (row * col))).otherwise(0.0)
+    return 2 * (cell(n_ct, n_c, n_t) + cell(n_c - n_ct, n_c, n - n_t) + cell(n_t - n_ct, n - n_c, n_t) + cell(n - n_c - n_t + n_ct, n - n_c, n - n_t))
+
+
+def marked(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
+    """row (a struct of the columns of ``docs``), base (spans of the patterns), added (spans of the disclosing terms, by start) of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    src = docs.select("doc_id", text.alias("text"))
-    scan = src.select("doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
-    scan = scan.withColumn("base", F.concat(*KINDS))
+    scan = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.concat(*[base_spans(text, k) for k in KINDS]).alias("base"))
     private = F.size("base") > 0
-    scan = scan.select(
-        "doc_id", "base", F.when(private, F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text")))).alias("row"), F.when(private, F.xxhash64("text")).alias("whole"),
-        F.when(private, F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))).alias("entities"), F.when(private, _words(F.col("text"))).alias("words"),
-    )
+    scan = scan.select("row", "base", private.alias("private"), F.md5(F.col("text").cast("binary")).alias("whole"), F.when(private, entities(F.col("base"))).alias("entities"), F.when(private, _words(blanked(F.col("text"), F.col("base")))).alias("words"))
     scan = materialise(scan, "pii-scan")
-    n_docs = scan.count()
-    held = scan.where(F.col("row").isNotNull()).select("row", "whole", "words", F.explode("entities").alias("entity"))
-    by_text = held.groupBy("entity", "whole").agg(F.count("*").alias("n"))
-    holders = by_text.groupBy("entity").agg(F.sum("n").alias("n_c"), F.count("*").alias("texts")).where(F.col("texts") >= min_contexts).select("entity", "n_c")
-    holders = materialise(holders, "pii-holders")
-    known = join_small(held, holders.select("entity"), "entity", "left_semi")
-    terms = F.array_distinct(F.transform("words", lambda w: w["term"]))
-    texts = known.groupBy("entity", "whole").agg(F.count("*").alias("n"), F.any_value(terms).alias("terms"))
-    both = texts.select("entity", "n", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count("*").alias("texts"))
-    both = materialise(both.where(F.col("texts") >= min_contexts).drop("texts"), "pii-cooccurrence")
-    distinct = F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
-    df = src.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    no_terms = F.array().cast("array<struct<start:bigint,end:bigint,action:string>>")
-    if both.isEmpty():  # no pair has the support that is asked for, so no count of its terms is needed
-        return scan.select("doc_id", "base", no_terms.alias("added"), "row")
-    ic = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_c"))
-    pmi = F.log2(F.col("n_ct") * F.lit(float(n_docs)) / (F.col("n_c") * F.col("n_t")))
-    told = (
-        both.join(df, "term").join(holders, "entity").withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= generalise_at)
-        .select("entity", "term", F.when(F.col("share") >= remove_at, "removed").otherwise("generalised").alias("action"))
-    )
-    told = materialise(told, "pii-disclosing")
-    by_row = known.select("row", "entity").distinct().join(told, "entity").groupBy("row", "term").agg(F.max("action").alias("action"))
-    by_row = by_row.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("told"))
-    free = lambda w: ~F.exists("base", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    disclosing = F.filter("words", lambda w: F.map_contains_key("told", w["term"]) & free(w))
-    added = F.transform(disclosing, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at("told", w["term"]).alias("action")))
-    # rows without personal data get keys of their own, so that they do not meet in one task
-    out = scan.withColumn("key", F.coalesce("row", F.concat(F.lit("-"), F.col("doc_id").cast("string")))).join(by_row.withColumnRenamed("row", "key"), "key", "left")
-    return out.select("doc_id", "base", F.coalesce(F.when(F.col("told").isNotNull(), added), no_terms).alias("added"), "row")
+    copies = materialise(scan.groupBy("whole").agg(F.count("*").alias("copies")), "pii-copies")
+    n = F.lit(float(max(copies.count(), 1)))  # different whole texts
+    several = copies.where("copies > 1")
+
+    texts = scan.where("private").groupBy("whole").agg(F.any_value("entities").alias("entities"), F.any_value("words").alias("words"))
+    texts = materialise(texts.select("whole", "entities", "words", _terms(F.col("words")).alias("terms")), "pii-texts")
+    clean = join_small(scan.where("not private").select("whole", F.coalesce("row.text", F.lit("")).alias("text")), several, "whole", "left")
+    clean_terms = F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
+    seen = clean.select(F.explode(clean_terms).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("part"))  # a text's copies add up to one
+    seen = seen.unionByName(texts.select(F.explode("terms").alias("term"), F.lit(1.0).alias("part")))
+    asked = texts.select(F.explode("terms").alias("term")).distinct()
+    counts = seen.groupBy("term").agg(F.round(F.sum("part")).alias("n_t"))
+    counts = materialise(counts.join(asked, "term", "left_semi"), "pii-terms")
+
+    held = texts.select("whole", F.explode("entities").alias("entity"))
+    holders = held.groupBy("entity").agg(F.count("*").alias("n_c"), F.bit_xor(F.xxhash64("whole")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "whole")).alias("b"))
+    sets = join_small(held, holders, "entity", "inner").select("whole", F.struct("n_c", "a", "b").alias("holders")).distinct()
+    sets = materialise(sets, "pii-holders")
+
+    def told(pairs: DataFrame) -> DataFrame:
+        """Pairs with n_c, n_ct and n_t that disclose, with their action."""
+        ic, pmi = F.log2(n / F.col("n_c")), F.log2(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t")))
+        found = pairs.withColumn("share", F.when(ic > 0, F.round(pmi / ic, 9)).otherwise(0.0)).where(F.col("share") >= generalise_at)
+        return found.where(g2(F.col("n_ct"), F.col("n_c"), F.col("n_t"), n) >= SIGNIFICANT).withColumn("action", F.when(F.col("share") >= remove_at, "removed").otherwise("generalised"))
+
+    pairs = sets.where("holders.n_c > 1").join(texts.select("whole", "terms"), "whole").select("holders", F.explode("terms").alias("term")).groupBy("holders", "term").agg(F.count("*").cast("double").alias("n_ct"))
+    shared = materialise(told(pairs.select("*", F.col("holders.n_c").alias("n_c")).join(counts, "term")).select("holders", "term", "action"), "pii-disclosing")
+    alone = texts.join(sets.where("holders.n_c = 1").select("whole").distinct(), "whole", "left_semi").select("whole", F.explode("terms").alias("term"))
+    alone = told(alone.join(counts, "term").withColumns({"n_c": F.lit(1.0), "n_ct": F.lit(1.0)})).select("whole", "term", "action")
+    both = alone.unionByName(sets.join(shared, "holders").select("whole", "term", "action")).groupBy("whole", "term").agg(F.max("action").alias("action"))
+
+    at = texts.select("whole", F.inline("words")).join(both, ["whole", "term"])
+    spans = at.groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action", "shape"))).alias("added"))  # a text's own words at most
+    lots = lambda copies: F.ceil(copies / F.lit(COPIES))
+    spans = spans.join(several, "whole", "left").select("whole", "added", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(lots(F.col("copies")), F.lit(1)).cast("long") - 1)).alias("lot"))
+    rows = join_small(scan.where("private").select("row", "base", "whole"), several, "whole", "left")
+    rows = rows.withColumn("lot", F.pmod(F.xxhash64(F.col("row").getField("doc_id")), F.coalesce(lots(F.col("copies")), F.lit(1)).cast("long"))).drop("copies")
+    none = F.array().cast(spans.schema["added"].dataType)
+    rows = rows.join(spans, ["whole", "lot"], "left").select("row", "base", F.coalesce("added", none).alias("added"))
+    return scan.where("not private").select("row", "base", none.alias("added")).unionByName(rows)
+
+
+def find(docs: DataFrame, **options) -> DataFrame:
+    """One row per document row: doc_id, base spans of all kinds, ``added`` term spans with their action."""
+    return marked(docs.select("doc_id", "text"), **options).select(F.col("row.doc_id").alias("doc_id"), "base", "added")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -175,44 +218,64 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[n(k) for k in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", terms)).alias("spans"), F.size("added").cast("long").alias("n_term"))
 
 
-def rewritten(text: Column, base: Column, added: Column) -> Column:
-    """``text`` with base spans replaced by ``[KIND]``, generalised terms by ``[TERM]`` and removed terms cut out."""
-    marks = F.concat(
-        F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mark"))),
-        F.transform(added, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "removed", "").otherwise("[TERM]").alias("mark"))),
-    )
+def rewritten(text: Column, marks: Column) -> Column:
+    """``text`` with each of ``marks`` (struct<start,end,mark>, sorted) replaced by its ``mark``, or by as many blanks where that is null.
+
+    Of overlapping marks the first is taken, the others only cover what is left.
+    """
 
-    def rewrite(x: Column, p: Column) -> Column:
+    def rewrite(x: Column) -> Column:
         """One page: ``x.at`` is where marks of earlier pages end."""
-        off = p.cast("long") * PAGE
+        off = x["off"]
 
         def step(acc: Column, s: Column) -> Column:
             kept = F.substring(x["page"], (acc["at"] - off + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0).cast("long")).cast("int"))
-            mark = F.when(s["start"] >= acc["at"], s["mark"]).otherwise("")
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(kept, mark)).alias("out"))
+            blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0).cast("long")).cast("int"))
+            mark = F.when(s["mark"].isNull(), blank).when(s["start"] >= acc["at"], s["mark"]).otherwise("")
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept, mark).alias("out"))
 
-        zero = F.struct(F.greatest(x["at"], off).alias("at"), F.array().cast("array<string>").alias("out"))
-        done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(x["page"], F.least(acc["at"] - off + 1, F.lit(PAGE + 1)).cast("int"), F.lit(PAGE)))
+        zero = F.struct(F.greatest(x["at"], off).alias("at"), F.lit("").alias("out"))
+        done = lambda acc: F.concat(acc["out"], F.substring(x["page"], F.least(acc["at"] - off + 1, F.lit(PAGE + 1)).cast("int"), F.lit(PAGE)))
         return F.aggregate(x["marks"], zero, step, done)
 
-    def by_page(found: Column) -> Column:
-        own = F.transform(pages(text), lambda page, p: F.struct(page.alias("page"), F.filter(found, lambda m: F.floor(m["start"] / PAGE) == p).alias("marks")))
+    def whole(found: Column) -> Column:
+        """Pages with their marks, found in two levels: chapters of about the square root of the pages, then pages."""
+
+        def chapters(p: Column) -> Column:
+            per = F.ceil(F.sqrt(F.size(p))).cast("int")
+            span = lambda m, n: F.floor(m["start"] / (PAGE * n)).cast("int")
+
+            def chapter(c: Column) -> Column:
+                return _let(F.filter(found, lambda m: span(m, per) == c), lambda own: F.transform(F.slice(p, c * per + 1, per), lambda page, i: F.struct(page.alias("page"), F.filter(own, lambda m: span(m, 1) == c * per + i).alias("marks"))))
+
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(F.size(p) / per).cast("int") - 1), chapter))
+
         last = lambda x: F.coalesce(F.array_max(F.transform(x["marks"], lambda m: m["end"])), F.lit(0).cast("long"))
         first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
         ends = lambda o: F.aggregate(o, first, lambda acc, x: F.struct(F.greatest(acc["at"], last(x)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-        whole = lambda o: F.zip_with(o, ends(o), lambda x, at: F.struct(at.alias("at"), x["page"].alias("page"), x["marks"].alias("marks")))
-        return F.array_join(F.transform(_let(own, whole), rewrite), "")
+        placed = lambda o: F.zip_with(F.transform(o, lambda x, i: F.struct(x["page"].alias("page"), x["marks"].alias("marks"), (i.cast("long") * PAGE).alias("off"))), ends(o), lambda x, at: F.struct(at.alias("at"), x["page"].alias("page"), x["marks"].alias("marks"), x["off"].alias("off")))
+        return F.array_join(F.transform(_let(_let(pages(text), chapters), placed), rewrite), "")
+
+    return F.when(F.size(marks) > 0, _let(marks, whole)).otherwise(text)
+
 
-    return F.when(F.size(marks) > 0, _let(F.sort_array(marks), by_page)).otherwise(text)
+def _mark(s: Column, mark: Column) -> Column:
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), mark.alias("mark"))
+
+
+def blanked(text: Column, base: Column) -> Column:
+    """``text`` with blanks for its base spans: the words that remain keep their places."""
+    return rewritten(text, F.sort_array(F.transform(base, lambda s: _mark(s, F.lit(None).cast("string")))))
+
+
+def sanitised(text: Column, base: Column, added: Column) -> Column:
+    """``text`` with base spans replaced by ``[KIND]``, generalised terms by the class of their shape, and removed terms cut out."""
+    kinds = F.transform(base, lambda s: _mark(s, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+    return rewritten(text, F.sort_array(F.concat(kinds, F.transform(added, lambda s: _mark(s, F.when(s["action"] == "removed", "").otherwise(s["shape"]))))))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every span taken out of ``text``; all other columns and rows stay (null text stays null)."""
-    found = find(docs, **options)
-    row, added, base = (fresh(x, docs.columns) for x in ("pii_row", "pii_added", "pii_base"))
-    terms = found.where(F.size("added") > 0).select(F.col("row").alias(row), F.col("added").alias(added)).dropDuplicates([row])
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn(row, F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), text)))
-    keyed = keyed.withColumn(base, F.concat(*[base_spans(text, k) for k in KINDS]))
-    new = rewritten(F.col("text"), F.col(base), F.coalesce(F.col(added), F.array().cast("array<struct<start:bigint,end:bigint,action:string>>")))
-    return join_small(keyed, terms, row, "left", 200_000).select(*[new.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    found = marked(docs, **options)
+    text = sanitised(F.col("row").getField("text"), F.col("base"), F.col("added"))
+    return found.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
