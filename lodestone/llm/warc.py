@@ -1,9 +1,10 @@
 """A content-addressed WARC archive: payload bytes once per strong digest, exact record headers apart.
 
 ``write`` makes two tables in the shared folder. ``payloads`` has a row per distinct payload
-(SHA-256, SHA-1, bytes); equal digests are verified to be equal bytes while they are merged.
-``records`` has the exact header bytes of each record and the SHA-256 that leads to its payload.
-``rebuild`` joins them back into whole WARC records.
+(SHA-256, SHA-1, bytes); payloads of equal digest are verified by their SHA-512 and length while they are
+merged, so that their bytes are shuffled once. ``records`` has the exact header bytes of each record and
+the SHA-256 that leads to its payload. ``rebuild`` joins them back into whole WARC records, and
+``read_back`` tells from those bytes alone what each record is.
 
 Of the records whose payloads are equal and hold at least ``least`` bytes, the one with the
 largest page_id is a response and the others are revisits of it.
@@ -37,15 +38,13 @@ def _line(name: str, *value: Column | str) -> Column:
     return F.concat(F.lit(f"{name}: "), *[F.lit(v) if isinstance(v, str) else v for v in value], F.lit(CRLF))
 
 
-def _same(payloads: tuple[Column, Column], digest: Column) -> Column:
-    low, high = payloads
-    return F.when(low == high, low).otherwise(F.raise_error(F.concat(F.lit("two payloads have the SHA-256 "), digest)).cast("binary"))
-
-
 def write(pages: DataFrame, least: int = 1000) -> Archive:
     src = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    kept = src.groupBy("sha256").agg(F.max("page_id").alias("response"), F.min("payload").alias("low"), F.max("payload").alias("high"))
-    payloads = materialise(kept.select("sha256", F.sha1(F.col("low")).alias("sha1"), F.octet_length("low").cast("long").alias("n"), "response", _same((F.col("low"), F.col("high")), F.col("sha256")).alias("payload")), "warc-payloads")
+    proof = F.struct(F.sha2("payload", 512).alias("sha512"), F.octet_length("payload").cast("long").alias("n"))
+    kept = src.withColumn("proof", proof).groupBy("sha256").agg(F.max("page_id").alias("response"), F.min("proof").alias("low"), F.max("proof").alias("high"), F.any_value("payload").alias("payload"))
+    two = F.raise_error(F.concat(F.lit("two payloads have the SHA-256 "), F.col("sha256"))).cast("binary")
+    one = F.when(F.col("low") == F.col("high"), F.col("payload")).otherwise(two)
+    payloads = materialise(kept.select("sha256", F.sha1("payload").alias("sha1"), F.col("low.n").alias("n"), "response", one.alias("payload")), "warc-payloads")
 
     rows = src.select("page_id", "url", "sha256").join(payloads.select("sha256", "sha1", "n", "response"), "sha256")
     revisit = (F.col("n") >= least) & F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
@@ -67,36 +66,39 @@ def write(pages: DataFrame, least: int = 1000) -> Archive:
     return Archive(materialise(rows.select("sha256", F.encode(F.concat(header, http), "UTF-8").alias("header")), "warc-records"), payloads)
 
 
-def verified(payloads: DataFrame) -> DataFrame:
-    """sha256, payload, n and sha1 of the stored bytes, digests computed anew; a mismatch stops the job."""
-    wrong = F.raise_error(F.concat(F.lit("stored payload differs from its digest "), F.col("sha256")))
-    true = F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("sha256")).otherwise(wrong)
-    return payloads.select(true.alias("sha256"), "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+def _is_revisit() -> Column:
+    return F.contains("header", F.lit(f"{CRLF}WARC-Type: revisit{CRLF}").cast("binary"))
 
 
-def parsed(records: DataFrame) -> DataFrame:
-    """page_id, record_type and refers_to, read from the header bytes."""
-    text = F.decode("header", "UTF-8")
-    number = lambda name: F.regexp_extract(text, rf"\r\n{name}: <{_ID}(-?[0-9]+)>", 1).try_cast("long")
-    return records.select("sha256", number("WARC-Record-ID").alias("page_id"), F.regexp_extract(text, r"\r\nWARC-Type: (\w+)\r\n", 1).alias("record_type"), number("WARC-Refers-To").alias("refers_to"), F.regexp_extract(text, r"\r\nWARC-Payload-Digest: sha1:(\w+)\r\n", 1).alias("told"))
+def verified(payloads: DataFrame) -> DataFrame:
+    """sha256 and payload of the stored bytes, the digest computed anew; a mismatch stops the job."""
+    wrong = F.raise_error(F.concat(F.lit("stored payload differs from its digest "), F.col("sha256")))
+    return payloads.select(F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("sha256")).otherwise(wrong).alias("sha256"), "payload")
 
 
 def rebuild(archive: Archive) -> DataFrame:
-    """page_id, record: the bytes of each whole WARC record."""
-    heads = archive.records.join(parsed(archive.records).groupBy("sha256").agg(F.first("told").alias("told")), "sha256")
-    whole = heads.join(verified(archive.payloads).select("sha256", "payload"), "sha256")
-    kind = F.regexp_extract(F.decode("header", "UTF-8"), r"\r\nWARC-Type: (\w+)\r\n", 1)
-    number = F.regexp_extract(F.decode("header", "UTF-8"), rf"\r\nWARC-Record-ID: <{_ID}(-?[0-9]+)>", 1).try_cast("long")
-    nothing = F.lit(b"")
-    return whole.select(number.alias("page_id"), F.concat("header", F.when(kind == "response", F.col("payload")).otherwise(nothing), F.lit(b"\r\n\r\n")).alias("record"))
+    """sha256, record: the bytes of each whole WARC record. Responses are joined with their payloads; revisits have none."""
+    end = F.lit(2 * CRLF).cast("binary")
+    whole = archive.records.where(~_is_revisit()).join(verified(archive.payloads), "sha256").select("sha256", F.concat("header", "payload", end).alias("record"))
+    return whole.unionByName(archive.records.where(_is_revisit()).select("sha256", F.concat("header", end).alias("record")))
 
 
 def read_back(archive: Archive) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, all from the stored archive."""
-    rows = parsed(archive.records).join(verified(archive.payloads).drop("payload"), "sha256")
-    wrong = F.raise_error(F.concat(F.lit("a header tells another digest than "), F.col("payload_digest")))
-    digest = F.when(F.col("told") == F.col("payload_digest"), F.col("payload_digest")).otherwise(wrong)
-    return rows.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, all from the bytes of the rebuilt records.
+
+    A revisit's payload is the stored one that its record leads to; its length and digest come from those bytes.
+    """
+    bytes_ = F.decode("record", "ISO-8859-1")  # a character a byte, so that lengths are places
+    head = F.decode(F.encode(F.substring_index(bytes_, 2 * CRLF, 1), "ISO-8859-1"), "UTF-8")
+    start = F.length(F.substring_index(bytes_, 2 * CRLF, 2)) + 5
+    rows = rebuild(archive).select("sha256", head.alias("head"), F.expr("record").substr(start, F.octet_length("record") - start - 3).alias("payload"))
+    number = lambda name: F.regexp_extract("head", rf"\r\n{name}: <{_ID}(-?[0-9]+)>", 1).try_cast("long")
+    kind, told = F.regexp_extract("head", r"\r\nWARC-Type: (\w+)", 1), F.regexp_extract("head", r"\r\nWARC-Payload-Digest: sha1:(\w+)", 1)
+    rows = rows.select("sha256", number("WARC-Record-ID").alias("page_id"), kind.alias("record_type"), number("WARC-Refers-To").alias("refers_to"), told.alias("told"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    true = F.when(F.col("told") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a header tells another digest than its payload has: "), F.col("told"))))
+    facts = archive.payloads.select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    both = rows.where("record_type <> 'revisit'").unionByName(rows.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest").join(facts, "sha256"))
+    return both.select("page_id", "payload_bytes", true.alias("payload_digest"), "record_type", "refers_to")
 
 
 ORACLE = """
