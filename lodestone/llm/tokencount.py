@@ -31,30 +31,32 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
 # Fixed value: the split pattern that belongs to this vocabulary.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
+SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 _ENCODERS: dict[int, object] = {}
 
 
 def _encoder(ranks: bytes):
+    """The vocabulary's encoder, and one that takes its text as a single piece."""
     key = hash(ranks)
     if key not in _ENCODERS:
         import tiktoken
 
         pairs = (line.split() for line in ranks.splitlines() if line)
-        _ENCODERS[key] = tiktoken.Encoding("flat", pat_str=SPLIT, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+        known = {base64.b64decode(a): int(b) for a, b in pairs}
+        _ENCODERS[key] = tuple(tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=known, special_tokens={}) for name, pattern in (("flat", SPLIT), ("piece", "(?s:.+)")))
     return _ENCODERS[key]
 
 
-def tokens_of(encoder, text: str) -> list[int]:
-    """The tokens of ``text``. The pattern takes a long run of spaces as one piece, but for its last if text follows, and
-    the encoder's matcher cannot go through a million of them: such a run is cut out and encoded as that one piece."""
+def tokens_of(encoders, text: str) -> list[int]:
+    """The tokens of ``text``. The pattern takes a run of spaces as one piece, but for its last if text follows; its matcher
+    cannot go through a million of them, so that every run of a thousand or more is cut out and encoded as that one piece."""
+    encoder, piece = encoders
     ids, at = [], 0
-    if len(text) > 100_000:
-        for run in SPACES.finditer(text):
-            end = run.end() - (run.end() < len(text))
-            ids += encoder.encode_ordinary(text[at : run.start()])
-            ids += encoder._encode_single_piece(text[run.start() : end])
-            at = end
+    for run in SPACES.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoder.encode_ordinary(text[at : run.start()])
+        ids += piece.encode_ordinary(text[run.start() : end])
+        at = end
     return ids + encoder.encode_ordinary(text[at:])
 
 
