@@ -189,11 +189,14 @@ def marked(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float = 0.
         found = pairs.withColumn("share", F.when(ic > 0, F.round(pmi / ic, 9)).otherwise(0.0)).where(F.col("share") >= generalise_at)
         return found.where(g2(F.col("n_ct"), F.col("n_c"), F.col("n_t"), n) >= SIGNIFICANT).withColumn("action", F.when(F.col("share") >= remove_at, "removed").otherwise("generalised"))
 
-    pairs = sets.where("holders.n_c > 1").join(texts.select("whole", "terms"), "whole").select("holders", F.explode("terms").alias("term")).groupBy("holders", "term").agg(F.count("*").cast("double").alias("n_ct"))
-    shared = materialise(told(pairs.select("*", F.col("holders.n_c").alias("n_c")).join(counts, "term")).select("holders", "term", "action"), "pii-disclosing")
-    alone = texts.join(sets.where("holders.n_c = 1").select("whole").distinct(), "whole", "left_semi").select("whole", F.explode("terms").alias("term"))
-    alone = told(alone.join(counts, "term").withColumns({"n_c": F.lit(1.0), "n_ct": F.lit(1.0)})).select("whole", "term", "action")
-    both = alone.unionByName(sets.join(shared, "holders").select("whole", "term", "action")).groupBy("whole", "term").agg(F.max("action").alias("action"))
+    # what a pair can reach at most, were every text of the rarer side to hold both, spares most pairs
+    terms = materialise(texts.select("whole", F.explode("terms").alias("term")).join(counts, "term"), "pii-occurrences")
+    pairs = sets.where("holders.n_c > 1").join(terms, "whole").select("whole", "holders", "term", "n_t", F.col("holders.n_c").alias("n_c"))
+    pairs = materialise(told(pairs.withColumn("n_ct", F.least("n_c", "n_t"))).select("whole", "holders", "term", "n_t", "n_c"), "pii-pairs")
+    shared = told(pairs.groupBy("holders", "term", "n_t", "n_c").agg(F.count("*").cast("double").alias("n_ct"))).select("holders", "term", "action")
+    alone = terms.join(sets.where("holders.n_c = 1").select("whole").distinct(), "whole", "left_semi")
+    alone = told(alone.withColumns({"n_c": F.lit(1.0), "n_ct": F.lit(1.0)})).select("whole", "term", "action")
+    both = alone.unionByName(join_small(pairs.select("whole", "holders", "term"), shared, ["holders", "term"], "inner").select("whole", "term", "action")).groupBy("whole", "term").agg(F.max("action").alias("action"))
 
     at = texts.select("whole", F.inline("words")).join(both, ["whole", "term"])
     spans = at.groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action", "shape"))).alias("added"))  # a text's own words at most
