@@ -1,7 +1,7 @@
 """A content-addressed WARC archive: payload bytes once per strong digest, exact record headers apart.
 
 ``write`` makes two tables in the shared folder. ``payloads`` has a row per distinct payload
-(SHA-256, SHA-1, bytes); payloads of equal digest are verified by their SHA-512 and length while they are
+(SHA-256, SHA-1, bytes); payloads of equal digest are verified by their SHA-1 and length while they are
 merged, so that their bytes are shuffled once. ``records`` has the exact header bytes of each record and
 the SHA-256 that leads to its payload. ``rebuild`` joins them back into whole WARC records, and
 ``read_back`` tells from those bytes alone what each record is.
@@ -40,11 +40,11 @@ def _line(name: str, *value: Column | str) -> Column:
 
 def write(pages: DataFrame, least: int = 1000) -> Archive:
     src = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("sha256", F.sha2("payload", 256))
-    proof = F.struct(F.sha2("payload", 512).alias("sha512"), F.octet_length("payload").cast("long").alias("n"))
+    proof = F.struct(F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n"))
     kept = src.withColumn("proof", proof).groupBy("sha256").agg(F.max("page_id").alias("response"), F.min("proof").alias("low"), F.max("proof").alias("high"), F.any_value("payload").alias("payload"))
     two = F.raise_error(F.concat(F.lit("two payloads have the SHA-256 "), F.col("sha256"))).cast("binary")
     one = F.when(F.col("low") == F.col("high"), F.col("payload")).otherwise(two)
-    payloads = materialise(kept.select("sha256", F.sha1("payload").alias("sha1"), F.col("low.n").alias("n"), "response", one.alias("payload")), "warc-payloads")
+    payloads = materialise(kept.select("sha256", F.col("low.sha1").alias("sha1"), F.col("low.n").alias("n"), "response", one.alias("payload")), "warc-payloads")
 
     rows = src.select("page_id", "url", "sha256").join(payloads.select("sha256", "sha1", "n", "response"), "sha256")
     revisit = (F.col("n") >= least) & F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
@@ -88,9 +88,9 @@ def read_back(archive: Archive) -> DataFrame:
 
     A revisit's payload is the stored one that its record leads to; its length and digest come from those bytes.
     """
-    bytes_ = F.decode("record", "ISO-8859-1")  # a character a byte, so that lengths are places
-    head = F.decode(F.encode(F.substring_index(bytes_, 2 * CRLF, 1), "ISO-8859-1"), "UTF-8")
-    start = F.length(F.substring_index(bytes_, 2 * CRLF, 2)) + 5
+    text = F.col("record").cast("string")  # the same bytes, unchecked
+    head = F.substring_index(text, 2 * CRLF, 1)
+    start = F.octet_length(F.substring_index(text, 2 * CRLF, 2)) + 5
     rows = rebuild(archive).select("sha256", head.alias("head"), F.expr("record").substr(start, F.octet_length("record") - start - 3).alias("payload"))
     number = lambda name: F.regexp_extract("head", rf"\r\n{name}: <{_ID}(-?[0-9]+)>", 1).try_cast("long")
     kind, told = F.regexp_extract("head", r"\r\nWARC-Type: (\w+)", 1), F.regexp_extract("head", r"\r\nWARC-Payload-Digest: sha1:(\w+)", 1)
