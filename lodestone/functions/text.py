@@ -42,9 +42,8 @@ def chunk_pages(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     words = pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), clean.alias("clean")).where(F.length("clean") >= LEAST_CHARS)
     words = words.select("doc", "page", F.split("clean", r"(?U)\s+").alias("words"))
     n = F.greatest(F.ceil((F.size("words") - CHUNK_WORDS) / F.lit(float(CHUNK_WORDS - OVERLAP))), F.lit(0)).cast("int")
-    windows = words.select("doc", "page", "words", F.explode(F.sequence(F.lit(0), n)).alias("w"))
-    chunk = F.array_join(F.slice("words", F.col("w") * (CHUNK_WORDS - OVERLAP) + 1, CHUNK_WORDS), " ")
-    chunks = windows.select("doc", "page", "w", chunk.alias("chunk")).where(F.length("chunk") >= LEAST_CHARS)
+    chunks = F.transform(F.sequence(F.lit(0), n), lambda w: F.array_join(F.slice("words", w * (CHUNK_WORDS - OVERLAP) + 1, CHUNK_WORDS), " "))
+    chunks = words.select("doc", "page", F.posexplode(chunks).alias("w", "chunk")).where(F.length("chunk") >= LEAST_CHARS)
     index = F.row_number().over(W.partitionBy("doc").orderBy("page", "w")) - 1
     return chunks.select("doc", "page", index.alias("chunk_index"), "chunk")
 

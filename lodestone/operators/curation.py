@@ -3,12 +3,38 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and width
+BITS = 64
+
+
+def bands(n: int) -> list[tuple[int, int]]:
+    """First bit and width of each of n bands of 64 bits."""
+    edges = [BITS * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def errors(below: int, n: int) -> int:
+    """Of fewer than ``below`` differing bits, some one of n bands has this many at most."""
+    return (below - 1) // n
+
+
+def band_count(rows: int, below: int) -> int:
+    """The number of bands with the least work for so many hashes: rows that are tried, and pairs that meet by chance."""
+
+    def work(n: int) -> float:
+        return sum(rows * tries * (1 + rows / 2**width) for _, width in bands(n) for tries in [len(flips(width, errors(below, n)))])
+
+    return min(range(3, 6), key=work)
+
+
+def flips(width: int, most: int) -> list[int]:
+    """Every set of at most ``most`` bits of a band."""
+    return [sum(1 << b for b in c) for e in range(most + 1) for c in combinations(range(width), e)]
 
 
 def first_of_each(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -29,34 +55,55 @@ def _number(phash: Column) -> Column:
     return high * F.lit(1 << 32) + half(9)
 
 
-def hamming_pairs(rows: DataFrame, key: str, phash: str, below: int = 10) -> DataFrame:
-    """a, b, distance of all pairs a < b with fewer than ``below`` (at most 10) bits between their hashes.
+def _numbered(rows: DataFrame, key: str, phash: str) -> DataFrame:
+    return rows.select(F.col(key).alias("k"), _number(F.col(phash)).alias("h")).where("h is not null")
 
-    64 bits lie in five bands; of nine differing bits some band has one at most. So one side keeps
-    its bands, the other tries each band and all of its one-bit errors, and an equi-join on
-    (band, bits) finds every pair; the exact distance decides. Only distinct hashes are banded, so
-    that a hash of many rows is one row there, and their rows are joined to them afterwards.
+
+def close_hashes(values: DataFrame, below: int) -> DataFrame:
+    """x, y, distance: pairs x < y of different hashes (column h) with fewer than ``below`` differing bits.
+
+    64 bits lie in bands, and some band of such a pair differs in few bits only. So one side keeps its
+    bands, the other tries each band and all of its errors, and an equi-join on (band, bits) finds every
+    pair; the exact distance decides. The number of bands follows from the number of hashes.
     """
-    if below > 2 * len(BANDS):
-        raise ValueError("five bands with one error find pairs of nine differing bits at most")
-    numbered = rows.select(F.col(key).alias("k"), _number(F.col(phash)).alias("h")).where("h is not null")
-    values = numbered.select("h").distinct()
-    bits = lambda at, width: F.shiftright("h", at).bitwiseAND((1 << width) - 1).cast("int")
-    own = F.array(*[F.struct(F.lit(i).alias("band"), bits(*b).alias("bits")) for i, b in enumerate(BANDS)])
-    tried = F.array(*[F.struct(F.lit(i).alias("band"), bits(*b).bitwiseXOR(F.lit(flip)).alias("bits")) for i, b in enumerate(BANDS) for flip in (0, *(1 << e for e in range(b[1])))])
+    n = band_count(values.count(), below)
+    bits = lambda at, width: F.shiftright("h", at).bitwiseAND((1 << width) - 1)
+    own = F.array(*[F.struct(F.lit(i).alias("band"), bits(*b).alias("bits")) for i, b in enumerate(bands(n))])
+
+    def wrong(i: int, band: tuple[int, int]) -> Column:
+        return F.transform(F.lit(flips(band[1], errors(below, n))), lambda flip: F.struct(F.lit(i).alias("band"), bits(*band).bitwiseXOR(flip.cast("long")).alias("bits")))
+
+    tried = F.concat(*[wrong(i, b) for i, b in enumerate(bands(n))])
     left, right = values.select(F.col("h").alias("x"), F.inline(own)), values.select(F.col("h").alias("y"), F.inline(tried))
     distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    close = left.join(right, ["band", "bits"]).where("x < y").where(distance < below).select("x", "y", distance.alias("distance")).distinct()
-    both = close.unionByName(close.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance")).unionByName(values.select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(0).alias("distance")))
+    return left.join(right, ["band", "bits"]).where("x < y").where(distance < below).select("x", "y", distance.alias("distance")).distinct()
+
+
+def _both_ways(values: DataFrame, below: int) -> DataFrame:
+    """x, y, distance of all ordered pairs of close hashes, each hash with itself among them."""
+    close = close_hashes(values, below)
+    return close.unionByName(close.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance")).unionByName(values.select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(0).alias("distance")))
+
+
+def hamming_pairs(rows: DataFrame, key: str, phash: str, below: int = 10) -> DataFrame:
+    """a, b, distance of all pairs a < b of rows with fewer than ``below`` bits between their hashes; many rows of one hash are many pairs."""
+    numbered = _numbered(rows, key, phash)
     one, two = numbered.select(F.col("k").alias("a"), F.col("h").alias("x")), numbered.select(F.col("k").alias("b"), F.col("h").alias("y"))
-    return both.join(one, "x").join(two, "y").where("a < b").select("a", "b", "distance")
+    return _both_ways(numbered.select("h").distinct(), below).join(one, "x").join(two, "y").where("a < b").select("a", "b", "distance")
 
 
 def near_duplicate_of(rows: DataFrame, key: str, phash: str, below: int = 10, mode: str = "first") -> DataFrame:
-    """key, near_duplicate_of, distance: for each row the first earlier row within the distance, or the nearest."""
+    """key, near_duplicate_of, distance: for each row the first earlier row within the distance, or the nearest.
+
+    Of the rows of a hash only the first can be anyone's answer, so that each row meets the first rows of the
+    hashes near its own, however many rows share one.
+    """
     order = F.struct("a") if mode == "first" else F.struct("distance", "a")
-    pairs = hamming_pairs(rows, key, phash, below)
-    return pairs.groupBy(F.col("b").alias(key)).agg(F.min_by("a", order).alias("near_duplicate_of"), F.min_by("distance", order).alias("distance"))
+    numbered = _numbered(rows, key, phash)
+    firsts = numbered.groupBy("h").agg(F.min("k").alias("a"))
+    found = _both_ways(firsts.select("h"), below).join(firsts.withColumnRenamed("h", "x"), "x").select("y", "a", "distance")
+    found = numbered.select(F.col("k").alias("b"), F.col("h").alias("y")).join(found, "y").where("a < b")
+    return found.groupBy(F.col("b").alias(key)).agg(F.min_by("a", order).alias("near_duplicate_of"), F.min_by("distance", order).alias("distance"))
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:

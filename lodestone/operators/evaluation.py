@@ -13,7 +13,20 @@ def retrieval_metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...]
     Precision divides by the number returned. Queries without relevant rows drop out.
     """
     n_rel = relevant.groupBy("qid").agg(F.count("*").alias("n_rel"))
-    marked = hits.join(relevant.select("qid", "id", F.lit(1).alias("rel")), ["qid", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    return _metrics(hits.join(relevant.select("qid", "id", F.lit(1).alias("rel")), ["qid", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0))), n_rel, ks)
+
+
+def retrieval_metrics_by_label(hits: DataFrame, queries: DataFrame, items: DataFrame, ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """The same where the items of a query's label are its relevant ones: (qid, label) queries, (id, label) items.
+
+    Labels are compared on the hits, and a label's relevant items only counted, so that no class is joined with itself.
+    """
+    n_rel = queries.join(items.groupBy("label").agg(F.count("*").alias("n_rel")), "label").select("qid", "n_rel")
+    told = hits.join(queries.select("qid", F.col("label").alias("asked")), "qid").join(items.select("id", "label"), "id")
+    return _metrics(told.withColumn("rel", (F.col("label") == F.col("asked")).cast("int")), n_rel, ks)
+
+
+def _metrics(marked: DataFrame, n_rel: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     gain = F.col("rel") / F.log2(F.col("rank") + 1)
     sums = [F.coalesce(1.0 / F.min(F.when(F.col("rel") == 1, F.col("rank"))), F.lit(0.0)).alias("mrr")]
     for k in ks:

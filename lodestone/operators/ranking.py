@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,15 +17,18 @@ from lodestone.operators.filters import either_floor, relative_floor
 from lodestone.operators.vectors import DIGITS, knn, ranked
 
 
-def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 60) -> DataFrame:
+def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 60, keep: tuple[str, ...] = ()) -> DataFrame:
     """qid, id, score, rank from (qid, id, score, rank) lists: sum of 1 / (k + rank), ties as first seen.
 
-    A query with one non-empty list keeps that list's raw scores.
+    A query with one non-empty list keeps that list's raw scores. ``keep`` names further columns for the lists'
+    own scores, so that no list is needed a second time.
     """
     numbered = reduce(DataFrame.unionByName, [x.select("qid", "id", "score", "rank", F.lit(i).alias("list")) for i, x in enumerate(lists)])
-    alone = numbered.groupBy("qid").agg((F.min("list") == F.max("list")).alias("alone"))
-    fused = numbered.groupBy("qid", "id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("fused"), F.first("score").alias("raw"), F.min(F.struct("list", "rank")).alias("seen"))
-    scored = fused.join(alone, "qid").select("qid", "id", F.round(F.when(F.col("alone"), F.col("raw")).otherwise(F.col("fused")), 9).alias("score"), "seen")
+    own = [F.max(F.when(F.col("list") == i, F.col("score"))).alias(name) for i, name in enumerate(keep)]
+    fused = numbered.groupBy("qid", "id").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("fused"), F.max("score").alias("raw"), F.min(F.struct("list", "rank")).alias("seen"), F.max("list").alias("last"), *own)
+    w = W.partitionBy("qid")
+    alone = F.min("seen.list").over(w) == F.max("last").over(w)
+    scored = fused.select("qid", "id", F.round(F.when(alone, F.col("raw")).otherwise(F.col("fused")), 9).alias("score"), "seen", *keep)
     return ranked(scored, F.col("seen")).drop("seen")
 
 
@@ -102,7 +106,7 @@ def with_rows(hits: DataFrame, rows: DataFrame, key: str = "image_id") -> DataFr
     return hits.join(rows.withColumnRenamed(key, "id"), "id")
 
 
-def text_search(queries: DataFrame, vectors: DataFrame, rows: DataFrame, condition: Column | None = None, *, candidates: int = 100, threshold: float = 0.0, k: int = 10, filter_mode: str = "post") -> DataFrame:
+def text_search(queries: DataFrame, vectors: DataFrame, rows: DataFrame, condition: Column | None = None, *, candidates: int = 100, threshold: float = 0.0, k: int = 20, filter_mode: str = "post") -> DataFrame:
     """The text-query pipeline: nearest, relative floor, filters, penalty, cut, rows.
 
     ``filter_mode="post"`` filters the candidates, ``"pre"`` the searched vectors.
@@ -120,9 +124,8 @@ def image_search(queries: DataFrame, clip: DataFrame, text: DataFrame, rows: Dat
     a, b = knn(queries, clip, candidates), ranked(knn(queries, text, candidates).where("id <> qid").drop("rank"))
     if exclude_self:
         a = ranked(a.where("id <> qid").drop("rank"))
-    fused = reciprocal_rank_fusion([a, b])
-    scores = fused.join(a.select("qid", "id", F.col("score").alias("clip")), ["qid", "id"], "left").join(b.select("qid", "id", F.col("score").alias("text_")), ["qid", "id"], "left")
-    hits = scores.where(either_floor(threshold, "clip", "text_")).select("qid", "id", "score", "rank")
+    hits = reciprocal_rank_fusion([a, b], keep=("clip", "text_"))
+    hits = hits.where(either_floor(threshold, "clip", "text_")).select("qid", "id", "score", "rank")
     keep = rows if condition is None else rows.where(condition)
     hits = hits.join(keep.select(F.col("image_id").alias("id"), "tag_status"), "id")
     return with_rows(penalised(hits).where(F.col("rank") <= k).drop("tag_status"), rows)
@@ -134,13 +137,6 @@ def chunk_search(queries: DataFrame, chunks: DataFrame, sources: DataFrame, cond
     return knn(queries, seen.select("id", "vec"), k)
 
 
-def _overlap(a: dict, b: dict) -> float:
-    width, height = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]), min(a["y2"], b["y2"]) - max(a["y1"], b["y1"])
-    both = max(width, 0.0) * max(height, 0.0)
-    area = lambda r: max(r["x2"] - r["x1"], 0.0) * max(r["y2"] - r["y1"], 0.0)
-    return both / max(area(a) + area(b) - both, 1e-9)
-
-
 def non_max_suppression(boxes: DataFrame, iou: float = 0.45, least: float = 0.20, most: int = 20) -> DataFrame:
     """image, region, score, place: per image greedily by score, without boxes that overlap a chosen one by ``iou`` or more.
 
@@ -150,19 +146,25 @@ def non_max_suppression(boxes: DataFrame, iou: float = 0.45, least: float = 0.20
     order = F.struct((-F.col("score")).alias("s"), "region", "score", "x1", "y1", "x2", "y2")
     images = boxes.where(F.col("score") >= least).groupBy("image").agg(F.array_sort(F.collect_list(order)).alias("boxes"))
 
+    def greedy(box: np.ndarray) -> list[int]:
+        """Places of the chosen among x1, y1, x2, y2 rows in the order of choice."""
+        area, left, chosen = np.maximum(box[:, 2:] - box[:, :2], 0).prod(1), np.arange(len(box)), []
+        while len(left) and len(chosen) < most:
+            i, rest = left[0], left[1:]
+            both = np.maximum(np.minimum(box[i, 2:], box[rest, 2:]) - np.maximum(box[i, :2], box[rest, :2]), 0).prod(1)
+            chosen.append(i)
+            left = rest[both / np.maximum(area[i] + area[rest] - both, 1e-9) < iou]
+        return chosen
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = []
-            for candidates in batch.column(1).to_pylist():
-                chosen: list[dict] = []
-                for c in candidates:
-                    if len(chosen) == most:
-                        break
-                    if all(_overlap(c, x) < iou for x in chosen):
-                        chosen.append(c)
-                out.append([{"region": c["region"], "score": c["score"]} for c in chosen])
-            kind = pa.list_(pa.struct([("region", batch.column(1).type.value_type.field("region").type), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["image", "chosen"])
+            lists, flat = batch.column(1), batch.column(1).flatten()
+            box = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x1", "y1", "x2", "y2")], 1)
+            start = np.cumsum([0, *pa.compute.list_value_length(lists).to_pylist()])
+            taken = [start[i] + np.array(greedy(box[start[i] : start[i + 1]]), np.int64) for i in range(len(lists))]
+            at = pa.array(np.concatenate([*taken, np.zeros(0, np.int64)]))
+            rows = pa.StructArray.from_arrays([flat.field("region").take(at), flat.field("score").cast(pa.float64()).take(at)], names=["region", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, taken)]), pa.int32()), rows)], names=["image", "chosen"])
 
     kinds = dict(boxes.dtypes)
     kept = images.mapInArrow(choose, f"image {kinds['image']}, chosen array<struct<region: {kinds['region']}, score: double>>")

@@ -12,17 +12,31 @@ def shuffled(seed: int, key: str) -> Column:
 
 
 def placed(rows: DataFrame, label: str | None, seed: int, key: str) -> DataFrame:
-    """Adds ``place``, from 1 within the class (or over all rows)."""
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(*[label] if label else []).orderBy(shuffled(seed, key), key)))
+    """Adds ``place``, from 1 within the class (or over all rows), and ``size``, the number of rows of the class.
+
+    A class is numbered in 4096 parts by the beginning of the shuffling digest, each on its own; the sizes of
+    the parts before it, summed over counts alone, are added. No class stands in one task.
+    """
+    by = [label] if label else []
+    parts = rows.withColumn("_part", F.substring(shuffled(seed, key), 1, 3))
+    counts = parts.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select(*[F.col(c).alias("_label") for c in by], F.col("_part").alias("_of"), F.coalesce(before, F.lit(0).cast("long")).alias("_before"), F.sum("_n").over(W.partitionBy(*by)).alias("size"))
+    on = parts["_part"] == counts["_of"]
+    for c in by:
+        on = on & parts[c].eqNullSafe(counts["_label"])
+    place = F.row_number().over(W.partitionBy(*by, "_part").orderBy(shuffled(seed, key), key)) + F.col("_before")
+    return parts.join(counts, on).withColumn("place", place.cast("int")).drop("_part", "_of", "_label", "_before")
 
 
 def balanced(rows: DataFrame, label: str, key: str, n: int, seed: int = 0) -> DataFrame:
-    return placed(rows, label, seed, key).where(F.col("place") <= n).drop("place")
+    first = rows.withColumn("place", F.row_number().over(W.partitionBy(label).orderBy(shuffled(seed, key), key)))  # a task keeps n rows of a class before the shuffle
+    return first.where(F.col("place") <= n).drop("place")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, seed: int = 0, most: int = 20) -> DataFrame:
     """Adds ``part``: val = min(most, max(1, n div 5)) rows of each class, the rest train; a class of one row is in both."""
-    numbered = placed(rows, label, seed, key).withColumn("n", F.count("*").over(W.partitionBy(label)))
+    numbered = placed(rows, label, seed, key).withColumnRenamed("size", "n")
     val = F.least(F.lit(most), F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / 5)))
     parts = F.when((F.col("n") == 1), F.array(F.lit("train"), F.lit("val"))).when(F.col("place") <= val, F.array(F.lit("val"))).otherwise(F.array(F.lit("train")))
     return numbered.withColumn("part", F.explode(parts)).drop("place", "n")
@@ -30,20 +44,20 @@ def stratified_split(rows: DataFrame, label: str, key: str, seed: int = 0, most:
 
 def oversampled(rows: DataFrame, label: str, key: str, n: int = 280, seed: int = 0) -> DataFrame:
     """Each class to exactly n rows: all of its rows over and over in shuffled order (``slot`` from 1)."""
-    numbered = placed(rows, label, seed, key).withColumn("size", F.count("*").over(W.partitionBy(label)))
+    numbered = placed(rows, label, seed, key)
     slots = F.sequence(F.col("place").cast("long"), F.lit(n).cast("long"), F.col("size"))
     return numbered.where(F.col("place") <= n).withColumn("slot", F.explode(slots)).drop("place", "size")
 
 
 def guaranteed_split(rows: DataFrame, label: str, key: str, n_train: int, n_test: int, seed: int = 0) -> DataFrame:
     """Adds ``part``: one train and one test row of each class, then the shuffled rest fills both up."""
-    numbered = placed(rows, label, seed, key)
+    numbered = placed(rows, label, seed, key).drop("size")
     first = numbered.where("place <= 2").withColumn("part", F.when(F.col("place") == 1, "train").otherwise("test")).drop("place")
     sizes = first.groupBy().agg(F.count_if(F.col("part") == "train").alias("a"), F.count_if(F.col("part") == "test").alias("b"))
     need_train, need_test = F.greatest(F.lit(n_train) - F.col("a"), F.lit(0)), F.greatest(F.lit(n_test) - F.col("b"), F.lit(0))
     rest = numbered.where("place > 2").drop("place")
     rest = rest.orderBy(shuffled(seed + 1, key), key).limit(n_train + n_test)  # more are never needed
-    rest = placed(rest, None, seed + 1, key).join(F.broadcast(sizes))  # one row of sizes
+    rest = placed(rest, None, seed + 1, key).drop("size").join(F.broadcast(sizes))  # one row of sizes
     rest = rest.where(F.col("place") <= need_train + need_test).withColumn("part", F.when(F.col("place") <= need_train, "train").otherwise("test"))
     return first.unionByName(rest.drop("place", "a", "b"))
 
@@ -70,8 +84,7 @@ def hard_negative_batches(rows: DataFrame, label: str, key: str, clusters: DataF
     names = clusters.select("cluster").distinct().withColumn("c", F.row_number().over(W.orderBy("cluster")) - 1)
     n_clusters = F.count("*").over(W.partitionBy())
     names = names.withColumn("n_clusters", n_clusters)
-    inside = placed(rows.join(F.broadcast(clusters), label).join(F.broadcast(names), "cluster"), "cluster", seed, key)
-    inside = inside.withColumn("n_in", F.count("*").over(W.partitionBy("cluster")))
+    inside = placed(rows.join(F.broadcast(clusters), label).join(F.broadcast(names), "cluster"), "cluster", seed, key).withColumnRenamed("size", "n_in")
     slots = rows.sparkSession.range(n_batches * half).select((F.col("id") / half).cast("long").alias("batch"), (F.col("id") % half).alias("slot"))
     own = slots.join(F.broadcast(names), F.col("batch") % F.col("n_clusters") == F.col("c"))
     own = own.withColumn("walk", F.floor(F.col("batch") / F.col("n_clusters")) * half + F.col("slot"))
@@ -79,8 +92,7 @@ def hard_negative_batches(rows: DataFrame, label: str, key: str, clusters: DataF
     own = own.join(F.broadcast(sizes), "cluster").withColumn("place", (F.col("walk") % F.col("n_in") + 1).cast("int"))
     hard = own.join(inside.select("cluster", "place", key, label), ["cluster", "place"]).select("batch", "slot", key, label)
     pool = placed(rows.orderBy(shuffled(seed + 1, key), key).limit(n_batches * half), None, seed + 1, key)
-    n_pool = F.count("*").over(W.partitionBy())
-    pool = pool.withColumn("n_pool", n_pool)
+    pool = pool.withColumnRenamed("size", "n_pool")
     other = slots.withColumn("i", F.col("batch") * half + F.col("slot"))
     rest = other.join(pool.select("place", key, label, "n_pool"), F.col("i") + 1 == F.col("place")).select("batch", (F.col("slot") + half).alias("slot"), key, label)
     return hard.unionByName(rest)

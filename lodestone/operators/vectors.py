@@ -1,8 +1,9 @@
 """Exact vector search and vector arithmetic.
 
 ``knn`` sends the queries to the tasks in batches of a bounded number; every task multiplies its
-vectors with a batch block by block and gives the k best of each query, and a window over the
-query takes the best of those. Vectors never pass the driver, queries by the batch.
+vectors with a batch block by block, keeps the k best of each query over all of its blocks, and gives
+them when it ends; a window over the query takes the best of those. Vectors never pass the driver,
+queries by the batch.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DIGITS = 6
+MOST_LABELS = 10_000
+BLOCK = 512  # queries that are multiplied with a batch of vectors at once
 
 
 def _dense(column: pa.Array) -> np.ndarray:
@@ -42,14 +46,10 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, batch: int = 8192, digit
             continue
 
         def search(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            q = told.value
+            best = Best(told.value, k, digits)
             for batch_ in batches:
-                if not len(batch_):
-                    continue
-                score = np.round(q @ _dense(batch_.column(1)).T, digits) + 0.0
-                cut = score if score.shape[1] <= k else np.where(score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k], score, -np.inf)
-                i, j = np.nonzero(np.isfinite(cut))  # ties at the k-th score all stay
-                yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), batch_.column(0).take(pa.array(j)), pa.array(score[i, j])], names=["place", "id", "score"])
+                best.add(batch_.column(0), batch_.column(1))
+            yield from best.rows()
 
         hits = vectors.where("vec is not null").select("id", "vec").mapInArrow(search, schema)
         names = vectors.sparkSession.createDataFrame([(i, r["qid"]) for i, r in enumerate(rows)], f"place int, qid {qid_type.simpleString()}")
@@ -59,6 +59,44 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, batch: int = 8192, digit
     return ranked(reduce(DataFrame.unionByName, found)).where(F.col("rank") <= k)
 
 
+class Best:
+    """The k best (score, id) of each query among the vectors seen so far; ties go to the smaller id."""
+
+    def __init__(self, queries: np.ndarray, k: int, digits: int):
+        self.queries, self.k, self.digits = queries, k, digits
+        self.place, self.ids, self.score = np.zeros(0, np.int32), None, np.zeros(0)
+        self.least = np.full(len(queries), -np.inf)
+
+    def add(self, ids: pa.Array, vectors: pa.Array) -> None:
+        if not len(ids):
+            return
+        dense = _dense(vectors).T
+        for at in range(0, len(self.queries), BLOCK):
+            score = np.round(self.queries[at : at + BLOCK] @ dense, self.digits) + 0.0
+            least = self.least[at : at + BLOCK, None]
+            if score.shape[1] > self.k:
+                least = np.maximum(least, -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1 : self.k])
+            i, j = np.nonzero(score >= least)  # ties with the k-th score go on to the cut
+            self._keep((i + at).astype(np.int32), ids.take(pa.array(j)), score[i, j])
+
+    def _keep(self, place: np.ndarray, ids: pa.Array, score: np.ndarray) -> None:
+        place, score = np.append(self.place, place), np.append(self.score, score)
+        ids = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
+        by_id = np.empty(len(ids), np.int64)
+        by_id[pa.compute.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((by_id, -score, place))
+        sorted_ = place[order]
+        rank = np.arange(len(order)) - np.searchsorted(sorted_, sorted_)
+        full = rank == self.k - 1
+        self.least[sorted_[full]] = score[order][full]
+        kept = order[rank < self.k]
+        self.place, self.ids, self.score = place[kept], ids.take(pa.array(kept)), score[kept]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.ids is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(self.place), self.ids, pa.array(self.score)], names=["place", "id", "score"])
+
+
 def ranked(scored: DataFrame, *more: Column, query: str = "qid", item: str = "id") -> DataFrame:
     """Adds ``rank`` (from 1) by score, further columns, and the id."""
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), *more, item)))
@@ -93,7 +131,9 @@ def similar(ids: DataFrame, vectors: DataFrame, k: int = 6, floor: float | None
 
 
 def class_scores(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """id, label, cos: every row against the (label, vec) vocabulary, a table of a few hundred rows that is sent to all tasks."""
+    """id, label, cos: every row against the (label, vec) vocabulary, a table of at most MOST_LABELS rows that is sent to all tasks."""
+    if labels.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels; search them by knn")
     return rows.select("id", "vec").join(F.broadcast(labels.select("label", F.col("vec").alias("label_vec")))).select("id", "label", F.round(dot(F.col("vec"), F.col("label_vec")), DIGITS).alias("cos"))
 
 

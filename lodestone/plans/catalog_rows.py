@@ -258,9 +258,10 @@ def j02_child_with_parent(spark, d):
     return hits.join(c, hits.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)")
 def j04_backfill(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    """Customers without a large order."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 300000")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 

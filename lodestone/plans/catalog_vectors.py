@@ -111,11 +111,11 @@ def v09_mmr(spark, d):
     return ranking.mmr(hits.join(vecs(spark, d).select("id", "vec"), "id").select("qid", "id", "score", "vec"), k=5)
 
 
-@query(f"WITH {VECS}, {CORPUS}, " + nn(20) + """, t AS (SELECT nn.qid, nn.id, list_distinct(list_filter(regexp_split_to_array(lower(a.name), '\\s+'), lambda w: w <> '')) AS qw, regexp_split_to_array(lower(b.name), '\\s+') AS dw FROM nn JOIN corpus a ON nn.qid = a.image_id JOIN corpus b ON nn.id = b.image_id),
+@query(f"WITH {VECS}, {CORPUS}, " + nn(20) + """, t AS (SELECT nn.qid, nn.id, list_distinct(list_filter(regexp_split_to_array(lower(a.text), '\\s+'), lambda w: w <> '')) AS qw, regexp_split_to_array(lower(b.text), '\\s+') AS dw FROM nn JOIN corpus a ON nn.qid = a.image_id JOIN corpus b ON nn.id = b.image_id),
 s AS (SELECT qid, id, round(1 / (1 + exp(-(8.0::DOUBLE * len(list_filter(qw, lambda w: list_contains(dw, w))) / greatest(len(qw), 1) - 4.0::DOUBLE))), 6) AS score FROM t)
 SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM s""")
 def v10_rerank(spark, d):
-    names = corpus(spark, d).select("image_id", "name")
+    names = corpus(spark, d).select("image_id", F.col("text").alias("name"))
     hits = vectors.knn(asked(spark, d), vecs(spark, d), 20)
     rows = hits.join(names.select(F.col("image_id").alias("qid"), F.col("name").alias("query")), "qid").join(names.select(F.col("image_id").alias("id"), F.col("name").alias("text")), "id")
     return ranking.reranked(rows).select("qid", "id", "score", "rank")
@@ -139,9 +139,10 @@ def _condition():
 PENALTY = "p AS (SELECT qid, id, round(CASE WHEN tag_status = 'provisional' THEN score * 0.95::DOUBLE ELSE score END, 9) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(CASE WHEN tag_status = 'provisional' THEN score * 0.95::DOUBLE ELSE score END, 9) DESC, rank) AS INTEGER) AS rank FROM h)"
 
 
-@query(f"WITH {VECS}, {CORPUS}, {nn(100)}, r AS (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM nn), h AS (SELECT r.*, tag_status FROM r JOIN corpus ON id = image_id WHERE score >= greatest(top - 0.20::DOUBLE, 0.05::DOUBLE) AND {FILTER}), {PENALTY} SELECT p.qid, p.id, p.score, p.rank, style_primary FROM p JOIN corpus ON id = image_id WHERE p.rank <= 10")
+@query(f"WITH {VECS}, {CORPUS}, t AS (SELECT id, {shifted()} AS vec FROM v), {nn(100, asked='t')}, r AS (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM nn), h AS (SELECT r.*, tag_status FROM r JOIN corpus ON id = image_id WHERE score >= greatest(top - 0.20::DOUBLE, 0.05::DOUBLE) AND {FILTER}), {PENALTY} SELECT p.qid, p.id, p.score, p.rank, style_primary FROM p JOIN corpus ON id = image_id WHERE p.rank <= 20")
 def v12_text_search(spark, d):
-    out = ranking.text_search(asked(spark, d), vecs(spark, d).select("id", "vec"), corpus(spark, d), _condition(), threshold=0.05)
+    asked_ = text_vecs(spark, d).where(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), "vec")
+    out = ranking.text_search(asked_, vecs(spark, d).select("id", "vec"), corpus(spark, d), _condition(), threshold=0.05)
     return out.select("qid", "id", "score", "rank", "style_primary")
 
 
@@ -311,8 +312,8 @@ IR += "pq AS (SELECT nr.qid, round(coalesce(1.0::DOUBLE / min(CASE WHEN rel = 1
 
 def _per_query(spark, d):
     v = vecs(spark, d)
-    relevant = v.where(F.col("id") % 100 == 0).where(F.col("id") % 300 != 0).select(F.col("id").alias("qid"), "label").join(v.select("id", "label"), "label").select("qid", "id")
-    return evaluation.retrieval_metrics(vectors.knn(asked(spark, d), v, 20), relevant)
+    labelled = v.where(F.col("id") % 100 == 0).where(F.col("id") % 300 != 0).select(F.col("id").alias("qid"), "label")
+    return evaluation.retrieval_metrics_by_label(vectors.knn(asked(spark, d), v, 20), labelled, v.select("id", "label"))
 
 
 @query(IR + " SELECT * FROM pq")

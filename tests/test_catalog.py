@@ -7,6 +7,7 @@ from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = catalog()
+EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -20,5 +21,4 @@ def test_query(spark, con, name):
     if name in SQL:
         found = differences(df, con, SQL[name])
         assert found is None, found
-    else:
-        assert df.count() > 0
+    assert name in EMPTY or not df.isEmpty(), "no rows: equal results prove nothing"
