@@ -217,12 +217,6 @@ def s11_point_lookup(spark, d):
     return scans.by_id(table(spark, d, "orders"), "o_orderkey", 3, 500, 777777).select("o_orderkey", "o_totalprice")
 
 
-@query("WITH f AS (SELECT *, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS p FROM documents), s AS (SELECT sha256(text) AS k FROM documents WHERE source = 'src0') SELECT doc_id, sha256(text) AS sha FROM f WHERE p = 1 AND sha256(text) NOT IN (SELECT k FROM s)")
-def s12_insert_if_absent(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("sha"))
-    return sinks.to_insert(rows, rows.where("source = 'src0'"), "sha", "doc_id").select("doc_id", "sha")
-
-
 @query("SELECT doc_id, source FROM documents WHERE coalesce(source, '') NOT IN (SELECT DISTINCT source FROM documents WHERE n_chars > 20000 AND source IS NOT NULL)")
 def s18_cascade_delete(spark, d):
     t = table(spark, d, "documents").select("doc_id", "source", "n_chars")

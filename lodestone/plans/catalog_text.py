@@ -36,15 +36,6 @@ def a11_chunk_counts(spark, d):
     return out.select(F.col("source_id").alias("doc_id"), "chunk_count", "index_status")
 
 
-@query(f"WITH {CHUNKS}, old AS (SELECT doc_id // 2 AS doc, doc_id AS v FROM documents) SELECT doc, count(*) AS n, 'new' AS kind FROM chunks GROUP BY 1 UNION ALL SELECT doc, count(*), 'old' FROM old WHERE doc NOT IN (SELECT doc FROM chunks) GROUP BY 1")
-def s13_replace_by_key(spark, d):
-    """The table after the chunks of all chunked documents replaced their old rows."""
-    new = chunks(spark, d).groupBy("doc").agg(F.count("*").alias("n")).withColumn("kind", F.lit("new"))
-    old = table(spark, d, "documents").select(F.expr("doc_id div 2").alias("doc"))
-    kept = sinks.delete_cascade(new.select("doc"), "doc", old)[0]
-    return new.unionByName(kept.groupBy("doc").agg(F.count("*").alias("n")).withColumn("kind", F.lit("old")))
-
-
 @query(C + "SELECT image_id, replace(array_to_string(list_filter([name, building_type, style_primary, material_1, material_2, 'tag_' || class_id, 'tag_' || class_id], lambda x: x IS NOT NULL AND x <> ''), ' '), '_', ' ') AS search_text FROM corpus")
 def x01_search_text(spark, d):
     tag = F.concat(F.lit("tag_"), F.col("class_id").cast("string"))
@@ -341,11 +332,6 @@ def s02_file_kind(spark, d):
     return table(spark, d, "documents").select("doc_id", scans.file_kind(content).alias("kind"))
 
 
-@query("SELECT c_custkey, '{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}' AS json FROM customer")
-def s14_json_sidecars(spark, d):
-    return sinks.json_sidecars(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey")
-
-
 BAG = "SELECT id, list_transform(range(64), lambda i: len(list_filter(w, lambda x: CAST('0x' || substring(md5(x), 1, 8) AS BIGINT) % 64 = i))::DOUBLE) AS c"
 
 

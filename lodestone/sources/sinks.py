@@ -1,11 +1,13 @@
 """Sinks on Parquet folders: insert if absent, replace by key, versioned vectors, restore, cascade.
 
-A changed table is written beside the old one and its name is then moved on, so that a lost job
-leaves the old version readable.
+Appends add files only. ``replace_by_key`` stages all new rows before it overwrites any bucket, each writer in a
+folder of its own; a job lost during the overwrite leaves buckets old and new, and running it again completes it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,8 +51,8 @@ def replace_by_key(rows: DataFrame, path: str, key: str, buckets: int = 64) -> N
         kept = old.where(F.col("bucket").isin(touched)).join(rows.select(key).distinct(), key, "left_anti")
         new = new.unionByName(kept, allowMissingColumns=True)
         new = spark.createDataFrame([], new.schema) if not touched else new
-        staged = f"{path}.staged"
-        new.write.mode("overwrite").parquet(staged)  # what is read is not what is overwritten
+        staged = f"{path}.staged/{uuid.uuid4().hex}"
+        new.write.parquet(staged)  # what is read is not what is overwritten
         new = spark.read.schema(new.schema).parquet(staged)
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 

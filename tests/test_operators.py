@@ -1,9 +1,11 @@
 """Hand-computed fixtures and brute-force twins of the library's operators."""
 
+import hashlib
 import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +209,47 @@ def test_lookups_and_updates(spark):
 def test_default_embedder_is_of_unit_length(spark):
     v = one(spark, models.bag_of_words(F.lit("a b b c")))
     assert sum(x * x for x in v) == pytest.approx(1.0) and sum(models_ for models_ in one(spark, models.bag_of_words(F.lit("")))) == 0.0
+
+
+def test_knn_keeps_k_rows_of_a_query_in_a_task():
+    rng = np.random.default_rng(3)
+    vec, asked = np.round(rng.normal(size=(5000, 8)), 1), np.round(rng.normal(size=(700, 8)), 1)  # rounded: many ties
+    best = vectors.Best(asked, 7, 6)
+    for at in range(0, 5000, 300):
+        best.add(pa.array(range(at, min(at + 300, 5000))[::-1]), pa.array(vec[at : at + 300][::-1].tolist()))
+    batch = next(best.rows())
+    assert len(batch) == 7 * 700
+    score = np.round(asked @ vec.T, 6) + 0.0
+    want = {(i, j) for i in range(700) for j in np.lexsort((np.arange(5000), -score[i]))[:7].tolist()}
+    assert set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)) == want
+
+
+def test_near_duplicates_of_one_popular_hash_and_any_number_of_bands(spark, monkeypatch):
+    rng = random.Random(4)
+    hashes = [rng.getrandbits(64) for _ in range(120)]
+    hashes += [h ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 12))) for h in hashes[:100]]
+    rows = list(enumerate([*hashes[:50], *[hashes[0]] * 3000, *hashes[50:]]))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(k, f"{h:016x}") for k, h in rows], "id long, phash string")
+    for mode in ("first", "nearest"):
+        want, seen = {}, {}
+        for k, h in sorted(rows):
+            near = [((a,) if mode == "first" else ((h ^ x).bit_count(), a), a, (h ^ x).bit_count()) for x, a in seen.items() if (h ^ x).bit_count() < 10]
+            if near:
+                want[k] = min(near)[1:]
+            seen.setdefault(h, k)
+        for n in (3, 4, 5):
+            monkeypatch.setattr(curation, "band_count", lambda rows, below, n=n: n)
+            assert {r["id"]: (r["near_duplicate_of"], r["distance"]) for r in curation.near_duplicate_of(df, "id", "phash", mode=mode).collect()} == want
+    monkeypatch.undo()
+    assert curation.band_count(10_000, 10) == 5 and curation.band_count(10**8, 10) == 3
+
+
+def test_places_of_a_class_in_parts_are_those_of_a_whole_class(spark):
+    df = spark.range(9000).selectExpr("id", "if(id % 3 = 0, null, if(id < 6000, 'hot', 'cold')) AS label")
+    got = sampling.placed(df, "label", 5, "id").collect()
+    by = {}
+    for r in df.collect():
+        by.setdefault(r["label"], []).append((hashlib.md5(f"5:{r['id']}".encode()).hexdigest(), r["id"]))
+    want = {i: (n, len(rows)) for rows in by.values() for n, (_, i) in enumerate(sorted(rows), 1)}
+    assert {r["id"]: (r["place"], r["size"]) for r in got} == want
