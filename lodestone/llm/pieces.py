@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestone.llm.common import release_unused
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _CODECS: dict[str, Codec] = {}
@@ -123,11 +125,15 @@ def _mapped(docs: DataFrame, vocabulary: str, row, names: list[str], kinds: list
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
-        for batch in batches:
-            for at in range(0, len(batch), 256):  # a few hundred rows of ids at a time
-                part = batch.slice(at, 256)
-                cols = zip(*(row(codec, x.as_py()) for x in part.column(1)), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", *names])
+        try:
+            for batch in batches:
+                for at in range(0, len(batch), 256):  # a few hundred rows of ids at a time
+                    part = batch.slice(at, 256)
+                    cols = zip(*(row(codec, x.as_py()) for x in part.column(1)), strict=True)
+                    yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", *names])
+        finally:
+            codec.paths.clear()  # a worker outlives its task
+            release_unused()
 
     return docs.mapInArrow(each, f"doc_id long, {schema}")
 

@@ -22,6 +22,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.calibration import isotonic
-from lodestone.llm.common import fold, materialise
+from lodestone.llm.common import fold, materialise, release_unused
 
 WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 256
@@ -195,19 +196,18 @@ def votes(docs: DataFrame, known, index, k: int) -> DataFrame:
                     out.append(None), near.append([])
                     continue
                 terms, tf = np.unique(np.array(found, np.int64), return_counts=True)
-                key = (terms.tobytes(), tf.tobytes()) if len(terms) <= 2000 else None  # copies are looked up once
+                key = hashlib.sha256(terms.tobytes() + tf.tobytes()).digest()  # copies are looked up once
                 if key not in seen:
                     if len(seen) >= 5000:
                         seen.clear()
                     seen[key] = examples.nearest(terms, tf, k + 1)
                 places, cosine = seen[key]
-                if key is None:
-                    del seen[key]
                 own = examples.ids[places] != (-1 if doc is None else doc)
                 places, cosine = places[own][:k], cosine[own][:k]
                 out.append(float((cosine @ examples.y[places] + 0.5 * rate) / (cosine.sum() + 0.5)) if len(places) else None)
                 near.append(examples.ids[places[:3]].tolist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=["doc_id", "vote", "near"])
+        release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(vote, "doc_id long, vote double, near array<long>")
 
@@ -219,6 +219,7 @@ def score(docs: DataFrame, labels: DataFrame, *, k: int = 15, max_examples: int
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.5).alias("score"), F.array().cast("array<bigint>").alias("near"))
     known, index = found
     voted = materialise(votes(docs, known, index, k), "toxic-votes")
+    known.unpersist(), index.unpersist()  # the votes are written; executors need them no more
     spark = docs.sparkSession
     marks = spark.createDataFrame(pa.table({"doc_id": index.value.ids, "y": index.value.y}))
     bins = voted.join(F.broadcast(marks), "doc_id").groupBy(F.round(F.col("vote"), 3).alias("x")).agg(F.count("*").cast("double").alias("w"), F.avg("y").alias("m")).collect()  # a row per thousandth of the vote at most
