@@ -109,14 +109,14 @@ def test_every_word_counts_and_bounds_are_on_rows(spark):
 
 
 def index_over(vectors, labels=None, ids=None):
-    n, gain = len(vectors), np.random.default_rng(7).uniform(0.5, 3, 40)
+    n, gain = len(vectors), np.geomspace(0.05, 5, 40)
     terms, tf = (np.concatenate([np.array(v[i]) for v in vectors]) for i in (0, 1))
     return toxicity.Index(np.arange(n) if ids is None else ids, np.zeros(n) if labels is None else labels, terms, tf.astype(float), np.array([len(v[0]) for v in vectors]), gain)
 
 
 def test_nearest_is_exact_and_skips_blocks():
     rng = np.random.default_rng(6)
-    vectors = [(sorted(rng.choice(40, n, replace=False).tolist()), rng.integers(1, 4, n).tolist()) for n in rng.integers(1, 9, 1500)]
+    vectors = [(sorted(rng.choice(40, n, replace=False).tolist()), rng.integers(1, 4, n).tolist()) for n in rng.integers(1, 9, 6000)]
     index = index_over(vectors)
 
     def dense(v):
@@ -128,7 +128,7 @@ def test_nearest_is_exact_and_skips_blocks():
     for v in vectors[:60]:
         places, cosine = index.nearest(*map(np.array, v), 7)
         value = np.round(all_ @ dense(v), 9)
-        want = [i for i in np.lexsort((np.arange(1500), -value)) if value[i] > 0][:7]
+        want = [i for i in np.lexsort((np.arange(6000), -value)) if value[i] > 0][:7]
         assert index.ids[places].tolist() == want and np.allclose(cosine, value[want])
     asked = [index.weight.copy(), index.weight]
     index.weight = Counting(asked[0])
