@@ -2,7 +2,8 @@
 
 Each text's UTF-8 bytes, zero-filled to a positive multiple of 64, become the samples of images
 16 pixels wide (four bytes a pixel: green, red, blue, alpha), 1 MiB of payload to an image at
-most; the images of a text follow one another in its media column.
+most, as the format ends at 16,384 rows; a longer text's media column holds several WebP files, one
+after another, and its media_bytes and media_sha256 are those of all of them.
 
 Defined results: null text is empty and gives 64 zero bytes; repeated rows are stored each; an
 empty table gives an empty table; further columns are ignored.

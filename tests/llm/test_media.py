@@ -208,3 +208,61 @@ def test_contract_columns(spark):
     one, two = (rows[len(texts) - k].asDict() for k in (1, 2))
     assert {k: v for k, v in one.items() if k != "doc_id"} == {k: v for k, v in two.items() if k != "doc_id"}
     assert media.read(media.store(docs(spark, []))).collect() == []
+
+
+def form(media_bytes):
+    """The first transform of a stored image, or 'literals' under the fixed code, or 'own' codes."""
+    (stream,) = vp8l.streams(media_bytes)
+    bits = vp8l.Bits(stream, 40)
+    if bits.read(1):
+        return bits.read(2)
+    return "literals" if stream[5:40] == vp8l.literal_stream(np.zeros(64, np.uint8), 16)[5:40] else "own"
+
+
+def test_the_writer_chooses_by_image_and_stays_lossless():
+    rng = np.random.default_rng(9)
+    noise = rng.integers(0, 256, (64, 16, 4), dtype=np.uint8)
+    green = np.stack([noise[..., 0]] * 3 + [np.full((64, 16), 9, np.uint8)], -1)
+    line = (prose(2, 90).encode() + b"\n")[:601]
+    images = {
+        "literals": prose(5, 400).encode(),
+        "own": line * 40,
+        vp8l.PALETTE: rng.choice(rng.integers(0, 256, (12, 4), dtype=np.uint8), 900).tobytes(),
+        vp8l.SUBTRACT_GREEN: green.tobytes(),
+        vp8l.PREDICTOR: np.cumsum(rng.integers(0, 3, (64, 16, 4), dtype=np.uint8), 0, dtype=np.uint8).tobytes(),
+    }
+    for want, payload in images.items():
+        payload += bytes(-len(payload) % 64)
+        stored = media.to_media(payload)
+        assert form(stored) == want
+        assert media.to_payload(media.to_pixels(stored)) == payload == media.to_payload(media.to_pixels(media.to_media(payload)))
+        assert want == "literals" or 2 * len(stored) < len(media.vp8l.literal_stream(np.frombuffer(payload, np.uint8), 16)) + 40
+
+
+def test_copies_and_cache_are_sent_for_repeated_lines(monkeypatch):
+    seen = set()
+    symbol = vp8l.Bits.symbol
+
+    def watched(self, code):
+        s = symbol(self, code)
+        seen.add("cache" if s >= 280 else "copy" if s >= 256 else "literal")
+        return s
+
+    monkeypatch.setattr(vp8l.Bits, "symbol", watched)
+    lines = "".join(f"{prose(k % 7, 12)} | {k % 3}\n" for k in range(400)).encode()
+    lines += bytes(-len(lines) % 64)
+    assert media.to_payload(media.to_pixels(media.to_media(lines))) == lines
+    assert seen == {"literal", "copy", "cache"}
+
+
+def test_round_trip_of_random_images():
+    rng = random.Random(12)
+    for _ in range(150):
+        unit = [rng.randbytes(4) for _ in range(rng.choice([1, 2, 3, 5, 17, 300]))]
+        payload = b"".join(rng.choice(unit) for _ in range(16 * rng.randint(1, 90)))
+        stored = media.to_media(payload)
+        assert media.to_payload(media.to_pixels(stored)) == payload
+        for kind, mode in ((None, 0), (vp8l.PALETTE, 0)):
+            c = np.frombuffer(payload, np.uint8).reshape(-1, 16, 4)
+            if kind is None or len(unit) <= 256:
+                assert media.to_payload([vp8l.decode_stream(vp8l._own_stream(c, 16, kind, mode))]) == payload
