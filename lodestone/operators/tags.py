@@ -93,6 +93,21 @@ def second_pass(first: DataFrame, second: DataFrame, key: str, columns: list[str
     return out.select(*new, F.coalesce("retried", F.lit(False)).alias("final"))
 
 
+def rejudged(rows: DataFrame, clip: DataFrame, votes: DataFrame, confidence: str = "confidence", status: str = "tag_status") -> DataFrame:
+    """After a second pass: final rows get ``stripped`` and the status that the signals of their new tags give, others keep their status.
+
+    ``clip`` is what ``prompt_agreement`` and ``votes`` what ``neighbour_votes`` gives for the final rows (both by id).
+    """
+    both = rows.join(clip.select("id", "clip"), "id", "left").join(votes.select("id", "style_votes", "building_type_votes", "style_pass"), "id", "left")
+    score = lambda field, tag: F.try_element_at("clip", F.concat(F.lit(f"{field}:"), tag))
+    style, kind = F.col("style_primary"), F.col("building_type")
+    clip_style = score("style", style)
+    found = conflicting(style, kind, clip_style, score("building_type", kind), F.col("style_votes"), F.col("building_type_votes"))
+    out = both.withColumn("stripped", F.when(F.col("final"), found).otherwise(F.array().cast("array<string>")))
+    anew = decision(F.col("stripped"), F.col(confidence), clip_style, F.col("style_pass"))
+    return out.withColumn(status, F.when(F.col("final"), anew).otherwise(F.col(status))).select(*rows.columns, "stripped")
+
+
 def skipped(artifacts: Column, status: Column) -> Column:
     return artifacts.isNull() | F.coalesce(status == "not_applicable", F.lit(False))
 

@@ -253,3 +253,19 @@ def test_places_of_a_class_in_parts_are_those_of_a_whole_class(spark):
         by.setdefault(r["label"], []).append((hashlib.md5(f"5:{r['id']}".encode()).hexdigest(), r["id"]))
     want = {i: (n, len(rows)) for rows in by.values() for n, (_, i) in enumerate(sorted(rows), 1)}
     assert {r["id"]: (r["place"], r["size"]) for r in got} == want
+
+
+def test_second_pass_is_judged_anew(spark):
+    first = spark.createDataFrame([(i, "Baroque", "villa", 0.7, "quarantined") for i in range(1, 6)], "id long, style_primary string, building_type string, confidence double, tag_status string")
+    second = spark.createDataFrame([(1, "Gothic"), (2, "Gothic"), (3, "Gothic"), (4, None)], "id long, style_primary string")
+    merged = tags.second_pass(first, second, "id", ["style_primary"])
+    clip = spark.createDataFrame([(1, {"style:Gothic": 0.3}), (2, {"style:Gothic": 0.05}), (4, {"style:Baroque": 0.2}), (5, {"style:Baroque": 0.9})], "id long, clip map<string,double>")
+    votes = spark.createDataFrame([(1, 0, 5, False), (2, 1, 5, False), (3, 7, 5, True), (5, 9, 9, True)], "id long, style_votes long, building_type_votes long, style_pass boolean")
+    out = {r["id"]: (r["style_primary"], r["final"], r["tag_status"], r["stripped"]) for r in tags.rejudged(merged, clip, votes).collect()}
+    assert out == {
+        1: ("Gothic", True, "verified", []),
+        2: ("Gothic", True, "quarantined", ["style:Gothic"]),
+        3: ("Gothic", True, "verified", []),
+        4: ("Baroque", True, "provisional", []),
+        5: ("Baroque", False, "quarantined", []),
+    }
