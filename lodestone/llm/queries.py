@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import media, mixing, neardup, pieces, pii, quality, tokencount, topk, toxicity, warc
+from lodestone.llm import media, mixing, neardup, pieces, pii, quality, simhash, tokencount, topk, toxicity, warc
 from lodestone.llm.common import table
 
 
@@ -50,5 +50,9 @@ def op10_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_topk, op3_sentencepiece, op4_quality, op5_media, op6_mixing, op7_neardup, op8_toxicity, op9_warc, op10_tokencount)}
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_topk, op3_sentencepiece, op4_quality, op5_media, op6_mixing, op7_neardup, op8_toxicity, op9_warc, op10_tokencount, op13_simhash)}
 ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op9_warc": warc.ORACLE}
