@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import media, mixing, neardup, phrases, pieces, pii, quality, simhash, tokencount, topk, toxicity, warc
+from lodestone.llm import conversations, media, mixing, neardup, phrases, pieces, pii, quality, simhash, tokencount, topk, toxicity, warc
 from lodestone.llm.common import table
 
 
@@ -54,9 +54,13 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.query(table(spark, sf_dir, "conversations"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_topk, op3_sentencepiece, op4_quality, op5_media, op6_mixing, op7_neardup, op8_toxicity, op9_warc, op10_tokencount, op11_phrases, op13_simhash)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_topk, op3_sentencepiece, op4_quality, op5_media, op6_mixing, op7_neardup, op8_toxicity, op9_warc, op10_tokencount, op11_phrases, op12_conversations, op13_simhash)}
 ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op9_warc": warc.ORACLE, "op11_phrases": phrases.ORACLE}
