@@ -85,8 +85,8 @@ def excerpt(c: Column, n: int = INDEX_TEXT) -> Column:
 
 
 def style_labels(top: Column) -> Column:
-    """array<struct<label, p>> -> ``label (12.3%)`` strings."""
-    return F.transform(top, lambda s: F.format_string("%s (%.1f%%)", s["label"], s["p"] * 100))
+    """array<struct<label, p>> -> ``label (12.3%)`` strings; entries without a label or a share are left out."""
+    return F.transform(F.filter(top, lambda s: s["label"].isNotNull() & s["p"].isNotNull()), lambda s: F.format_string("%s (%.1f%%)", s["label"], s["p"] * 100))
 
 
 def flattened(variant: Column) -> Column:

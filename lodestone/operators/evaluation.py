@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import materialise
+
 
 def retrieval_metrics(hits: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """qid, mrr, and p, r, hit, ndcg at each k, from (qid, id, rank) hits and (qid, id) relevant rows.
@@ -116,41 +118,76 @@ def best_threshold(sweep: DataFrame, coverage: float = 0.70) -> DataFrame:
     return sweep.orderBy(F.desc(enough), F.desc("macro_f1"), F.desc("accuracy"), "threshold").limit(1)
 
 
+def quantiles(rows: DataFrame, value: str, share: float, group: str | None = None, bins: int = 1024, most: int = 10_000) -> DataFrame:
+    """group (or none), quantile: the exact quantile with linear interpolation of the finite values of each group.
+
+    Each pass counts the values of the range that still holds the wanted places in ``bins`` bins and goes on in the bin that holds
+    one; a range of at most ``most`` values is ranked. No task sees more than the counts of a range, or such a range, of a group.
+    """
+    data = rows.select((F.col(group) if group else F.lit(0)).alias("g"), F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    place = (F.col("n") - 1) * F.lit(float(share))
+    wanted = F.array(*[F.struct(F.lit(i).alias("which"), f(place).cast("long").alias("at")) for i, f in enumerate((F.floor, F.ceil))])
+    sizes = data.groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+    state = materialise(sizes.select("g", (place - F.floor(place)).alias("part"), F.inline(wanted), "lo", "hi", "n"), "quantile")
+    names = state.columns
+    inside = lambda ranges: data.join(ranges.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g")) & F.col("x").between(F.col("lo"), F.col("hi"))).drop("_g")
+    while True:
+        wide = (F.col("lo") < F.col("hi")) & (F.col("n") > most)
+        if state.where(wide).isEmpty():
+            break
+        bin_ = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1).cast("long"))
+        cells = inside(state.where(wide)).groupBy("g", "part", "which", "at", bin_.alias("bin")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(W.partitionBy("g", "which").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))  # a group's bins
+        held = cells.withColumn("before", before).where("at >= before and at < before + n").withColumn("at", F.col("at") - F.col("before"))
+        state = materialise(state.where(~wide).unionByName(held.select(*names)), "quantile")
+    ranked = inside(state.where("lo < hi")).withColumn("_r", F.row_number().over(W.partitionBy("g", "which").orderBy("x")) - 1).where("_r = at")
+    found = state.where("lo = hi").select("g", "part", "which", F.col("lo").alias("x")).unionByName(ranked.select("g", "part", "which", "x"))
+    lower, upper = (F.max(F.when(F.col("which") == i, F.col("x"))) for i in (0, 1))
+    out = found.groupBy("g").agg((lower + F.max("part") * (upper - lower)).alias("quantile"))
+    return out.withColumnRenamed("g", group) if group else out.drop("g")
+
+
 def confidence_stats(preds: DataFrame, group: str | None = None, share: float = 0.95) -> DataFrame:
     """Mean, population deviation, extremes and exact percentile of conf."""
     grouped = preds.groupBy(group) if group else preds.groupBy()
     r = lambda c, name: F.round(c, 6).alias(name)
-    return grouped.agg(r(F.avg("conf"), "mean"), r(F.stddev_pop("conf"), "std"), r(F.min("conf"), "least"), r(F.max("conf"), "most"), r(F.percentile("conf", F.lit(share)), "percentile"), F.count("*").alias("n"))
+    stats = grouped.agg(r(F.avg("conf"), "mean"), r(F.stddev_pop("conf"), "std"), r(F.min("conf"), "least"), r(F.max("conf"), "most"), F.count("*").alias("n"))
+    found = quantiles(preds, "conf", share, group).withColumn("percentile", F.round("quantile", 6)).drop("quantile")
+    if not group:
+        return stats.join(found, how="left")
+    return stats.join(found.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
 
 
 def class_counts(rows: DataFrame, label: str) -> DataFrame:
     return rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label)
 
 
-def best_positive_ranks(scores: DataFrame, truth: DataFrame) -> DataFrame:
-    """r_1, r_3, r_5, mrr, n, n_missing: rank of the best positive label in (id, label, cos) for (id, own) rows."""
-    place = scores.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("cos"), "label")))
-    best = truth.join(place.join(truth, "id").where("label = own").groupBy("id").agg(F.min("rank").alias("rank")), "id", "left")
-    at = lambda k: F.round(F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))), 6).alias(f"r_{k}")
-    return best.agg(at(1), at(3), at(5), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), F.count("*").alias("n"), F.count_if(F.col("rank").isNull()).alias("n_missing"))
+def described(rows: DataFrame, label: str, value: str) -> DataFrame:
+    """label, n, mean, std (of a sample), least, p25, p50, p75, most of a value for each class; percentiles are exact."""
+    r = lambda c, name: F.round(c, 6).alias(name)
+    out = rows.groupBy(label).agg(F.count(value).alias("n"), r(F.avg(value), "mean"), r(F.stddev_samp(value), "std"), r(F.min(value), "least"), r(F.max(value), "most"))
+    for share in (25, 50, 75):
+        found = quantiles(rows, value, share / 100, label).select(F.col(label).alias("_g"), r(F.col("quantile"), f"p{share}"))
+        out = out.join(found, F.col(label).eqNullSafe(F.col("_g")), "left").drop("_g")
+    return out
 
 
-def hard_negative_margins(scores: DataFrame, truth: DataFrame, negatives: DataFrame) -> DataFrame:
-    """id, margin: best own-label cosine less the best cosine of the own class's (own, negative) labels."""
-    rows = scores.join(truth, "id").join(negatives.withColumn("is_negative", F.lit(True)), (F.col("own") == negatives["own_class"]) & (F.col("label") == negatives["negative"]), "left")
-    own = F.max(F.when(F.col("label") == F.col("own"), F.col("cos")))
-    return rows.groupBy("id").agg(F.round(own - F.max(F.when(F.col("is_negative"), F.col("cos"))), 6).alias("margin")).where("margin is not null")
+def best_positive_ranks(ranks: DataFrame) -> DataFrame:
+    """r_1, r_3, r_5, mrr, n, n_missing of (id, rank) rows, as ``vectors.own_label`` gives them; rank null where the positive label is missing."""
+    at = lambda k: F.round(F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))), 6).alias(f"r_{k}")
+    return ranks.agg(at(1), at(3), at(5), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), F.count("*").alias("n"), F.count_if(F.col("rank").isNull()).alias("n_missing"))
 
 
 def margin_summary(margins: DataFrame) -> DataFrame:
     r = lambda c, name: F.round(c, 6).alias(name)
-    return margins.agg(r(F.avg((F.col("margin") > 0).cast("double")), "pass_rate"), r(F.avg("margin"), "mean"), r(F.percentile("margin", F.lit(0.1)), "p10"), F.count("*").alias("n"))
+    found = quantiles(margins, "margin", 0.1).select(r(F.col("quantile"), "p10"))
+    return margins.agg(r(F.avg((F.col("margin") > 0).cast("double")), "pass_rate"), r(F.avg("margin"), "mean"), F.count("*").alias("n")).join(found, how="left")
 
 
-def prompt_consistency(scores: DataFrame) -> DataFrame:
-    """id, mean, std, least, most of an item's similarities."""
-    r = lambda c, name: F.round(c, 8).alias(name)
-    return scores.groupBy("id").agg(r(F.avg("cos"), "mean"), r(F.stddev_pop("cos"), "std"), r(F.min("cos"), "least"), r(F.max("cos"), "most"))
+def consistency_summary(per_item: DataFrame, share: float = 0.9) -> DataFrame:
+    """mean_std and the exact percentile p_std of the deviations of (id, std) rows, with their number."""
+    found = quantiles(per_item, "std", share).select(F.round("quantile", 6).alias("p_std"))
+    return per_item.agg(F.round(F.avg("std"), 6).alias("mean_std"), F.count("*").alias("n")).join(found, how="left")
 
 
 def stability(variants: DataFrame, base: DataFrame, cosine: Column) -> DataFrame:
@@ -159,11 +196,6 @@ def stability(variants: DataFrame, base: DataFrame, cosine: Column) -> DataFrame
     return rows.groupBy("id").agg(F.round(F.min("cos"), 6).alias("least"), F.round(F.avg("cos"), 6).alias("mean"), F.round(F.avg("same"), 6).alias("agreement"))
 
 
-def similarity_stats(scores: DataFrame) -> DataFrame:
-    r = lambda c, name: F.round(c, 6).alias(name)
-    return scores.agg(r(F.avg("cos"), "mean"), r(F.stddev_samp("cos"), "std"), F.count("*").alias("n"))
-
-
 def scorecard(metrics: DataFrame) -> DataFrame:
     """(metric, value, target, direction) -> also passed, and n_pass over all gates."""
     passed = F.when(F.col("direction") == ">=", F.col("value") >= F.col("target")).otherwise(F.col("value") <= F.col("target"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 from functools import reduce
 from operator import and_, or_
 
@@ -63,6 +64,56 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(and_, conditions, F.lit(True))
 
 
+MOST_PREDICATES = 4096  # different (facet, value) predicates of one call
+Facets = dict[str, Callable[[str], Column]]
+
+
+def facets(*, year: Column | str | None = None, typologies: Column | None = None, types: tuple[Column, ...] = (), materials: Column | str | None = None, country_: Column | str | None = None, structure: Column | str | None = None, climate: Column | str | None = None, styles: tuple[Column, ...] = ()) -> Facets:
+    """The facets of filters that come as data: for each name a predicate over the given columns for one value (a period is ``from..to``)."""
+    found: Facets = {}
+    if year is not None:
+        found["period"] = lambda v: told(_c(year).between(*(F.lit(x).try_cast("int") for x in v.split("..", 1))))
+    if typologies is not None:
+        found["typology"] = lambda v: typology([v], typologies, *types)
+    if materials is not None:
+        found["material"] = lambda v: material([v], materials)
+    if country_ is not None:
+        found["country"] = lambda v: country(v, country_)
+    if structure is not None:
+        found["structural_system"] = lambda v: one_or_more(v, structure)
+    if climate is not None:
+        found["climate_zone"] = lambda v: one_or_more(v, climate)
+    if styles:
+        found["style"] = lambda v: style([v], *styles)
+    return found
+
+
+def compiled(queries: DataFrame, rows: DataFrame, known: Facets, column: str = "filters") -> tuple[DataFrame, DataFrame]:
+    """(queries with ``wanted``, rows with ``bits``) for queries that carry a map of facet -> values each.
+
+    The different (facet, value) predicates of all queries are evaluated once a row, into ``bits``; ``wanted`` names, for each
+    facet of the query, the places (from 1) of those of which one must hold. A null or empty map, an empty list, a facet that is not
+    known and a period that is not of two values let everything pass.
+    """
+    entries = F.filter(F.map_entries(F.coalesce(F.col(column), F.create_map().cast("map<string,array<string>>"))), lambda e: e["key"].isin(list(known)) & (F.size(e["value"]) > 0) & ((e["key"] != "period") | (F.size(e["value"]) == 2)))
+    values = lambda e: F.when(e["key"] == "period", F.array(F.array_join(e["value"], ".."))).otherwise(F.array_compact(e["value"]))
+    named = F.transform(entries, lambda e: F.transform(values(e), lambda v: F.concat(e["key"], F.lit("\n"), v)))
+    asked = queries.withColumn("wanted", named)
+    rows_ = asked.select(F.explode(F.flatten("wanted")).alias("p")).distinct().limit(MOST_PREDICATES + 1).collect()
+    if len(rows_) > MOST_PREDICATES:
+        raise ValueError(f"more than {MOST_PREDICATES} different predicates in one call")
+    predicates = sorted(r["p"] for r in rows_)
+    places = F.array(*[F.lit(p) for p in predicates]).cast("array<string>")
+    asked = asked.withColumn("wanted", F.transform("wanted", lambda facet: F.transform(facet, lambda p: F.array_position(places, p).cast("int"))))
+    held = [told(known[name](value)) for name, value in (p.split("\n", 1) for p in predicates)]
+    return asked, rows.withColumn("bits", F.array(*held).cast("array<boolean>"))
+
+
+def passes(wanted: Column | str, bits: Column | str) -> Column:
+    """Whether a row of ``bits`` meets a query of ``wanted``."""
+    return F.forall(_c(wanted), lambda facet: F.exists(facet, lambda place: F.element_at(_c(bits), place)))
+
+
 def keep_candidates(candidates: DataFrame, rows: DataFrame, condition: Column, key: str = "image_id") -> DataFrame:
     """Candidates (with their rank) whose row meets the condition; one semi-join, order by the carried rank."""
     return candidates.join(rows.where(condition).select(key), key, "left_semi")
@@ -107,7 +158,7 @@ def library_filter(styles: Column, types: Column, countries: Column, years: Colu
 
 def highlighted(tags: Column, query: str) -> Column:
     """The tags that hold any word of the query."""
-    tokens = [t for t in __import__("re").split(r"[\s,]+", query.lower()) if t]
+    tokens = [t for t in re.split(r"[\s,]+", query.lower()) if t]
     return F.filter(tags, lambda t: any_of(F.contains(F.lower(t), F.lit(x)) for x in tokens))
 
 

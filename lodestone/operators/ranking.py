@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.operators.filters import either_floor, relative_floor
+from lodestone.operators.filters import Facets, compiled, either_floor, passes, relative_floor
 from lodestone.operators.vectors import DIGITS, knn, ranked
 
 
@@ -106,29 +106,56 @@ def with_rows(hits: DataFrame, rows: DataFrame, key: str = "image_id") -> DataFr
     return hits.join(rows.withColumnRenamed(key, "id"), "id")
 
 
-def text_search(queries: DataFrame, vectors: DataFrame, rows: DataFrame, condition: Column | None = None, *, candidates: int = 100, threshold: float = 0.0, k: int = 20, filter_mode: str = "post") -> DataFrame:
+def _kept(hits: DataFrame, rows: DataFrame, queries: DataFrame, condition: Column | None, facets: Facets | None) -> DataFrame:
+    """Hits whose row meets the condition, and the query's own filters where ``facets`` are given; with the row's tag_status."""
+    keep = rows if condition is None else rows.where(condition)
+    keep = keep.withColumnRenamed("image_id", "id")
+    if facets is None:
+        return hits.join(keep.select("id", "tag_status"), "id")
+    asked, told = compiled(queries, keep, facets)
+    both = hits.join(told.select("id", "tag_status", "bits"), "id").join(asked.select("qid", "wanted"), "qid")
+    return both.where(passes("wanted", "bits")).drop("wanted", "bits")
+
+
+def text_search(queries: DataFrame, vectors: DataFrame, rows: DataFrame, condition: Column | None = None, *, facets: Facets | None = None, candidates: int = 100, threshold: float = 0.0, k: int = 20, filter_mode: str = "post") -> DataFrame:
     """The text-query pipeline: nearest, relative floor, filters, penalty, cut, rows.
 
-    ``filter_mode="post"`` filters the candidates, ``"pre"`` the searched vectors.
+    ``condition`` holds for all queries; with ``facets`` each query also has a map of ``filters`` of its own.
+    ``filter_mode="post"`` filters the candidates, ``"pre"`` the searched vectors, so that every query finds its best among its own rows.
     """
-    keep = rows if condition is None else rows.where(condition)
     if filter_mode == "pre":
-        vectors = vectors.join(keep.select(F.col("image_id").alias("id")), "id", "left_semi")
-    hits = relative_floor(knn(queries, vectors, candidates), threshold)
-    hits = hits.join(keep.select(F.col("image_id").alias("id"), "tag_status"), "id")
-    return with_rows(penalised(hits).where(F.col("rank") <= k).drop("tag_status"), rows)
+        hits, condition, facets = filtered_knn(queries, vectors, rows, candidates, condition, facets), None, None
+    else:
+        hits = knn(queries, vectors, candidates)
+    hits = relative_floor(hits, threshold)
+    return with_rows(penalised(_kept(hits, rows, queries, condition, facets)).where(F.col("rank") <= k).drop("tag_status"), rows)
+
 
+def filtered_knn(queries: DataFrame, vectors: DataFrame, rows: DataFrame, k: int, condition: Column | None = None, facets: Facets | None = None) -> DataFrame:
+    """``knn`` among the rows (image_id, …) that meet the condition and, with ``facets``, the query's own filters: one scan for all filters."""
+    keep = rows if condition is None else rows.where(condition)
+    if facets is None:
+        return knn(queries, vectors.join(keep.select(F.col("image_id").alias("id")), "id", "left_semi"), k)
+    asked, told = compiled(queries, keep, facets)
+    return knn(asked, vectors.select("id", "vec").join(told.select(F.col("image_id").alias("id"), "bits"), "id"), k, filtered=True)
 
-def image_search(queries: DataFrame, clip: DataFrame, text: DataFrame, rows: DataFrame, condition: Column | None = None, *, candidates: int = 100, threshold: float = 0.0, k: int = 10, exclude_self: bool = False) -> DataFrame:
-    """The image-query pipeline: both vector lists (the text list without the query itself), fusion, either floor, filters, penalty, cut, rows."""
+
+def collections(queries: DataFrame, vectors: DataFrame, rows: DataFrame, facets: Facets, k: int = 4) -> DataFrame:
+    """qid, id, score, rank: the k best of each (qid, vec, filters) collection; collections without a row drop out."""
+    return filtered_knn(queries, vectors, rows, k, facets=facets)
+
+
+def image_search(queries: DataFrame, clip: DataFrame, text: DataFrame, rows: DataFrame, condition: Column | None = None, *, facets: Facets | None = None, candidates: int = 100, threshold: float = 0.0, k: int = 10, exclude_self: bool = False) -> DataFrame:
+    """The image-query pipeline: both vector lists (the text list without the query itself), fusion, either floor, filters, penalty, cut, rows.
+
+    ``condition`` holds for all queries; with ``facets`` each query also has a map of ``filters`` of its own.
+    """
     a, b = knn(queries, clip, candidates), ranked(knn(queries, text, candidates).where("id <> qid").drop("rank"))
     if exclude_self:
         a = ranked(a.where("id <> qid").drop("rank"))
     hits = reciprocal_rank_fusion([a, b], keep=("clip", "text_"))
     hits = hits.where(either_floor(threshold, "clip", "text_")).select("qid", "id", "score", "rank")
-    keep = rows if condition is None else rows.where(condition)
-    hits = hits.join(keep.select(F.col("image_id").alias("id"), "tag_status"), "id")
-    return with_rows(penalised(hits).where(F.col("rank") <= k).drop("tag_status"), rows)
+    return with_rows(penalised(_kept(hits, rows, queries, condition, facets)).where(F.col("rank") <= k).drop("tag_status"), rows)
 
 
 def chunk_search(queries: DataFrame, chunks: DataFrame, sources: DataFrame, condition: Column, k: int = 8) -> DataFrame:
@@ -137,38 +164,80 @@ def chunk_search(queries: DataFrame, chunks: DataFrame, sources: DataFrame, cond
     return knn(queries, seen.select("id", "vec"), k)
 
 
+def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of boxes along the last axis (x1, y1, x2, y2); nan boxes overlap nothing."""
+    size = lambda x: np.maximum(x[..., 2:] - x[..., :2], 0).prod(-1)
+    both = np.maximum(np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2]), 0).prod(-1)
+    return both / np.maximum(size(a) + size(b) - both, 1e-9)
+
+
+class Suppression:
+    """The greedy choice over many images at once, on boxes that come sorted by image and falling score.
+
+    Of each image a window of boxes is settled at a time. A box is out once a chosen one overlaps it, and chosen once every
+    better one that overlaps it is out; what is left is settled over and over until nothing is. Only the chosen boxes of the image
+    that a batch ends in are held for the next batch.
+    """
+
+    WINDOW = 32
+
+    def __init__(self, iou: float, most: int):
+        self.iou, self.most = iou, most
+        self.image, self.held = None, np.full((0, 4), np.nan)
+
+    def add(self, images: pa.Array, box: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows that are chosen, their places from 1)."""
+        code = images.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        size = np.diff(np.append(start, len(code)))
+        chosen, count = np.full((len(start), self.most, 4), np.nan), np.zeros(len(start), np.int64)
+        if self.image is not None and images[0].as_py() == self.image[0]:
+            chosen[0, : len(self.held)], count[0] = self.held, len(self.held)
+        rows, places = [], []
+        for at in range(0, int(size.max()), self.WINDOW):
+            live = np.flatnonzero((size > at) & (count < self.most))
+            if not len(live):
+                break
+            offset = at + np.arange(min(self.WINDOW, int(size[live].max()) - at))
+            here = offset[None, :] < size[live, None]
+            row = np.where(here, start[live, None] + offset[None, :], 0)
+            some = np.where(here[..., None], box[row], np.nan)
+            left = here & ~(_iou(some[:, :, None], chosen[live][:, None]) >= self.iou).any(2)
+            better = (_iou(some[:, :, None], some[:, None]) >= self.iou) & np.tri(len(offset), k=-1, dtype=bool)
+            taken = np.zeros_like(left)
+            while left.any():
+                new = left & ~(better & left[:, None]).any(2)
+                taken |= new
+                left &= ~new & ~(better & new[:, None]).any(2)
+            place = count[live, None] + np.cumsum(taken, 1)
+            taken &= place <= self.most
+            i, j = np.nonzero(taken)
+            chosen[live[i], place[i, j] - 1] = some[i, j]
+            count[live] += taken.sum(1)
+            rows.append(row[i, j])
+            places.append(place[i, j])
+        self.image, self.held = (images[-1].as_py(),), chosen[-1, : count[-1]]
+        return np.concatenate([*rows, np.zeros(0, np.int64)]), np.concatenate([*places, np.zeros(0, np.int64)])
+
+
 def non_max_suppression(boxes: DataFrame, iou: float = 0.45, least: float = 0.20, most: int = 20) -> DataFrame:
     """image, region, score, place: per image greedily by score, without boxes that overlap a chosen one by ``iou`` or more.
 
-    An image's boxes are gathered into one sorted array (an image has some hundreds at most), so that
-    the sequential choice runs over batches of images.
+    Boxes stream through tasks in the order of choice; a task holds a batch and the chosen boxes of one image, however many boxes an image has.
     """
-    order = F.struct((-F.col("score")).alias("s"), "region", "score", "x1", "y1", "x2", "y2")
-    images = boxes.where(F.col("score") >= least).groupBy("image").agg(F.array_sort(F.collect_list(order)).alias("boxes"))
-
-    def greedy(box: np.ndarray) -> list[int]:
-        """Places of the chosen among x1, y1, x2, y2 rows in the order of choice."""
-        area, left, chosen = np.maximum(box[:, 2:] - box[:, :2], 0).prod(1), np.arange(len(box)), []
-        while len(left) and len(chosen) < most:
-            i, rest = left[0], left[1:]
-            both = np.maximum(np.minimum(box[i, 2:], box[rest, 2:]) - np.maximum(box[i, :2], box[rest, :2]), 0).prod(1)
-            chosen.append(i)
-            left = rest[both / np.maximum(area[i] + area[rest] - both, 1e-9) < iou]
-        return chosen
+    corners = ("x1", "y1", "x2", "y2")
+    lined = boxes.where(F.col("score") >= least).select("image", "region", "score", *corners).repartition("image").sortWithinPartitions("image", F.desc("score"), "region", *corners)
+    kinds = dict(boxes.dtypes)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = Suppression(iou, most)
         for batch in batches:
-            lists, flat = batch.column(1), batch.column(1).flatten()
-            box = np.stack([flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x1", "y1", "x2", "y2")], 1)
-            start = np.cumsum([0, *pa.compute.list_value_length(lists).to_pylist()])
-            taken = [start[i] + np.array(greedy(box[start[i] : start[i + 1]]), np.int64) for i in range(len(lists))]
-            at = pa.array(np.concatenate([*taken, np.zeros(0, np.int64)]))
-            rows = pa.StructArray.from_arrays([flat.field("region").take(at), flat.field("score").cast(pa.float64()).take(at)], names=["region", "score"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, taken)]), pa.int32()), rows)], names=["image", "chosen"])
+            if len(batch):
+                box = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in corners], 1)
+                rows, places = state.add(batch.column("image"), box)
+                yield pa.RecordBatch.from_arrays([*batch.select(["image", "region", "score"]).take(pa.array(rows)).columns, pa.array(places, pa.int32())], names=["image", "region", "score", "place"])
 
-    kinds = dict(boxes.dtypes)
-    kept = images.mapInArrow(choose, f"image {kinds['image']}, chosen array<struct<region: {kinds['region']}, score: double>>")
-    return kept.select("image", F.posexplode("chosen").alias("i", "c")).select("image", "c.region", "c.score", (F.col("i") + 1).alias("place"))
+    return lined.mapInArrow(choose, f"image {kinds['image']}, region {kinds['region']}, score {kinds['score']}, place int")
 
 
 def box_shape(x1: Column, y1: Column, x2: Column, y2: Column, width: float, height: float) -> list[Column]:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import materialise
+
 
 def shuffled(seed: int, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
@@ -62,17 +64,30 @@ def guaranteed_split(rows: DataFrame, label: str, key: str, n_train: int, n_test
     return first.unionByName(rest.drop("place", "a", "b"))
 
 
+def numbered(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Adds ``at``, from 0 in the group's order, and ``total``, the group's number of rows.
+
+    All rows are sorted by group and order in range parts, so that a large group lies in many parts; the rows of a group in the parts
+    before, summed over counts alone, are added to the place inside the part.
+    """
+    lined = materialise(rows.orderBy(group, *order).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftrightunsigned("_row", 33)
+    runs = lined.groupBy(F.col(group).alias("_group"), part.alias("_of")).agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    own = W.partitionBy("_group")
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))  # a group's parts
+    runs = runs.withColumn("_before", before).withColumn("total", F.sum("_n").over(own))
+    both = lined.withColumn("_part", part).join(runs, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of")))
+    return both.withColumn("at", F.col("_row") - F.col("_first") + F.col("_before")).select(*rows.columns, "at", "total")
+
+
 def evenly_spaced(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
     """About n rows of each group: positions min(i * step, total - 1), step = max(1, total div n)."""
-    w = W.partitionBy(group)
-    numbered = rows.withColumn("at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("total", F.count("*").over(w))
     step = F.greatest(F.lit(1).cast("long"), F.floor(F.col("total") / n))
-    return numbered.where((F.col("at") % step == 0) & (F.col("at") < step * n)).drop("total")
+    return numbered(rows, group, order).where((F.col("at") % step == 0) & (F.col("at") < step * n)).drop("total")
 
 
 def every_nth(rows: DataFrame, group: str, order: list[str], step: int, n: int) -> DataFrame:
-    at = F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1
-    return rows.withColumn("at", at).where((F.col("at") % step == 0) & (F.col("at") < step * n))
+    return numbered(rows, group, order).where((F.col("at") % step == 0) & (F.col("at") < step * n)).drop("total")
 
 
 def hard_negative_batches(rows: DataFrame, label: str, key: str, clusters: DataFrame, n_batches: int, size: int, seed: int = 0) -> DataFrame:

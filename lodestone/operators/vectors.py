@@ -1,15 +1,19 @@
 """Exact vector search and vector arithmetic.
 
-``knn`` sends the queries to the tasks in batches of a bounded number; every task multiplies its
-vectors with a batch block by block, keeps the k best of each query over all of its blocks, and gives
-them when it ends; a window over the query takes the best of those. Vectors never pass the driver,
-queries by the batch.
+``knn`` sends up to a batch of queries to the tasks; every task multiplies its vectors with them block by
+block, keeps the k best of each query over all of its blocks, and gives them when it ends. More queries meet
+the vectors block against block: each side is dealt into blocks of bounded size, a task takes one pair of
+blocks, and neither queries nor vectors pass the driver. A window over the query takes the best of what tasks give.
+
+Queries may carry filters of their own (``filters.compiled``): each task turns its rows' predicate bits into one
+bitmap for each different filter, and a query sees only the rows of its bitmap.
+
+Labels are a matrix that every task holds: a row's scores against all labels, and what is made of them, stay in its batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,64 +25,105 @@ from pyspark.sql import functions as F
 DIGITS = 6
 MOST_LABELS = 10_000
 BLOCK = 512  # queries that are multiplied with a batch of vectors at once
+CELLS = 4_000_000  # numbers of one side of a block pair, or scores of a batch against all labels
 
 
 def _dense(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, batch: int = 8192, digits: int = DIGITS) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int, batch: int = 8192, digits: int = DIGITS, filtered: bool = False, cells: int = CELLS) -> DataFrame:
     """qid, id, score, rank: for (qid, vec) queries the k vectors of (id, vec) with the largest inner product.
 
     Scores are rounded to ``digits``, ties go to the smaller id. All vectors have one length; null ones take no part.
+    ``filtered``: queries have ``wanted`` and vectors ``bits`` beside, and a query's k best are those of its own rows.
     """
-    sc = vectors.sparkSession.sparkContext
-    asked = queries.where("vec is not null").select("qid", "vec")
-    n_batches = max(1, -(-asked.count() // batch))
-    part = lambda b: asked.where(F.pmod(F.xxhash64("qid"), F.lit(n_batches)) == b) if n_batches > 1 else asked
-    id_type, qid_type = vectors.schema["id"].dataType, queries.schema["qid"].dataType
-    schema = f"place int, id {id_type.simpleString()}, score double"
-    found = []
-    for b in range(n_batches):
-        rows = part(b).collect()
-        told = sc.broadcast(np.array([r["vec"] for r in rows], np.float64)) if rows else None
-        if told is None:
-            continue
-
-        def search(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
-            best = Best(told.value, k, digits)
-            for batch_ in batches:
-                best.add(batch_.column(0), batch_.column(1))
-            yield from best.rows()
-
-        hits = vectors.where("vec is not null").select("id", "vec").mapInArrow(search, schema)
-        names = vectors.sparkSession.createDataFrame([(i, r["qid"]) for i, r in enumerate(rows)], f"place int, qid {qid_type.simpleString()}")
-        found.append(hits.join(F.broadcast(names), "place").select("qid", "id", "score"))  # a batch of names at most
-    if not found:
-        return vectors.sparkSession.createDataFrame([], f"qid {qid_type.simpleString()}, id {id_type.simpleString()}, score double, rank int")
-    return ranked(reduce(DataFrame.unionByName, found)).where(F.col("rank") <= k)
+    asked = queries.where("vec is not null").select("qid", "vec", *["wanted"] * filtered)
+    found = vectors.where("vec is not null").select("id", "vec", *["bits"] * filtered)
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    few = asked.limit(batch + 1).collect()
+    if not few:
+        return vectors.sparkSession.createDataFrame([], f"{kinds}, rank int")
+    hits = _sent(few, found, k, digits, kinds) if len(few) <= batch else _met(asked, found, k, digits, max(1024, cells // max(len(few[0]["vec"]), 1)), kinds)
+    return ranked(hits).where(F.col("rank") <= k)
+
+
+def _sent(rows: list, found: DataFrame, k: int, digits: int, kinds: str) -> DataFrame:
+    """The best of each task for a batch of queries that all tasks hold."""
+    spark = found.sparkSession
+    classes = [r["wanted"] for r in rows] if "bits" in found.columns else None
+    told = spark.sparkContext.broadcast((np.array([r["vec"] for r in rows], np.float64), classes))
+    qid, id_ = kinds.split(", ")[:2]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(told.value[0], k, digits, told.value[1])
+        for batch in batches:
+            best.add(*batch.columns)
+        yield from best.rows()
+
+    hits = found.mapInArrow(search, f"place int, {id_}, score double")
+    names = spark.createDataFrame([(i, r["qid"]) for i, r in enumerate(rows)], f"place int, {qid}")
+    return hits.join(F.broadcast(names), "place").select("qid", "id", "score")  # a batch of names at most
+
+
+def _met(asked: DataFrame, found: DataFrame, k: int, digits: int, block: int, kinds: str) -> DataFrame:
+    """The best of each pair of a block of queries and a block of vectors."""
+    n_q, n_v = (max(1, -(-df.count() // block)) for df in (asked, found))
+    dealt = lambda df, key, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))).groupBy("_q", "_v")
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        part = lambda t, c: t.column(c).combine_chunks()
+        if not len(left) or not len(right):
+            return pa.table({"qid": part(left, "qid").slice(0, 0), "id": part(right, "id").slice(0, 0), "score": pa.array([], pa.float64())})
+        best = Best(_dense(part(left, "vec")), k, digits, part(left, "wanted").to_pylist() if "wanted" in left.column_names else None)
+        some = [part(right, c) for c in ("id", "vec", "bits") if c in right.column_names]
+        for at in range(0, len(right), 4096):
+            best.add(*[c.slice(at, 4096) for c in some])
+        out = pa.Table.from_batches(best.rows(), pa.schema([("place", pa.int32()), ("id", some[0].type), ("score", pa.float64())]))
+        return pa.table({"qid": part(left, "qid").take(out.column("place").combine_chunks()), "id": out.column("id"), "score": out.column("score")})
+
+    return dealt(asked, "qid", "_q", n_q, "_v", n_v).cogroup(dealt(found, "id", "_v", n_v, "_q", n_q)).applyInArrow(search, kinds)
 
 
 class Best:
-    """The k best (score, id) of each query among the vectors seen so far; ties go to the smaller id."""
+    """The k best (score, id) of each query among the vectors seen so far; ties go to the smaller id.
 
-    def __init__(self, queries: np.ndarray, k: int, digits: int):
+    With ``wanted``, a filter for each query (facets that all must hold, each a list of places of predicates of which one must),
+    queries of one filter share a bitmap over the rows of a batch.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, digits: int, wanted: list | None = None):
         self.queries, self.k, self.digits = queries, k, digits
+        self.filters: dict[tuple, int] = {}
+        self.filter_of = None if wanted is None else np.array([self.filters.setdefault(tuple(map(tuple, w or ())), len(self.filters)) for w in wanted], np.int64)
         self.place, self.ids, self.score = np.zeros(0, np.int32), None, np.zeros(0)
         self.least = np.full(len(queries), -np.inf)
 
-    def add(self, ids: pa.Array, vectors: pa.Array) -> None:
+    def add(self, ids: pa.Array, vectors: pa.Array, bits: pa.Array | None = None) -> None:
         if not len(ids):
             return
         dense = _dense(vectors).T
+        seen = None if self.filter_of is None else self._bitmaps(bits)
         for at in range(0, len(self.queries), BLOCK):
             score = np.round(self.queries[at : at + BLOCK] @ dense, self.digits) + 0.0
+            if seen is not None:
+                score = np.where(seen[self.filter_of[at : at + BLOCK]], score, -np.inf)
             least = self.least[at : at + BLOCK, None]
             if score.shape[1] > self.k:
                 least = np.maximum(least, -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1 : self.k])
-            i, j = np.nonzero(score >= least)  # ties with the k-th score go on to the cut
+            i, j = np.nonzero((score >= least) & (score > -np.inf))  # ties with the k-th score go on to the cut
             self._keep((i + at).astype(np.int32), ids.take(pa.array(j)), score[i, j])
 
+    def _bitmaps(self, bits: pa.Array) -> np.ndarray:
+        """filters x rows: which rows each filter lets pass."""
+        held = bits.flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(len(bits), -1)
+        out = np.ones((len(self.filters), len(bits)), bool)
+        for wanted, i in self.filters.items():
+            for facet in wanted:
+                out[i] &= held[:, np.array(facet, np.int64) - 1].any(1)
+        return out
+
     def _keep(self, place: np.ndarray, ids: pa.Array, score: np.ndarray) -> None:
         place, score = np.append(self.place, place), np.append(self.score, score)
         ids = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
@@ -130,21 +175,130 @@ def similar(ids: DataFrame, vectors: DataFrame, k: int = 6, floor: float | None
     return ranked(hits.drop("rank")).where(F.col("rank") <= k)
 
 
+class Vocabulary:
+    """Names, by rising name, and vectors of a (label, vec) table of at most MOST_LABELS rows."""
+
+    def __init__(self, labels: DataFrame):
+        rows = sorted(labels.select("label", "vec").where("vec is not null").limit(MOST_LABELS + 1).collect(), key=lambda r: r["label"])
+        if len(rows) > MOST_LABELS:
+            raise ValueError(f"more than {MOST_LABELS} labels; search them by knn")
+        self.type, self.names = labels.schema["label"].dataType.simpleString(), [r["label"] for r in rows]
+        self.matrix = np.array([r["vec"] for r in rows], np.float64)
+
+    def places(self, names: pa.Array) -> np.ndarray:
+        """The place of each name, -1 for others."""
+        at = {n: i for i, n in enumerate(self.names)}
+        return np.array([at.get(n, -1) for n in names.to_pylist()], np.int64)
+
+    def array(self) -> pa.Array:
+        return pa.array(self.names, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[self.type])
+
+
+def by_labels(rows: DataFrame, labels: DataFrame | Vocabulary, tell: Callable[[Vocabulary, np.ndarray, list[pa.Array]], list[pa.Array]], schema: str, *keep: str) -> DataFrame:
+    """What ``tell(vocabulary, scores, kept columns)`` makes of each batch of (id, vec, keep) rows; ``scores`` is rows x labels, rounded."""
+    known = labels if isinstance(labels, Vocabulary) else Vocabulary(labels)
+    told = rows.sparkSession.sparkContext.broadcast(known)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // max(len(told.value.names), 1))
+        for batch in batches if told.value.names else ():
+            for at in range(0, len(batch), step):
+                some = batch.slice(at, step)
+                scores = np.round(_dense(some.column(0)) @ told.value.matrix.T, DIGITS) + 0.0
+                yield pa.RecordBatch.from_arrays(tell(told.value, scores, some.columns[1:]), names=names)
+
+    return rows.where("vec is not null").select("vec", "id", *keep).mapInArrow(score, schema)
+
+
+def _id(rows: DataFrame) -> str:
+    return f"id {rows.schema['id'].dataType.simpleString()}"
+
+
 def class_scores(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """id, label, cos: every row against the (label, vec) vocabulary, a table of at most MOST_LABELS rows that is sent to all tasks."""
-    if labels.limit(MOST_LABELS + 1).count() > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels; search them by knn")
-    return rows.select("id", "vec").join(F.broadcast(labels.select("label", F.col("vec").alias("label_vec")))).select("id", "label", F.round(dot(F.col("vec"), F.col("label_vec")), DIGITS).alias("cos"))
+    """id, label, cos: every row against the vocabulary."""
+
+    def tell(known: Vocabulary, scores: np.ndarray, kept: list[pa.Array]) -> list[pa.Array]:
+        n, m = scores.shape
+        return [kept[0].take(pa.array(np.repeat(np.arange(n), m))), known.array().take(pa.array(np.tile(np.arange(m), n))), pa.array(scores.ravel())]
+
+    known = Vocabulary(labels)
+    return by_labels(rows, known, tell, f"{_id(rows)}, label {known.type}, cos double")
+
+
+def softmax(scores: np.ndarray, scale: float) -> np.ndarray:
+    p = np.exp(scale * (scores - scores.max(1, keepdims=True)))
+    return p / p.sum(1, keepdims=True)
 
 
-def zero_shot(scores: DataFrame, least: float = 0.20, scale: float = 100.0, other: tuple[str, ...] = ()) -> DataFrame:
-    """id, label, conf: softmax(scale * cos) and its largest; label null below ``least`` or when it is in ``other``."""
-    w = W.partitionBy("id")
-    top = F.exp(scale * (F.col("cos") - F.max("cos").over(w)))
-    p = scores.withColumn("p", top / F.sum(top).over(w))
-    best = p.groupBy("id").agg(F.max("p").alias("conf"), F.max_by("label", F.struct(F.col("cos"), -F.col("label").cast("long") if dict(scores.dtypes)["label"] != "string" else F.lit(0))).alias("label"))
-    keep = (F.col("conf") >= least) & ~F.col("label").cast("string").isin(list(other) or [""])
-    return best.select("id", F.when(keep, F.col("label")).alias("label"), "conf")
+def zero_shot(rows: DataFrame, labels: DataFrame, least: float = 0.20, scale: float = 100.0, other: tuple[str, ...] = ()) -> DataFrame:
+    """id, label, conf: softmax(scale * cos) and its largest label, ties to the smaller one; label null below ``least`` or when it is in ``other``."""
+
+    def tell(known: Vocabulary, scores: np.ndarray, kept: list[pa.Array]) -> list[pa.Array]:
+        best, conf = scores.argmax(1), softmax(scores, scale).max(1)
+        drop = np.isin(best, [i for i, n in enumerate(known.names) if str(n) in other]) | (conf < least)
+        return [kept[0], known.array().take(pa.array(best, mask=drop)), pa.array(conf)]
+
+    known = Vocabulary(labels)
+    return by_labels(rows, known, tell, f"{_id(rows)}, label {known.type}, conf double")
+
+
+def own_label(rows: DataFrame, labels: DataFrame, own: str = "own", scale: float = 100.0) -> DataFrame:
+    """id, rank, p: where the row's own label stands among all (by cosine, then label), and its softmax; null if there is no such label."""
+
+    def tell(known: Vocabulary, scores: np.ndarray, kept: list[pa.Array]) -> list[pa.Array]:
+        at = known.places(kept[1])
+        mine = scores[np.arange(len(at)), np.maximum(at, 0)]
+        before = (scores > mine[:, None]) | ((scores == mine[:, None]) & (np.arange(scores.shape[1]) < at[:, None]))
+        return [kept[0], pa.array(before.sum(1).astype(np.int32) + 1, pa.int32(), mask=at < 0), pa.array(softmax(scores, scale)[np.arange(len(at)), np.maximum(at, 0)], mask=at < 0)]
+
+    return by_labels(rows, labels, tell, f"{_id(rows)}, rank int, p double", own)
+
+
+def hard_negative_margins(rows: DataFrame, labels: DataFrame, negatives: DataFrame, own: str = "own") -> DataFrame:
+    """id, margin: own-label cosine less the best cosine of the own class's (own_class, negative) labels."""
+    pairs = negatives.select("own_class", "negative").distinct().limit(100 * MOST_LABELS + 1).collect()
+    if len(pairs) > 100 * MOST_LABELS:
+        raise ValueError(f"more than {100 * MOST_LABELS} pairs of a class and a negative")
+    against: dict = {}
+    for a, b in pairs:
+        against.setdefault(a, []).append(b)
+
+    def tell(known: Vocabulary, scores: np.ndarray, kept: list[pa.Array]) -> list[pa.Array]:
+        at, margin = known.places(kept[1]), np.full(len(scores), np.nan)
+        for c in set(at[at >= 0].tolist()):
+            far = [i for i, n in enumerate(known.names) if n in against.get(known.names[c], ())]
+            if far:
+                mine = np.flatnonzero(at == c)
+                margin[mine] = np.round(scores[mine, c] - scores[mine][:, far].max(1), DIGITS) + 0.0
+        return [kept[0], pa.array(margin, mask=np.isnan(margin))]
+
+    return by_labels(rows, labels, tell, f"{_id(rows)}, margin double", own).where("margin is not null")
+
+
+def label_consistency(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, mean, std, least, most of a row's similarities to all labels."""
+
+    def tell(known: Vocabulary, scores: np.ndarray, kept: list[pa.Array]) -> list[pa.Array]:
+        return [kept[0], *[pa.array(np.round(f(scores, axis=1), 8) + 0.0) for f in (np.mean, np.std, np.min, np.max)]]
+
+    return by_labels(rows, labels, tell, f"{_id(rows)}, mean double, std double, least double, most double")
+
+
+def similarity_stats(rows: DataFrame, labels: DataFrame, own: str = "own", ks: tuple[int, ...] = (1, 5)) -> DataFrame:
+    """mean, std, n of the whole matrix of rows and labels, and the share of rows whose own label is among the k best (recall_k)."""
+
+    def tell(known: Vocabulary, scores: np.ndarray, kept: list[pa.Array]) -> list[pa.Array]:
+        at = known.places(kept[1])
+        mine = scores[np.arange(len(at)), np.maximum(at, 0)]
+        before = ((scores > mine[:, None]) | ((scores == mine[:, None]) & (np.arange(scores.shape[1]) < at[:, None]))).sum(1)
+        return [pa.array(scores.mean(1)), pa.array(scores.var(1)), pa.array(np.where(at < 0, len(known.names), before).astype(np.int32))]
+
+    known = Vocabulary(labels)
+    per_row = by_labels(rows, known, tell, "m double, v double, before int", own)
+    n = F.count("*") * len(known.names)  # every row has as many scores: the whole variance is that inside rows and that of their means
+    recalls = [F.round(F.avg((F.col("before") < k).cast("double")), DIGITS).alias(f"recall_{k}") for k in ks]
+    return per_row.agg(F.round(F.avg("m"), DIGITS).alias("mean"), F.round(F.sqrt((F.avg("v") + F.var_pop("m")) * n / (n - 1)), DIGITS).alias("std"), n.alias("n"), *recalls)
 
 
 def centroids(rows: DataFrame, label: str) -> DataFrame:
@@ -154,7 +308,14 @@ def centroids(rows: DataFrame, label: str) -> DataFrame:
     return means.groupBy(label).agg(vec.alias("vec")).select(F.col(label).alias("label"), l2_normalised(F.col("vec")).alias("vec"))
 
 
-def top_styles(scores: DataFrame, n: int = 3, least: float = 0.20) -> DataFrame:
-    """id, styles: the labels of the n best cosines of at least ``least``, best first."""
-    best = scores.where(F.col("cos") >= least).withColumn("place", F.row_number().over(W.partitionBy("id").orderBy(F.desc("cos"), "label"))).where(F.col("place") <= n)
-    return best.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "label"))), lambda s: s["label"].cast("string")), ",").alias("styles"), F.max("cos").alias("confidence"))
+def top_styles(rows: DataFrame, labels: DataFrame, n: int = 3, least: float = 0.20) -> DataFrame:
+    """id, styles, confidence: the labels of the n best cosines of at least ``least``, best first."""
+
+    def tell(known: Vocabulary, scores: np.ndarray, kept: list[pa.Array]) -> list[pa.Array]:
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+        value = np.take_along_axis(scores, best, 1)
+        held = np.flatnonzero(value[:, 0] >= least)
+        styles = [",".join(str(known.names[j]) for j, v in zip(best[i], value[i], strict=True) if v >= least) for i in held]
+        return [kept[0].take(pa.array(held)), pa.array(styles, pa.string()), pa.array(value[held, 0])]
+
+    return by_labels(rows, labels, tell, f"{_id(rows)}, styles string, confidence double")

@@ -336,7 +336,7 @@ def t01_normal_label(spark, d):
 N = "replace(lower(trim({})), '_', ' ')"
 
 
-@query(C + f"SELECT image_id, 'style:' || style_primary AS key, 'a photo of a ' || {N.format('style_primary')} || ' ' || {N.format('building_type')} || ' building' AS prompt FROM corpus UNION ALL SELECT image_id, 'building_type:' || building_type, 'a photo of a ' || {N.format('building_type')} || ' building' FROM corpus UNION ALL SELECT image_id, 'material:' || m, 'a photo of a building made of ' || {N.format('m')} FROM (SELECT image_id, unnest(materials) AS m FROM corpus) WHERE m IS NOT NULL")
+@query(C + f"SELECT image_id, 'style:' || style_primary AS key, 'a photo of a ' || {N.format('style_primary')} || ' ' || {N.format('building_type')} || ' building' AS prompt FROM corpus WHERE style_primary IS NOT NULL UNION ALL SELECT image_id, 'building_type:' || building_type, 'a photo of a ' || {N.format('building_type')} || ' building' FROM corpus UNION ALL SELECT image_id, 'material:' || m, 'a photo of a building made of ' || {N.format('m')} FROM (SELECT image_id, unnest(materials) AS m FROM corpus) WHERE m IS NOT NULL")
 def t02_tag_prompts(spark, d):
     made = tags.prompts(F.col("style_primary"), F.col("building_type"), F.col("materials"))
     return corpus(spark, d).select("image_id", F.inline(made))

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from lodestone.plans.registry import query
 from lodestone.plans.views import table
+from lodestone.sources.shared import shared_dir
 from lodestone.streaming import ingest
 
 
 def workspace(spark) -> str:
-    """A new folder in the shared place: the checkpoint folder, or the warehouse where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    """A new folder in the shared place."""
+    return f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def _arriving(spark, d, name: str):

@@ -36,10 +36,10 @@ def a11_chunk_counts(spark, d):
     return out.select(F.col("source_id").alias("doc_id"), "chunk_count", "index_status")
 
 
-@query(C + "SELECT image_id, replace(array_to_string(list_filter([name, building_type, style_primary, material_1, material_2, 'tag_' || class_id, 'tag_' || class_id], lambda x: x IS NOT NULL AND x <> ''), ' '), '_', ' ') AS search_text FROM corpus")
+@query(C + "SELECT image_id, replace(array_to_string(list_filter([text, building_type, style_primary, material_1, material_2, 'tag_' || class_id, 'tag_' || class_id], lambda x: x IS NOT NULL AND x <> ''), ' '), '_', ' ') AS search_text FROM corpus")
 def x01_search_text(spark, d):
     tag = F.concat(F.lit("tag_"), F.col("class_id").cast("string"))
-    made = text.search_text(*[text.as_list(F.col(c)) for c in ("name", "building_type", "style_primary")], F.col("materials"), text.as_list(tag), text.as_list(tag))
+    made = text.search_text(*[text.as_list(F.col(c)) for c in ("text", "building_type", "style_primary")], F.col("materials"), text.as_list(tag), text.as_list(tag))
     return corpus(spark, d).select("image_id", made.alias("search_text"))
 
 
@@ -128,7 +128,7 @@ def x11_context_block(spark, d):
 @query(C + "SELECT image_id, coalesce(nullif(trim(material_2), ''), nullif(trim(owner), ''), trim(building_type)) AS first, style_primary || ' (' || printf('%.1f', CAST(class_id * 10.0 AS DOUBLE)) || '%)' AS label, substring(text, 1, 1200) AS index_text FROM corpus")
 def x12_merged_fields(spark, d):
     top = F.array(F.struct(F.col("style_primary").alias("label"), (F.col("class_id") / 10.0).alias("p")))
-    return corpus(spark, d).select("image_id", text.first_string(F.col("material_2"), F.col("owner"), F.col("building_type")).alias("first"), F.element_at(text.style_labels(top), 1).alias("label"), text.excerpt(F.col("text")).alias("index_text"))
+    return corpus(spark, d).select("image_id", text.first_string(F.col("material_2"), F.col("owner"), F.col("building_type")).alias("first"), F.try_element_at(text.style_labels(top), F.lit(1)).alias("label"), text.excerpt(F.col("text")).alias("index_text"))
 
 
 @query(C + "SELECT c.image_id, coalesce(c.owner, d.lang || '_ctx') AS owner, c.building_type FROM corpus c JOIN documents d ON c.image_id = d.doc_id")

@@ -160,17 +160,53 @@ def v13_image_search(spark, d):
     return out.select("qid", "id", "score", "rank", "style_primary")
 
 
+OWN = "((q.id % 300 <> 0 OR c.location_country IN ('en', 'fr')) AND (q.id % 200 <> 0 OR c.year_built BETWEEN 1820 AND 2000) AND (q.id % 500 <> 100 OR array_to_string(c.materials, ',') ILIKE '%glass%' OR array_to_string(c.materials, ',') ILIKE '%steel%'))"
+
+
+def _own_filters(queries):
+    """Queries with filters of their own by their number: countries, a period, materials, or none."""
+    some = lambda c, *values: F.when(c, F.array(*map(F.lit, values)))
+    own = F.create_map(F.lit("country"), some(F.col("qid") % 300 == 0, "en", "FR"), F.lit("period"), some(F.col("qid") % 200 == 0, "1820", "2000"), F.lit("material"), some(F.col("qid") % 500 == 100, "glass", "steel"))
+    return queries.withColumn("filters", F.map_filter(own, lambda k, v: v.isNotNull()))
+
+
+@query(f"WITH {VECS}, {CORPUS}, t AS (SELECT id, {shifted()} AS vec FROM v), z AS (SELECT q.id AS qid, c.image_id AS id, {SCORE.replace('c.vec', 'w.vec')} AS score FROM t q JOIN corpus c ON {OWN} JOIN v w ON w.id = c.image_id WHERE q.id % 100 = 0), z1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, max(score) OVER (PARTITION BY qid) AS top FROM z), h AS (SELECT z1.*, tag_status FROM z1 JOIN corpus ON id = image_id WHERE rank <= 100 AND score >= greatest(top - 0.20::DOUBLE, 0.05::DOUBLE)), {PENALTY} SELECT p.qid, p.id, p.score, p.rank, style_primary FROM p JOIN corpus ON id = image_id WHERE p.rank <= 20")
+def v12_filters_before(spark, d):
+    """Every query has filters of its own and finds its hundred among its own rows."""
+    asked_ = _own_filters(text_vecs(spark, d).where(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), "vec"))
+    out = ranking.text_search(asked_, vecs(spark, d).select("id", "vec"), corpus(spark, d), facets=_facets(), threshold=0.05, filter_mode="pre")
+    return out.select("qid", "id", "score", "rank", "style_primary")
+
+
+OWN_IMAGE = IMAGE.replace(f"JOIN corpus ON f.id = image_id WHERE", "JOIN corpus c ON f.id = image_id JOIN v q ON q.id = f.qid WHERE").replace(FILTER, OWN)
+
+
+@query(OWN_IMAGE)
+def v13_filters_after(spark, d):
+    """Every query has filters of its own, held against its candidates."""
+    out = ranking.image_search(_own_filters(asked(spark, d)), vecs(spark, d).select("id", "vec"), text_vecs(spark, d), corpus(spark, d), facets=_facets(), candidates=40, threshold=0.12)
+    return out.select("qid", "id", "score", "rank", "style_primary")
+
+
+@query(V + nn(3, "true") + " SELECT * FROM nn")
+def j07_every_row_asks(spark, d):
+    """The three nearest of every row among all rows: blocks of queries meet blocks of vectors."""
+    v = vecs(spark, d)
+    return vectors.knn(v.select(F.col("id").alias("qid"), "vec"), v, 3, batch=100)
+
+
 CENTRE = f"{V} m AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM v) GROUP BY 1, 2), g AS (SELECT label, list(m ORDER BY i) AS mv, sqrt(sum(m * m)) AS n FROM m GROUP BY 1), k AS (SELECT label, list_transform(mv, lambda x: x / n) AS lv FROM g), s AS (SELECT v.id, v.label AS own, k.label, round(list_inner_product(v.vec, k.lv), 6) AS cos FROM v CROSS JOIN k)"
 
 
-def _class_scores(spark, d):
+def _labels(spark, d):
+    """Rows with their own label, and the centroids of the labels."""
     v = vecs(spark, d)
-    return vectors.class_scores(v, vectors.centroids(v, "label"))
+    return v.withColumnRenamed("label", "own"), vectors.centroids(v, "label")
 
 
 @query(CENTRE + ", e AS (SELECT *, exp(100 * (cos - max(cos) OVER (PARTITION BY id))) AS e FROM s), p AS (SELECT id, label, cos, e / sum(e) OVER (PARTITION BY id) AS p FROM e) SELECT id, CASE WHEN max(p) >= 0.20 THEN arg_max(label, cos - label * 1e-9) END AS label, round(max(p), 4) AS conf FROM p GROUP BY 1")
 def v14_zero_shot(spark, d):
-    return vectors.zero_shot(_class_scores(spark, d)).select("id", "label", F.round("conf", 4).alias("conf"))
+    return vectors.zero_shot(*_labels(spark, d)).select("id", "label", F.round("conf", 4).alias("conf"))
 
 
 @query(f"WITH {VECS}, {CORPUS}, {nn(50)}, h AS (SELECT nn.*, tag_status FROM nn JOIN corpus ON id = image_id), {PENALTY} SELECT * FROM p")
@@ -181,7 +217,7 @@ def v15_penalty(spark, d):
 
 @query(CENTRE + ", t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, label) AS p FROM s WHERE cos >= 0.2) SELECT id, string_agg(CAST(label AS VARCHAR), ',' ORDER BY p) AS styles, max(cos) AS confidence FROM t WHERE p <= 3 GROUP BY 1")
 def v16_top_styles(spark, d):
-    return vectors.top_styles(_class_scores(spark, d))
+    return vectors.top_styles(*_labels(spark, d))
 
 
 @query(CENTRE + " SELECT label, round(lv[1], 6) AS first, round(lv[64], 6) AS last FROM k")
@@ -189,16 +225,29 @@ def v17_centroids(spark, d):
     return vectors.centroids(vecs(spark, d), "label").select("label", F.round(F.element_at("vec", 1), 6).alias("first"), F.round(F.element_at("vec", 64), 6).alias("last"))
 
 
-@query(CENTRE + f", q0 AS (SELECT label AS id, lv AS vec FROM k), {nn(4, 'true', asked='q0')} SELECT * FROM nn")
+COLLECTION = "(c.class_id = q.id AND (q.id % 3 <> 0 OR c.location_country IN ('en', 'de')) AND (q.id % 2 = 0 OR c.year_built BETWEEN 1850 AND 1980) AND (q.id % 5 <> 4 OR c.materials[1] ILIKE '%no such stuff%' OR c.materials[2] ILIKE '%no such stuff%'))"
+
+
+def _facets():
+    return filters.facets(year="year_built", materials="materials", country_="location_country", styles=(F.col("style_primary"),), types=(F.col("building_type"),), typologies=F.array(F.col("building_type")))
+
+
+def _collections(spark, d):
+    """One (query, filter) pair a style: the style itself, and by its number countries, a period, or a material that nothing has."""
+    label, some = F.col("label"), lambda c, *values: F.when(c, F.array(*map(F.lit, values))).otherwise(F.array().cast("array<string>"))
+    own = F.create_map(F.lit("style"), F.array(F.concat(F.lit("style_"), label.cast("string"))), F.lit("country"), some(label % 3 == 0, "EN", "de"), F.lit("period"), some(label % 2 == 1, "1850", "1980"), F.lit("material"), some(label % 5 == 4, "no such stuff"))
+    return vectors.centroids(vecs(spark, d), "label").select(label.alias("qid"), "vec", own.alias("filters"))
+
+
+@query(CENTRE.replace("WITH ", f"WITH {CORPUS}, ", 1) + f", q AS (SELECT label AS id, lv FROM k), h AS (SELECT q.id AS qid, v.id, round(list_inner_product(q.lv, v.vec), 6) AS score FROM q JOIN corpus c ON {COLLECTION} JOIN v ON v.id = c.image_id) SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM h QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 4")
 def v18_style_collections(spark, d):
-    """One query a style, the four best of each."""
-    centres = vectors.centroids(vecs(spark, d), "label")
-    return vectors.knn(centres.select(F.col("label").alias("qid"), "vec"), vecs(spark, d).select("id", "vec"), 4)
+    """(query, filter) pairs, each with the four best among its own rows, in one scan; two of ten are empty and drop out."""
+    return ranking.collections(_collections(spark, d), vecs(spark, d).select("id", "vec"), corpus(spark, d), _facets(), 4)
 
 
-@query(CENTRE + " SELECT round(avg(cos), 6) AS mean, round(stddev_samp(cos), 6) AS std, count(*) AS n FROM s")
+@query(CENTRE + " SELECT round(avg(cos), 6) AS mean, round(stddev_samp(cos), 6) AS std, count(*) AS n, (SELECT round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) FROM (SELECT own, label, row_number() OVER (PARTITION BY id ORDER BY cos DESC, label) AS r FROM s) WHERE own = label) AS recall_1, (SELECT round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) FROM (SELECT own, label, row_number() OVER (PARTITION BY id ORDER BY cos DESC, label) AS r FROM s) WHERE own = label) AS recall_5 FROM s")
 def v19_similarity_stats(spark, d):
-    return evaluation.similarity_stats(_class_scores(spark, d))
+    return vectors.similarity_stats(*_labels(spark, d))
 
 
 @query(V + nn(11) + " SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM nn WHERE id <> qid QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 10")
@@ -206,7 +255,15 @@ def v20_similar_text(spark, d):
     return vectors.similar(asked(spark, d).select("qid"), vecs(spark, d).select("id", "vec"), 10, None)
 
 
-@query()
+SUPPRESSED = f"""WITH RECURSIVE {BOXES}, n AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, region) AS p FROM boxes WHERE score >= 0.2),
+g AS (SELECT image, 0::BIGINT AS p, []::STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)[] AS kept, false AS new, NULL::BIGINT AS region, NULL::DOUBLE AS score FROM (SELECT DISTINCT image FROM n)
+ UNION ALL SELECT image, p, CASE WHEN ok THEN list_append(kept, struct_pack(x1 := x1, y1 := y1, x2 := x2, y2 := y2)) ELSE kept END, ok, region, score FROM (
+ SELECT g.image, n.p, g.kept, n.x1, n.y1, n.x2, n.y2, CAST(n.region AS BIGINT) AS region, n.score, len(g.kept) < 20 AND len(list_filter(g.kept, lambda k: greatest(least(k.x2, n.x2) - greatest(k.x1, n.x1), 0) * greatest(least(k.y2, n.y2) - greatest(k.y1, n.y1), 0)
+ / greatest((k.x2 - k.x1) * (k.y2 - k.y1) + (n.x2 - n.x1) * (n.y2 - n.y1) - greatest(least(k.x2, n.x2) - greatest(k.x1, n.x1), 0) * greatest(least(k.y2, n.y2) - greatest(k.y1, n.y1), 0), 1e-9) >= 0.45)) = 0 AS ok FROM g JOIN n ON n.image = g.image AND n.p = g.p + 1))
+SELECT image, region, score, CAST(row_number() OVER (PARTITION BY image ORDER BY p) AS INTEGER) AS place FROM g WHERE new"""
+
+
+@query(SUPPRESSED)
 def v21_non_max_suppression(spark, d):
     return ranking.non_max_suppression(boxes(spark, d))
 
@@ -277,7 +334,7 @@ def j03_chunk_with_source(spark, d):
 
 @query(CENTRE + " SELECT id, label, cos FROM s")
 def j09_label_scores(spark, d):
-    return _class_scores(spark, d)
+    return vectors.class_scores(*_labels(spark, d))
 
 
 @query(CENTRE.replace("WITH ", f"WITH {CORPUS}, ", 1) + ", n2 AS (SELECT c.image_id AS id, 'style:' || c.style_primary AS key, round(list_inner_product(v.vec, k.lv), 4) AS score FROM corpus c JOIN v ON v.id = c.image_id JOIN k ON k.label = c.class_id) SELECT id, key, score FROM n2")
@@ -383,8 +440,7 @@ def a22_class_counts(spark, d):
 
 @query(CENTRE + ", r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, label) AS rank FROM s), b AS (SELECT v.id, min(r.rank) AS rank FROM v LEFT JOIN r ON r.id = v.id AND r.label = v.label GROUP BY 1) SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS r_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS r_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS r_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, count(*) AS n, count(*) - count(rank) AS n_missing FROM b")
 def a23_best_positive(spark, d):
-    truth = vecs(spark, d).select("id", F.col("label").alias("own"))
-    return evaluation.best_positive_ranks(_class_scores(spark, d), truth)
+    return evaluation.best_positive_ranks(vectors.own_label(*_labels(spark, d)))
 
 
 MARGIN = CENTRE + ", mm AS (SELECT id, round(max(CASE WHEN label = own THEN cos END) - max(CASE WHEN label IN ((own + 1) % 10, (own + 3) % 10) THEN cos END), 6) AS margin FROM s GROUP BY 1)"
@@ -393,7 +449,7 @@ MARGIN = CENTRE + ", mm AS (SELECT id, round(max(CASE WHEN label = own THEN cos
 def _margins(spark, d):
     v = vecs(spark, d)
     near = v.select(F.col("label").alias("own_class")).distinct().select("own_class", F.explode(F.array((F.col("own_class") + 1) % 10, (F.col("own_class") + 3) % 10)).alias("negative"))
-    return evaluation.hard_negative_margins(_class_scores(spark, d), v.select("id", F.col("label").alias("own")), near)
+    return vectors.hard_negative_margins(*_labels(spark, d), near)
 
 
 @query(MARGIN + " SELECT round(avg(CASE WHEN margin > 0 THEN 1.0 ELSE 0.0 END), 6) AS pass_rate, round(avg(margin), 6) AS mean, round(quantile_cont(margin, 0.1), 6) AS p10, count(*) AS n FROM mm")
@@ -408,7 +464,18 @@ def a24_worst_margins(spark, d):
 
 @query(CENTRE + " SELECT id, round(avg(cos), 8) AS mean, round(stddev_pop(cos), 8) AS std, min(cos) AS least, max(cos) AS most FROM s GROUP BY 1")
 def a25_prompt_consistency(spark, d):
-    return evaluation.prompt_consistency(_class_scores(spark, d))
+    return vectors.label_consistency(*_labels(spark, d))
+
+
+@query(CENTRE + ", i AS (SELECT id, round(stddev_pop(cos), 8) AS std FROM s GROUP BY 1) SELECT round(avg(std), 6) AS mean_std, round(quantile_cont(std, 0.9), 6) AS p_std, count(*) AS n FROM i")
+def a25_consistency_summary(spark, d):
+    return evaluation.consistency_summary(vectors.label_consistency(*_labels(spark, d)))
+
+
+@query(f"WITH {BOXES} SELECT image % 100 AS label, count(score) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, round(min(score), 6) AS least, round(max(score), 6) AS most, round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.75), 6) AS p75 FROM boxes GROUP BY 1")
+def a22_described(spark, d):
+    """Scores of the boxes of a hundred classes of images, described."""
+    return evaluation.described(boxes(spark, d).select((F.col("image") % 100).alias("label"), "score"), "label", "score")
 
 
 @query(V + "b AS (SELECT label, arg_min(vec, id) AS base_vec, min(id) AS base FROM v GROUP BY 1) SELECT v.label AS id, round(min(list_inner_product(vec, base_vec)), 6) AS least, round(avg(list_inner_product(vec, base_vec)), 6) AS mean, round(avg(CASE WHEN v.id % 10 = base % 10 THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM v JOIN b ON v.label = b.label GROUP BY 1")
@@ -488,9 +555,4 @@ def w10_every_30th(spark, d):
 
 @query(CENTRE + ", e AS (SELECT *, exp(100 * (cos - max(cos) OVER (PARTITION BY id))) AS e FROM s), p AS (SELECT id, own, label, e / sum(e) OVER (PARTITION BY id) AS p FROM e) SELECT id, round(p, 4) AS p FROM p WHERE own = label AND p >= 0.05")
 def x32_quality_filter(spark, d):
-    w = W.partitionBy("id")
-    s = _class_scores(spark, d)
-    top = F.exp(100.0 * (F.col("cos") - F.max("cos").over(w)))
-    p = s.withColumn("p", top / F.sum(top).over(w))
-    own = vecs(spark, d).select("id", F.col("label").alias("own"))
-    return p.join(own, "id").where("label = own and p >= 0.05").select("id", F.round("p", 4).alias("p"))
+    return vectors.own_label(*_labels(spark, d)).where("p >= 0.05").select("id", F.round("p", 4).alias("p"))

@@ -11,9 +11,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The image table: documents that have a vector, with metadata derived from their ids and labels."""
+    """The image table: all documents, with their vector where they have one, and metadata derived from their ids and labels."""
     d, e, l = (table(spark, sf_dir, t) for t in ("documents", "embeddings", "labels"))
-    rows = d.join(e, d.doc_id == e.vec_id).join(l.select("doc_id", "quality", "toxic"), "doc_id", "left")
+    rows = d.join(e, d.doc_id == e.vec_id, "left").join(l.select("doc_id", "quality", "toxic"), "doc_id", "left")
     by = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod("doc_id", F.lit(n)) + 1).cast("int"))
     one = by(6, "Glass", "stone", "brick", "reinforced_concrete", "steel", "timber")
     two = by(4, "glass", "Stone", "slate", None)
@@ -37,7 +37,7 @@ CORPUS = """corpus AS (SELECT d.doc_id AS image_id, d.text, d.source, e.embeddin
  CASE WHEN l.toxic = 1 THEN 'quarantined' WHEN l.quality = 1 THEN 'verified' WHEN l.quality IS NOT NULL THEN 'provisional' END AS tag_status,
  CASE WHEN d.doc_id % 20 = 0 THEN 'processing' ELSE 'ready' END AS ingest_status, CASE WHEN d.doc_id % 3 <> 0 THEN 'owner_' || (d.doc_id % 3) END AS owner,
  sha256(d.text) AS sha256
- FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+ FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
