@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import materialise
+
 BITS = 64
 
 
@@ -142,17 +144,35 @@ def coalesce_update(target: DataFrame, source: DataFrame, on: list[str], columns
     return out.select(*[F.coalesce(F.col(c), F.col(f"_{c}")).alias(c) if c in columns else F.col(c) for c in target.columns])
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
-    """node, depth: nodes within ``depth`` steps of the roots, each at its least depth; nodes already seen are not expanded again."""
-    seen = roots.select("node", F.lit(0).alias("depth")).distinct()
-    front = seen
+def reachable(edges: DataFrame, roots: DataFrame, depth: int = 2, fan_out: int | None = None) -> DataFrame:
+    """node, depth: nodes within ``depth`` steps of the roots, each at its least depth.
+
+    Every step is written before the next begins: nodes seen before are left out of the front, so that cycles end, and so
+    does the search once a front is empty. ``fan_out`` bounds what a node leads to, in the order of the nodes it leads to (null: all).
+    """
+    steps = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    if fan_out is not None:
+        steps = steps.withColumn("_n", F.row_number().over(W.partitionBy("src").orderBy("dst"))).where(F.col("_n") <= fan_out).drop("_n")
+    seen = front = materialise(roots.select("node", F.lit(0).alias("depth")).distinct(), "front")
     for d in range(1, depth + 1):
-        step = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
+        found = steps.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        front = materialise(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)), "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
 
+def with_parents(hits: DataFrame, children: DataFrame, parents: DataFrame, key: str, parent: str) -> DataFrame:
+    """Hits on children with their child row and its parent's row; the hits (key, …) go before both joins, hits without a parent drop out."""
+    return hits.join(children, key).join(parents, parent)
+
+
+def without_rows(rows: DataFrame, key: str, others: DataFrame, other_key: str) -> DataFrame:
+    """Anti-join: rows whose key the other table lacks (backfills, work not yet done)."""
+    return rows.join(others.select(F.col(other_key).alias("_key")), F.col(key) == F.col("_key"), "left_anti")
+
+
 def ordered_lookup(requests: DataFrame, rows: DataFrame, ids: str, key: str, strict: bool = True) -> DataFrame:
     """Rows in the order of the requested ids, with ``label`` IMG-n; a missing id fails the job, or is dropped."""
     asked = requests.select(*[c for c in requests.columns if c != ids], F.posexplode(ids).alias("position", key))

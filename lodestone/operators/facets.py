@@ -73,6 +73,11 @@ def run_summary(outcomes: DataFrame, outcome: str, group: str | None = None) ->
     return out.withColumn("exit_class", F.when(F.col("failed") == 0, 0).when(F.col("failed") < F.col("total"), 1).otherwise(2))
 
 
+def failed_records(outcomes: DataFrame, outcome: str, *columns: str) -> DataFrame:
+    """The failed records of a run, as rows, in the order of the given columns."""
+    return outcomes.where(F.col(outcome) == "failed").select(*columns).orderBy(*columns)
+
+
 def cumulative_buckets(rows: DataFrame, value: Column, edges: list[float]) -> DataFrame:
     """le, n: rows with value <= le, for fixed edges and infinity (le null)."""
     counts = [F.count_if(value <= e).alias(f"b{i}") for i, e in enumerate(edges)] + [F.count(value).alias(f"b{len(edges)}")]

@@ -108,6 +108,27 @@ def rejudged(rows: DataFrame, clip: DataFrame, votes: DataFrame, confidence: str
     return out.withColumn(status, F.when(F.col("final"), anew).otherwise(F.col(status))).select(*rows.columns, "stripped")
 
 
+def retried(first: DataFrame, second: DataFrame, key: str, status: str = "tag_status", stripped: str = "stripped") -> DataFrame:
+    """The rows of ``second`` (a second extraction) that count: of quarantined rows with stripped tags, and not failed (``ok``)."""
+    asked = first.where((F.col(status) == "quarantined") & (F.size(stripped) > 0)).select(key)
+    return second.where(F.coalesce(F.col("ok"), F.lit(False))).join(asked, key, "left_semi")
+
+
+def revalidated(first: DataFrame, second: DataFrame, key_vectors: DataFrame, vectors: DataFrame, neighbours: DataFrame, columns: list[str], confidence: str = "confidence", status: str = "tag_status", least_corpus: int = LEAST_CORPUS) -> DataFrame:
+    """The second pass as one step: ``first`` rows (id, style_primary, building_type, confidence, status, stripped), with their final status.
+
+    Only quarantined rows with stripped tags and a second extraction that did not fail take its ``columns``; for those alone prompt
+    agreement (against (key, key_vec) vectors) and neighbours' votes (among (id, style, building_type) rows) are computed anew, and their new tags are judged.
+    """
+    again = retried(first, second, "id", status)
+    merged = second_pass(first.drop("stripped"), again, "id", columns)
+    final = merged.where("final").select("id", "style_primary", "building_type")
+    keys = prompts(F.col("style_primary"), F.col("building_type"), F.array().cast("array<string>"))
+    clip = prompt_agreement(final.join(vectors.select("id", "vec"), "id").select("id", "vec", keys.alias("prompts")), key_vectors)
+    votes = neighbour_votes(neighbours, vectors, final.withColumnRenamed("style_primary", "style"), least_corpus=least_corpus)
+    return rejudged(merged, clip, votes, confidence, status)
+
+
 def skipped(artifacts: Column, status: Column) -> Column:
     return artifacts.isNull() | F.coalesce(status == "not_applicable", F.lit(False))
 

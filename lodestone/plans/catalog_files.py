@@ -9,6 +9,7 @@ from lodestone.plans.catalog_text import CHUNKS, chunks
 from lodestone.plans.registry import query
 from lodestone.plans.views import table
 from lodestone.sources import scans, sinks
+from lodestone.sources.named_files import write_named
 
 
 @query("SELECT 'about ' || lang || ' ' || doc_id AS query, CAST(len(CASE WHEN doc_id % 3 = 0 THEN [] ELSE [1, 2] END) AS INTEGER) AS n_relevant, CASE WHEN doc_id % 2 = 0 THEN lang END AS country, source AS notes FROM documents")
@@ -51,10 +52,66 @@ def s13_replace_by_key(spark, d):
     return spark.read.parquet(f"{home}/chunks").groupBy("doc", "kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT s_suppkey, s_name, CAST(s_nationkey AS INTEGER) AS s_nationkey FROM supplier")
+@query("SELECT s_suppkey, s_name, CAST(s_nationkey AS INTEGER) AS s_nationkey, s_suppkey || '.json' AS file FROM supplier")
 def s14_json_sidecars(spark, d):
-    """A sidecar in a folder of its own for each supplier, read back."""
+    """A sidecar file for each supplier, named by its key, read back."""
     home, t = workspace(spark), table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    sinks.json_sidecars(t, "s_suppkey").repartition("s_suppkey").write.partitionBy("s_suppkey").text(f"{home}/sidecars")
+    sinks.write_sidecars(t, "s_suppkey", f"{home}/sidecars")
     meta = F.from_json("value", "s_suppkey long, s_name string, s_nationkey int").alias("m")
-    return spark.read.text(f"{home}/sidecars", wholetext=True).select(meta).select("m.s_suppkey", "m.s_name", "m.s_nationkey")
+    return spark.read.text(f"{home}/sidecars", wholetext=True).select(meta, F.col("_metadata.file_name").alias("file")).select("m.s_suppkey", "m.s_name", "m.s_nationkey", "file")
+
+
+@query("SELECT 'class_' || (doc_id % 5) AS label, doc_id || CASE WHEN doc_id % 3 = 0 THEN '.PNG' ELSE '.jpg' END AS file, CAST(8 + octet_length(encode(coalesce(text, ''))) AS BIGINT) AS length FROM documents WHERE doc_id % 4 <> 0")
+def s01_image_files(spark, d):
+    """Files in a folder for each class, a fourth of them no pictures by their names, scanned with their classes."""
+    home, t = workspace(spark), table(spark, d, "documents")
+    i = F.col("doc_id")
+    kind = F.when(i % 4 == 0, ".txt").when(i % 3 == 0, ".PNG").otherwise(".jpg")
+    name = F.concat(F.lit("class_"), (i % 5).cast("string"), F.lit("/"), i.cast("string"), kind)
+    write_named(t, f"{home}/images", name, F.concat(F.lit(b"\x89PNG\r\n\x1a\n"), F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    files = scans.image_files(spark, f"{home}/images", labelled=True)
+    return files.select("label", F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length")
+
+
+@query("SELECT file, length, CASE WHEN length > 2000 THEN 'too large' ELSE 'ok' END AS outcome FROM (SELECT 'p' || lpad(CAST(page_id AS VARCHAR), 9, '0') || '.jpg' AS file, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS length FROM pages WHERE page_id % 5 <> 0 ORDER BY 1 LIMIT 200)")
+def s03_listing(spark, d):
+    """A bucket of pages under picture names in folders of their own, a fifth of another kind; the listing stops at its cap of 200."""
+    home, t = workspace(spark), table(spark, d, "pages")
+    name = F.concat(F.lit("all/p"), F.lpad(F.col("page_id").cast("string"), 9, "0"), F.when(F.col("page_id") % 5 == 0, ".html").otherwise(".jpg"))
+    write_named(t, f"{home}/bucket", name, F.coalesce("html", F.lit("")))
+    found = scans.listing(spark, f"{home}/bucket", largest=2000)
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", "outcome")
+
+
+UUID = "substring(md5('{0}' || {1}), 1, 8) || '-' || substring(md5('{0}' || {1}), 9, 4) || '-' || substring(md5('{0}' || {1}), 13, 4) || '-' || substring(md5('{0}' || {1}), 17, 4) || '-' || substring(md5('{0}' || {1}), 21, 12)".format("u", "doc_id")
+
+
+@query(f"SELECT CASE WHEN doc_id % 11 = 0 THEN 'image ' || doc_id ELSE {UUID} END AS id, CASE WHEN doc_id % 11 = 0 THEN 'bad name' WHEN doc_id % 7 = 0 THEN 'bad json' ELSE 'ok' END AS outcome, CASE WHEN doc_id % 7 <> 0 THEN lang END AS lang, CASE WHEN doc_id % 7 <> 0 THEN CAST(doc_id AS INTEGER) END AS number FROM documents")
+def s04_sidecar_scan(spark, d):
+    """A metadata file for each document under a UUID, some with bad JSON and some with other names, scanned with outcomes."""
+    home, t = workspace(spark), table(spark, d, "documents")
+    i = F.col("doc_id")
+    stem = F.when(i % 11 == 0, F.concat(F.lit("image "), i.cast("string"))).otherwise(F.regexp_replace(F.md5(F.concat(F.lit("u"), i.cast("string"))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+    body = F.when(i % 7 == 0, F.lit('{"lang": ')).otherwise(F.to_json(F.struct("lang", i.alias("number"))))
+    write_named(t, f"{home}/metadata", F.concat(stem, F.lit(".json")), body)
+    return scans.sidecars(spark, f"{home}/metadata", "lang string, number int").select("id", "outcome", "meta.lang", "meta.number")
+
+
+@query("SELECT 'oai:' || doc_id AS identifier, 'Title ' || doc_id AS title, CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS n_creators, 'http://h/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.PDF' ELSE '' END AS source_url, CASE WHEN doc_id % 3 = 0 THEN 'http://h/' || doc_id || '.PDF' END AS image_url, CAST(1900 + doc_id % 100 AS INTEGER) AS year FROM documents WHERE doc_id % 9 <> 4 AND (doc_id % 3 = 0 OR doc_id % 5 = 0)")
+def s06_oai_theses(spark, d):
+    """Saved OAI-PMH answers with namespaces, a hundred records each, some deleted; theses and records with a PDF, with their year."""
+    home, t = workspace(spark), table(spark, d, "documents")
+    i = F.col("doc_id").cast("string")
+    tag = lambda name, *value: F.concat(F.lit(f"<dc:{name}>"), *value, F.lit(f"</dc:{name}>"))
+    when = lambda n, value: F.when(F.col("doc_id") % n == 0, value).otherwise(F.lit(""))
+    dc = F.concat(
+        F.lit('<metadata><oai_dc:dc xmlns:oai_dc="http://www.openarchives.org/OAI/2.0/oai_dc/" xmlns:dc="http://purl.org/dc/elements/1.1/">'), tag("title", F.lit("Title "), i), tag("creator", F.lit("A. One")), when(2, tag("creator", F.lit("B. Two"))),
+        tag("subject", F.lit("Towns")), when(5, tag("subject", F.lit("Doctoral Thesis"))), tag("date", F.lit("n.d.")), tag("date", (1900 + F.col("doc_id") % 100).cast("string"), F.lit("-05")),
+        tag("identifier", F.lit("local/"), i), tag("identifier", F.lit("http://h/"), i, when(3, F.lit(".PDF"))), F.lit("</oai_dc:dc></metadata>"),
+    )
+    gone = F.col("doc_id") % 9 == 4
+    record = F.concat(F.lit("<record><header"), F.when(gone, ' status="deleted"').otherwise(""), F.lit("><identifier>oai:"), i, F.lit("</identifier></header>"), F.when(gone, "").otherwise(dc), F.lit("</record>"))
+    answers = t.groupBy(F.expr("doc_id div 100").alias("page")).agg(F.concat_ws("", F.collect_list(record)).alias("records"))  # a hundred records at most
+    write_named(answers, f"{home}/oai", F.concat(F.lit("answer-"), F.col("page").cast("string"), F.lit(".xml")), F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><ListRecords>'), "records", F.lit("</ListRecords></OAI-PMH>")))
+    rows = scans.thesis_rows(scans.oai_records(spark, f"{home}/oai"), [])
+    return rows.select("identifier", "title", F.size("creators").alias("n_creators"), "source_url", "image_url", "year")

@@ -159,6 +159,11 @@ def a09_run_summary(spark, d):
     return facets.run_summary(_outcomes(spark, d), "outcome")
 
 
+@query(f"SELECT event_id, event_type, value FROM events WHERE {OUTCOME} = 'failed'")
+def a09_failed_records(spark, d):
+    return facets.failed_records(_outcomes(spark, d), "outcome", "event_id", "event_type", "value")
+
+
 @query(f"SELECT event_type, {SUMMARY} FROM (SELECT event_type, {OUTCOME} AS o FROM events) GROUP BY 1")
 def a10_ingest_result(spark, d):
     return facets.run_summary(_outcomes(spark, d), "outcome", "event_type")
@@ -182,9 +187,9 @@ def a31_label_counters(spark, d):
     return facets.numbered_labels(table(spark, d, "orders"), "o_custkey", "o_orderpriority", "o_orderkey").select("o_orderkey", "instance")
 
 
-@query(C + "SELECT image_id, year_built FROM corpus ORDER BY year_built DESC NULLS LAST, image_id LIMIT 20 OFFSET 10")
+@query(C + "SELECT image_id, year_built, (SELECT count(*) FROM corpus) AS total FROM corpus ORDER BY year_built DESC NULLS LAST, image_id LIMIT 20 OFFSET 10")
 def w01_listing(spark, d):
-    return scans.listed_page(corpus(spark, d), "year_desc", "image_id", "image_id", "year_built", 10, 20).select("image_id", "year_built")
+    return scans.listed_page(corpus(spark, d), "year_desc", "image_id", "image_id", "year_built", 10, 20).select("image_id", "year_built", "total")
 
 
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS p FROM events) WHERE p = 1")
@@ -248,20 +253,20 @@ def s17_restore(spark, d):
 def j02_child_with_parent(spark, d):
     """A child table with its parents, restricted to hits."""
     o, c, n = (table(spark, d, t) for t in ("orders", "customer", "nation"))
-    hits = o.where("o_totalprice > 400000")
-    return hits.join(c, hits.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name")
+    hits = o.where("o_totalprice > 400000").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    return curation.with_parents(hits, c.withColumnRenamed("c_nationkey", "n_nationkey"), n, "c_custkey", "n_nationkey").select("o_orderkey", "c_name", "n_name")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)")
 def j04_backfill(spark, d):
     """Customers without a large order."""
     c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 300000")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    return curation.without_rows(c, "c_custkey", o, "o_custkey").select("c_custkey")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def j05_not_yet_done(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    return curation.without_rows(table(spark, d, "documents").select("doc_id"), "doc_id", table(spark, d, "labels"), "doc_id")
 
 
 @query(C + ", b AS (SELECT doc_id AS image_id, CAST(1700 + doc_id % 100 AS INTEGER) AS year_built, lang || '_b' AS owner FROM documents) SELECT c.image_id, coalesce(c.year_built, b.year_built) AS year_built, coalesce(c.owner, b.owner) AS owner FROM corpus c LEFT JOIN b ON c.image_id = b.image_id")
@@ -393,3 +398,11 @@ def x33_bounded_traversal(spark, d):
     first = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").cast("long").alias("src"), (F.col("o_orderkey") % 1000 + 100).alias("dst"))
     second = o.select((F.col("o_orderkey") % 1000 + 100).alias("src"), (5000 + F.col("o_custkey") % 300).alias("dst"))
     return curation.reachable(first.union(second).distinct(), spark.range(3, 4).withColumnRenamed("id", "node"))
+
+
+@query("WITH RECURSIVE e0 AS (SELECT DISTINCT user_id AS src, 1000 + CAST(json_extract(props, '$.k') AS INTEGER) AS dst FROM events UNION SELECT DISTINCT 1000 + CAST(json_extract(props, '$.k') AS INTEGER), user_id FROM events WHERE event_type = 'purchase' UNION SELECT DISTINCT 0, user_id FROM events), e AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM e0 WHERE dst IS NOT NULL) WHERE n <= 12), w AS (SELECT 0 AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 6) SELECT CAST(node AS BIGINT) AS node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1")
+def x33_cyclic_with_hub(spark, d):
+    """Users and the items of their events, with ways back (cycles) and a hub that leads to every user; a node leads to twelve at most."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("long").alias("user"), (1000 + F.get_json_object("props", "$.k").cast("long")).alias("item"), "event_type")
+    edges = e.select(F.col("user").alias("src"), F.col("item").alias("dst")).union(e.where("event_type = 'purchase'").select("item", "user")).union(e.select(F.lit(0).cast("long"), "user"))
+    return curation.reachable(edges, spark.range(1).withColumnRenamed("id", "node"), depth=6, fan_out=12)

@@ -61,6 +61,21 @@ def r05_stuck(spark, d):
     return ingest.stuck(rows, "o_orderdate", F.lit("1996-01-01").cast("timestamp")).select("o_orderkey")
 
 
+@query("""WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderdate AS q, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 37 END AS d, o_orderpriority AS p FROM orders), w AS (SELECT max(q + to_days(CAST(coalesce(d, 0) AS INTEGER))) AS w FROM o),
+n AS (SELECT key, p, d, CAST(len(list_filter([1, 2, 3], lambda i: CASE WHEN d IS NOT NULL THEN 10 * i < d ELSE q + to_days(CAST(10 * i AS INTEGER)) <= w END)) AS INTEGER) AS tries, d IS NULL AND q + INTERVAL 40 DAY <= w AS failed FROM o, w)
+SELECT key, CASE WHEN d IS NOT NULL THEN 'ready' WHEN failed THEN 'failed' WHEN tries > 0 THEN 'requeued' ELSE 'processing' END AS status, tries, CASE WHEN d IS NOT NULL THEN p END AS payload, CAST(1 + tries + CASE WHEN d IS NOT NULL OR failed THEN 1 ELSE 0 END AS BIGINT) AS changes FROM n""")
+def r05_requeued(spark, d):
+    """Orders are records, and for three of four an output comes after up to 36 days; a timer of ten days queues a record again, thrice at most."""
+    home = workspace(spark)
+    orders = _arriving(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderdate").alias("at"), F.col("o_orderpriority").alias("payload"))
+    outputs = orders.where("o_orderkey % 4 <> 0").withColumn("at", F.timestamp_add("DAY", F.col("o_orderkey") % 37, F.col("at").cast("timestamp")))
+    changes = ingest.tracked(orders, outputs, 10 * 86_400)
+    changes.writeStream.option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{home}/changes").awaitTermination()
+    last = F.struct("at", "tries", F.col("status").isin("ready", "failed"))
+    found = spark.read.parquet(f"{home}/changes").groupBy("key").agg(*[F.max_by(c, last).alias(c) for c in ("status", "tries", "payload")], F.count("*").alias("changes"))
+    return found
+
+
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
 def r06_resumed_backfill(spark, d):
     """A backfill that is stopped and resumed: the second run has nothing left to do."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import licences, model_json, models, text
@@ -342,3 +345,38 @@ def p01_embed_and_search(spark, d):
     passages = models.embed_passages(c.select(F.col("doc_id").alias("id"), "text"))
     asked = models.embed_queries(c.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("qid"), F.col("text").alias("query")))
     return vectors.knn(asked, passages, 5)
+
+
+def _plain_model():
+    """A stand-in for an image or text encoder: the first four bytes of the item's digest, as numbers."""
+    return lambda items: [[float(b) for b in hashlib.md5(i.encode()).digest()[:4]] if i else [] for i in items]
+
+
+@query("WITH b AS (SELECT doc_id AS id, text, list_transform(range(4), lambda i: CAST(CAST('0x' || substring(md5(text), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) AS DOUBLE)) AS v FROM documents), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM b) SELECT id, CASE WHEN text <> '' THEN round(v[1] / n, 6) END AS first, CASE WHEN text <> '' THEN round(v[4] / n, 6) END AS last FROM n")
+def p02_item_embedder(spark, d):
+    """A model that the caller supplies, loaded once a worker, in batches of 32."""
+    out = models.embed_items(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("item")), models.embedder(_plain_model))
+    return out.select("id", F.round(F.element_at("vec", 1), 6).alias("first"), F.round(F.element_at("vec", 4), 6).alias("last"))
+
+
+def _plain_extractor():
+    """A stand-in for a language model: JSON with fences, thoughts and prose around it, and now and then none."""
+
+    def extract(texts: list) -> list:
+        out = []
+        for t in texts:
+            n = len(t or "")
+            body = json.dumps({"title": (t or "")[:10], "size": n})
+            out.append([f"```json\n{body}\n```", f"<think>{{}}</think>{body}", f"Here it is: {body}.", "no answer"][n % 4])
+        return out
+
+    return extract
+
+
+@query("SELECT doc_id, CASE WHEN length(coalesce(text, '')) % 4 <> 3 THEN substring(coalesce(text, ''), 1, 10) END AS title, CASE WHEN length(coalesce(text, '')) % 4 <> 3 THEN CAST(length(coalesce(text, '')) AS INTEGER) END AS size, length(coalesce(text, '')) % 4 = 3 AS failed FROM documents")
+def p04_extractor(spark, d):
+    """An extractor that the caller supplies; what it says goes on as model JSON."""
+    rows = models.extracted(table(spark, d, "documents").select("doc_id", "text"), models.extractor(_plain_extractor))
+    schema = "title string, size int"
+    found = rows.select("doc_id", "raw").withColumn("m", model_json.parsed(F.col("raw"), schema))
+    return found.select("doc_id", "m.title", "m.size", F.col("m").isNull().alias("failed"))

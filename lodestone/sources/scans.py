@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -49,7 +50,7 @@ def listing(spark: SparkSession, prefix: str, most: int = LARGEST_LISTING, large
 
 def sidecars(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """id (the file's stem), meta, outcome: ok, bad json, or bad name for stems that are no UUID."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True).select("value", F.col("_metadata.file_name").alias("name"))
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True).select("value", F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("name"))  # given percent-encoded
     stem = file_stem(F.col("name"))
     uuid = stem.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
     good = F.try_parse_json("value").isNotNull()
@@ -120,8 +121,6 @@ def image_links(pages: DataFrame, key: str, url: str, html: str, most: int = 200
 
 def in_order(rows: DataFrame, key: str, value: str, place: str, most: int | None = None) -> DataFrame:
     """key, position, value: each value once per key, at its first place."""
-    from pyspark.sql import Window as W
-
     first = rows.groupBy(key, value).agg(F.min(place).alias("_at"))
     out = first.withColumn("position", (F.row_number().over(W.partitionBy(key).orderBy("_at", value)) - 1).cast("int")).drop("_at")
     return out.where(F.col("position") < most) if most else out
@@ -165,9 +164,9 @@ def by_id(rows: DataFrame, key: str, *ids) -> DataFrame:
 
 
 def listed_page(rows: DataFrame, sort: str, key: str, created: str, year: str, skip: int, limit: int) -> DataFrame:
-    """One page of a listing: created_desc, created_asc, year_desc (nulls last), year_asc (nulls first)."""
+    """One page of a listing: created_desc, created_asc, year_desc (nulls last), year_asc (nulls first); each row with the listing's ``total``."""
     order = {"created_desc": F.col(created).desc(), "created_asc": F.col(created).asc(), "year_desc": F.col(year).desc_nulls_last(), "year_asc": F.col(year).asc_nulls_first()}[sort]
-    return rows.orderBy(order, key).offset(skip).limit(limit)
+    return rows.orderBy(order, key).offset(skip).limit(limit).withColumn("total", rows.agg(F.count("*")).scalar())
 
 
 def after_cursor(rows: DataFrame, key: str, cursor, limit: int) -> DataFrame:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators.curation import first_of_each
+from lodestone.sources.named_files import write_named
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -33,10 +34,10 @@ def insert_if_absent(rows: DataFrame, path: str, key: str, *order: str, error: C
     flagged = rows.withColumn("_bad", bad | F.col(key).isNull())
     good = flagged.where("not _bad").drop("_bad")
     stored = spark.read.parquet(path) if exists(spark, path) else None
-    before = stored.count() if stored is not None else 0
     counts = flagged.agg(F.count("*").alias("n"), F.count_if("_bad").alias("bad")).first()
-    to_insert(good, stored, key, *order).write.mode("append").parquet(path)
-    inserted = spark.read.parquet(path).count() - before
+    written = Observation()
+    to_insert(good, stored, key, *order).observe(written, F.count("*").alias("n")).write.mode("append").parquet(path)
+    inserted = written.get["n"]
     return {"inserted": inserted, "skipped": counts["n"] - counts["bad"] - inserted, "errors": counts["bad"]}
 
 
@@ -70,10 +71,15 @@ def delete_cascade(gone: DataFrame, key: str, *tables: DataFrame) -> list[DataFr
 
 
 def json_sidecars(rows: DataFrame, key: str) -> DataFrame:
-    """key, json: the sidecar of each record; ``write.partitionBy(key).text`` puts one in each folder."""
+    """key, json: the sidecar of each record."""
     return rows.select(F.col(key), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def write_sidecars(rows: DataFrame, key: str, folder: str) -> None:
+    """``folder/<key>.json`` for each record; a later record of the key replaces the file."""
+    write_named(json_sidecars(rows, key), folder, F.concat(F.col(key).cast("string"), F.lit(".json")), F.col("json"))
+
+
 def vector_version(vectors: DataFrame, version: str, dim: int) -> DataFrame:
     """version, id, vec with one row an id, the latest of (id, vec, added_at); a wrong length fails the job."""
     place = F.row_number().over(W.partitionBy("id").orderBy(F.desc("added_at")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.sources.sinks import exists, insert_if_absent, replace_by_key
 
@@ -53,6 +55,62 @@ def complete(stream: DataFrame, target: str, checkpoint: str, key: str, merge: C
     return run(stream, checkpoint, each)
 
 
+def tracked(records: DataFrame, outputs: DataFrame, patience: str | int, tries: int = 3, delay: str = "0 seconds") -> DataFrame:
+    """key, at, status, tries, payload: every change of a record's state, from (key, at) records and (key, at, payload) model outputs.
+
+    A record that arrives is ``processing``. Its output completes it (``ready``, with the payload). A timer of ``patience`` seconds of
+    event time that runs out queues it again (``requeued``, at the time the timer was set for) and starts anew, until after ``tries``
+    requeues it is ``failed``; an output that comes later still completes it. Repeated records and outputs of a completed key
+    change nothing; an output without a record waits for it, and completes it when it comes.
+
+    State is one small row a key; timers run by the watermark, ``delay`` behind the latest event. A timer counts as run out when a later event
+    of its key comes, or when the watermark passes it, so that the changes do not depend on how events fall into batches.
+    """
+    step = int(patience)
+    none = F.lit(None).cast("string")
+    when = F.col("at").cast("timestamp")
+    told = lambda rows, payload, kind: rows.select("key", when.alias("at"), F.unix_millis(when).alias("ms"), payload.alias("payload"), F.lit(kind).alias("kind"))
+    both = told(records, none, 0).unionByName(told(outputs, F.col("payload"), 1))
+
+    def follow(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, due, n, waiting = state.get if state.exists else ("new", 0, 0, None)
+        out = []
+
+        def tell(ms: int, what: str, payload: str | None = None) -> None:
+            out.append((key[0], ms, what, n, payload))
+
+        def run_out(upto: int) -> None:
+            nonlocal status, due, n
+            while status in ("processing", "requeued") and due <= upto:
+                status = "failed" if n == tries else "requeued"
+                n += status == "requeued"
+                tell(due, status)
+                due += step * 1000
+
+        events = [] if state.hasTimedOut else sorted((e for pdf in pdfs for e in zip(pdf["ms"].tolist(), pdf["kind"].tolist(), pdf["payload"].tolist(), strict=True)), key=lambda e: (e[0], e[1], e[2] or ""))
+        for ms, kind, payload in events:
+            run_out(ms - 1)
+            if kind == 0 and status == "new":
+                status, due = "processing", ms + step * 1000
+                tell(ms, status)
+                if waiting is not None:
+                    status = "ready"
+                    tell(ms, status, waiting)
+            elif kind == 1 and status == "new":
+                waiting = waiting if waiting is not None else payload or ""
+            elif kind == 1 and status != "ready":
+                status = "ready"
+                tell(ms, status, payload)
+        run_out(state.getCurrentWatermarkMs() if state.getCurrentWatermarkMs() > 0 else -1)
+        state.update((status, due, n, waiting))
+        if status in ("processing", "requeued"):
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["key", "ms", "status", "tries", "payload"])
+
+    changes = both.withWatermark("at", delay).groupBy("key").applyInPandasWithState(follow, "key string, ms long, status string, tries int, payload string", "status string, due long, n int, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+    return changes.select("key", F.timestamp_millis("ms").alias("at"), "status", "tries", "payload")
+
+
 def stuck(rows: DataFrame, time: str, before) -> DataFrame:
     """Rows still processing since before a time, to be queued again."""
     return rows.where((F.col("ingest_status") == "processing") & (F.col(time) < before))
