@@ -35,7 +35,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("s1")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85).drop("th")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from lodestone.llm import neardup
 from tests.llm.helpers import ODD, docs, prose
 
@@ -62,17 +64,68 @@ def test_components_equal_brute_force(spark):
 
 
 def test_what_hubs_miss_is_settled_in_small_blocks(spark, monkeypatch):
-    """Without any hub link, all links come from the settling of blocks against blocks."""
+    """Without any hub link, all links come from the settling of blocks against blocks, and every one that members of a group have is found."""
     texts = corpus(9)
     ids = list(range(len(texts)))
-    settled = neardup.settled
+    settled, groups = neardup.settled, []
     monkeypatch.setattr(neardup, "confirmed", lambda pairs, sets, percent: pairs.limit(0))
-    monkeypatch.setattr(neardup, "settled", lambda members, *rest: settled(members, *rest, block=4))
+
+    def watched(members, label, sets, percent):
+        groups.append((members.collect(), {r["cid"]: set(np.frombuffer(r["set"], np.uint64).tolist()) for r in sets.collect()}))
+        more = settled(members, label, sets, percent, block=4)
+        groups.append([] if more is None else more.collect())
+        return more
+
+    monkeypatch.setattr(neardup, "settled", watched)
     frame = docs(spark, texts, ids=ids)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame, words=3, percent=85).collect()}
     want = {i: c for i, _, c, _ in brute(texts, ids, 3, 85)}
     assert all(want[i] == want[c] for i, c in got.items())  # nothing linked that is not
     monkeypatch.undo()
+    (members, sets), links = groups
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    parent = {c: c for c in sets}
+
+    def root(c):
+        while parent[c] != c:
+            c = parent[c]
+        return c
+
+    assert links and all(near(r["a"], r["b"]) for r in links)
+    for r in links:
+        parent[root(r["a"])] = root(r["b"])
+    by = {}
+    for r in members:
+        by.setdefault(r["key"], []).append(r["cid"])
+    assert all(root(a) == root(b) for of in by.values() for i, a in enumerate(of) for b in of[:i] if near(a, b))
+
+
+def test_templates_are_not_compared_and_links_among_them_are_found():
+    rng = np.random.default_rng(4)
+    template = rng.integers(0, 1 << 62, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([template, rng.integers(0, 1 << 62, 100).astype(np.uint64)])) for _ in range(400)]
+    for i in range(0, 60, 2):  # near copies of each other: 20 of 400 shingles apart
+        sets[i + 1] = np.unique(np.concatenate([sets[i][20:], rng.integers(0, 1 << 62, 20).astype(np.uint64)]))
+    cids, is_x = np.arange(400), np.arange(400) % 3 == 0
+    links, tried = neardup.block_links(cids, is_x, cids.copy(), sets, 85)
+    want = {(a, b) for a in range(400) for b in range(400) if is_x[a] and not is_x[b] and 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    assert set(links) == want and want and tried < 200  # of some 35,000 pairs
+
+
+def test_several_texts_under_one_id_keep_their_links(spark):
+    one, two = prose(1, 60), prose(2, 60)
+    rows = [(1, one), (1, two), (2, one.replace(one.split()[-1], "end")), (3, two.replace(two.split()[-1], "end")), (None, one), (None, "quite another text without an id"), (None, "quite another text without an id"), (4, "x y z")]
+    frame = docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(frame, words=3, percent=80).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (None, None, True), (None, None, True), (4, 4, True)], key=str)
+    kept = neardup.deduplicated(frame, words=3, percent=80).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=str) == sorted([(1, one), (1, two), (4, "x y z"), (None, "quite another text without an id")], key=str)
+
+
+def test_repeated_rows_and_rows_without_words_in_the_deduplicated(spark):
+    texts, ids = ["a b c d e f"] * 3 + [None, "", None, "other words in this one"], [5, 5, None, 7, 8, None, 9]
+    out = neardup.deduplicated(docs(spark, texts, ids=ids))
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(5, "a b c d e f"), (7, None), (8, ""), (None, None), (9, "other words in this one")], key=str)
 
 
 def test_odd_rows(spark):
