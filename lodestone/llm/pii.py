@@ -8,8 +8,10 @@ letters or more outside of the base spans) reveals an entity c:
     share(c, t) = PMI(c; t) / IC(c),   PMI = log2( n(c,t) * N / (n(c) * n(t)) ),   IC = log2(N / n(c))
 
 All counts are numbers of different whole texts, wherever in a text the two stand, so that exact copies
-are no evidence. A pair counts where its log-likelihood ratio G2 is significant (10.83: p < 0.001); there
-is no floor on the number of texts. A term with a share of ``remove_at`` for some entity of a text is
+are no evidence. A pair counts where its log-likelihood ratio G2 is significant at ``error`` (0.001) over all
+pairs that are tested (Bonferroni: p < error / pairs), so that what one text alone holds by chance, which every text does, tells nothing;
+two texts that hold both are the least evidence. (What stands beside an entity in the one text that holds either has the full share, yet
+evidence of one: of such words those that look like names, ``[NAME]`` and ``[ACRONYM]``, are generalised, and none is removed.) A term with a share of ``remove_at`` for some entity of a text is
 removed from that text, one of ``generalise_at`` is generalised to the class of words of its shape
 (``[NAME]``, ``[ACRONYM]``, ``[WORD]``); every occurrence becomes a further span.
 
@@ -23,6 +25,8 @@ their spans; an empty table gives an empty result; other columns of the input ar
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +48,6 @@ _WORD = r"(?<![\p{L}\p{N}])\p{L}{3,}+(?![\p{L}\p{N}])"
 
 PAGE = 4096  # code points of a page; rewriting works on pages, so that a long text is not walked for every span
 COPIES = 1000  # rows of one text that meet in a task; texts of more rows are dealt over several
-SIGNIFICANT = 10.83  # chi-squared of one degree of freedom at p = 0.001
 
 
 def _let(value: Column, use) -> Column:
@@ -157,7 +160,12 @@ def g2(n_ct: Column, n_c: Column, n_t: Column, n: Column) -> Column:
     return 2 * (cell(n_ct, n_c, n_t) + cell(n_c - n_ct, n_c, n - n_t) + cell(n_t - n_ct, n - n_c, n_t) + cell(n - n_c - n_t + n_ct, n - n_c, n - n_t))
 
 
-def marked(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
+def significant(error: float, tests: float) -> float:
+    """The least G2 (chi-squared of one degree of freedom) at which one of so many tests is significant."""
+    return NormalDist().inv_cdf(error / max(tests, 1.0) / 2) ** 2
+
+
+def marked(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float = 0.95, error: float = 0.001) -> DataFrame:
     """row (a struct of the columns of ``docs``), base (spans of the patterns), added (spans of the disclosing terms, by start) of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     scan = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"), F.concat(*[base_spans(text, k) for k in KINDS]).alias("base"))
@@ -183,11 +191,15 @@ def marked(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float = 0.
     sets = join_small(held, holders, "entity", "inner").select("whole", F.struct("n_c", "a", "b").alias("holders")).distinct()
     sets = materialise(sets, "pii-holders")
 
+    n_sets = sets.groupBy("whole").agg(F.count("*").alias("n_sets"))
+    tests = texts.join(n_sets, "whole").agg(F.sum(F.size("terms").cast("double") * F.col("n_sets"))).first()[0]  # a pair counts in each text that holds it
+    least = significant(error, tests or 1.0)
+
     def told(pairs: DataFrame) -> DataFrame:
         """Pairs with n_c, n_ct and n_t that disclose, with their action."""
         ic, pmi = F.log2(n / F.col("n_c")), F.log2(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t")))
         found = pairs.withColumn("share", F.when(ic > 0, F.round(pmi / ic, 9)).otherwise(0.0)).where(F.col("share") >= generalise_at)
-        return found.where(g2(F.col("n_ct"), F.col("n_c"), F.col("n_t"), n) >= SIGNIFICANT).withColumn("action", F.when(F.col("share") >= remove_at, "removed").otherwise("generalised"))
+        return found.where("n_ct >= 2").where(g2(F.col("n_ct"), F.col("n_c"), F.col("n_t"), n) >= least).withColumn("action", F.when(F.col("share") >= remove_at, "removed").otherwise("generalised"))
 
     # what a pair can reach at most, were every text of the rarer side to hold both, spares most pairs
     terms = materialise(texts.select("whole", F.explode("terms").alias("term")).join(counts, "term"), "pii-occurrences")
@@ -195,10 +207,11 @@ def marked(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float = 0.
     pairs = materialise(told(pairs.withColumn("n_ct", F.least("n_c", "n_t"))).select("whole", "holders", "term", "n_t", "n_c"), "pii-pairs")
     shared = told(pairs.groupBy("holders", "term", "n_t", "n_c").agg(F.count("*").cast("double").alias("n_ct"))).select("holders", "term", "action")
     alone = terms.join(sets.where("holders.n_c = 1").select("whole").distinct(), "whole", "left_semi")
-    alone = told(alone.withColumns({"n_c": F.lit(1.0), "n_ct": F.lit(1.0)})).select("whole", "term", "action")
-    both = alone.unionByName(join_small(pairs.select("whole", "holders", "term"), shared, ["holders", "term"], "inner").select("whole", "term", "action")).groupBy("whole", "term").agg(F.max("action").alias("action"))
+    once = alone.where("n_t = 1").select("whole", "term", F.lit("alone").alias("action"))  # the weakest action by name too
+    both = once.unionByName(join_small(pairs.select("whole", "holders", "term"), shared, ["holders", "term"], "inner").select("whole", "term", "action")).groupBy("whole", "term").agg(F.max("action").alias("action"))
 
-    at = texts.select("whole", F.inline("words")).join(both, ["whole", "term"])
+    at = texts.select("whole", F.inline("words")).join(both, ["whole", "term"]).where("action <> 'alone' or shape <> '[WORD]'")
+    at = at.withColumn("action", F.when(F.col("action") == "alone", "generalised").otherwise(F.col("action")))
     spans = at.groupBy("whole").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action", "shape"))).alias("added"))  # a text's own words at most
     lots = lambda copies: F.ceil(copies / F.lit(COPIES))
     spans = spans.join(several, "whole", "left").select("whole", "added", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(lots(F.col("copies")), F.lit(1)).cast("long") - 1)).alias("lot"))

@@ -4,6 +4,7 @@ import random
 import re
 import time
 from collections import Counter
+from statistics import NormalDist
 
 from lodestone.llm import pii
 from tests.llm.helpers import ODD, docs, prose
@@ -77,9 +78,11 @@ def plain_added(texts, generalise_at, remove_at):
         terms = {w.lower() for _, _, w in words}
         n_c.update(ents), n_t.update(terms), n_ct.update((c, t) for c in ents for t in terms)
 
+    tests = sum(len({frozenset(x for x, (e, _) in per.items() if c in e) for c in ents}) * len({w.lower() for _, _, w in words}) for ents, words in per.values())
+    least = NormalDist().inv_cdf(0.001 / max(tests, 1) / 2) ** 2
     def share(c, t):
         cells = [(n_ct[c, t], n_c[c], n_t[t]), (n_c[c] - n_ct[c, t], n_c[c], n - n_t[t]), (n_t[t] - n_ct[c, t], n - n_c[c], n_t[t]), (n - n_c[c] - n_t[t] + n_ct[c, t], n - n_c[c], n - n_t[t])]
-        if 2 * sum(x * math.log(x * n / (r * q)) for x, r, q in cells if x > 0) < 10.83:
+        if 2 * sum(x * math.log(x * n / (r * q)) for x, r, q in cells if x > 0) < least or n_ct[c, t] < 2:
             return -inf
         ic = math.log2(n / n_c[c])
         return round(math.log2(n_ct[c, t] * n / (n_c[c] * n_t[t])) / ic, 9) if ic > 0 else 0.0
@@ -88,7 +91,9 @@ def plain_added(texts, generalise_at, remove_at):
     for t, (ents, words) in per.items():
         told = {w.lower(): max((share(c, w.lower()) for c in ents), default=-inf) for _, _, w in words}
         shape = lambda w: "[ACRONYM]" if w[:2].isupper() and len(w) > 1 else "[NAME]" if w[0].isupper() else "[WORD]"
-        out[t] = [(a, b, "removed" if told[w.lower()] >= remove_at else "generalised", shape(w)) for a, b, w in words if told[w.lower()] >= generalise_at]
+        single = any(n_c[c] == 1 for c in ents)
+        alone = lambda w: single and n_t[w.lower()] == 1 and shape(w) != "[WORD]"
+        out[t] = [(a, b, "removed" if told[w.lower()] >= remove_at else "generalised", shape(w)) for a, b, w in words if told[w.lower()] >= generalise_at or alone(w)]
     return out
 
 
@@ -99,7 +104,7 @@ def private_texts():
     for i in range(40):
         who = rng.randrange(12)
         name, mail = f"Zorb{'abcdefghijkl'[who] * 3}", f"zed{who}@corp{who % 3}.example"
-        texts.append(f"{prose(500 + i, 20)} {name} BIGCO{'abc'[who % 3] * 2} {mail} {prose(600 + i, 10)} +1 (375) 555-43{10 + who} once{'abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuv'[i : i + 3]} {mate(i)} u{i}@solo{i}.example")
+        texts.append(f"{prose(500 + i, 20)} {name} BIGCO{'abc'[who % 3] * 2} {mail} {prose(600 + i, 10)} +1 (375) 555-43{10 + who} once{'abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuv'[i : i + 3]} {mate(i)} Only{mate(i)[4:]} u{i}@solo{i}.example")
     texts += [texts[410]] * 5 + [texts[3]] * 4 + ["10.1.2.3 10.1.2.4 gate", "10.1.2.9 gate of é🙂 10.1.2.3", None, "", "x" * 9000 + " gate 10.1.2.7 " + "y" * 9000]
     return texts
 
@@ -134,6 +139,17 @@ def test_sanitised_text_by_brute_force(spark):
         assert got[i] == plain, i
 
 
+def test_evidence_of_one_text_takes_names_only(spark):
+    """What one text alone holds: its words stay, words like names are generalised; in several texts the same name is removed."""
+    texts = [f"{prose(i, 30)} gleenish Harbottle QXZ wrote from solo{i}@mail{i}.example {prose(70 + i, 30)}".replace("Harbottle", f"Harbottle{'abcdefgh'[i]}") for i in range(1)]
+    texts += [f"{prose(100 + i, 40)} Wintergreen wrote from win@tergreen.example" for i in range(6)] + [f"{prose(i, 60)} wrote from home" for i in range(300, 700)]
+    rows = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert "gleenish [NAME] [ACRONYM] wrote from [EMAIL]" in rows[0]
+    assert all("Wintergreen" not in rows[i] and "[NAME]" not in rows[i] and "wrote from [EMAIL]" in rows[i] for i in range(1, 7))
+    assert [rows[i] for i in range(7, len(texts))] == texts[7:]
+    assert pii.significant(0.001, 1) < 10.83 < pii.significant(0.001, 2) and pii.significant(0.001, 1e12) > 50
+
+
 def test_many_addresses_in_one_text(spark):
     """Work grows with the text, not with its spans times its words or pages."""
     many = " ".join(f"user{i}@host.example word{chr(97 + i % 26)}" for i in range(60_000))
