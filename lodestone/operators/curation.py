@@ -113,6 +113,16 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
 
 
+def distinct_prompts(bank: DataFrame, *columns: str) -> DataFrame:
+    """Each prompt of a bank once."""
+    return bank.select(*columns).dropDuplicates()
+
+
+def batch_queue(rows: DataFrame, waiting: Column, created: str, key: str, n: int) -> DataFrame:
+    """The next n waiting rows, the oldest first."""
+    return rows.where(waiting).orderBy(created, key).limit(n)
+
+
 def favourites(actions: DataFrame, item: str, order: list[str], payload: str) -> DataFrame:
     """Items toggled an odd number of times, with their latest payload."""
     told = actions.groupBy(item).agg(F.count("*").alias("n"), F.max_by(payload, F.struct(*order)).alias(payload))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators.filters import normal
+from lodestone.sources.shared import sent
 
 
 def facet(rows: DataFrame, value: Column, n: int) -> DataFrame:
@@ -34,7 +35,7 @@ def contained_counts(rows: DataFrame, values: DataFrame, columns: list[Column])
     """
     texts = rows.select(F.lower(F.concat_ws(" ", *columns)).alias("joined")).groupBy("joined").agg(F.count("*").alias("n"))
     hit = F.contains(F.col("joined"), F.lower("value"))
-    found = texts.join(F.broadcast(values), hit).groupBy("value").agg(F.sum("n").alias("n"))
+    found = texts.join(sent(values, "values"), hit).groupBy("value").agg(F.sum("n").alias("n"))
     return values.join(found, "value", "left").select("value", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 

@@ -162,6 +162,10 @@ def highlighted(tags: Column, query: str) -> Column:
     return F.filter(tags, lambda t: any_of(F.contains(F.lower(t), F.lit(x)) for x in tokens))
 
 
+def top_of_each(rows: DataFrame, group: str, n: int, *order: Column | str) -> DataFrame:
+    """The first n rows of each group in the given order, with ``place`` from 1; a task sends n rows of a group at most."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("place") <= n)
+
+
 def largest_regions(regions: DataFrame, area: Column | str, least: float = 0.02, n: int = 12, group: str = "image", order: str = "region") -> DataFrame:
-    place = F.row_number().over(W.partitionBy(group).orderBy(_c(area).desc(), order))
-    return regions.where(_c(area) >= least).withColumn("place", place).where(F.col("place") <= n)
+    return top_of_each(regions.where(_c(area) >= least), group, n, _c(area).desc(), order)

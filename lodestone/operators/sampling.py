@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.sources.shared import materialise
+from lodestone.sources.shared import materialise, sent
 
 
 def shuffled(seed: int, key: str) -> Column:
@@ -99,7 +99,8 @@ def hard_negative_batches(rows: DataFrame, label: str, key: str, clusters: DataF
     names = clusters.select("cluster").distinct().withColumn("c", F.row_number().over(W.orderBy("cluster")) - 1)
     n_clusters = F.count("*").over(W.partitionBy())
     names = names.withColumn("n_clusters", n_clusters)
-    inside = placed(rows.join(F.broadcast(clusters), label).join(F.broadcast(names), "cluster"), "cluster", seed, key).withColumnRenamed("size", "n_in")
+    names = materialise(names, "clusters")
+    inside = placed(rows.join(sent(clusters, "labels of clusters"), label).join(sent(names, "clusters"), "cluster"), "cluster", seed, key).withColumnRenamed("size", "n_in")
     slots = rows.sparkSession.range(n_batches * half).select((F.col("id") / half).cast("long").alias("batch"), (F.col("id") % half).alias("slot"))
     own = slots.join(F.broadcast(names), F.col("batch") % F.col("n_clusters") == F.col("c"))
     own = own.withColumn("walk", F.floor(F.col("batch") / F.col("n_clusters")) * half + F.col("slot"))

@@ -48,6 +48,11 @@ def neighbour_votes(rows: DataFrame, vectors: DataFrame, asked: DataFrame | None
     return out.select(F.col("qid").alias("id"), "k", "style_votes", "building_type_votes", (F.col("style_votes") >= consensus).alias("style_pass"), (F.col("building_type_votes") >= consensus).alias("building_type_pass"))
 
 
+def neighbour_counts(hits: DataFrame, rows: DataFrame, attribute: str) -> DataFrame:
+    """qid, attribute, votes: how many of a query's (qid, id) neighbours have each value of an attribute of (id, attribute) rows."""
+    return hits.join(rows.select("id", attribute), "id").groupBy("qid", attribute).agg(F.count("*").alias("votes"))
+
+
 def conflicting(style: Column, kind: Column, clip_style: Column, clip_kind: Column, style_votes: Column, kind_votes: Column) -> Column:
     """The tags that prompt score and neighbours both reject, as field:tag. Without neighbours nothing is rejected."""
 

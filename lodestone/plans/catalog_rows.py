@@ -209,7 +209,7 @@ def w07_keyset_page(spark, d):
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 100")
 def w08_batch_queue(spark, d):
-    return table(spark, d, "orders").where("o_orderstatus = 'P'").orderBy("o_orderdate", "o_orderkey").limit(100).select("o_orderkey", "o_orderdate")
+    return curation.batch_queue(table(spark, d, "orders"), F.col("o_orderstatus") == "P", "o_orderdate", "o_orderkey", 100).select("o_orderkey", "o_orderdate")
 
 
 @query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 8")
@@ -319,7 +319,7 @@ def u02_exact_duplicates(spark, d):
 
 @query("SELECT DISTINCT lang, source FROM documents")
 def u03_distinct_prompts(spark, d):
-    return table(spark, d, "documents").select("lang", "source").dropDuplicates()
+    return curation.distinct_prompts(table(spark, d, "documents"), "lang", "source")
 
 
 @query("SELECT 0 AS tier, s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT 1, c_custkey, c_name FROM customer")

@@ -5,7 +5,6 @@ Searches ask with every row whose id is divisible by 100, against all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators import evaluation, filters, ranking, sampling, tags, vectors
@@ -105,7 +104,16 @@ def v08_weighted_hybrid(spark, d):
     return ranking.weighted_hybrid(hits, meta)
 
 
-@query()
+def _mmr_step(i: int) -> str:
+    """The i-th choice: the best of what is left, against all that are chosen."""
+    if i == 1:
+        return "p1 AS (SELECT qid, id, score, vec, 1 AS rank FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) = 1)"
+    chosen = " UNION ALL ".join(f"SELECT * FROM p{j}" for j in range(1, i))
+    near = f"SELECT c.qid, c.id, c.score, c.vec, round(0.7::DOUBLE * c.score - 0.3::DOUBLE * max(list_inner_product(c.vec, p.vec)), 12) AS value FROM c JOIN ({chosen}) p ON p.qid = c.qid GROUP BY c.qid, c.id, c.score, c.vec HAVING NOT bool_or(p.id = c.id)"
+    return f"p{i} AS (SELECT qid, id, score, vec, {i} AS rank FROM ({near}) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY value DESC, score DESC, id) = 1)"
+
+
+@query(V + nn(30) + ", c AS (SELECT nn.qid, nn.id, nn.score, v.vec FROM nn JOIN v ON v.id = nn.id), " + ", ".join(map(_mmr_step, range(1, 6))) + " " + " UNION ALL ".join(f"SELECT qid, id, score, rank FROM p{i}" for i in range(1, 6)))
 def v09_mmr(spark, d):
     hits = vectors.knn(asked(spark, d), vecs(spark, d), 30)
     return ranking.mmr(hits.join(vecs(spark, d).select("id", "vec"), "id").select("qid", "id", "score", "vec"), k=5)
@@ -284,8 +292,7 @@ def f21_largest_regions(spark, d):
 
 @query(f"WITH {BOXES}, a AS (SELECT image, region, score, row_number() OVER (PARTITION BY image ORDER BY score DESC, region) AS place FROM boxes) SELECT image, region, score, CAST(place AS INTEGER) AS place FROM a WHERE place <= 2")
 def w03_top_per_group(spark, d):
-    place = F.row_number().over(W.partitionBy("image").orderBy(F.desc("score"), "region"))
-    return boxes(spark, d).select("image", "region", "score", place.alias("place")).where(F.col("place") <= 2)
+    return filters.top_of_each(boxes(spark, d), "image", 2, F.desc("score"), "region").select("image", "region", "score", "place")
 
 
 @query(f"WITH {VECS}, {CORPUS}, {nn(100)} SELECT qid, id, rank FROM nn WHERE id IN (SELECT image_id FROM corpus WHERE {FILTER})")
@@ -356,9 +363,8 @@ def t04_neighbour_votes(spark, d):
 
 @query(VOTES.split(", y AS")[0] + " SELECT qid AS id, style_primary AS style, CAST(count(*) AS BIGINT) AS votes FROM h JOIN corpus ON h.id = image_id WHERE r <= 10 GROUP BY 1, 2")
 def j12_neighbour_attributes(spark, d):
-    hits = vectors.ranked(vectors.knn(asked(spark, d), vecs(spark, d), 11).where("id <> qid").drop("rank")).where("rank <= 10")
-    rows = hits.join(corpus(spark, d).select(F.col("image_id").alias("id"), F.col("style_primary").alias("style")), "id")
-    return rows.groupBy(F.col("qid").alias("id"), "style").agg(F.count("*").alias("votes"))
+    hits = vectors.similar(asked(spark, d).select("qid"), vecs(spark, d).select("id", "vec"), 10, None)
+    return tags.neighbour_counts(hits, corpus(spark, d).select(F.col("image_id").alias("id"), F.col("style_primary").alias("style")), "style").withColumnRenamed("qid", "id")
 
 
 IR = f"{V}{nn(20)}, rel AS (SELECT q.id AS qid, c.id FROM v q JOIN v c ON q.label = c.label AND q.id % 100 = 0 AND q.id % 300 <> 0), nr AS (SELECT qid, count(*) AS n_rel FROM rel GROUP BY 1), m AS (SELECT nn.*, CASE WHEN rel.id IS NULL THEN 0 ELSE 1 END AS rel FROM nn LEFT JOIN rel ON rel.qid = nn.qid AND rel.id = nn.id), "
@@ -499,7 +505,10 @@ def a28_scorecard(spark, d):
     return evaluation.scorecard(one.select(F.inline(F.array(gate("accuracy", "a", 0.5, ">="), gate("mean_confidence", "b", 0.6, "<="), gate("rows", "c", 100, ">=")))))
 
 
-@query()
+NLL = "sum(greatest(l0 / t, l1 / t) + ln(exp(l0 / t - greatest(l0 / t, l1 / t)) + exp(l1 / t - greatest(l0 / t, l1 / t))) - CASE WHEN truth = 1 THEN l1 / t ELSE l0 / t END) / count(*)"
+
+
+@query(P + f"s AS (SELECT pow(10.0::DOUBLE / 0.05::DOUBLE, 1.0::DOUBLE / 59) AS s), g AS (SELECT 0.05::DOUBLE * pow(s, range) AS t FROM range(60), s), f AS (SELECT t, {NLL} AS v FROM g CROSS JOIN preds GROUP BY 1 ORDER BY v, t LIMIT 1), h AS (SELECT f.t * pow(s, (range - 60) / 60.0::DOUBLE) AS t FROM range(121), s, f), b AS (SELECT t, {NLL} AS v FROM h CROSS JOIN preds GROUP BY 1 ORDER BY v, t LIMIT 1) SELECT round(t, 4) AS temperature, round(v, 6) AS nll FROM b")
 def a29_temperature(spark, d):
     return evaluation.fit_temperature(predictions(spark, d))
 
@@ -536,7 +545,10 @@ def w14_guaranteed_split(spark, d):
     return sampling.guaranteed_split(_labelled(spark, d), "label", "vec_id", 60, 30)
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, label, label // 3 AS cluster FROM embeddings), names AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS c, count(*) OVER () AS n FROM (SELECT DISTINCT cluster FROM e)),
+inside AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5('0:' || vec_id), vec_id) AS place, count(*) OVER (PARTITION BY cluster) AS n_in FROM e), slots AS (SELECT range // 8 AS batch, range % 8 AS slot FROM range(96)),
+own AS (SELECT batch, slot, cluster, (batch // n) * 8 + slot AS walk FROM slots JOIN names ON batch % n = c), pool AS (SELECT *, row_number() OVER (ORDER BY md5('1:' || vec_id), vec_id) AS place FROM e)
+SELECT batch, slot, vec_id, label FROM own JOIN inside USING (cluster) WHERE place = walk % n_in + 1 UNION ALL SELECT batch, slot + 8, vec_id, label FROM slots JOIN pool ON place = batch * 8 + slot + 1""")
 def w15_hard_negative_batches(spark, d):
     rows = _labelled(spark, d)
     clusters = rows.select("label").distinct().select(F.expr("label div 3").alias("cluster"), "label")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
 
@@ -28,3 +29,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/lodestone/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent(df: DataFrame, what: str, most: int = 10_000) -> DataFrame:
+    """``df`` to be broadcast, after a check that it has no more than ``most`` rows."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return F.broadcast(df)
