@@ -15,6 +15,7 @@ labels counts once with the largest; repeated rows are scored each; without labe
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from operator import eq
 
@@ -33,6 +34,7 @@ for _b in range(256):
     for _k, _marks in enumerate(("|", "!?", "*#$%&@~^", ".,;:", "<>{}[]()/\\=_")):
         _CLASSES[_b, 7 + _k] = _c in _marks
 N_STATISTICS = 12 + 11
+_RUN = re.compile(r"([!-/:-@\[-`{-~])\1+")  # a mark that repeats itself, whatever it is
 
 
 def statistics(text: str) -> list[float]:
@@ -46,7 +48,7 @@ def statistics(text: str) -> list[float]:
     lower = text.lower()
     return [
         *shares, np.log1p(len(text)), np.log1p(n), min(sizes.mean(), 40.0), min(sizes.std(), 40.0), len(kinds) / n ** 0.8, sum(map(eq, words, words[1:])) / n,
-        1 - len(set(lines)) / len(lines), min(n / len(lines), 200.0) / 100, (sizes == 1).mean(), sum(text.count(m + w) for m in ("!! ", "** ", "## ", "$$ ", "%% ", "&& ") for w in ("",)) / n,
+        1 - len(set(lines)) / len(lines), min(n / len(lines), 200.0) / 100, (sizes == 1).mean(), min(len(_RUN.findall(text)) / n, 2.0),
         float(lower != text) * (1 - sum(map(eq, lower, text)) / len(text) if len(lower) == len(text) else 0.0),
     ]
 

@@ -38,6 +38,36 @@ def test_quality_on_held_out_rows(spark):
     assert len(rows) == len(texts) and check(rows, marks, 0.3) > 0.97
 
 
+def test_quality_equals_a_dense_twin(spark):
+    """Statistics, Fourier features, one dense ridge and a pooled map, computed in one place and one by one."""
+    rng = random.Random(7)
+    texts = [*ODD[:4], *ODD[7:9]] + [prose(i, 30) if rng.random() < 0.6 else prose(i, 20).upper() + " !!! " * rng.randrange(3) for i in range(150)]
+    marks = [None] * 6 + [int(not t.split()[0].isupper() or rng.random() < 0.1) for t in texts[6:]]
+    got = {r["doc_id"]: r["score"] for r in quality.score(*labelled(spark, texts, marks, "quality"), n_features=20, width=3.0, penalty=0.5).collect()}
+    x = np.array([quality.statistics(t or "") for t in texts])
+    gen = np.random.default_rng(17)
+    w, b = gen.standard_normal((x.shape[1], 20)) / 3.0, gen.uniform(0, 2 * np.pi, 20)
+    z = np.clip((x - x.mean(0)) / np.where(x.std(0) > 1e-9, x.std(0), 1.0), -8, 8)
+    f = np.array([[math.sqrt(2 / 20) * math.cos(sum(zi * wi for zi, wi in zip(row, w[:, j], strict=True)) + b[j]) for j in range(20)] + [1.0] for row in z])
+    part = [zlib.crc32(str(i).encode()) % 5 for i in range(len(texts))]
+    fit = [i for i, m in enumerate(marks) if m is not None and part[i] in (1, 2, 3)]
+    own = [i for i, m in enumerate(marks) if m is not None and part[i] == 4]
+    y = np.array([m or 0 for m in marks], float)
+    weights = np.linalg.solve(f[fit].T @ f[fit] + 0.5 * np.eye(21), f[fit].T @ y[fit])
+    value = f @ weights
+    cells = {}
+    for i in own:
+        cells.setdefault(round(min(max(value[i], -0.5), 1.5), 3), []).append(y[i])
+    pools = [[[v] * len(m), m] for v, m in sorted(cells.items())]
+    while any(np.mean(a[1]) >= np.mean(c[1]) for a, c in zip(pools, pools[1:], strict=False)):  # pool what falls
+        k = next(k for k in range(len(pools) - 1) if np.mean(pools[k][1]) >= np.mean(pools[k + 1][1]))
+        pools[k : k + 2] = [[pools[k][0] + pools[k + 1][0], pools[k][1] + pools[k + 1][1]]]
+    mean = np.mean([y[i] for i in own])
+    knots = [np.mean(v) for v, _ in pools], np.maximum.accumulate([(sum(m) + mean) / (len(m) + 1) for _, m in pools])
+    want = np.interp(value, *knots)
+    assert len(pools) > 1 and all(abs(got[i] - want[i]) < 1e-6 for i in range(len(texts)))
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(2)
     texts, marks = list(ODD), [None] * len(ODD)
