@@ -351,3 +351,25 @@ def repaired_in_blocks(rows: DataFrame, block: int) -> DataFrame:
 
 def query(conversations: DataFrame, **options) -> DataFrame:
     return repair(damaged(conversations), **options)
+
+
+ORACLE = """WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT keyed.*, xor(list_reduce(list_concat([4294967295], list_transform(string_split(k, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda c, b: xor(t[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8)), 4294967295) % 20 AS kind FROM keyed, tab),
+rows AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy, rid FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, rid, copy) AS i, regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS bare FROM rows),
+faulty AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+ways AS (SELECT * FROM (VALUES ('', '', '', 0), ('', 'u', 'I', 2), ('', 'a', 'II', 4), ('s', 's', '', 0), ('s', 'u', 'I', 2), ('s', 'a', 'II', 4), ('u', 'u', '', 0), ('u', 'a', 'I', 2), ('a', 'a', '', 0), ('a', 'u', 'I', 2)) w(was, mid, ins, paid)),
+best AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS state, 0::BIGINT AS cost, '' AS audit FROM faulty UNION ALL
+ SELECT conv_id, i, state, cost, audit FROM (SELECT f.conv_id, f.i, CASE e.edit WHEN 'D' THEN w.mid WHEN 'R' THEN CASE WHEN w.mid = 'u' THEN 'a' ELSE 'u' END ELSE f.initial END AS state,
+ b.cost + w.paid + CASE e.edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN e.edit <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END AS cost, b.audit || w.ins || e.edit AS audit
+ FROM best b JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1 JOIN ways w ON w.was = b.state JOIN (VALUES ('D'), ('K'), ('R')) e(edit)
+ ON e.edit = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND (e.edit = 'R' OR (f.initial = 's' AND w.mid = '') OR (f.initial = 'u' AND w.mid <> 'u') OR (f.initial = 'a' AND w.mid = 'u'))))
+ QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+ended AS (SELECT * FROM (SELECT b.conv_id, b.cost + CASE state WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END AS cost, b.audit || CASE state WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END AS audit FROM best b JOIN (SELECT conv_id, max(i) AS n FROM faulty GROUP BY 1) m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.n = b.i) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+letters AS (SELECT conv_id, p, audit[p] AS edit, length(replace(audit[1 : p], 'I', '')) AS i FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS p FROM ended)),
+turns AS (SELECT l.*, f.role, f.text, row_number() OVER (PARTITION BY l.conv_id ORDER BY p) - 1 AS t, first_value(edit = 'K' AND f.initial = 's') OVER (PARTITION BY l.conv_id ORDER BY p) AS led FROM letters l LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = l.i WHERE edit <> 'D'),
+said AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (t - CAST(led AS INTEGER)) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS said FROM turns GROUP BY 1),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(CASE WHEN fault = 'blank' THEN 1 END) AS blank, count(CASE WHEN fault = 'duplicate' THEN 1 END) AS duplicate, count(CASE WHEN fault = 'truncated' THEN 1 END) AS truncated, count(CASE WHEN i > 1 AND before || initial NOT IN ('su', 'ua', 'au') THEN 1 END) AS illegal FROM faulty GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended ON ended.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM c.conv_id"""

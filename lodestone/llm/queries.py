@@ -63,4 +63,4 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_topk, op3_sentencepiece, op4_quality, op5_media, op6_mixing, op7_neardup, op8_toxicity, op9_warc, op10_tokencount, op11_phrases, op12_conversations, op13_simhash)}
-ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op9_warc": warc.ORACLE, "op11_phrases": phrases.ORACLE}
+ORACLES: dict[str, str] = {"op2_topk": topk.ORACLE, "op9_warc": warc.ORACLE, "op11_phrases": phrases.ORACLE, "op12_conversations": conversations.ORACLE}

@@ -138,3 +138,11 @@ def test_odd_tables(spark):
     assert c.query(frame(spark, [])).collect() == []
     gone = next(i for i in range(1000) if zlib.crc32(f"{i}:1".encode()) % 20 == 0)
     assert taken(c.query(frame(spark, [(gone, 1, "user", "Hi.")]))) == [(gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+
+
+def test_query_equals_its_sql(spark):
+    from lodestone.llm.queries import ORACLES, op12_conversations
+    from tests.compare import connect, differences
+
+    sf = "/root/testdata/sf0.01"
+    assert differences(op12_conversations(spark, sf), connect(sf), ORACLES["op12_conversations"]) is None
