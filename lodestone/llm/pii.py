@@ -180,11 +180,13 @@ def marked(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float = 0.
     texts = materialise(texts.select("whole", "entities", "words", _terms(F.col("words")).alias("terms")), "pii-texts")
     clean = join_small(scan.where("not private").select("whole", F.coalesce("row.text", F.lit("")).alias("text")), several, "whole", "left")
     clean_terms = F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(F.lower(w))))
-    seen = clean.select(F.explode(clean_terms).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("part"))  # a text's copies add up to one
-    seen = seen.unionByName(texts.select(F.explode("terms").alias("term"), F.lit(1.0).alias("part")))
-    asked = texts.select(F.explode("terms").alias("term")).distinct()
-    counts = seen.groupBy("term").agg(F.round(F.sum("part")).alias("n_t"))
-    counts = materialise(counts.join(asked, "term", "left_semi"), "pii-terms")
+    seen = clean.select(F.explode(clean_terms).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("part"), F.lit(0).alias("own"))  # a text's copies add up to one
+    seen = seen.unionByName(texts.select(F.explode("terms").alias("term"), F.lit(1.0).alias("part"), F.lit(1).alias("own")))
+    counts = seen.groupBy("term").agg(F.round(F.sum("part")).alias("n_t"), F.sum("own").cast("double").alias("n_p"))  # n_p: texts with personal data
+    # the largest share that a term can have is that for an entity of just its n_p texts; most terms cannot reach the threshold for any
+    reach = F.when(F.col("n_p") < n, 1 - F.log2(F.col("n_t") / F.col("n_p")) / F.log2(n / F.col("n_p"))).otherwise(0.0)
+    counts = counts.where((F.col("n_p") > 0) & ((F.col("n_t") == 1) | ((F.col("n_p") >= 2) & (reach >= generalise_at - 1e-6))))
+    counts = materialise(counts, "pii-terms")
 
     held = texts.select("whole", F.explode("entities").alias("entity"))
     holders = held.groupBy("entity").agg(F.count("*").alias("n_c"), F.bit_xor(F.xxhash64("whole")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "whole")).alias("b"))
@@ -203,8 +205,8 @@ def marked(docs: DataFrame, *, generalise_at: float = 0.8, remove_at: float = 0.
 
     # what a pair can reach at most, were every text of the rarer side to hold both, spares most pairs
     terms = materialise(texts.select("whole", F.explode("terms").alias("term")).join(counts, "term"), "pii-occurrences")
-    pairs = sets.where("holders.n_c > 1").join(terms, "whole").select("whole", "holders", "term", "n_t", F.col("holders.n_c").alias("n_c"))
-    pairs = materialise(told(pairs.withColumn("n_ct", F.least("n_c", "n_t"))).select("whole", "holders", "term", "n_t", "n_c"), "pii-pairs")
+    pairs = sets.where("holders.n_c > 1").join(terms.where("n_t > 1"), "whole").select("whole", "holders", "term", "n_t", F.col("holders.n_c").alias("n_c"), "n_p")
+    pairs = materialise(told(pairs.withColumn("n_ct", F.least("n_c", "n_p"))).select("whole", "holders", "term", "n_t", "n_c"), "pii-pairs")
     shared = told(pairs.groupBy("holders", "term", "n_t", "n_c").agg(F.count("*").cast("double").alias("n_ct"))).select("holders", "term", "action")
     alone = terms.join(sets.where("holders.n_c = 1").select("whole").distinct(), "whole", "left_semi")
     once = alone.where("n_t = 1").select("whole", "term", F.lit("alone").alias("action"))  # the weakest action by name too
