@@ -24,7 +24,7 @@ def as_list(c: Column) -> Column:
     return F.array(c)
 
 
-#: The order in which an image's fields make up its search text; the retrieval tags come twice.
+# The order in which an image's fields make up its search text; the retrieval tags come twice.
 SEARCH_FIELDS = (
     "title", "description", "building_type", "architecture_style_classified", "style.primary", "style.secondary", "style.style_evidence", "style.emergent_tags", "materials", "material_details.textures",
     "material_details.construction_expression", "architectural_elements.structural", "architectural_elements.facade", "architectural_elements.roofing", "architectural_elements.openings",

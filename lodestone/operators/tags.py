@@ -79,6 +79,8 @@ def strip_conflicting(rows: DataFrame, stripped: str = "stripped") -> DataFrame:
 
 
 def retry_instruction(stripped: Column, clip: Column, votes: Column, k: Column) -> Column:
+    """What the model is told for each stripped tag; the sentence is a fixed value."""
+
     def say(entry: Column) -> Column:
         field, tag = F.substring_index(entry, ":", 1), F.regexp_replace(entry, "^[^:]*:", "")
         score = F.coalesce(F.try_element_at(clip, entry).cast("string"), F.lit("None"))
