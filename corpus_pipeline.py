@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but
 the last return the columns of ``documents``.
+
+Defined results: null and empty texts are neither toxic nor near copies of anything and go through; rows without doc_id are not
+dropped as toxic, and near-dedup tells them apart by their texts; of repeated rows, and of a group of near copies, one row stays (the smallest doc_id, ties
+to the smaller hash of the text); further columns, whatever their names, go through to the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ its source names the block (ranks past the last block start over, at most three
 Defined results: null text and texts without words have size 0 and take 0; a null source is a
 source of its own, ordered last; repeated rows are separate documents of the stream; an empty
 table gives an empty result; further columns are ignored by ``schedule``.
+
+Bound: targets are worked out over one row for each source, in one task; sources are names of collections, some thousands, and not a key of rows.
 """
 
 from __future__ import annotations
