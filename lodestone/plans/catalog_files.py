@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import evaluation, ranking
 from lodestone.plans.catalog_stream import workspace
 from lodestone.plans.catalog_text import CHUNKS, chunks
+from lodestone.plans.catalog_vectors import OWN, SCORE, VECS, corpus_facets, own_filters, vecs
 from lodestone.plans.registry import query
-from lodestone.plans.views import table
+from lodestone.plans.views import CORPUS, corpus, table
 from lodestone.sources import scans, sinks
 from lodestone.sources.named_files import write_named
 
@@ -21,7 +23,29 @@ def s05_golden(spark, d):
     row = F.struct(F.concat(F.lit("about "), "lang", F.lit(" "), F.col("doc_id").cast("string")).alias("query"), relevant.alias("relevant_image_ids"), filters.alias("filters"), F.col("source").alias("notes"))
     lines = t.select(F.to_json(row).alias("value")).unionByName(t.select(F.concat(F.lit("# "), F.col("doc_id").cast("string")).alias("value"))).unionByName(t.select(F.lit("").alias("value")))
     lines.write.text(f"{home}/golden")
-    return scans.golden(spark, f"{home}/golden").select("query", F.size("relevant").alias("n_relevant"), F.try_element_at("filters", F.lit("country")).alias("country"), "notes")
+    return scans.golden(spark, f"{home}/golden").select("query", F.size("relevant").alias("n_relevant"), F.try_element_at(F.try_element_at("filters", F.lit("country")), F.lit(1)).alias("country"), "notes")
+
+
+METRICS = ["mrr", *[f"{m}_{k}" for k in (5, 10, 20) for m in ("p", "r", "hit", "ndcg")]]
+GOLDEN = f"WITH {VECS}, {CORPUS}, z AS (SELECT q.id AS qid, w.id, {SCORE.replace('c.vec', 'w.vec')} AS score FROM v q JOIN corpus c ON {OWN} JOIN v w ON w.id = c.image_id WHERE q.id % 100 = 0), hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM z QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 20), "
+GOLDEN += "rel AS (SELECT q.id AS qid, c.id FROM v q JOIN v c ON q.label = c.label AND q.id % 100 = 0 AND q.id % 300 <> 0), nr AS (SELECT qid, count(*) AS n_rel FROM rel GROUP BY 1), m AS (SELECT hits.*, CASE WHEN rel.id IS NULL THEN 0 ELSE 1 END AS rel FROM hits LEFT JOIN rel ON rel.qid = hits.qid AND rel.id = hits.id), pq AS (SELECT nr.qid, round(coalesce(1.0::DOUBLE / min(CASE WHEN rel = 1 THEN rank END), 0), 6) AS mrr, "
+GOLDEN += ", ".join(f"round(coalesce(sum(CASE WHEN rank <= {k} THEN rel ELSE 0 END) / nullif(count(CASE WHEN rank <= {k} THEN 1 END), 0)::DOUBLE, 0), 6) AS p_{k}, round(sum(CASE WHEN rank <= {k} THEN rel ELSE 0 END) / any_value(n_rel)::DOUBLE, 6) AS r_{k}, CAST(max(CASE WHEN rank <= {k} THEN rel ELSE 0 END) AS INTEGER) AS hit_{k}, round(sum(CASE WHEN rank <= {k} THEN rel / log2(rank + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(any_value(n_rel), {k}) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))), 6) AS ndcg_{k}" for k in (5, 10, 20))
+GOLDEN += " FROM nr LEFT JOIN m ON nr.qid = m.qid GROUP BY 1) SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in METRICS) + ", count(*) AS n_labelled, (SELECT count(*) FROM v WHERE id % 100 = 0) - count(*) AS n_unlabelled FROM pq"
+
+
+@query(GOLDEN)
+def a13_golden_run(spark, d):
+    """The evaluation of a golden file: its queries with filters of their own are searched, and the metrics of the labelled ones averaged."""
+    home, v = workspace(spark), vecs(spark, d)
+    asked = own_filters(v.where(F.col("id") % 100 == 0).withColumnRenamed("id", "qid"))
+    same = v.groupBy("label").agg(F.collect_list(F.col("id").cast("string")).alias("ids"))  # a class of the golden file's answers
+    lines = asked.join(same, "label").select(F.concat(F.lit("q"), F.col("qid").cast("string")).alias("query"), F.when(F.col("qid") % 300 != 0, F.col("ids")).alias("relevant_image_ids"), "filters")
+    lines.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{home}/golden")
+    rows = scans.golden(spark, f"{home}/golden").withColumn("qid", F.substring("query", 2, 20).cast("long"))
+    queries = rows.join(v.select(F.col("id").alias("qid"), "vec"), "qid").select("qid", "vec", "filters")
+    hits = ranking.filtered_knn(queries, v.select("id", "vec"), corpus(spark, d), 20, facets=corpus_facets())
+    relevant = rows.select("qid", F.explode(F.col("relevant").cast("array<bigint>")).alias("id"))
+    return evaluation.mean_metrics(evaluation.retrieval_metrics(hits, relevant), rows)
 
 
 @query("SELECT 'url' AS kind, loc FROM (SELECT url || '?p=' || page_id AS loc FROM pages ORDER BY loc LIMIT 500)")

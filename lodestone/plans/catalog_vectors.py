@@ -171,7 +171,7 @@ def v13_image_search(spark, d):
 OWN = "((q.id % 300 <> 0 OR c.location_country IN ('en', 'fr')) AND (q.id % 200 <> 0 OR c.year_built BETWEEN 1820 AND 2000) AND (q.id % 500 <> 100 OR array_to_string(c.materials, ',') ILIKE '%glass%' OR array_to_string(c.materials, ',') ILIKE '%steel%'))"
 
 
-def _own_filters(queries):
+def own_filters(queries):
     """Queries with filters of their own by their number: countries, a period, materials, or none."""
     some = lambda c, *values: F.when(c, F.array(*map(F.lit, values)))
     own = F.create_map(F.lit("country"), some(F.col("qid") % 300 == 0, "en", "FR"), F.lit("period"), some(F.col("qid") % 200 == 0, "1820", "2000"), F.lit("material"), some(F.col("qid") % 500 == 100, "glass", "steel"))
@@ -181,8 +181,8 @@ def _own_filters(queries):
 @query(f"WITH {VECS}, {CORPUS}, t AS (SELECT id, {shifted()} AS vec FROM v), z AS (SELECT q.id AS qid, c.image_id AS id, {SCORE.replace('c.vec', 'w.vec')} AS score FROM t q JOIN corpus c ON {OWN} JOIN v w ON w.id = c.image_id WHERE q.id % 100 = 0), z1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, max(score) OVER (PARTITION BY qid) AS top FROM z), h AS (SELECT z1.*, tag_status FROM z1 JOIN corpus ON id = image_id WHERE rank <= 100 AND score >= greatest(top - 0.20::DOUBLE, 0.05::DOUBLE)), {PENALTY} SELECT p.qid, p.id, p.score, p.rank, style_primary FROM p JOIN corpus ON id = image_id WHERE p.rank <= 20")
 def v12_filters_before(spark, d):
     """Every query has filters of its own and finds its hundred among its own rows."""
-    asked_ = _own_filters(text_vecs(spark, d).where(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), "vec"))
-    out = ranking.text_search(asked_, vecs(spark, d).select("id", "vec"), corpus(spark, d), facets=_facets(), threshold=0.05, filter_mode="pre")
+    asked_ = own_filters(text_vecs(spark, d).where(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), "vec"))
+    out = ranking.text_search(asked_, vecs(spark, d).select("id", "vec"), corpus(spark, d), facets=corpus_facets(), threshold=0.05, filter_mode="pre")
     return out.select("qid", "id", "score", "rank", "style_primary")
 
 
@@ -192,7 +192,7 @@ OWN_IMAGE = IMAGE.replace(f"JOIN corpus ON f.id = image_id WHERE", "JOIN corpus
 @query(OWN_IMAGE)
 def v13_filters_after(spark, d):
     """Every query has filters of its own, held against its candidates."""
-    out = ranking.image_search(_own_filters(asked(spark, d)), vecs(spark, d).select("id", "vec"), text_vecs(spark, d), corpus(spark, d), facets=_facets(), candidates=40, threshold=0.12)
+    out = ranking.image_search(own_filters(asked(spark, d)), vecs(spark, d).select("id", "vec"), text_vecs(spark, d), corpus(spark, d), facets=corpus_facets(), candidates=40, threshold=0.12)
     return out.select("qid", "id", "score", "rank", "style_primary")
 
 
@@ -236,7 +236,7 @@ def v17_centroids(spark, d):
 COLLECTION = "(c.class_id = q.id AND (q.id % 3 <> 0 OR c.location_country IN ('en', 'de')) AND (q.id % 2 = 0 OR c.year_built BETWEEN 1850 AND 1980) AND (q.id % 5 <> 4 OR c.materials[1] ILIKE '%no such stuff%' OR c.materials[2] ILIKE '%no such stuff%'))"
 
 
-def _facets():
+def corpus_facets():
     return filters.facets(year="year_built", materials="materials", country_="location_country", styles=(F.col("style_primary"),), types=(F.col("building_type"),), typologies=F.array(F.col("building_type")))
 
 
@@ -250,7 +250,7 @@ def _collections(spark, d):
 @query(CENTRE.replace("WITH ", f"WITH {CORPUS}, ", 1) + f", q AS (SELECT label AS id, lv FROM k), h AS (SELECT q.id AS qid, v.id, round(list_inner_product(q.lv, v.vec), 6) AS score FROM q JOIN corpus c ON {COLLECTION} JOIN v ON v.id = c.image_id) SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM h QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 4")
 def v18_style_collections(spark, d):
     """(query, filter) pairs, each with the four best among its own rows, in one scan; two of ten are empty and drop out."""
-    return ranking.collections(_collections(spark, d), vecs(spark, d).select("id", "vec"), corpus(spark, d), _facets(), 4)
+    return ranking.collections(_collections(spark, d), vecs(spark, d).select("id", "vec"), corpus(spark, d), corpus_facets(), 4)
 
 
 @query(CENTRE + " SELECT round(avg(cos), 6) AS mean, round(stddev_samp(cos), 6) AS std, count(*) AS n, (SELECT round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) FROM (SELECT own, label, row_number() OVER (PARTITION BY id ORDER BY cos DESC, label) AS r FROM s) WHERE own = label) AS recall_1, (SELECT round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0.0 END), 6) FROM (SELECT own, label, row_number() OVER (PARTITION BY id ORDER BY cos DESC, label) AS r FROM s) WHERE own = label) AS recall_5 FROM s")

@@ -59,11 +59,13 @@ def sidecars(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def golden(spark: SparkSession, path: str) -> DataFrame:
-    """query, relevant, filters, notes of a JSONL file; blank and # lines are skipped, bad JSON and a missing query fail."""
+    """query, relevant, filters (facet -> values, given as a scalar or a list), notes of a JSONL file; blank and # lines are skipped, bad JSON and a missing query fail."""
     lines = spark.read.text(path).where(~F.trim("value").startswith("#") & (F.trim("value") != ""))
-    row = F.from_json("value", "query string, relevant_image_ids array<string>, filters map<string,string>, notes string", {"mode": "FAILFAST"}).alias("r")
+    row = F.from_json("value", "query string, relevant_image_ids array<string>, filters map<string,variant>, notes string", {"mode": "FAILFAST"}).alias("r")
     query = F.when(F.coalesce(F.col("r.query"), F.lit("")) != "", F.col("r.query")).otherwise(F.raise_error(F.lit("a line has no query")))
-    return lines.select(row).select(query.alias("query"), F.coalesce("r.relevant_image_ids", F.array().cast("array<string>")).alias("relevant"), "r.filters", "r.notes")
+    values = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array_compact(F.array(F.try_variant_get(v, "$", "string"))))
+    filters = F.transform_values("r.filters", lambda _, v: values(v)).alias("filters")
+    return lines.select(row).select(query.alias("query"), F.coalesce("r.relevant_image_ids", F.array().cast("array<string>")).alias("relevant"), filters, "r.notes")
 
 
 def oai_records(spark: SparkSession, path: str) -> DataFrame:

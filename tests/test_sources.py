@@ -30,9 +30,10 @@ def test_sidecars_and_golden(spark, tmp_path):
     rows = {r["outcome"]: r for r in scans.sidecars(spark, str(tmp_path), "title string").collect()}
     assert rows["ok"]["id"] == good and rows["ok"]["meta"]["title"] == "t" and set(rows) == {"ok", "bad json", "bad name"}
     lines = tmp_path / "golden.jsonl"
-    lines.write_text('# comment\n\n{"query": "q", "relevant_image_ids": ["a"], "filters": {"style": "x"}}\n{"query": "r"}\n')
+    lines.write_text('# comment\n\n{"query": "q", "relevant_image_ids": ["a"], "filters": {"style": "x", "period": [1900, "1950"], "none": null}}\n{"query": "r"}\n')
     got = scans.golden(spark, str(lines)).collect()
     assert [(r["query"], r["relevant"]) for r in got] == [("q", ["a"]), ("r", [])]
+    assert got[0]["filters"] == {"style": ["x"], "period": ["1900", "1950"], "none": []} and got[1]["filters"] is None
     lines.write_text('{"notes": "no query"}\n')
     with pytest.raises(Exception, match="no query"):
         scans.golden(spark, str(lines)).collect()
