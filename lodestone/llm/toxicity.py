@@ -220,6 +220,7 @@ def score(docs: DataFrame, labels: DataFrame, *, k: int = 15, max_examples: int
     known, index = found
     voted = materialise(votes(docs, known, index, k), "toxic-votes")
     known.unpersist(), index.unpersist()  # the votes are written; executors need them no more
+    release_unused()  # the driver's own part, as it lives on for later stages
     spark = docs.sparkSession
     marks = spark.createDataFrame(pa.table({"doc_id": index.value.ids, "y": index.value.y}))
     bins = voted.join(F.broadcast(marks), "doc_id").groupBy(F.round(F.col("vote"), 3).alias("x")).agg(F.count("*").cast("double").alias("w"), F.avg("y").alias("m")).collect()  # a row per thousandth of the vote at most
