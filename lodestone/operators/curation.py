@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from pyspark.sql import functions as F
 from lodestone.sources.shared import materialise
 
 BITS = 64
+GROUP = 1 << 17  # hashes of one band that meet in a task
+CANDIDATES = 1 << 20  # pairs that are compared at once
 
 
 def bands(n: int) -> list[tuple[int, int]]:
@@ -64,34 +69,78 @@ def _numbered(rows: DataFrame, key: str, phash: str) -> DataFrame:
 def close_hashes(values: DataFrame, below: int) -> DataFrame:
     """x, y, distance: pairs x < y of different hashes (column h) with fewer than ``below`` differing bits.
 
-    64 bits lie in bands, and some band of such a pair differs in few bits only. So one side keeps its
-    bands, the other tries each band and all of its errors, and an equi-join on (band, bits) finds every
-    pair; the exact distance decides. The number of bands follows from the number of hashes.
+    64 bits lie in bands, and some band of such a pair differs in few bits only. One side keeps its bands, the other tries
+    each band and all of its errors. Hashes are dealt into groups by the first bits of a band; only errors in those bits are
+    rows of a shuffle, those in the rest are tried inside the group, and the exact distance decides. The number of bands
+    and of first bits follows from the number of hashes; a group that is too large is met in blocks, own against tried ones.
     """
-    n = band_count(values.count(), below)
-    bits = lambda at, width: F.shiftright("h", at).bitwiseAND((1 << width) - 1)
-    own = F.array(*[F.struct(F.lit(i).alias("band"), bits(*b).alias("bits")) for i, b in enumerate(bands(n))])
-
-    def wrong(i: int, band: tuple[int, int]) -> Column:
-        return F.transform(F.lit(flips(band[1], errors(below, n))), lambda flip: F.struct(F.lit(i).alias("band"), bits(*band).bitwiseXOR(flip.cast("long")).alias("bits")))
-
-    tried = F.concat(*[wrong(i, b) for i, b in enumerate(bands(n))])
-    left, right = values.select(F.col("h").alias("x"), F.inline(own)), values.select(F.col("h").alias("y"), F.inline(tried))
-    distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y")))
-    return left.join(right, ["band", "bits"]).where("x < y").where(distance < below).select("x", "y", distance.alias("distance")).distinct()
+    rows = values.count()
+    n = band_count(rows, below)
+    most, first = errors(below, n), min(12, (rows // GROUP).bit_length())
+    start = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftright("h", at + width - first).bitwiseAND((1 << first) - 1).cast("int").alias("bits")) for i, (at, width) in enumerate(bands(n))])
+    own, turned = values.select("h", F.inline(start)), flips(first, most)
+    sizes = {(r["band"], r["bits"]): r["n"] for r in own.groupBy("band", "bits").agg(F.count("*").alias("n")).collect()}  # n * 4096 at most
+    blocks = [(band, bits, 1 + size // (2 * GROUP), 1 + sum(sizes.get((band, bits ^ t), 0) for t in turned) // (32 * GROUP)) for (band, bits), size in sizes.items()]
+    if not blocks:
+        return values.select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(0).alias("distance"))  # no hashes, no rows
+    blocks = F.broadcast(values.sparkSession.createDataFrame(blocks, "band int, bits int, n_own int, n_tried int"))
+    turns = F.array(*[F.struct(F.lit(t).alias("turn"), F.lit(most - t.bit_count()).alias("left")) for t in turned])
+    tried = own.select("h", "band", "bits", F.inline(turns)).select("h", "left", "band", F.col("bits").bitwiseXOR(F.col("turn")).alias("bits"))
+    part, each = lambda m: F.pmod(F.xxhash64("h"), F.col(m)).cast("int"), lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    own = own.join(blocks, ["band", "bits"]).withColumn("i", part("n_own")).select("h", "band", "bits", "i", each("n_tried").alias("j"))
+    tried = tried.join(blocks, ["band", "bits"]).withColumn("j", part("n_tried")).select("h", "left", "band", "bits", each("n_own").alias("i"), "j")
+    own, places = own.select(*[F.col(c).alias(c) for c in own.columns]), bands(n)  # columns of its own: both sides come of one table
+
+    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        at, width = places[key[0].as_py()]
+        own, other, allowed = (t.column(c).to_numpy() for t, c in ((left, "h"), (right, "h"), (right, "left")))
+        found = [np.zeros((3, 0), np.int64), *_meetings(own, other, allowed, at, width - first, below)]
+        x, y, d = np.concatenate(found, axis=1)
+        return pa.table({"x": x, "y": y, "distance": d.astype(np.int32)})
+
+    keys = ["band", "bits", "i", "j"]
+    return own.groupBy(*keys).cogroup(tried.groupBy(*keys)).applyInArrow(meet, "x long, y long, distance int").distinct()
+
+
+def _meetings(own: np.ndarray, tried: np.ndarray, allowed: np.ndarray, at: int, width: int, below: int) -> Iterator[np.ndarray]:
+    """(x, y, distance) of x in ``own`` and y in ``tried``, x < y, that differ in up to ``allowed`` (one for each y) of ``width`` bits from ``at`` on."""
+    bits = lambda h: ((h.view(np.uint64) >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)
+    own = own[np.argsort(bits(own), kind="stable")]
+    ends = np.append(0, np.cumsum(np.bincount(bits(own), minlength=1 << width)))
+    for some in np.unique(allowed).tolist():
+        asked = tried[allowed == some]
+        asked = asked[np.argsort(bits(asked), kind="stable")]
+        for low in range(0, len(asked), 1 << 16):
+            y = asked[low : low + (1 << 16)]
+            mine = bits(y)
+            for flip in flips(width, some):
+                place = mine ^ flip
+                begin = ends[place]
+                upto = np.cumsum(ends[place + 1] - begin)
+                i = 0
+                while i < len(y) and upto[-1] > (base := int(upto[i - 1]) if i else 0):
+                    j = max(i + 1, int(np.searchsorted(upto, base + CANDIDATES, "right")))  # a bounded number of candidates at once
+                    n = np.diff(upto[i:j], prepend=base)
+                    x, z = own[np.repeat(begin[i:j] - (upto[i:j] - n - base), n) + np.arange(upto[j - 1] - base)], np.repeat(y[i:j], n)
+                    distance = np.bitwise_count((x ^ z).view(np.uint64))
+                    near = np.flatnonzero((distance < below) & (x < z))
+                    if len(near):
+                        yield np.stack([x[near], z[near], distance[near].astype(np.int64)])
+                    i = j
 
 
 def _both_ways(values: DataFrame, below: int) -> DataFrame:
     """x, y, distance of all ordered pairs of close hashes, each hash with itself among them."""
-    close = close_hashes(values, below)
-    return close.unionByName(close.select(F.col("y").alias("x"), F.col("x").alias("y"), "distance")).unionByName(values.select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(0).alias("distance")))
+    one = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), "distance")
+    close = close_hashes(values, below).select(F.inline(F.array(one("x", "y"), one("y", "x"))))
+    return close.unionByName(values.select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(0).alias("distance")))
 
 
 def hamming_pairs(rows: DataFrame, key: str, phash: str, below: int = 10) -> DataFrame:
     """a, b, distance of all pairs a < b of rows with fewer than ``below`` bits between their hashes; many rows of one hash are many pairs."""
     numbered = _numbered(rows, key, phash)
     one, two = numbered.select(F.col("k").alias("a"), F.col("h").alias("x")), numbered.select(F.col("k").alias("b"), F.col("h").alias("y"))
-    return _both_ways(numbered.select("h").distinct(), below).join(one, "x").join(two, "y").where("a < b").select("a", "b", "distance")
+    return _both_ways(materialise(numbered.select("h").distinct(), "hashes"), below).join(one, "x").join(two, "y").where("a < b").select("a", "b", "distance")
 
 
 def near_duplicate_of(rows: DataFrame, key: str, phash: str, below: int = 10, mode: str = "first") -> DataFrame:
@@ -102,7 +151,7 @@ def near_duplicate_of(rows: DataFrame, key: str, phash: str, below: int = 10, mo
     """
     order = F.struct("a") if mode == "first" else F.struct("distance", "a")
     numbered = _numbered(rows, key, phash)
-    firsts = numbered.groupBy("h").agg(F.min("k").alias("a"))
+    firsts = materialise(numbered.groupBy("h").agg(F.min("k").alias("a")), "hashes")
     found = _both_ways(firsts.select("h"), below).join(firsts.withColumnRenamed("h", "x"), "x").select("y", "a", "distance")
     found = numbered.select(F.col("k").alias("b"), F.col("h").alias("y")).join(found, "y").where("a < b")
     return found.groupBy(F.col("b").alias(key)).agg(F.min_by("a", order).alias("near_duplicate_of"), F.min_by("distance", order).alias("distance"))
