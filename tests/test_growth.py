@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import curation
+from lodestone.operators import curation, vectors
 
 
 def test_close_hashes_try_errors_inside_groups(spark, monkeypatch):
@@ -22,3 +22,11 @@ def test_close_hashes_try_errors_inside_groups(spark, monkeypatch):
         assert len(found._jdf.queryExecution().toString()) < 200_000  # no plan of thousands of errors, nor a row for each
         assert {tuple(r) for r in found.collect()} == want
     assert curation.close_hashes(df.limit(0), 10).count() == 0
+
+
+def test_queries_joined_from_the_vectors_meet_them_in_blocks(spark):
+    v = spark.range(60).select("id", F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double")).alias("vec"))
+    ids = spark.range(0, 60, 3).withColumnRenamed("id", "qid")
+    asked = ids.join(v, ids.qid == v.id).select("qid", "vec")
+    rows = lambda df: {tuple(r) for r in df.select("qid", "id", "score", "rank").collect()}
+    assert rows(vectors.knn(asked, v, 4, batch=5)) == rows(vectors.knn(asked, v, 4))
