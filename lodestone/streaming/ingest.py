@@ -55,7 +55,7 @@ def complete(stream: DataFrame, target: str, checkpoint: str, key: str, merge: C
     return run(stream, checkpoint, each)
 
 
-def tracked(records: DataFrame, outputs: DataFrame, patience: str | int, tries: int = 3, delay: str = "0 seconds") -> DataFrame:
+def tracked(records: DataFrame, outputs: DataFrame, patience: str | int, tries: int = 3, delay: str = "0 seconds", groups: int = 4096) -> DataFrame:
     """key, at, status, tries, payload: every change of a record's state, from (key, at) records and (key, at, payload) model outputs.
 
     A record that arrives is ``processing``. Its output completes it (``ready``, with the payload). A timer of ``patience`` seconds of
@@ -63,7 +63,8 @@ def tracked(records: DataFrame, outputs: DataFrame, patience: str | int, tries:
     requeues it is ``failed``; an output that comes later still completes it. Repeated records and outputs of a completed key
     change nothing; an output without a record waits for it, and completes it when it comes.
 
-    State is one small row a key; timers run by the watermark, ``delay`` behind the latest event. A timer counts as run out when a later event
+    State is a row for each of ``groups`` groups of keys, so that Python is called once a group and batch and not once a key; more
+    groups keep each small. Timers run by the watermark, ``delay`` behind the latest event. A timer counts as run out when a later event
     of its key comes, or when the watermark passes it, so that the changes do not depend on how events fall into batches.
     """
     step = int(patience)
@@ -71,43 +72,50 @@ def tracked(records: DataFrame, outputs: DataFrame, patience: str | int, tries:
     when = F.col("at").cast("timestamp")
     told = lambda rows, payload, kind: rows.select("key", when.alias("at"), F.unix_millis(when).alias("ms"), payload.alias("payload"), F.lit(kind).alias("kind"))
     both = told(records, none, 0).unionByName(told(outputs, F.col("payload"), 1))
+    names = ["key", "ms", "status", "tries", "payload"]
 
-    def follow(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, due, n, waiting = state.get if state.exists else ("new", 0, 0, None)
-        out = []
+    def follow(group: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = {k: tuple(told) for k, *told in zip(*state.get, strict=True)} if state.exists else {}
+        watermark, out = state.getCurrentWatermarkMs(), []
 
-        def tell(ms: int, what: str, payload: str | None = None) -> None:
-            out.append((key[0], ms, what, n, payload))
-
-        def run_out(upto: int) -> None:
-            nonlocal status, due, n
+        def run_out(key: str, status: str, due: int, n: int, upto: int) -> tuple[str, int, int]:
             while status in ("processing", "requeued") and due <= upto:
                 status = "failed" if n == tries else "requeued"
                 n += status == "requeued"
-                tell(due, status)
+                out.append((key, due, status, n, None))
                 due += step * 1000
+            return status, due, n
 
-        events = [] if state.hasTimedOut else sorted((e for pdf in pdfs for e in zip(pdf["ms"].tolist(), pdf["kind"].tolist(), pdf["payload"].tolist(), strict=True)), key=lambda e: (e[0], e[1], e[2] or ""))
-        for ms, kind, payload in events:
-            run_out(ms - 1)
+        events = [] if state.hasTimedOut else sorted((e for pdf in pdfs for e in zip(*(pdf[c].tolist() for c in ("key", "ms", "kind", "payload")), strict=True)), key=lambda e: (e[0] or "", e[1], e[2], e[3] or ""))
+        for key, ms, kind, payload in events:
+            status, due, n, waiting = kept.get(key, ("new", 0, 0, None))
+            status, due, n = run_out(key, status, due, n, ms - 1)
             if kind == 0 and status == "new":
                 status, due = "processing", ms + step * 1000
-                tell(ms, status)
+                out.append((key, ms, status, n, None))
                 if waiting is not None:
                     status = "ready"
-                    tell(ms, status, waiting)
+                    out.append((key, ms, status, n, waiting))
             elif kind == 1 and status == "new":
                 waiting = waiting if waiting is not None else payload or ""
             elif kind == 1 and status != "ready":
                 status = "ready"
-                tell(ms, status, payload)
-        run_out(state.getCurrentWatermarkMs() if state.getCurrentWatermarkMs() > 0 else -1)
-        state.update((status, due, n, waiting))
-        if status in ("processing", "requeued"):
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "ms", "status", "tries", "payload"])
-
-    changes = both.withWatermark("at", delay).groupBy("key").applyInPandasWithState(follow, "key string, ms long, status string, tries int, payload string", "status string, due long, n int, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+                out.append((key, ms, status, n, payload))
+            kept[key] = (status, due, n, waiting)
+        if watermark > 0:
+            for key, (status, due, n, waiting) in kept.items():
+                if due <= watermark and status in ("processing", "requeued"):
+                    kept[key] = (*run_out(key, status, due, n, watermark), waiting)
+        state.update(tuple(map(list, zip(*((k, *v) for k, v in kept.items()), strict=True))))
+        dues = [due for status, due, _, _ in kept.values() if status in ("processing", "requeued")]
+        if dues:
+            state.setTimeoutTimestamp(max(min(dues), watermark + 1))
+        for at in range(0, len(out), 10_000):
+            yield pd.DataFrame(out[at : at + 10_000], columns=names)
+
+    stored = "keys array<string>, status array<string>, due array<long>, n array<int>, waiting array<string>"
+    dealt = both.withWatermark("at", delay).withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group")
+    changes = dealt.applyInPandasWithState(follow, "key string, ms long, status string, tries int, payload string", stored, "append", GroupStateTimeout.EventTimeTimeout)
     return changes.select("key", F.timestamp_millis("ms").alias("at"), "status", "tries", "payload")
 
 

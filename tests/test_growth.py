@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodestone.operators import curation, vectors
+from tests.test_streams_and_models import changes
 
 
 def test_close_hashes_try_errors_inside_groups(spark, monkeypatch):
@@ -30,3 +31,13 @@ def test_queries_joined_from_the_vectors_meet_them_in_blocks(spark):
     asked = ids.join(v, ids.qid == v.id).select("qid", "vec")
     rows = lambda df: {tuple(r) for r in df.select("qid", "id", "score", "rank").collect()}
     assert rows(vectors.knn(asked, v, 4, batch=5)) == rows(vectors.knn(asked, v, 4))
+
+
+def test_records_are_followed_in_groups_of_keys(spark, tmp_path):
+    keys = [f"k{i}" for i in range(40)]
+    records, outputs = [[(k, i % 5, None) for i, k in enumerate(keys)]], [[(k, 20, "a") for k in keys[::2]] + [("later", 59, None)]]
+    got = changes(spark, str(tmp_path), records, outputs, tries=1, groups=3)
+    assert spark.read.format("statestore").load(f"{tmp_path}/c").count() <= 3  # not a row, and a call of Python, for each key
+    for i, k in enumerate(keys):
+        told = [(i % 5, "processing", 0, None), (i % 5 + 10, "requeued", 1, None)]
+        assert got[k] == told + ([(20, "ready", 1, "a")] if i % 2 == 0 and i % 5 else [(i % 5 + 20, "ready", 1, "a")] if i % 2 == 0 else [(i % 5 + 20, "failed", 1, None)])
