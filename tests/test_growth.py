@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.operators import curation, vectors
@@ -33,6 +35,20 @@ def test_queries_joined_from_the_vectors_meet_them_in_blocks(spark):
     assert rows(vectors.knn(asked, v, 4, batch=5)) == rows(vectors.knn(asked, v, 4))
 
 
+def test_rough_scores_lose_nothing(monkeypatch):
+    rng = np.random.default_rng(8)
+    for name, scale in (("BLOCK", 16), ("ROWS", 64), ("CELLS", 640)):
+        monkeypatch.setattr(vectors, name, scale)
+    for vec, asked in ((1 + rng.normal(size=(500, 8)) * 1e-6, 1 + rng.normal(size=(40, 8)) * 1e-6), (np.zeros((500, 8)), rng.normal(size=(40, 8))), (rng.normal(size=(500, 8)) * 1e30, rng.normal(size=(40, 8)) * 1e30)):
+        best = vectors.Best(asked, 7, 6)
+        for at in range(0, 500, 150):
+            best.add(pa.array(range(at, min(at + 150, 500))[::-1]), pa.array(vec[at : at + 150][::-1].tolist()))
+        score = np.round(np.einsum("qd,vd->qv", asked, vec), 6) + 0.0
+        want = {(i, j) for i in range(40) for j in np.lexsort((np.arange(500), -score[i]))[:7].tolist()}
+        got = next(best.rows())
+        assert set(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)) == want
+
+
 def test_records_are_followed_in_groups_of_keys(spark, tmp_path):
     keys = [f"k{i}" for i in range(40)]
     records, outputs = [[(k, i % 5, None) for i, k in enumerate(keys)]], [[(k, 20, "a") for k in keys[::2]] + [("later", 59, None)]]
