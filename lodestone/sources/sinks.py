@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.curation import first_of_each
 from lodestone.sources.named_files import write_named
+from lodestone.sources.shared import dealt
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -47,12 +48,15 @@ def replace_by_key(rows: DataFrame, path: str, key: str, buckets: int = 64) -> N
     bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
     new = rows.withColumn("bucket", bucket)
     if exists(spark, path):
+        staged = f"{path}.staged/{uuid.uuid4().hex}"
+        new.write.parquet(f"{staged}-rows")
+        new = spark.read.schema(new.schema).parquet(f"{staged}-rows")
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-        old = spark.read.parquet(path)
-        kept = old.where(F.col("bucket").isin(touched)).join(rows.select(key).distinct(), key, "left_anti")
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+        n = max(old.count(), new.count())
+        kept = dealt(old, key, n).join(dealt(new.select(key), key, n).distinct(), key, "left_anti")
         new = new.unionByName(kept, allowMissingColumns=True)
         new = spark.createDataFrame([], new.schema) if not touched else new
-        staged = f"{path}.staged/{uuid.uuid4().hex}"
         new.write.parquet(staged)  # what is read is not what is overwritten
         new = spark.read.schema(new.schema).parquet(staged)
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)

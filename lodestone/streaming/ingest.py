@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestone.sources.shared import dealt
 from lodestone.sources.sinks import exists, insert_if_absent, replace_by_key
 
 
@@ -47,8 +48,10 @@ def complete(stream: DataFrame, target: str, checkpoint: str, key: str, merge: C
         spark = batch.sparkSession
         if not exists(spark, target):
             return
-        changed = lambda: spark.read.parquet(target).drop("bucket").join(batch.select(key).distinct(), key, "left_semi")
-        replace_by_key(merge(changed(), batch).withColumn("ingest_status", F.lit("ready")), target, key)
+        n = max(spark.read.parquet(target).count(), batch.count())
+        output = dealt(batch, key, n)
+        changed = lambda: dealt(spark.read.parquet(target).drop("bucket"), key, n).join(output.select(key).distinct(), key, "left_semi")
+        replace_by_key(merge(changed(), output).withColumn("ingest_status", F.lit("ready")), target, key)
         for step in then or []:
             step(changed(), number)  # read anew: the old files are gone
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.operators import curation, vectors
+from lodestone.sources import shared, sinks
 from tests.test_streams_and_models import changes
 
 
@@ -57,3 +58,12 @@ def test_records_are_followed_in_groups_of_keys(spark, tmp_path):
     for i, k in enumerate(keys):
         told = [(i % 5, "processing", 0, None), (i % 5 + 10, "requeued", 1, None)]
         assert got[k] == told + ([(20, "ready", 1, "a")] if i % 2 == 0 and i % 5 else [(i % 5 + 20, "ready", 1, "a")] if i % 2 == 0 else [(i % 5 + 20, "failed", 1, None)])
+
+
+def test_replaced_rows_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    rows = []
+    monkeypatch.setattr(sinks, "dealt", lambda df, key, n: rows.append(n) or shared.dealt(df, key, n, most=10))
+    for what, n in (("old", 50), ("new", 30)):
+        sinks.replace_by_key(spark.range(n).select("id", F.lit(what).alias("what")), str(tmp_path / "t"), "id", 4)
+    assert rows == [50, 50] and shared.dealt(spark.range(5), "id", 1_000_001).rdd.getNumPartitions() == 5
+    assert {(r["id"], r["what"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(i, "new" if i < 30 else "old") for i in range(50)}
