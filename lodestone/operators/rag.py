@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+SNIPPET = 240
 NOT_FOUND = "I could not find this in your documents"
 
 
@@ -29,15 +30,16 @@ def excerpts(hits: DataFrame) -> DataFrame:
     return told.select("qid", F.array_join(F.transform("blocks", lambda x: x["block"]), "\n\n").alias("context"))
 
 
-def citations(hits: DataFrame, answers: DataFrame, length: int = 240, fallback: int = 3) -> DataFrame:
+def citations(hits: DataFrame, answers: DataFrame, length: int = SNIPPET, fallback: int = 3) -> DataFrame:
     """qid, title, page, snippet, place: one citation a (source, page) in rank order, those named in the answer, else the first three."""
-    first = hits.withColumn("_p", F.row_number().over(W.partitionBy("qid", "title", "page").orderBy("rank"))).where("_p = 1").drop("_p")
     snippet = F.when(F.length("text") > length, F.concat(F.substring("text", 1, length), F.lit("…"))).otherwise(F.col("text"))
+    short = hits.select("qid", "rank", "title", "page", snippet.alias("snippet"))  # whole texts go through no sort
+    first = short.withColumn("_p", F.row_number().over(W.partitionBy("qid", "title", "page").orderBy("rank"))).where("_p = 1").drop("_p")
     named = first.join(answers, "qid").withColumn("named", F.contains(F.col("answer"), label(F.col("title"), F.col("page"))).cast("int"))
     any_ = F.max("named").over(W.partitionBy("qid"))
     place = F.row_number().over(W.partitionBy("qid", "named").orderBy("rank"))
     kept = named.withColumn("any_", any_).withColumn("place", place).where(F.when(F.col("any_") == 1, F.col("named") == 1).otherwise(F.col("place") <= fallback))
-    return kept.select("qid", "title", "page", snippet.alias("snippet"), "place")
+    return kept.select("qid", "title", "page", "snippet", "place")
 
 
 def is_not_found(answer: Column, reply: str = NOT_FOUND, shorter: int = 80) -> Column:

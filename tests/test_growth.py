@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.operators import curation, vectors
+from lodestone.operators import curation, rag, vectors
 from lodestone.sources import shared, sinks
 from tests.test_streams_and_models import changes
 
@@ -60,6 +60,14 @@ def test_records_are_followed_in_groups_of_keys(spark, tmp_path):
         assert got[k] == told + ([(20, "ready", 1, "a")] if i % 2 == 0 and i % 5 else [(i % 5 + 20, "ready", 1, "a")] if i % 2 == 0 else [(i % 5 + 20, "failed", 1, None)])
 
 
+def test_citations_sort_snippets_only(spark):
+    hits = spark.range(20).select((F.col("id") % 4).alias("qid"), F.col("id").alias("rank"), F.lit("T").alias("title"), F.col("id").alias("page"), F.repeat(F.lit("x"), 300).alias("text"))
+    found = rag.citations(hits, hits.select("qid", F.lit("no").alias("answer")).distinct())
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.rindex("substring(") > plan.rindex("Window ")  # made below every window
+    assert {len(r["snippet"]) for r in found.collect()} == {241}
+
+
 def test_replaced_rows_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     rows = []
     monkeypatch.setattr(sinks, "dealt", lambda df, key, n: rows.append(n) or shared.dealt(df, key, n, most=10))
