@@ -22,14 +22,26 @@ class Written(WriterCommitMessage):
     files: int
 
 
-def place_of(folder: str, name: str):
-    """The file system and path of a name below the folder; names lead nowhere else."""
+def file_system(folder: str):
+    """The file system and path of a folder."""
     from pyarrow import fs
 
+    system, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    return system, base.rstrip("/")
+
+
+def checked(name: str) -> str:
+    """A name below a folder; names lead nowhere else."""
     if not name or name.startswith("/") or any(part in ("", ".", "..") for part in name.split("/")):
         raise ValueError(f"not a name of a file below the folder: {name!r}")
-    system, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-    return system, f"{base.rstrip('/')}/{name}"
+    return name
+
+
+def place_of(folder: str, name: str):
+    """The file system and path of a name below the folder."""
+    name = checked(name)
+    system, base = file_system(folder)
+    return system, f"{base}/{name}"
 
 
 class NamedFilesWriter(DataSourceWriter):
@@ -37,11 +49,14 @@ class NamedFilesWriter(DataSourceWriter):
         self.folder = folder
 
     def write(self, iterator: Iterator) -> Written:
-        n = 0
+        n, made = 0, set()
+        system, root = file_system(self.folder)
         for row in iterator:
-            system, path = place_of(self.folder, row["name"])
-            parent, base = path.rsplit("/", 1)
-            system.create_dir(parent, recursive=True)
+            parent, base = f"{root}/{checked(row['name'])}".rsplit("/", 1)
+            path = f"{parent}/{base}"
+            if parent not in made:
+                system.create_dir(parent, recursive=True)
+                made.add(parent)
             beside = f"{parent}/_{uuid.uuid4().hex}.{base}.tmp"
             with system.open_output_stream(beside) as out:
                 out.write(bytes(row["content"] or b""))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.operators import curation, rag, vectors
-from lodestone.sources import shared, sinks
+from lodestone.sources import named_files, shared, sinks
 from tests.test_streams_and_models import changes
 
 
@@ -75,3 +75,10 @@ def test_replaced_rows_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
         sinks.replace_by_key(spark.range(n).select("id", F.lit(what).alias("what")), str(tmp_path / "t"), "id", 4)
     assert rows == [50, 50] and shared.dealt(spark.range(5), "id", 1_000_001).rdd.getNumPartitions() == 5
     assert {(r["id"], r["what"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(i, "new" if i < 30 else "old") for i in range(50)}
+
+
+def test_named_files_ask_for_the_file_system_once_a_task(tmp_path, monkeypatch):
+    asked, real = [], named_files.file_system
+    monkeypatch.setattr(named_files, "file_system", lambda folder: asked.append(folder) or real(folder))
+    named_files.NamedFilesWriter(str(tmp_path)).write(iter([{"name": f"d{i % 3}/{i}", "content": b"x"} for i in range(30)]))
+    assert len(asked) == 1 and sum(len(list(d.iterdir())) for d in tmp_path.iterdir()) == 30
