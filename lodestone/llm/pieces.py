@@ -124,6 +124,7 @@ def _mapped(docs: DataFrame, vocabulary: str, row, names: list[str], kinds: list
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_unused()  # what earlier stages left in this worker
         codec = _codec(model.value)
         try:
             for batch in batches:

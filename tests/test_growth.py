@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lodestone.llm import common
 from lodestone.operators import curation, rag, vectors
 from lodestone.sources import named_files, shared, sinks
 from tests.test_streams_and_models import changes
@@ -82,3 +83,10 @@ def test_named_files_ask_for_the_file_system_once_a_task(tmp_path, monkeypatch):
     monkeypatch.setattr(named_files, "file_system", lambda folder: asked.append(folder) or real(folder))
     named_files.NamedFilesWriter(str(tmp_path)).write(iter([{"name": f"d{i % 3}/{i}", "content": b"x"} for i in range(30)]))
     assert len(asked) == 1 and sum(len(list(d.iterdir())) for d in tmp_path.iterdir()) == 30
+
+
+def test_released_memory_is_trimmed(monkeypatch):
+    called = []
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda name: type("C", (), {"malloc_trim": staticmethod(called.append)}))
+    common.release_unused()
+    assert called == [0]
