@@ -59,9 +59,16 @@ def replace_by_key(rows: DataFrame, path: str, key: str, buckets: int = 64) -> N
         new = spark.createDataFrame([], new.schema) if not touched else new
         new.write.parquet(staged)  # what is read is not what is overwritten
         new = spark.read.schema(new.schema).parquet(staged)
+        new = _by_bucket(new, key, new.count(), buckets)
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def _by_bucket(rows: DataFrame, key: str, n: int, buckets: int, most: int = 250_000) -> DataFrame:
+    """``rows`` (n) dealt by bucket, and large buckets by key as well, so that no task sorts more for a longer table and a bucket has few files."""
+    parts, split = -(-n // most), max(1, -(-n // (buckets * most)))
+    return rows.repartition(max(1, min(buckets * split, 4 * parts)), "bucket", F.pmod(F.hash(key), F.lit(split)))
+
+
 def chunk_counts(chunks: DataFrame, sources: DataFrame, key: str = "source_id") -> DataFrame:
     """Sources with chunk_count, page_count and status after their chunks were written."""
     n = chunks.groupBy(key).agg(F.count("*").alias("chunk_count"), F.countDistinct("page").alias("page_count"))
