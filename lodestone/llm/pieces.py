@@ -6,7 +6,9 @@ covers cost ``least score - 10`` and become byte pieces. Ties keep the longer la
 
 Spaces become U+2581 and one is put in front of the text. Where no piece of the vocabulary
 crosses a word's start (or a character that is in no piece), the best path does not cross it
-either, so texts are cut there and the paths of words are remembered, up to a bounded number.
+either, so texts are cut there and the paths of words are remembered, up to a bounded number. Where no
+piece goes on from a letter to anything else, words are cut after their letters too, so that a word with and without
+a comma is one.
 
 A literal U+2581 in a text is sent as bytes, so that decoding gives every text back exactly.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,12 +62,29 @@ class Codec:
         self.unknown = least - 10.0
         inner = any(SPACE in p.lstrip(SPACE) for p in pieces)
         newline = any("\n" in p for p in pieces)
-        self.cut = re.compile(f"[{SPACE}]" if inner and newline else f"[^{SPACE}]+" if inner else f"{SPACE}*[^{SPACE}]*" if newline else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+        self.cut = re.compile(f"[{SPACE}]" if inner and newline else f"[^{SPACE}]+" if inner else f"{SPACE}*[^{SPACE}]*" if newline else _words(pieces))
         self.whole = inner
         self.paths: dict[str, tuple[int, ...]] = {}
 
     def viterbi(self, text: str) -> tuple[int, ...]:
         """The best path over ``text``, in which spaces are U+2581 already."""
+        at = len(text) - 1
+        best, last_piece = [float("-inf")] * len(text) + [0.0], [None] * len(text)  # by last position; that before the first is the list's end
+        for last, piece in self.automaton.iter(text):
+            value = best[last - piece[0]] + piece[2]
+            if value > best[last]:
+                best[last], last_piece[last] = value, piece
+        if None in last_piece:
+            return self.with_unknown(text)
+        ids: list[int] = []
+        while at >= 0:
+            size, i, _ = last_piece[at]
+            ids.append(i)
+            at -= size
+        return tuple(reversed(ids))
+
+    def with_unknown(self, text: str) -> tuple[int, ...]:
+        """The best path over a ``text`` that may have characters in no piece."""
         n = len(text)
         best, back = [0.0] + [float("-inf")] * n, [None] * (n + 1)
         done, unknown = 0, self.unknown  # positions up to ``done`` are final
@@ -98,18 +118,32 @@ class Codec:
             if k:
                 ids += literal
             part = part.replace(" ", SPACE)
-            for word in [part] if self.whole else self.cut.findall(part):
-                path = paths.get(word)
-                if path is None:
-                    path = self.viterbi(word)
+            words = [part] if self.whole else self.cut.findall(part)
+            found = list(map(paths.get, words))
+            if None in found:
+                for at in [at for at, path in enumerate(found) if path is None]:
+                    word = words[at]
+                    found[at] = path = paths.get(word) or self.viterbi(word)
                     if len(paths) < self.remembered and len(word) <= 64:
                         paths[word] = path
-                ids += path
+            ids += chain.from_iterable(found)
         return ids
 
     def decode(self, ids: list[int]) -> str:
-        surface = self.surface
-        return b"".join([surface[i] for i in ids]).decode(errors="replace")[1:]
+        return b"".join(map(self.surface.__getitem__, ids)).decode(errors="replace")[1:]
+
+
+def _words(pieces: list[str]) -> re.Pattern:
+    """Words with the spaces before them, for pieces that cross no word's start: cut after letters where no piece goes on from there."""
+    pairs = {pair for p in pieces for pair in zip(p, p[1:], strict=False)}
+    held, new = set(), {c for p in pieces for c in p if c.isalpha()}
+    while new:  # what follows a letter in a piece counts as one, and so on
+        held |= new
+        new = {b for a, b in pairs if a in held and b not in held and b != SPACE}
+    letters = "".join(map(re.escape, sorted(held)))
+    if not letters:
+        return re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+    return re.compile(f"\n|{SPACE}*(?:[^{SPACE}\n{letters}]*[{letters}]+|[^{SPACE}\n{letters}]+)|{SPACE}+")
 
 
 def _codec(model: bytes) -> Codec:

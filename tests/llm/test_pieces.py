@@ -63,3 +63,19 @@ def test_frames(spark, codec):
 
     assert rows[3]["ids_sha256"] == hashlib.sha256(np.array(codec.encode("word"), "<i4").tobytes()).hexdigest()
     assert pieces.digest(docs(spark, [])).collect() == []
+
+
+def test_words_are_cut_after_letters(codec):
+    words = ["Haus", "été", "naïve", "x²", "§a", "don", "l’eau", "कि", "e\u0301t"]
+    for w in words:
+        for after in [",", ".", "!!", "'s", "-mail", "2", "_a", "\t", "†", "🙂"]:
+            assert score_of(codec, codec.encode(w + after)) == pytest.approx(plain_best(codec, w + after)), w + after
+    codec.paths.clear()
+    codec.encode("fanserinth fanserinth, fanserinth. fanserinth!")
+    assert [w for w in codec.paths if "fanserinth" in w] == [pieces.SPACE + "fanserinth"]
+
+
+def test_pieces_that_go_on_after_letters():
+    assert pieces._words(["a", "b", ".", ","]).findall("▁ab,▁▁a.b\n1") == ["▁ab", ",", "▁▁a", ".b", "\n", "1"]
+    assert pieces._words(["a", "b", ".", "a,"]).findall("▁ab,▁▁a.b\n1") == ["▁ab,", "▁▁a", ".b", "\n", "1"]
+    assert pieces._words([".", ","]).findall("▁ab,▁") == ["▁ab,", "▁"]
