@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh, materialise
+from lodestone.llm.common import counted, fresh, materialise
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -144,8 +144,8 @@ def told(docs: DataFrame) -> DataFrame:
 
 def sets_for(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """cid, set (sorted 64-bit numbers as bytes) of the wanted (cid, rep, th, s1, s2) classes, each from a row that stands for it."""
-    wanted = wanted.select("cid", F.col("rep").alias("_rep"), F.col("th").alias("_th"), "s1", "s2")
-    if wanted.count() <= MOST_IDS:
+    wanted, n = counted(wanted.select("cid", F.col("rep").alias("_rep"), F.col("th").alias("_th"), "s1", "s2"), "dup-wanted")
+    if n <= MOST_IDS:
         wanted = F.broadcast(wanted)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +185,8 @@ def components(links: DataFrame) -> DataFrame:
         near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = label.join(near, "node").select("node", F.least("label", "near").alias("to"), F.col("label").alias("was"))
         jump = label.select(F.col("node").alias("to"), F.col("label").alias("next"))
-        step = materialise(step.join(jump, "to").select("node", "was", F.least("to", "next").alias("label")), "dup-labels")
-        if step.where("label <> was").isEmpty():
+        step, moved = counted(step.join(jump, "to").select("node", "was", F.least("to", "next").alias("label")), "dup-labels", F.col("label") != F.col("was"))
+        if not moved:
             return step.select("node", "label")
         label = step.select("node", "label")
 
@@ -245,8 +245,8 @@ def settled(members: DataFrame, label: DataFrame, sets: DataFrame, percent: int,
     groups = counts.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("h").alias("h"))
     groups = groups.where("labels > 1").groupBy("size", "h").agg(F.min_by("key", "key").alias("key"), F.min_by("main", "key").alias("main"), F.min_by("most", "key").alias("most"))  # groups of the same members count once
     n_x, n_y = F.ceil((F.col("size") - F.col("most")) / block), F.ceil(F.col("size") / (2 * block))
-    left = materialise(named.join(groups.select("key", "main", n_x.alias("n_x"), n_y.alias("n_y")), "key"), "dup-unsettled")
-    if left.isEmpty():
+    left, n = counted(named.join(groups.select("key", "main", n_x.alias("n_x"), n_y.alias("n_y")), "key"), "dup-unsettled")
+    if not n:
         return None
     some = lambda n: F.pmod(F.xxhash64("cid"), F.col(n))
     x = left.where("label <> main").select("key", "cid", "label", F.lit("x").alias("role"), some("n_x").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_y") - 1)).alias("j"))
@@ -281,8 +281,8 @@ def grouped(docs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataF
     label = components(links)
     more = settled(with_hub.where("size > 2 and cid <> hub").select("key", "cid"), label, sets, percent)
     if more is not None:
-        more = materialise(more, "dup-settled")
-        if not more.isEmpty():
+        more, n = counted(more, "dup-settled")
+        if n:
             label = components(links.union(more))
     named = classes.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("s1", "s2", "n", "rep", F.coalesce("label", "cid").alias("label"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -298,16 +298,17 @@ def deduplicated(docs: DataFrame, *, words: int = 5, percent: int = 80, chunks:
     named = grouped(docs, rows, words, percent)
     least = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))
     alike = rows.where("n > 0").groupBy("s1", "s2", "n", "doc_id", "th").agg(F.count("*").alias("times")).join(named.select("s1", "s2", "n", "label"), ["s1", "s2", "n"])
-    first = materialise(alike.withColumn("me", least).groupBy("label").agg(F.min("me").alias("me"), F.min_by("times", "me").alias("times")).select(F.col("me.doc_id").alias("_doc"), F.col("me.th").alias("_th"), "times"), "dup-first")
+    first = alike.withColumn("me", least).groupBy("label").agg(F.min("me").alias("me"), F.min_by("times", "me").alias("times")).select(F.col("me.doc_id").alias("_doc"), F.col("me.th").alias("_th"), "times")
+    first, more = counted(first, "dup-first", F.col("times") > 1)
     wordless = rows.where("n = 0").select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th"), F.lit(1).cast("long").alias("times")).distinct()
-    kept = materialise(first.unionByName(wordless), "narrow")
-    small = F.broadcast(kept) if kept.count() <= MOST_IDS else kept
+    kept, n = counted(first.unionByName(wordless), "narrow")
+    small = F.broadcast(kept) if n <= MOST_IDS else kept
     own, th, times = (fresh(c, docs.columns) for c in ("_own", "_hash", "_times"))
     told_ = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(th, F.xxhash64("text"))
     found = told_.join(small.withColumnRenamed("times", times), F.col(own).eqNullSafe(F.col("_doc")) & (F.col(th) == F.col("_th")))
     once = found.where(F.col(times) == 1).select(*docs.columns)
     repeated = found.where(F.col(times) > 1)
-    if first.where("times > 1").isEmpty():
+    if not more:
         return once
     place = fresh("_place", repeated.columns)
     one = repeated.withColumn(place, F.row_number().over(W.partitionBy(own, th).orderBy(F.to_json(F.struct(*docs.columns))))).where(F.col(place) == 1)

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.llm import neardup
+from lodestone.llm.common import counted
 from tests.llm.helpers import ODD, docs, prose
 
 
@@ -139,3 +141,33 @@ def test_deduplicated_keeps_one(spark):
     frame = docs(spark, ["a b c d e f"] * 4 + ["other words in this one"], ids=[4, 3, 2, 1, 0])
     out = neardup.deduplicated(frame)
     assert out.columns == frame.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 1]
+
+
+def test_tables_are_counted_while_they_are_written(spark, monkeypatch):
+    """Each further job leaves a plan in the driver."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    frame = docs(spark, [prose(1), prose(1), prose(2), None, ""])
+
+    def asked(self):
+        raise AssertionError("a job of its own")
+
+    for name in ("isEmpty", "count"):
+        monkeypatch.setattr(type(links), name, asked)
+    label, kept = neardup.components(links), neardup.deduplicated(frame)
+    monkeypatch.undo()
+    assert {(r["node"], r["label"]) for r in label.collect()} == {(i, 0) for i in range(10)}
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4]
+
+
+def test_counted(spark):
+    for n in (0, 7):
+        out, some = counted(spark.range(n), "test-counted", F.col("id") > 4)
+        assert out.count() == n and some == max(n - 5, 0) and counted(out, "test-counted")[1] == n
+        assert counted(out.join(spark.range(0), "id"), "test-counted")[1] == 0
+
+
+def test_many_ids_go_by_a_shuffle(spark, monkeypatch):
+    texts = [prose(i % 9) for i in range(40)] + [None, "", "one two"]
+    few = sorted((r["doc_id"], r["text"] or "") for r in neardup.deduplicated(docs(spark, texts)).collect())
+    monkeypatch.setattr(neardup, "MOST_IDS", 3)
+    assert sorted((r["doc_id"], r["text"] or "") for r in neardup.deduplicated(docs(spark, texts)).collect()) == few
