@@ -201,3 +201,35 @@ def test_odd_tables(spark):
     assert [r["score"] for r in toxicity.query(some, none).collect()] == [0.5, 0.5] and [r["score"] for r in quality.query(some, none).collect()] == [0.5, 0.5]
     twice = docs(spark, ["fine words here", "fine words here", None], ids=[3, 3, None])
     assert len(toxicity.query(twice, labels).collect()) == 3 and len(quality.query(twice, labels.withColumn("quality", labels.toxic)).collect()) == 3
+
+
+def test_words_of_one_byte_characters_need_no_pattern(monkeypatch):
+    """Splitting was half of an example's cost; the words are the pattern's."""
+    rng = random.Random(9)
+    chars = [chr(c) for c in range(128)] * 3 + list("äÖßçÉñİΣς²½٣四﹍ _\u0307\u2028\xa0—“’") + ["AbC"] * 40
+    for text in [*ODD, *("".join(rng.choice(chars) for _ in range(60)) for _ in range(400))]:
+        assert toxicity.words_of(text) == re.findall(r"[^\W\d_]+", (text or "").lower())
+    monkeypatch.setattr(toxicity, "WORD", None)
+    assert toxicity.words_of("It's 9_A-b\tc.") == ["it", "s", "a", "b", "c"] and toxicity.words_of("für É") == ["für", "é"]
+
+
+def test_nearest_over_many_blocks(monkeypatch):
+    """Blocks and waves of any size give the same neighbours."""
+    rng, found = np.random.default_rng(4), []
+    sets = [np.unique(rng.zipf(1.4, 20) % 90) for _ in range(150)]
+    terms, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    tf, gain = rng.integers(1, 4, len(terms)).astype(float), rng.random(90)
+    for block, first in ((512, 4), (7, 1), (7, 4), (40, 2)):
+        monkeypatch.setattr(toxicity, "BLOCK", block), monkeypatch.setattr(toxicity, "FIRST", first)
+        index = toxicity.Index(np.arange(150), rng.random(150) < 0.5, terms, tf, sizes, gain)
+        near = [index.nearest(s, np.ones(len(s)), k) for s in sets[:40] for k in (1, 16, 150, 200)]
+        found.append([(index.ids[p].tolist(), v.tolist()) for p, v in near])
+    assert all(f == found[0] for f in found)
+    weights = np.zeros((150, 90))
+    weights[np.repeat(np.arange(150), sizes), terms] = (1 + np.log(tf)) * gain[terms]
+    weights /= np.linalg.norm(weights, axis=1)[:, None]
+    for i, s in enumerate(sets[:40]):
+        query = np.zeros(90)
+        query[s] = gain[s]
+        cosine = np.round(weights @ query / np.linalg.norm(query), 9)
+        assert found[0][4 * i + 1][0] == sorted(np.flatnonzero(cosine >= 1e-9), key=lambda j: (-cosine[j], j))[:16]
