@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import materialise, release_unused
 
 TILE = 1024
-DENSE = 16  # dense tiles a task keeps at once: 8 MB each
-FILLED = TILE * TILE // 16  # pairs of a tile in one batch from which it is counted densely
+DENSE = 16  # dense tiles a task keeps at once: 4 MB each
+PIECE = 1 << 18  # ranks a task works on at once
+FILLED = PIECE // 16  # pairs of a tile in one piece from which it is counted densely
 HELD = 1 << 20  # coordinates a task sums up before it gives them on
 WORDS = 300_000  # different words a task sums up before it gives them on
+COUNTED = 1 << 31  # pairs after which a task gives its tiles on, as their cells are of 32 bits
 _PLAIN = bytes.maketrans(bytes([*range(65, 91), *b".,;:!?\v\f\r\t"]), bytes([*range(97, 123), *b"\n" * 9, 32]))  # ends of pieces become line ends
 _TOKEN = re.compile(rb"[^ \n]+|\n")
 
@@ -52,18 +55,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
 
-        def rows() -> pa.RecordBatch:
-            flat = [(lang, w.decode(), n) for lang, c in found.items() for w, n in c.items() if w != b"\n"]
-            flat += [(lang, None, sum(n for w, n in c.items() if w != b"\n")) for lang, c in found.items()]
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "f"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            while found:
+                lang, c = found.popitem()
+                c.pop(b"\n", None)
+                words, n = iter([*c, None]), iter([*c.values(), c.total()])
+                c.clear()
+                while some := list(islice(words, 50_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()), pa.array(islice(n, 50_000), pa.int64())], names=["lang", "word", "f"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found.setdefault(lang, Counter()).update(tokens_of(text.as_py()))
                 if sum(map(len, found.values())) > WORDS:
-                    yield rows()
-        yield rows()
+                    yield from rows()
+        yield from rows()
         release_unused()
 
     return docs.mapInArrow(count, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
@@ -78,7 +84,7 @@ def ranked(rows: DataFrame, *order) -> DataFrame:
     return placed.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("id", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_n", "_before")
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _pieces(batch: pa.RecordBatch, most: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, flat ranks, sizes) of a batch of (row, seq), cut where ``most`` ranks are full."""
     ends = batch.column(1).offsets.to_numpy().astype(np.int64)
     at = 0
@@ -124,7 +130,7 @@ def first_sequences(docs: DataFrame, words: DataFrame, most_ranks: int) -> DataF
                 langs, texts, at = batch.column(1).to_pylist(), batch.column(2), 0
                 while at < len(batch):
                     seqs, held, start = [], 0, at
-                    while at < len(batch) and held < 1_000_000:
+                    while at < len(batch) and held < PIECE:
                         found = told.value.get(langs[at], {})
                         seqs.append(np.array([found.get(t, 0) for t in tokens_of(texts[at].as_py())], np.int64))
                         held += len(seqs[-1])
@@ -169,6 +175,7 @@ def next_sequences(seqs: DataFrame, pairs: DataFrame, most_ranks: int) -> DataFr
                     code = np.where(side & (after < span), flat * span + after, -1)
                     at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
                     yield _sequences(piece, np.where(codes[at] == code, ids[at], 0) if len(codes) else np.zeros(len(flat), np.int64), sizes)
+            release_unused()
 
         return seqs.mapInArrow(encode, "row long, seq array<long>")
     placed = seqs.select("row", F.posexplode("seq").alias("at", "a"), "seq").select("row", "at", "a", F.coalesce(F.try_element_at("seq", (F.col("at") + 2).cast("int")), F.lit(0)).alias("b"))
@@ -180,39 +187,50 @@ class Tiles:
 
     def __init__(self):
         self.dense: dict[int, np.ndarray] = {}
-        self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)  # a << 32 | b
+        self.codes, self.counts, self.counted = np.zeros(0, np.int64), np.zeros(0, np.int64), 0  # a << 32 | b
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         tile = (a // TILE) << 32 | (b // TILE)
         held, which, sizes = np.unique(tile, return_inverse=True, return_counts=True)
+        self.counted += len(a)
         sparse = np.ones(len(held), bool)
         for i in np.flatnonzero((sizes >= FILLED) | np.isin(held, list(self.dense))):
             if (t := int(held[i])) not in self.dense and len(self.dense) < DENSE:
-                self.dense[t] = np.zeros(TILE * TILE, np.int64)
+                self.dense[t] = np.zeros(TILE * TILE, np.uint32)
             if t in self.dense:
-                some = which == i
-                self.dense[t] += np.bincount((a[some] % TILE) * TILE + b[some] % TILE, minlength=TILE * TILE)
+                some = np.flatnonzero(which == i)
+                cells = (a[some] % TILE) * TILE + b[some] % TILE
+                if sizes[i] >= FILLED:
+                    np.add(self.dense[t], np.bincount(cells, minlength=TILE * TILE), out=self.dense[t], casting="unsafe")
+                else:
+                    np.add.at(self.dense[t], cells, np.uint32(1))
                 sparse[i] = False
         some = sparse[which]
         if some.any():
-            self._merge(a[some] << 32 | b[some], np.ones(int(some.sum()), np.int64))
+            self._merge(a[some] << 32 | b[some])
 
-    def _merge(self, codes: np.ndarray, counts: np.ndarray) -> None:
+    def _merge(self, codes: np.ndarray) -> None:
+        codes, counts = np.unique(codes, return_counts=True)
         codes, counts = np.append(self.codes, codes), np.append(self.counts, counts)
-        order = np.argsort(codes, kind="stable")
-        self.codes, first = np.unique(codes[order], return_index=True)
-        self.counts = np.add.reduceat(counts[order], first)
+        order = np.argsort(codes, kind="stable")  # of two runs in order
+        codes = codes[order]
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        self.codes, self.counts = codes[first], np.add.reduceat(counts[order], first)
 
     def taken(self, all_: bool) -> Iterator[pa.RecordBatch]:
         """The coordinates, where there are many of them or ``all_`` are asked for, and then the dense tiles' cells too."""
+        all_ = all_ or self.counted >= COUNTED
         if all_ or len(self.codes) > HELD:
-            yield self._rows(self.codes >> 32, self.codes & 0xFFFFFFFF, self.counts)
-            self.codes, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            codes, counts, self.codes, self.counts = self.codes, self.counts, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for at in range(0, len(codes), PIECE):
+                some = slice(at, at + PIECE)
+                yield self._rows(codes[some] >> 32, codes[some] & 0xFFFFFFFF, counts[some])
         if all_:
-            for t, cells in self.dense.items():
+            self.counted = 0
+            while self.dense:
+                t, cells = self.dense.popitem()
                 i, j, at = t >> 32, t & 0xFFFFFFFF, np.flatnonzero(cells)
                 yield self._rows(i * TILE + at // TILE, j * TILE + at % TILE, cells[at])
-            self.dense.clear()
 
     @staticmethod
     def _rows(a: np.ndarray, b: np.ndarray, f: np.ndarray) -> pa.RecordBatch:

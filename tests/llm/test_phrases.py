@@ -101,3 +101,25 @@ def test_query_equals_its_sql(spark):
     sf = "/root/testdata/sf0.001"
     found = op11_phrases(spark, sf)
     assert differences(found, connect(sf), ORACLES["op11_phrases"]) is None
+
+
+def test_a_task_holds_little_at_once(monkeypatch):
+    """A batch of many ranks goes in pieces, cells have 32 bits, and a task that counted more than they hold gives them on."""
+    assert phrases.PIECE <= 1 << 18
+    monkeypatch.setattr(phrases, "TILE", 8), monkeypatch.setattr(phrases, "COUNTED", 500)
+    rng = np.random.default_rng(3)
+    tiles, want, got = phrases.Tiles(), Counter(), Counter()
+    for filled in (40, 10**6, 40, 40):  # by bincount and one by one
+        monkeypatch.setattr(phrases, "FILLED", filled)
+        a, b = (np.minimum(rng.zipf(1.5, 200), 40) for _ in "ab")
+        tiles.add(a, b)
+        assert all(t.dtype == np.uint32 for t in tiles.dense.values())
+        want.update(zip(a.tolist(), b.tolist(), strict=True))
+        for batch in tiles.taken(False):
+            for x, y, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got[x, y] += n
+    assert tiles.counted == 200 and sum(got.values()) == 600
+    for batch in tiles.taken(True):
+        for x, y, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            got[x, y] += n
+    assert got == want and not tiles.dense
