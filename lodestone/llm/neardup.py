@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import counted, fresh, materialise
+from lodestone.llm.common import counted, fresh, left_by, materialise, release_unused
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -84,7 +84,7 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def _in_pieces(texts: pa.Array, most: int = 1_000_000) -> Iterator[list[str | None]]:
+def _in_pieces(texts: pa.Array, most: int = 250_000) -> Iterator[list[str | None]]:
     """The texts of a batch in pieces of about ``most`` characters."""
     piece, held = [], 0
     for t in texts:
@@ -117,6 +117,7 @@ def signed(docs: DataFrame, words: int, chunks: int) -> DataFrame:
     """doc_id, th (a hash of the text), n, s1, s2 (a digest of the set), keys of each document row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left_by("neardup")
         for batch in batches:
             at = 0
             for piece in _in_pieces(batch.column(2)):
@@ -127,6 +128,7 @@ def signed(docs: DataFrame, words: int, chunks: int) -> DataFrame:
                 arrays = [*(batch.column(i).slice(at, len(piece)) for i in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "n", "s1", "s2", "keys"])
                 at += len(piece)
+        release_unused()
 
     return told(docs).mapInArrow(sign, "doc_id long, th long, n long, s1 long, s2 long, keys array<long>")
 
@@ -149,6 +151,7 @@ def sets_for(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         wanted = F.broadcast(wanted)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left_by("neardup")
         for batch in batches:
             ids, s1, s2, at = *(batch.column(i).to_pylist() for i in (0, 2, 3)), 0
             for piece in _in_pieces(batch.column(1)):
@@ -156,6 +159,7 @@ def sets_for(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 right = [i for i, s in enumerate(sets) if len(s) and _digest(s) == (s1[at + i], s2[at + i])]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[at + i] for i in right], pa.int64()), pa.array([sets[i].tobytes() for i in right], pa.binary())], names=["cid", "set"])
                 at += len(piece)
+        release_unused()
 
     same = (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_rep"))
     return told(docs).join(wanted, same).select("cid", "text", "s1", "s2").mapInArrow(make, "cid long, set binary").dropDuplicates(["cid"])
@@ -172,6 +176,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        release_unused()
 
     one, two = (sets.select(F.col("cid").alias(c), F.col("set").alias(f"set_{c}")) for c in ("a", "b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long")

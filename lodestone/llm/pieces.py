@@ -27,11 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import release_unused
+from lodestone.llm.common import left_by, release_unused
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_CODECS: dict[str, Codec] = {}
 
 
 class Codec:
@@ -148,9 +147,10 @@ def _words(pieces: list[str]) -> re.Pattern:
 
 def _codec(model: bytes) -> Codec:
     key = hashlib.sha256(model).hexdigest()
-    if key not in _CODECS:
-        _CODECS[key] = Codec(model)
-    return _CODECS[key]
+    codecs = left_by("pieces")
+    if key not in codecs:
+        codecs[key] = Codec(model)
+    return codecs[key]
 
 
 def _mapped(docs: DataFrame, vocabulary: str, row, names: list[str], kinds: list, schema: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.llm import neardup
+from lodestone.llm import common, neardup, pieces
 from lodestone.llm.common import counted
 from tests.llm.helpers import ODD, docs, prose
 
@@ -171,3 +171,14 @@ def test_many_ids_go_by_a_shuffle(spark, monkeypatch):
     few = sorted((r["doc_id"], r["text"] or "") for r in neardup.deduplicated(docs(spark, texts)).collect())
     monkeypatch.setattr(neardup, "MOST_IDS", 3)
     assert sorted((r["doc_id"], r["text"] or "") for r in neardup.deduplicated(docs(spark, texts)).collect()) == few
+
+
+def test_tasks_drop_what_other_operators_left(monkeypatch):
+    """A worker that had encoded pieces kept its codec through near-dedup."""
+    with open(pieces.VOCABULARY, "rb") as f:
+        model = f.read()
+    monkeypatch.setattr(common, "_LEFT", {})
+    one = pieces._codec(model)
+    assert pieces._codec(model) is one
+    assert common.left_by("neardup") == {} and list(common._LEFT) == ["neardup"]
+    assert pieces._codec(model) is not one
