@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestone.sources import folders
+
 # Fixed values.
 IMAGE_TYPES = ("jpg", "jpeg", "png", "webp", "tif", "tiff")
 LARGEST_IMAGE, LARGEST_LISTING, LARGEST_SITEMAP = 12 * 1024 * 1024, 200, 500
@@ -50,7 +52,11 @@ def listing(spark: SparkSession, prefix: str, most: int = LARGEST_LISTING, large
 
 def sidecars(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """id (the file's stem), meta, outcome: ok, bad json, or bad name for stems that are no UUID."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True).select("value", F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("name"))  # given percent-encoded
+    if root := folders.mounted(spark, folder):
+        found = folders.listed(spark, root).where(~F.col("folder") & F.col("path").endswith(".json")).select("path")
+        files = folders.contents(found).select(F.col("content").cast("string").alias("value"), F.substring_index("path", "/", -1).alias("name"))
+    else:
+        files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True).select("value", F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("name"))  # given percent-encoded
     stem = file_stem(F.col("name"))
     uuid = stem.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
     good = F.try_parse_json("value").isNotNull()
