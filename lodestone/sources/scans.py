@@ -23,7 +23,14 @@ def file_stem(path: Column) -> Column:
 
 def image_files(spark: SparkSession, folder: str, labelled: bool = False, kinds: tuple[str, ...] = IMAGE_TYPES, content: bool = False) -> DataFrame:
     """path, length, modificationTime (and label, the parent folder), in the order of names."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(labelled).lower()).load(folder).where(extension(F.col("path")).isin(list(kinds)))
+    wanted = extension(F.col("path")).isin(list(kinds))
+    root = folders.mounted(spark, folder)
+    found = root and folders.listed(spark, root, deep=labelled)
+    if root and (labelled or found.where("folder").isEmpty()):  # other folders can be partitions, whose columns Spark adds
+        files = found.where(~F.col("folder") & wanted).drop("folder")
+        files = folders.contents(files) if content else files
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", str(labelled).lower()).load(folder).where(wanted)
     if labelled:
         files = files.withColumn("label", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
     return (files if content else files.drop("content")).orderBy("path")

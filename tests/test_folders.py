@@ -60,3 +60,35 @@ def test_patterns_files_and_missing_folders_are_left_to_spark(spark, tmp_path):
     assert [folders.mounted(spark, f"{tmp_path}/{x}") for x in ("a*", "a/x.json", "none")] == [None] * 3
     assert folders.mounted(spark, f"file://{tmp_path}/a/") == f"file:{tmp_path}/a"
     assert scans.sidecars(spark, f"{tmp_path}/a*", "n int").count() == scans.sidecars(spark, f"{tmp_path}/a/x.json", "n int").count() == 1
+
+
+def test_image_files_leave_the_driver_no_file(spark, tmp_path):
+    written(tmp_path, *(f"class_{i % 3}/{i}.{'PNG' if i % 2 else 'txt'}" for i in range(90)), data=b"12345678")
+    for content in (False, True):
+        files = scans.image_files(spark, str(tmp_path), labelled=True, content=content)
+        assert not own(files, tmp_path)
+        assert sorted((r["label"], r["path"], r["length"]) for r in files.collect()) == sorted((f"class_{i % 3}", f"file:{tmp_path}/class_{i % 3}/{i}.PNG", 8) for i in range(1, 90, 2))
+
+
+def test_image_files_are_those_that_spark_reads(spark, tmp_path):
+    names = ["x.png", "y.JPG", "_x.png", "_k=v.png", ".x.png", "x.png._COPYING_", "_metadata.png", "w 1+%2B#é.webp", "q?*.png", "x.txt"]
+    for d in ("flat/", "", "a b/", "_hidden/", "_k=v/", ".hidden/", "_metadata/", "%41+/c/d/"):
+        written(tmp_path, *(d + x for x in names), data=d.encode() + b"\x89PNG\xff")
+        written(tmp_path, f"{d}empty.png", data=b"")
+    os.symlink(tmp_path / "flat", tmp_path / "link")
+    os.utime(tmp_path / "x.png", ns=(10**18 + 123_456_789,) * 2)
+    kept = lambda df: df.where(F.lower("path").rlike(r"\.(png|jpg|webp)$")).orderBy("path")
+    for folder, labelled in ((tmp_path, True), (tmp_path / "flat", True), (tmp_path / "flat", False)):
+        read = kept(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(folder)))
+        files = scans.image_files(spark, str(folder), labelled=labelled, content=True)
+        assert files.drop("label").schema == read.schema and [tuple(r) for r in files.drop("label").collect()] == [tuple(r) for r in read.collect()]
+        assert not own(files, folder)
+        bare = scans.image_files(spark, str(folder), labelled=labelled).drop("label")
+        assert [tuple(r) for r in bare.collect()] == [tuple(r) for r in read.drop("content").collect()]
+
+
+def test_image_files_without_labels_keep_columns_of_partitions(spark, tmp_path):
+    written(tmp_path, "k=1/x.png", "k=2/y.png")
+    assert [(r["k"], r["path"][-5:]) for r in scans.image_files(spark, str(tmp_path)).collect()] == [(1, "x.png"), (2, "y.png")]
+    written(tmp_path / "other", "z.png", "below/x.png")
+    assert [r["path"][-5:] for r in scans.image_files(spark, str(tmp_path / "other")).collect()] == ["z.png"]
